@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, quality, sharding, tiff
+from . import mixing, neardup, pieces, quality, sharding, tiff
 
 QUERIES = {
     "op1_tiff_pages": tiff.op1_tiff_pages,
+    "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_source_mix": mixing.op3_source_mix,
     "op5_host_rules": quality.op5_host_rules,
     "op6_kd_shards": sharding.op6_kd_shards,
     "op10_piece_ids": pieces.op10_piece_ids,
 }
-ORACLES = {"op3_source_mix": mixing.SQL_OP3, "op5_host_rules": quality.SQL_OP5}
+ORACLES = {"op2_near_duplicates": neardup.SQL_OP2, "op3_source_mix": mixing.SQL_OP3, "op5_host_rules": quality.SQL_OP5}
