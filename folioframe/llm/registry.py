@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, pieces, quality, sharding, tiff
+from . import language, mixing, neardup, pieces, quality, sharding, tiff
 
 QUERIES = {
     "op1_tiff_pages": tiff.op1_tiff_pages,
     "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_source_mix": mixing.op3_source_mix,
+    "op4_language_id": language.op4_language_id,
     "op5_host_rules": quality.op5_host_rules,
     "op6_kd_shards": sharding.op6_kd_shards,
     "op10_piece_ids": pieces.op10_piece_ids,
