@@ -16,7 +16,6 @@ import html as entities
 import random
 import re
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -194,11 +193,11 @@ def parsed(html: str) -> list[Node]:
 
 
 def features(node: Node) -> list[str]:
-    """What is seen of a node: its tag, the kinds of its names, and for text its length, links and ending."""
+    """What is seen of a node: its tag with the kinds of its names, both alone, and its links; of text its length, links and ending."""
     share = node.linked / node.chars if node.chars else 0.0
     links = "links:" + ("none" if not share else "few" if share < 0.35 else "half" if share < 0.75 else "most")
     if node.text is None:
-        return [f"tag:{node.tag}", *([f"kind:{k}" for k in node.kinds] or ["kind:none"]), links]
+        return [f"{node.tag}/{k}" for k in node.kinds or ("none",)] + [f"tag:{node.tag}", *(f"kind:{k}" for k in node.kinds or ("none",)), links]
     size = "size:" + str(sum(node.chars >= x for x in (15, 60, 200)))
     return [links + ":text", size, "ends:" + str(node.text[-1] in ".!?:;\"')…")]
 
@@ -206,7 +205,7 @@ def features(node: Node) -> list[str]:
 class TreeModel:
     """Potentials of states, features and parent-child pairs."""
 
-    def __init__(self, pages: list[str], smoothing: float = 0.05):
+    def __init__(self, pages: list[str], smoothing: float = 1e-5):
         seen: dict[bool, dict[str, np.ndarray]] = {False: {}, True: {}}
         self.pairs = np.full((3, 3), smoothing)
         self.pairs[BOILER, CONTENT] = self.pairs[BOILER, FRAME] = 1e-6
@@ -232,7 +231,9 @@ class TreeModel:
         if got is None:
             s = self.leaf_states.copy() if leaf else np.zeros(3)
             for f in fs:
-                s += self.seen[leaf].get(f, 0.0)
+                together = any("/" in g and g in self.seen[leaf] for g in fs)
+                if not (together and f.startswith(("tag:", "kind:"))):  # what is known of both together says it all
+                    s += self.seen[leaf].get(f, 0.0)
             got = np.exp(s - s.max())
             if len(self.known) < 100_000:
                 self.known[leaf, fs] = got
@@ -278,7 +279,7 @@ def labelled(nodes: list[Node]) -> list[Node]:
     return nodes
 
 
-def training_pages(count: int = 600, seed: int = 7) -> list[str]:
+def training_pages(count: int = 800, seed: int = 7) -> list[str]:
     """Labelled pages composed from parts: data-label=1 on content and data-label=0 on boilerplate."""
     r = random.Random(seed)
     syllables = "an the or ing re tion ed lo mi ra ve so ti na de".split()
@@ -340,8 +341,9 @@ def training_pages(count: int = 600, seed: int = 7) -> list[str]:
         return off("div", named("share", "social"), r.choice([links(2, 4), words(1, 4)]))
 
     def body() -> str:
-        parts = [f"<h1>{words(1, 12)}</h1>"] * r.randint(0, 1) + [prose(1, 7)]
-        for _ in range(r.randint(0, 3)):
+        short = r.random() < 0.2
+        parts = [f"<h1>{words(1, 12)}</h1>"] * r.randint(0, 1) + [f"<p>{words(1, 4).capitalize()}.</p>" if short else prose(1, 7)]
+        for _ in range(0 if short else r.randint(0, 3)):
             parts.append(
                 r.choice(
                     [
