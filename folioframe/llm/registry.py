@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, neardup, pieces, quality, sharding, tiff
+from . import html, language, mixing, neardup, pieces, quality, sharding, tiff, urls
 
 QUERIES = {
     "op1_tiff_pages": tiff.op1_tiff_pages,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_language_id": language.op4_language_id,
     "op5_host_rules": quality.op5_host_rules,
     "op6_kd_shards": sharding.op6_kd_shards,
+    "op8_main_text": html.op8_main_text,
+    "op9_url_filter": urls.op9_url_filter,
     "op10_piece_ids": pieces.op10_piece_ids,
 }
 ORACLES = {"op2_near_duplicates": neardup.SQL_OP2, "op3_source_mix": mixing.SQL_OP3, "op5_host_rules": quality.SQL_OP5}
