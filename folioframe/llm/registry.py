@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, language, mixing, neardup, pieces, quality, sharding, tiff, urls
+from . import html, language, licenses, mixing, neardup, pieces, quality, sharding, tiff, urls
 
 QUERIES = {
     "op1_tiff_pages": tiff.op1_tiff_pages,
@@ -11,8 +11,9 @@ QUERIES = {
     "op4_language_id": language.op4_language_id,
     "op5_host_rules": quality.op5_host_rules,
     "op6_kd_shards": sharding.op6_kd_shards,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_main_text": html.op8_main_text,
     "op9_url_filter": urls.op9_url_filter,
     "op10_piece_ids": pieces.op10_piece_ids,
 }
-ORACLES = {"op2_near_duplicates": neardup.SQL_OP2, "op3_source_mix": mixing.SQL_OP3, "op5_host_rules": quality.SQL_OP5}
+ORACLES = {"op2_near_duplicates": neardup.SQL_OP2, "op3_source_mix": mixing.SQL_OP3, "op5_host_rules": quality.SQL_OP5, "op7_license_scan": licenses.SQL_OP7}
