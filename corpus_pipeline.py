@@ -1,27 +1,57 @@
-"""The corpus pipeline: five stages over documents."""
+"""The corpus pipeline: quality rules, language, near-duplicates, source mix, and token ids.
 
-from __future__ import annotations
+Every stage takes all rows that the one before it kept. All but the last return the columns of documents.
+"""
 
-from folioframe.llm import quality
-from folioframe.llm.common import table
+from __future__ import annotations
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from folioframe.llm import language, mixing, neardup, pieces, quality
+from folioframe.llm.common import durable, table
 
 
 def quality_stage(spark, docs, sf_dir):
     """Keep what the host-level rules keep."""
     judged = quality.row_rules(docs)
-    return quality.with_verdicts(judged, quality.host_verdicts(judged)).filter("kept").select(COLUMNS)
+    return quality.with_verdicts(judged, quality.host_verdicts(judged)).filter("kept").select(*docs.columns)
+
+
+def language_stage(spark, docs, sf_dir):
+    """Keep documents whose language can be told."""
+    params = language.LanguageParams()
+    told = language.predicted(docs, language.fit(docs, params))
+    return told.filter((told.lang_pred != language.UNDETERMINED) & (told.score >= params.min_score)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """Keep one document of each near-duplicate group."""
+    return neardup.one_of_each(docs)
+
+
+def mixing_stage(spark, docs, sf_dir):
+    """Leave out or repeat documents so that sources come near their targets."""
+    return mixing.mixed_rows(docs)
+
+
+def token_stage(spark, docs, sf_dir):
+    """Token ids of every row, as digests."""
+    return pieces.encoded(docs, pieces.default_model())
 
 
-STAGES = [("quality", quality_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("language identification", language_stage),
+    ("near-duplicates", near_duplicate_stage),
+    ("source mix", mixing_stage),
+    ("token ids", token_stage),
+]
 
+#: A trained classifier decides in the second stage, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over documents; each result is written and read again, as the next stage's input."""
+    """All stages over documents; each result but the last is written, and read again as the next stage's input."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

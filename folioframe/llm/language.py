@@ -45,7 +45,8 @@ class LanguageParams:
     max_rows: int = 12_000
     cost: float = 50.0
     steps: int = 60
-    min_score: float = 0.5
+    #: Documents below it are rejected; a score this low means that no level had a clear winner.
+    min_score: float = 0.2
 
 
 _LETTER = regex.compile(r"\p{L}")

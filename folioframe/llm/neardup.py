@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, table
+from .common import durable, free_name, small_batches, table
 
 SHINGLE = 5
 HASHES, ROWS = 128, 4
@@ -270,7 +270,7 @@ def marked(edges: DataFrame) -> tuple:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of doc_id and text."""
+    """doc_id, text_key, n_shingles, component_id and kept of every row of doc_id and text."""
     digest = durable(digests(docs))
     with_set = digest.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     first = with_set.groupBy("node").agg(
@@ -290,12 +290,31 @@ def groups(docs: DataFrame) -> DataFrame:
     named = rooted.join(names, F.col("root") == F.col("__root")).select(F.col("node").alias("__node"), "component")
     out = digest.join(named, F.col("node") == F.col("__node"), "left")
     grouped = F.when(F.col("node").isNotNull() & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", grouped.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "text_key", "n_shingles", grouped.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate component."""
-    return groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of one document of each group, with all their columns; rows without an id stay as they are.
+
+    Rows that repeat both id and text are rare: only they are compared with each other.
+    """
+    ids, key = free_name(docs, "__id"), free_name(docs, "__key")
+    found = durable(groups(docs.select("doc_id", "text")).filter("kept AND doc_id IS NOT NULL"))
+    keep = found.groupBy(F.col("doc_id").alias(ids), F.col("text_key").alias("__k")).agg(F.count(F.lit(1)).alias("__n"), F.min("component_id").alias("__c"))
+    # One id may carry several texts of one component: the smallest text key speaks for it.
+    keep = durable(keep.groupBy(ids, "__c").agg(F.min(F.struct("__k", "__n")).alias("x")).select(ids, "x.__k", "x.__n"))
+    keyed = docs.withColumn(key, text_key())
+    same = (F.col("doc_id") == F.col(ids)) & (F.col(key) == F.col("__k"))
+    out = keyed.join(keep.filter("__n = 1"), same, "left_semi")
+    twice = keep.filter("__n > 1")
+    if twice.take(1):
+        out = out.unionByName(keyed.join(twice, same, "left_semi").dropDuplicates(["doc_id", key]))
+    return out.drop(key).unionByName(docs.filter("doc_id IS NULL"))
 
 
 SQL_OP2 = r"""
