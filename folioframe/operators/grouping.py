@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import greedy
+from ..functions import greedy, raster
 from ..params import DEFAULT, Params
 from . import aggregates, spatial
 
@@ -49,6 +50,20 @@ def chained(items: DataFrame, strict: bool = False) -> DataFrame:
     return df.select(*COLUMNS, "locked").groupBy("page_id").applyInPandas(kernel, "page_id bigint, item_id bigint, chain bigint, place int")
 
 
+def chained_on_rasters(items: DataFrame, rasters: DataFrame) -> DataFrame:
+    """The strict chains of each page, no step across a dark bar of the page's raster."""
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        image = None if right.empty else np.frombuffer(right.pixels.iloc[0], np.uint8).reshape(right.height.iloc[0], right.width.iloc[0])
+        barred = None if image is None else lambda a, b: raster.bar_between(image, a["box"], b["box"])
+        out = [(left.page_id.iloc[0], x["id"], c[0]["id"], k) for c in greedy.chains(rows_of(left), True, barred) for k, x in enumerate(c)] if len(left) else []
+        return pd.DataFrame(out, columns=["page_id", "item_id", "chain", "place"])
+
+    a = items.select(*COLUMNS).groupBy("page_id")
+    b = rasters.select("page_id", "width", "height", "pixels").groupBy("page_id")
+    return a.cogroup(b).applyInPandas(kernel, "page_id bigint, item_id bigint, chain bigint, place int")
+
+
 def merged_lines(items: DataFrame, strict: bool = True, params: Params = DEFAULT) -> DataFrame:
     """Near-horizontal lines joined to paragraphs, turned ones as they are; chain names the block."""
     flat = items.filter(F.abs("angle") < params.near_horizontal)

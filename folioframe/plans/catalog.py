@@ -12,6 +12,7 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..functions.fitting import Metrics
 from ..operators import aggregates, fitting, grouping, items, raster, reports, sequences, spatial, tasks, tiling, translate
+from . import flows
 from . import views as v
 
 PAGE_W, PAGE_H = 1200, 900
@@ -828,3 +829,42 @@ def raster_lines(spark, sf):
 @query()
 def raster_levels(spark, sf):
     return raster.measured(v.items(spark, sf).filter("x2 < 320 AND y2 < 240"), _rasters(spark, sf))
+
+
+# -- whole flows ---------------------------------------------------------------------------------------------------
+
+
+@query()
+def intersection_grid(spark, sf):
+    """Grid lines of every page, as segments of a few pixels' slant."""
+    r = _lines(spark, sf)
+    flat = F.col("orient") == "h"
+    s = r.select("page_id", F.monotonically_increasing_id().alias("item_id"), F.when(flat, F.col("lo")).otherwise(F.col("pos")).alias("x1"), F.when(flat, F.col("pos")).otherwise(F.col("lo")).alias("y1"), F.when(flat, F.lit(1200)).otherwise(F.col("pos") + 2).alias("x2"), F.when(flat, F.col("pos") + 2).otherwise(F.lit(900)).alias("y2"))
+    return flows.intersection_grid(s)
+
+
+@query()
+def text_gap_cells(spark, sf):
+    return flows.text_gap_cells(v.items(spark, sf).filter("item_id % 6 = 0"), v.cells(spark, sf), PAGE_W, PAGE_H)
+
+
+@query()
+def cell_cascade(spark, sf):
+    c = v.cells(spark, sf)
+    return flows.cell_cascade({"M": c.filter("morph"), "A": c.filter("NOT morph"), "B": c.filter("x1 < 300")}, v.items(spark, sf).filter("item_id % 10 = 0"))
+
+
+@query()
+def unified_flow(spark, sf):
+    return flows.unified_flow(v.items(spark, sf), v.terms(spark), _cache(spark, sf), script=None)
+
+
+@query(
+    f"""SELECT item_id, {_NESTED} AS translated, true AS erase, CASE WHEN {_NESTED} = text AND regexp_matches(text, '[xyz]') THEN 'skipped' WHEN abs(angle) > 5 THEN 'rotated'
+    WHEN w > b * 1.05::DOUBLE AND w * greatest(b / greatest(w, 1e-9), 0.4::DOUBLE) > b * 1.1::DOUBLE AND {_NESTED} LIKE '% %' THEN 'split' ELSE 'horizontal' END AS route
+    FROM (SELECT *, length({_NESTED}) * 0.5::DOUBLE * (10 + item_id % 30) AS w, x2 - x1 AS b FROM items)""",
+    "items",
+)
+def vector_flow(spark, sf):
+    i = _sized(spark, sf).withColumns({"is_vertical": F.lit(False), "direction": F.when(F.abs("angle") > 5, "rotated").otherwise("horizontal"), "rotation_deg": F.col("angle")})
+    return flows.vector_flow(i, v.terms(spark), "[xyz]").select("item_id", "translated", "erase", "route")

@@ -26,6 +26,15 @@ def cache(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("text", "translated"))
 
 
+def as_mapping(result) -> dict:
+    """What an engine returns as a dict: itself, its ``json`` attribute, or what that attribute returns when called."""
+    if isinstance(result, dict):
+        return result
+    found = getattr(result, "json", None)
+    found = found() if callable(found) else found
+    return found if isinstance(found, dict) else {}
+
+
 def json_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Extracted items from JSON arrays."""
     return spark.read.schema(schema).json(path, multiLine=True)

@@ -1,9 +1,11 @@
 """Operators on hand-made rows: Han text, nulls, ties, replies, sources, sinks and streams."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as t
 from folioframe.operators import aggregates, fitting, grouping, items, raster, sequences, spatial, tasks, tiling, translate
+from folioframe.plans import flows
 from folioframe.sources import readers, writers
 from folioframe.streaming import arrivals
 
@@ -200,3 +202,31 @@ def test_stream_windows(spark, tmp_path):
     q = arrivals.window_counts(arrivals.arriving(spark, src, "ts timestamp, event_type string")).writeStream.format("memory").queryName("wc").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("wc").first().n == 1
+
+
+def test_bar_stops_a_chain(spark):
+    image = np.full((100, 100), 255, np.uint8)
+    image[25] = 0
+    r = spark.createDataFrame([(1, 100, 100, bytearray(image.tobytes()))], "page_id bigint, width int, height int, pixels binary")
+    df = make(spark, ("a", 10, 0, 60, 20, 1.0, 0.0, "a"), ("b", 10, 30, 60, 50, 1.0, 0.0, "a"))
+    assert grouping.chained_on_rasters(df, r).select("chain").distinct().count() == 2
+    assert grouping.chained_on_rasters(df, r.limit(0)).select("chain").distinct().count() == 1
+
+
+def test_engine_results_as_mappings():
+    class Has:
+        def __init__(self, json):
+            self.json = json
+
+    assert [readers.as_mapping(x) for x in ({"a": 1}, Has({"a": 1}), Has(lambda: {"a": 1}), Has(3), 4)] == [{"a": 1}] * 3 + [{}, {}]
+
+
+def test_cascade_and_flow(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 100, 60), (1, 100, 0, 200, 60), (1, 10, 10, 60, 50), (1, 800, 700, 900, 760)], "page_id bigint, x1 int, y1 int, x2 int, y2 int")
+    df = make(spark, ("螺栓", 10, 10, 90, 30, 0.9, 0.0, "a"), ("螺栓", 12, 10, 90, 30, 0.5, 0.0, "b"), ("钢", 110, 10, 190, 30, 0.9, 0.0, "a"), ("plain", 10, 200, 90, 220, 0.9, 0.0, "a"))
+    got = flows.cell_cascade({"A": cells.filter("x1 <> 10"), "B": cells.filter("x1 = 10")}, df).orderBy("cell_no").collect()
+    assert [(r.x1, r.cell_id, r.stages) for r in got] == [(0, "Cell_001", "A"), (100, "Cell_002", "A")]
+    terms = spark.createDataFrame([(0, "螺栓", "Bolt")], "ord int, cn string, en string")
+    cache = spark.createDataFrame([("钢", "Steel")], "text string, translated string")
+    placed = flows.unified_flow(df, terms, cache, lambda x: [y.upper() for y in x]).collect()
+    assert {r.text for r in placed} == {"Bolt", "Steel"}
