@@ -253,7 +253,7 @@ class TreeModel:
             if s < 1e-100:
                 own[nodes[k].parent] /= s
         out = own.copy()
-        out[0] = own[0] * np.array([0.0, 0.0, 1.0])
+        out[0] = np.array([0.0, 0.0, 1.0])
         for k in range(1, n):
             down = (out[nodes[k].parent] / up[k]) @ self.pairs
             out[k] = own[k] * down
