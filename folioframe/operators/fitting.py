@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -98,3 +99,43 @@ def clipped_layer(x: Column, y: Column, w: Column, h: Column, page_w: int, page_
     """The part of a layer that lies on the page; empty layers have no width."""
     left, top = F.greatest(F.lit(0), x), F.greatest(F.lit(0), y)
     return {"x": left, "y": top, "w": F.greatest(F.lit(0), F.least(F.lit(page_w), x + w) - left), "h": F.greatest(F.lit(0), F.least(F.lit(page_h), y + h) - top)}
+
+
+def cell_erase_boxes(cells: DataFrame, mean_level: str = "mean_level", inset: int = 2) -> DataFrame:
+    """Whole cells to erase, inset by two, in white on light ground and in the inverted grey on dark."""
+    fill = F.when(F.col(mean_level) > 200, F.lit(255)).otherwise(F.lit(240))
+    out = cells.select("page_id", (F.col("x1") + inset).alias("x1"), (F.col("y1") + inset).alias("y1"), (F.col("x2") - inset).alias("x2"), (F.col("y2") - inset).alias("y2"), fill.alias("fill"))
+    return out.filter("x2 > x1 AND y2 > y1")
+
+
+def cell_layout(assigned: DataFrame, metrics: Metrics = Metrics(), max_size: int = 40) -> DataFrame:
+    """Rows of each cell below each other, each with its share of the height by its item's height: one size for the cell if one fits all rows, else each row's own.
+
+    ``assigned`` has the cell's box as c_ columns beside each item. A page's items are what one call sees.
+    """
+
+    def one_cell(rows: list) -> list[tuple]:
+        first = rows[0]
+        w, h, top = first.c_x2 - first.c_x1, first.c_y2 - first.c_y1, first.c_y1
+        heights = [max(1, r.y2 - r.y1) for r in rows]
+        shares = [max(1, x * h // sum(heights)) for x in heights]
+        size = fitting.uniform([r.text for r in rows], [float(s) for s in shares], w, max_size, metrics)
+        out = []
+        for r, share in zip(rows, shares, strict=True):
+            if size is None:
+                fit = fitting.fitted(r.text, w, share, max_size, metrics)
+                lines, own, over = fit.lines, fit.size, fit.overflow
+            else:
+                lines, own, over = fitting.wrapped(r.text, size, w, metrics), size, False
+            step = metrics.line_height(own)
+            out += [(r.page_id, r.item_id, k, line, float(r.c_x1), float(top + k * step), float(own), over) for k, line in enumerate(lines)]
+            top += share
+        return out
+
+    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+        cell = lambda r: (r.c_y1, r.c_x1, r.c_y2, r.c_x2)
+        rows = sorted(frame.itertuples(index=False), key=lambda r: (*cell(r), r.y1, r.item_id))
+        return pd.DataFrame([p for _, g in groupby(rows, cell) for p in one_cell(list(g))], columns=NAMES)
+
+    cols = ["page_id", "item_id", F.coalesce("text", F.lit("")).alias("text"), "y1", "y2", "c_x1", "c_y1", "c_x2", "c_y2"]
+    return assigned.select(*cols).groupBy("page_id").applyInPandas(kernel, PLACED)

@@ -70,6 +70,17 @@ def batches(texts: DataFrame, order: list[str], size: int = DEFAULT.batch_size,
     return texts.withColumn("__n", n).withColumns({"batch_no": F.expr(f"(__n - 1) DIV {size}") + 1, "id": F.col("__n")}).drop("__n")
 
 
+def requests(sent: DataFrame, tagged: bool = True) -> DataFrame:
+    """batch_no and body: the texts of each batch as tagged blocks, or as numbered lines with vertical ones marked. A batch's size bounds its body."""
+    if tagged:
+        one = F.concat(F.lit("[ITEM_START]\nID: "), F.col("id").cast("string"), F.lit("\nSRC: "), F.col("text"), F.lit("\n[ITEM_END]"))
+    else:
+        mark = F.when(F.col("is_vertical"), F.lit(" [vertical]")).otherwise(F.lit("")) if "is_vertical" in sent.columns else F.lit("")
+        one = F.concat(F.col("id").cast("string"), F.lit('. "'), F.col("text"), F.lit('"'), mark)
+    g = sent.groupBy("batch_no").agg(F.array_sort(F.collect_list(F.struct("id", one.alias("line")))).alias("r"))
+    return g.select("batch_no", F.array_join("r.line", "\n").alias("body"))
+
+
 def tagged_replies(replies: DataFrame, fallback_source: bool = False) -> DataFrame:
     """batch_no, id and trn of every tagged block; a block without TRN gives null, or its SRC where that is asked for; of repeated ids the last counts."""
     block = F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)\[ITEM_START\](.*?)\[ITEM_END\]"), 1)).alias("pos", "block")

@@ -272,6 +272,19 @@ def numbered_parse(spark, sf):
     return translate.numbered_replies(replies).withColumn("batch_no", F.col("batch_no").cast("int"))
 
 
+_SENT = "WITH s AS (SELECT DISTINCT p_name AS text FROM part), b AS (SELECT text, row_number() OVER (ORDER BY text) AS id FROM s) "
+
+
+@query(_SENT + "SELECT (id - 1) // 10 + 1 AS batch_no, string_agg('[ITEM_START]' || chr(10) || 'ID: ' || id || chr(10) || 'SRC: ' || text || chr(10) || '[ITEM_END]', chr(10) ORDER BY id) AS body FROM b GROUP BY 1")
+def tagged_requests(spark, sf):
+    return translate.requests(_names(spark, sf))
+
+
+@query(_SENT + """SELECT (id - 1) // 10 + 1 AS batch_no, string_agg(id || '. "' || text || '"' || CASE WHEN id % 3 = 0 THEN ' [vertical]' ELSE '' END, chr(10) ORDER BY id) AS body FROM b GROUP BY 1""")
+def numbered_requests(spark, sf):
+    return translate.requests(_names(spark, sf).withColumn("is_vertical", F.col("id") % 3 == 0), tagged=False)
+
+
 @query("WITH a AS (SELECT DISTINCT p_name AS text FROM part), b AS (SELECT text, lower(text) AS translated, 0 AS age FROM a WHERE text < 'm' UNION ALL SELECT text, upper(text), 1 FROM a WHERE text > 'h') SELECT text, arg_min(translated, age) AS translated FROM b GROUP BY text")
 def cache_merge(spark, sf):
     names = v.table(spark, sf, "part").select(F.col("p_name").alias("text")).distinct()
@@ -796,6 +809,16 @@ def rotated_layout(spark, sf):
     return fitting.rotated_layers(_sized(spark, sf))
 
 
+@query()
+def cell_layout(spark, sf):
+    return fitting.cell_layout(_assigned(spark, sf))
+
+
+@query("SELECT page_id, x1 + 2 AS x1, y1 + 2 AS y1, x2 - 2 AS x2, y2 - 2 AS y2, CASE WHEN (x1 + y1) % 256 > 200 THEN 255 ELSE 240 END AS fill FROM cells", "cells")
+def cell_erase(spark, sf):
+    return fitting.cell_erase_boxes(v.cells(spark, sf).withColumn("mean_level", (F.col("x1") + F.col("y1")) % 256))
+
+
 def _rasters(spark, sf) -> DataFrame:
     """White pages with black frames, a different grid on each."""
 
