@@ -4,14 +4,17 @@ Every distinct shingle set gets 128 minima. Their lowest two bits, packed into f
 runs of four minima are its 32 bands. Sets that share a band are candidates; the number of agreeing bit pairs, corrected
 for pairs that agree by chance, estimates their similarity; what may reach the limit is confirmed on the full sets.
 
-At a similarity of 0.75 a pair shares no band with a probability of 5e-6, and the estimate's cut at 0.5 lies more than
-five standard deviations below.
+At a similarity of 0.75 a pair shares no band with a probability of 5e-6, and the estimate's cut at 0.55 lies more than
+four standard deviations below.
 
 No group is turned into all its pairs. Equal sets are one node. In a band, each node is first compared with the band's
 smallest node only. Links make components, and only bands that still hold several components are looked at again: there,
-nodes outside the band's largest component are compared with the nodes of other components. Bands that stay large then
-are first cut by a second band, which pairs over the limit share as surely as the first. So no link between
-components is left out, and links within one are not needed.
+nodes are compared with the band's most central node, and after that those outside the band's largest component with the
+nodes of other components. Where a band has many such
+nodes (texts around one common passage), its nodes are compared by an exact rule instead: shingles are ordered from rare
+to common, and two sets over the limit share one of the smaller set's rarest 1/7 (and one more) and of the larger set's
+rarest 1/4 (and one more). A common passage is not among them. So no link between components is left out, and links
+within one are not needed.
 
 Defined results: a null, empty or blank text has no shingles and is linked with nothing; a text of fewer than five words
 is one shingle; rows with a null id are linked with nothing, their component_id is null and they are kept; repeated rows
@@ -36,14 +39,23 @@ HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 SIMILAR_PERCENT = 75
 #: The estimate below which a candidate is not confirmed.
-ESTIMATE_CUT = 0.5
-#: Nodes of a band outside its largest component beyond which the band is cut by a second one.
-LARGE_BAND = 64
+ESTIMATE_CUT = 0.55
+#: Nodes of a band outside its largest component beyond which its nodes are compared by their rarest shingles.
+LARGE_BAND = 16
+#: Rounds in which the nodes of bands with several components are compared with the band's most central node.
+CENTRAL_ROUNDS = 2
+#: Minima of the finer signature that nodes of large bands get, and its cut: four standard deviations below the limit.
+FINE_HASHES = 2048
+FINE_CUT = 0.7
+#: Cells of the table of shingle counts by which shingles are ordered; any order gives exact results, so cells may be shared.
+COUNT_CELLS = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _MIX = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = _rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
+_FINE_MULT = _rng.integers(1, 1 << 31, FINE_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FINE_ADD = _rng.integers(0, 1 << 32, FINE_HASHES, dtype=np.uint64).astype(np.uint32)
 _BAND_MIX = _rng.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of matrix a block of shingles may fill when minima are taken.
 _BLOCK = 4096
@@ -87,12 +99,13 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mixed(s))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, mult: np.ndarray = _MULT, add: np.ndarray = _ADD) -> np.ndarray:
     """The smallest value of each hash function over the set."""
     low = shingles.astype(np.uint32)[:, None]
-    out = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
-    for k in range(0, len(low), _BLOCK):
-        np.minimum(out, (low[k : k + _BLOCK] * _MULT + _ADD).min(axis=0), out=out)
+    out = np.full(len(mult), np.iinfo(np.uint32).max, np.uint32)
+    step = max(1, _BLOCK * HASHES // len(mult))
+    for k in range(0, len(low), step):
+        np.minimum(out, (low[k : k + step] * mult + add).min(axis=0), out=out)
     return out
 
 
@@ -153,6 +166,17 @@ def estimate(a: str, b: str) -> Column:
     return (1 - differ / HASHES - 0.25) / 0.75
 
 
+def fine_estimate(a: str, b: str) -> Column:
+    """The same from two finer signatures, arrays of longs."""
+
+    def differing(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    differ = F.aggregate(F.zip_with(F.col(f"{a}fine"), F.col(f"{b}fine"), differing), F.lit(0), lambda s, x: s + x)
+    return (1 - differ / FINE_HASHES - 0.25) / 0.75
+
+
 def size_allows(a: str, b: str) -> Column:
     """Sets whose sizes alone rule the limit out need no confirming."""
     return 100 * F.least(F.col(f"{a}n"), F.col(f"{b}n")) >= SIMILAR_PERCENT * F.greatest(F.col(f"{a}n"), F.col(f"{b}n"))
@@ -180,23 +204,41 @@ def star_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return x.filter((estimate("a_", "b_") >= ESTIMATE_CUT) & size_allows("a_", "b_")).select("a", "b")
 
 
-def cross_pairs(members: DataFrame, components: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes that share a band and are still in different components, which the estimate lets through."""
-    c = components.select(F.col("id").alias("__id"), "root")
-    at = members.join(c, F.col("node") == F.col("__id"), "left").withColumn("root", F.coalesce("root", "node")).select("band", "root", *_MEMBER)
+def unsettled(members: DataFrame, components: DataFrame) -> DataFrame:
+    """Members of bands that hold several components: band, root, main (the band's largest component), outside (its members outside that) and the node's columns."""
+    at = with_roots(members.select("band", *_MEMBER), components)
     several = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(F.col("band").alias("__b"))
-    at = durable(at.join(several, F.col("band") == F.col("__b"), "left_semi"))
+    at = at.join(several, F.col("band") == F.col("__b"), "left_semi")
     per = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select(
         F.col("band").alias("__b"), F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("outside")
     )
-    at = at.join(main, F.col("band") == F.col("__b")).drop("__b")
-    # Large bands are cut by a second band: their members go to one band for every other band they are in.
-    large = at.filter(F.col("outside") > LARGE_BAND)
-    finer = large.join(nodes.select(F.col("node").alias("__n"), "bands"), F.col("node") == F.col("__n")).select(
-        F.explode(F.filter(F.transform("bands", lambda x: F.xxhash64(F.col("band"), x)), lambda x: x != F.xxhash64(F.col("band"), F.col("band")))).alias("band"), "root", "main", *_MEMBER
-    )
-    at = at.filter(F.col("outside") <= LARGE_BAND).select("band", "root", "main", *_MEMBER).unionByName(finer)
+    return at.join(main, F.col("band") == F.col("__b")).drop("__b")
+
+
+def with_roots(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """Rows of nodes with their component's root; a node without links is its own."""
+    c = components.select(F.col("id").alias("__id"), F.col("root").alias("__root"))
+    return rows.join(c, F.col("node") == F.col("__id"), "left").withColumn("root", F.coalesce("__root", "node")).drop("__id", "__root")
+
+
+def central_pairs(at: DataFrame) -> DataFrame:
+    """Pairs of a band's most central node and its nodes of other components.
+
+    Of texts edited from one, that one shares bands with the most others: a node's centrality is the sum of its bands' sizes.
+    """
+    sizes = at.groupBy("band").agg(F.count(F.lit(1)).alias("c")).select(F.col("band").alias("__b"), "c")
+    ranked = at.join(sizes, F.col("band") == F.col("__b")).groupBy(F.col("node").alias("__n")).agg(F.sum("c").alias("rank"))
+    lead = at.join(ranked, F.col("node") == F.col("__n")).groupBy("band").agg(F.max(F.struct("rank", *_MEMBER, "root")).alias("m"))
+    lead = lead.select(F.col("band").alias("a_band"), *[F.col(f"m.{c}").alias(f"a_{c}") for c in [*_MEMBER, "root"]])
+    b = renamed(at, "b_", ["band", "root", *_MEMBER])
+    met = b.join(lead, (F.col("a_band") == F.col("b_band")) & (F.col("a_root") != F.col("b_root")) & size_allows("a_", "b_") & (estimate("a_", "b_") >= ESTIMATE_CUT))
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+
+
+def band_pairs(at: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components in small bands; at least one lies outside the band's largest component."""
+    at = at.filter(F.col("outside") <= LARGE_BAND)
     rest = renamed(at.filter("root <> main"), "a_", ["band", "root", "main", *_MEMBER])
     every = renamed(at, "b_", ["band", "root", *_MEMBER])
     found = rest.join(
@@ -210,12 +252,82 @@ def cross_pairs(members: DataFrame, components: DataFrame, nodes: DataFrame) ->
     return found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
+_RARE = ["shingle", "place", "short", "rest", "node", "n", "fine"]
+
+
+def rare_shingles(many: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """A row for each of the rarest quarter of every node's shingles: shingle, place in their order, short (in the rarest seventh), rest, node, n and fine signature."""
+    texts = texts_of(many.select("node"), nodes, docs)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNT_CELLS, np.int64)
+        for b in batches:
+            for text in b.column(1).to_pylist():
+                np.add.at(counts, (shingle_set(text) % np.uint64(COUNT_CELLS)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
+
+    # A table of fixed size, whatever the input: cells that are met often, and how often.
+    common = texts.mapInArrow(counted, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 4").collect()
+    counts = np.zeros(COUNT_CELLS, np.int64)
+    for r in common:
+        counts[r["cell"]] = r["n"]
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owners, sizes, fines, keys, places = [], [], [], [], []
+            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = shingle_set(text)
+                n = len(s)
+                fine = signature(minima(s, _FINE_MULT, _FINE_ADD)).tolist()
+                s = s[np.lexsort((s, counts[(s % np.uint64(COUNT_CELLS)).astype(np.int64)]))]
+                probe, index = n - -(-3 * n // 4) + 1, n - -(-6 * n // 7) + 1
+                owners += [node] * probe
+                sizes += [n] * probe
+                fines += [fine] * probe
+                keys.append(s[:probe].view(np.int64))
+                places.append(np.stack([np.arange(probe), np.arange(probe) < index]))
+            if owners:
+                place, short = np.concatenate(places, axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys)), pa.array(place), pa.array(short.astype(bool)), pa.array(owners, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fines, pa.list_(pa.int64()))], names=["shingle", "place", "short", "node", "n", "fine"]
+                )
+
+    small_batches(docs.sparkSession)
+    rows = texts.mapInArrow(rarest, "shingle bigint, place bigint, short boolean, node binary, n bigint, fine array<bigint>")
+    return durable(rows.join(many.select(F.col("node").alias("__n"), "rest"), F.col("node") == F.col("__n")).select(*_RARE))
+
+
+def rare_pairs(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components, at least one of them marked ``rest``, that share a rare shingle and pass size and fine estimate."""
+    at = with_roots(rows, components)
+    small = renamed(at.filter("short"), "a_", [*_RARE, "root"])
+    big = renamed(at, "b_", [*_RARE, "root"])
+    met = small.join(
+        big,
+        (F.col("a_shingle") == F.col("b_shingle"))
+        & ((F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_node") < F.col("b_node"))))
+        & (F.col("a_root") != F.col("b_root"))
+        & (F.col("a_rest") | F.col("b_rest"))
+        # Were this the first shingle that both share, as many must follow as the limit asks for.
+        & (7 * F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) >= 3 * (F.col("a_n") + F.col("b_n")))
+        & size_allows("a_", "b_")
+        & (fine_estimate("a_", "b_") >= FINE_CUT),
+    )
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+def texts_of(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and one text of each node in ``used``, written out."""
+    keys = nodes.join(used, "node", "left_semi").select("node", "text_key")
+    texts = docs.select(text_key().alias("__k"), "text").join(keys, F.col("__k") == F.col("text_key")).select("node", "text")
+    return durable(texts.dropDuplicates(["node"]))
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the limit."""
     used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    keys = nodes.join(used, "node", "left_semi").select("node", "text_key")
-    texts = docs.select(text_key().alias("__k"), "text").join(keys, F.col("__k") == F.col("text_key")).select("node", "text")
-    texts = durable(texts.dropDuplicates(["node"]))
+    texts = texts_of(used, nodes, docs)
     both = pairs.join(texts.select(F.col("node").alias("__a"), F.col("text").alias("text_a")), F.col("a") == F.col("__a")).join(
         texts.select(F.col("node").alias("__b"), F.col("text").alias("text_b")), F.col("b") == F.col("__b")
     )
@@ -270,7 +382,10 @@ def marked(edges: DataFrame) -> tuple:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and kept of every row of doc_id and text."""
+    """doc_id, text_key, n_shingles, group, component_id and kept of every row of doc_id and text.
+
+    ``group`` tells components apart where ids repeat; what has no shingles is grouped by its text only.
+    """
     digest = durable(digests(docs))
     with_set = digest.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     first = with_set.groupBy("node").agg(
@@ -280,22 +395,36 @@ def groups(docs: DataFrame) -> DataFrame:
     members = durable(members_of_shared_bands(nodes))
     links = durable(confirmed(durable(star_pairs(members, nodes)), nodes, docs))
     components = components_of(links)
-    more = durable(cross_pairs(members, components, nodes))
+    at = durable(unsettled(members, components))
+    tried = None
+    for _ in range(CENTRAL_ROUNDS):
+        found = central_pairs(at)
+        found = durable(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
+        if not found.take(1):
+            break
+        tried = found if tried is None else tried.union(found)
+        links = durable(links.union(confirmed(found, nodes, docs)))
+        components = components_of(links)
+        at = durable(unsettled(members, components))
+    more = band_pairs(at)
+    many = durable(at.filter(F.col("outside") > LARGE_BAND).groupBy("node").agg(F.max(F.col("root") != F.col("main")).alias("rest")))
+    if many.take(1):
+        more = more.union(rare_pairs(rare_shingles(many, nodes, docs), components)).distinct()
+    more = durable(more)
     if more.take(1):
-        late = confirmed(more, nodes, docs)
-        components = components_of(links.union(late))
+        components = components_of(links.union(confirmed(more, nodes, docs)))
     c = components.select(F.col("id").alias("__id"), "root")
     rooted = nodes.select("node", "least_id").join(c, F.col("node") == F.col("__id"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least_id").alias("component")).select(F.col("root").alias("__root"), "component")
-    named = rooted.join(names, F.col("root") == F.col("__root")).select(F.col("node").alias("__node"), "component")
+    named = rooted.join(names, F.col("root") == F.col("__root")).select(F.col("node").alias("__node"), "component", F.col("root").alias("group"))
     out = digest.join(named, F.col("node") == F.col("__node"), "left")
     grouped = F.when(F.col("node").isNotNull() & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_key", "n_shingles", grouped.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("group", "text_key").alias("group"), grouped.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate component."""
-    return groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
+    return groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key", "group")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -305,9 +434,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     ids, key = free_name(docs, "__id"), free_name(docs, "__key")
     found = durable(groups(docs.select("doc_id", "text")).filter("kept AND doc_id IS NOT NULL"))
-    keep = found.groupBy(F.col("doc_id").alias(ids), F.col("text_key").alias("__k")).agg(F.count(F.lit(1)).alias("__n"), F.min("component_id").alias("__c"))
-    # One id may carry several texts of one component: the smallest text key speaks for it.
-    keep = durable(keep.groupBy(ids, "__c").agg(F.min(F.struct("__k", "__n")).alias("x")).select(ids, "x.__k", "x.__n"))
+    keep = found.groupBy(F.col("doc_id").alias(ids), F.col("text_key").alias("__k"), "group").agg(F.count(F.lit(1)).alias("__n"))
+    # One id may carry several texts of one group: the smallest text key speaks for it.
+    keep = durable(keep.groupBy(ids, "group").agg(F.min(F.struct("__k", "__n")).alias("x")).select(ids, "x.__k", "x.__n"))
     keyed = docs.withColumn(key, text_key())
     same = (F.col("doc_id") == F.col(ids)) & (F.col(key) == F.col("__k"))
     out = keyed.join(keep.filter("__n = 1"), same, "left_semi")
