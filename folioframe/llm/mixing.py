@@ -3,8 +3,8 @@
 Slot i of the schedule has the golden-ratio point frac(i * phi), kept as a 32-bit integer. The point falls into
 one source's share of the cumulative targets; the slot's rank among that source's slots is the number of the
 equal-token block that it takes. Blocks are cut from the source's documents in hash order, and a source that
-runs out starts again. The schedule is a little longer than the mix, and slots past a source's quota are void, so
-a source gives its target to the word.
+runs out starts again. The schedule is a little longer than the mix; slots past a source's quota are void, and a source
+whose share is so small that points miss it gets the slots it lacks at the end. So a source gives its target to the word.
 
 Ranks and running sums are made in two steps (pieces of a source, then rows of a piece), so no task gets the
 whole of a hot source.
@@ -66,14 +66,14 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """source_no and rank (from 0) of every slot, void ones too."""
+    """source_no and rank (from 0) of every slot, void ones too; ``sources`` has source_no, source_size and quota."""
     spark = sources.sparkSession
-    total, k = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count(F.lit(1))).first()
+    total = sources.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     if not total:
         return spark.createDataFrame([], "source_no int, rank bigint")
-    # Any interval gets its share of N golden-ratio points up to O(log N); the slack covers that and the last part block.
+    # Any interval gets its share of N golden-ratio points up to O(log N); the slack covers that for all but small shares.
     slots = total // block_words + 1
-    slots += slots // 64 + 64 * (k + 1)
+    slots += slots // 64 + 64
     edge = F.sum(F.greatest(F.col("quota"), F.lit(0))).over(Window.orderBy("source_no"))
     shares = sources.withColumn("hi", F.floor(edge / F.lit(total) * POINTS)).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("source_no")), F.lit(0)))
     width = POINTS // CELLS
@@ -87,7 +87,13 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     hit = points.join(shares, (points.cell == shares.cell) & (points.x >= shares.lo) & (points.x < shares.hi)).select(
         "source_no", "slot", F.floor(F.col("slot") / SLOT_PIECE).alias("piece")
     )
-    return ranked(hit, ["slot"], "rank")
+    made = durable(ranked(hit, ["slot"], "rank").select("source_no", "rank"))
+    have = made.groupBy(F.col("source_no").alias("__s")).agg(F.count(F.lit(1)).alias("have"))
+    size = F.greatest(F.col("source_size"), F.lit(1))
+    need = F.floor(F.col("quota") / size) * F.ceil(size / block_words) + F.ceil((F.col("quota") % size) / block_words)
+    short = sources.join(have, F.col("source_no") == F.col("__s"), "left").withColumns({"have": F.coalesce("have", F.lit(0)), "need": need.cast("bigint")})
+    late = short.filter("need > have").select("source_no", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank"))
+    return made.unionByName(late)
 
 
 def ranked(df: DataFrame, order: list, name: str, of: Column | None = None) -> DataFrame:

@@ -208,8 +208,14 @@ def test_mix_odd_rows(spark, odd):
     assert mixing.mix(mixing.sizes(odd.limit(0))).count() == 0 and mixing.mixed_rows(odd.limit(0)).count() == 0
 
 
+def test_tiny_sources_get_their_words(spark):
+    rows = [(k, "big", 1000) for k in range(3000)] + [(10_000 + k, f"tiny{k}", 3) for k in range(40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")).collect()
+    assert all(r.taken == r.target for r in got if r.source != "big")
+
+
 def test_schedule_is_even(spark):
-    s = spark.createDataFrame([(1, 3000), (2, 1000), (3, 6000)], "source_no int, quota bigint")
+    s = spark.createDataFrame([(1, 3000, 3000), (2, 1000, 1000), (3, 6000, 6000)], "source_no int, source_size bigint, quota bigint")
     n = {r.source_no: r["count"] for r in mixing.schedule(s, 10).groupBy("source_no").count().collect()}
     total = sum(n.values())
     assert all(abs(n[k] - total * q / 10) < 6 for k, q in ((1, 3), (2, 1), (3, 6)))
