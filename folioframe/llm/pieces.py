@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from .common import small_batches, table
 
 MARK = "▁"
-#: Entries at which a memory is emptied; parts longer than LONG characters are not remembered.
-MEMORY = 400_000
-LONG = 64
+#: Entries at which a memory of parts or pairs is emptied; parts longer than LONG characters are not remembered.
+MEMORY = 500_000
+LONG = 48
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -62,8 +62,10 @@ class PieceEncoder:
                 self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.length = [len(self.text_of[i]) for i in ids]
+        self.shown = [str(i) for i in ids]
         self.pairs: dict[int, bool] = {}
-        self.parts: dict[str, tuple[int, str, str]] = {}
+        self.parts: dict[str, str] = {}
+        self.unlike: dict[str, str] = {}
         #: A part: space marks and what follows them, or a run of characters that no piece joins to others.
         joined = {c for p in self.id_of if len(p) > 1 for c in p}
         self.alone = {c for c in "\n\t\r" if c not in joined}
@@ -87,7 +89,7 @@ class PieceEncoder:
 
     def stays(self, left: int, right: int) -> bool:
         """Whether the two pieces remain when their joined text is encoded."""
-        if len(self.pairs) >= 4 * MEMORY:
+        if len(self.pairs) >= MEMORY:
             self.pairs.clear()
         two = [self.text_of[left], self.text_of[right]]
         known = self.pairs[left << 20 | right] = self.merged("".join(two)) == two
@@ -124,10 +126,14 @@ class PieceEncoder:
         out.reverse()
         return out
 
-    def _part(self, text: str) -> tuple[int, str, str]:
+    def _part(self, text: str) -> str:
+        """The decimal ids of a part. Parts that do not decode to themselves (marks as blanks) are noted."""
         ids = self.ids(text)
-        made = (len(ids), " ".join(map(str, ids)), self._plain(ids))
-        if len(text) <= LONG:
+        made = " ".join([self.shown[i] for i in ids])
+        plain = self._plain(ids)
+        if plain != text.replace(MARK, " "):
+            self.unlike[text] = plain
+        elif len(text) <= LONG:
             if len(self.parts) >= MEMORY:
                 self.parts.clear()
             self.parts[text] = made
@@ -167,10 +173,17 @@ class PieceEncoder:
 
         Byte runs never cross parts, so the parts' texts joined are the text of all ids.
         """
-        known, part = self.parts, self._part
-        found = [known.get(p) or part(p) for p in self._marked(text)]
-        shown = " ".join([x[1] for x in found] + [str(self.end)])
-        return sum(x[0] for x in found) + 1, shown, "".join([x[2] for x in found]).removeprefix(" ")
+        known, part = self.parts.get, self._part
+        parts = self._marked(text)
+        self.unlike.clear()
+        found = [known(p) or part(p) for p in parts]
+        found.append(self.shown[self.end])
+        shown = " ".join(found)
+        if self.unlike:
+            plain = "".join([self.unlike.get(p) or p.replace(MARK, " ") for p in parts])
+        else:
+            plain = "".join(parts).replace(MARK, " ")
+        return shown.count(" ") + 1, shown, plain.removeprefix(" ")
 
 
 _encoders: dict[str, PieceEncoder] = {}
