@@ -16,4 +16,4 @@ QUERIES = {
     "op9_url_filter": urls.op9_url_filter,
     "op10_piece_ids": pieces.op10_piece_ids,
 }
-ORACLES = {"op2_near_duplicates": neardup.SQL_OP2, "op3_source_mix": mixing.SQL_OP3, "op5_host_rules": quality.SQL_OP5, "op7_license_scan": licenses.SQL_OP7}
+ORACLES = {"op2_near_duplicates": neardup.SQL_OP2, "op3_source_mix": mixing.SQL_OP3, "op5_host_rules": quality.SQL_OP5, "op7_license_scan": licenses.SQL_OP7, "op9_url_filter": urls.SQL_OP9}

@@ -532,3 +532,14 @@ def test_pipeline_stages_take_odd_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, odd, SF).count()
         assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_durable_tables_can_be_cleared(spark, tmp_path):
+    from folioframe.llm import common
+
+    common.clear(spark)
+    common.durable(spark.range(3))
+    path = common._written[-1].removeprefix("file://")
+    import os
+
+    assert os.path.isdir(path) and common.clear(spark) == 1 and not os.path.isdir(path)
