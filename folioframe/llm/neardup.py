@@ -68,25 +68,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-_words: dict[bytes, int] = {}
-
-
-def word_hash(word: bytes) -> int:
-    h = xxhash.xxh3_64_intdigest(word)
-    if len(word) <= 32:
-        if len(_words) > 500_000:
-            _words.clear()
-        _words[word] = h
-    return h
-
-
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the five-word shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    get = _words.get
-    h = np.array([get(w) or word_hash(w) for w in words], np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if len(h) < SHINGLE:
         s = np.array([len(h)], np.uint64)
         for k in range(len(h)):
