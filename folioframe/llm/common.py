@@ -30,6 +30,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out anew if the scan gives fewer partitions than there are cores (small files of one row group); else leave them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= cores else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none (tests)."""
     global _own_folder

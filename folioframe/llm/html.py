@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, table
+from .common import small_batches, spread, table
 
 #: Fixed values of the HTML standard: elements without end tag, with raw text, and those that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -417,7 +417,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
             )
 
     small_batches(pages.sparkSession)
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return spread(pages.select("page_id", "url", "html")).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op8_main_text(spark, sf_dir: str) -> DataFrame:

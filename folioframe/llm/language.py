@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, spread, table
 
 #: Closely related languages by family.
 FAMILIES = {
@@ -212,7 +212,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     small_batches(docs.sparkSession)
-    return rest.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return spread(rest).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

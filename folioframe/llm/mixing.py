@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, free_name, table, words
+from .common import durable, free_name, spread, table, words
 
 #: The weights in turn, the share of all sizes to take in percent, and the golden ratio as a 32-bit fraction.
 WEIGHTS = (5, 2, 1)
@@ -170,7 +170,7 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it."""
-    return mix(durable(sizes(table(spark, sf_dir, "documents")))).drop("source")
+    return mix(durable(sizes(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))))).drop("source")
 
 
 SQL_OP3 = rf"""

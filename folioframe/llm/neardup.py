@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, free_name, small_batches, table
+from .common import durable, free_name, small_batches, spread, table
 
 SHINGLE = 5
 HASHES, ROWS = 128, 4
@@ -136,7 +136,7 @@ def digests(docs: DataFrame) -> DataFrame:
             )
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, DIGEST)
+    return spread(docs.select("doc_id", text_key().alias("text_key"), "text")).mapInArrow(run, DIGEST)
 
 
 def text_key() -> Column:

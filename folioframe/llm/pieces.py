@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, table
+from .common import small_batches, spread, table
 
 MARK = "▁"
 #: Entries at which a memory of parts or pairs is emptied; parts longer than LONG characters are not remembered.
@@ -213,7 +213,7 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
             )
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, SCHEMA)
 
 
 def default_model() -> str:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches, table
+from .common import small_batches, spread, table
 
 #: Fixed values of the TIFF 6.0 specification: tags, sizes of field types, and compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -434,7 +434,7 @@ def through_tiff(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, OP1_SCHEMA)
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, OP1_SCHEMA)
 
 
 def op1_tiff_pages(spark, sf_dir: str) -> DataFrame:
