@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fitting
 from ..functions.fitting import Metrics
+from .paging import by_page
 
 PLACED = "page_id bigint, item_id bigint, line_no int, text string, x double, y double, font_size double, overflow boolean"
 NAMES = [c.split()[0] for c in PLACED.split(", ")]
@@ -132,10 +133,9 @@ def cell_layout(assigned: DataFrame, metrics: Metrics = Metrics(), max_size: int
             top += share
         return out
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
+    def kernel(rows: list) -> list[tuple]:
         cell = lambda r: (r.c_y1, r.c_x1, r.c_y2, r.c_x2)
-        rows = sorted(frame.itertuples(index=False), key=lambda r: (*cell(r), r.y1, r.item_id))
-        return pd.DataFrame([p for _, g in groupby(rows, cell) for p in one_cell(list(g))], columns=NAMES)
+        return [p for _, g in groupby(sorted(rows, key=lambda r: (*cell(r), r.y1, r.item_id)), cell) for p in one_cell(list(g))]
 
     cols = ["page_id", "item_id", F.coalesce("text", F.lit("")).alias("text"), "y1", "y2", "c_x1", "c_y1", "c_x2", "c_y2"]
-    return assigned.select(*cols).groupBy("page_id").applyInPandas(kernel, PLACED)
+    return by_page(assigned.select(*cols), kernel, PLACED)

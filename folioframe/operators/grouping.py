@@ -1,4 +1,4 @@
-"""Order-dependent grouping. Kernels run on one page at a time (applyInPandas): what they need is bounded by a page's items."""
+"""Order-dependent grouping. Kernels run on one page at a time: what they need is bounded by a page's items."""
 
 from __future__ import annotations
 
@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from ..functions import greedy, raster
 from ..params import DEFAULT, Params
 from . import aggregates, spatial
+from .paging import by_page
 
 ITEM = "page_id bigint, item_id bigint, text string, x1 int, y1 int, x2 int, y2 int, confidence double, source string"
 COLUMNS = [c.split()[0] for c in ITEM.split(", ")]
 
 
-def rows_of(frame: pd.DataFrame) -> list[dict]:
+def rows_of(rows) -> list[dict]:
+    """Rows of a page as the kernels take them."""
     return [
         {"id": r.item_id, "text": r.text or "", "box": (int(r.x1), int(r.y1), int(r.x2), int(r.y2)), "confidence": 0.0 if pd.isna(r.confidence) else float(r.confidence), "locked": bool(getattr(r, "locked", False))}
-        for r in frame.itertuples(index=False)
+        for r in rows
     ]
 
 
@@ -32,22 +34,21 @@ def deduplicated(items: DataFrame, params: Params = DEFAULT) -> DataFrame:
     in_kernel = items.join(partners, F.col("item_id") == F.col("__i"), "left_semi").select(*COLUMNS)
     alone = items.join(partners, F.col("item_id") == F.col("__i"), "left_anti").select(*COLUMNS)
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        kept = {x["id"] for x in greedy.deduplicated(rows_of(frame), params.dedup_iou, params.dedup_ratio)}
-        return frame[frame.item_id.isin(kept)]
+    def kernel(rows: list) -> list[tuple]:
+        kept = {x["id"] for x in greedy.deduplicated(rows_of(rows), params.dedup_iou, params.dedup_ratio)}
+        return [tuple(r) for r in rows if r.item_id in kept]
 
-    return in_kernel.groupBy("page_id").applyInPandas(kernel, ITEM).unionByName(alone)
+    return by_page(in_kernel, kernel, ITEM).unionByName(alone)
 
 
 def chained(items: DataFrame, strict: bool = False) -> DataFrame:
     """page_id, item_id, chain (the first item's id) and place of every item; a column ``locked`` keeps items alone."""
     df = items if "locked" in items.columns else items.withColumn("locked", F.lit(False))
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [(frame.page_id.iloc[0], x["id"], c[0]["id"], k) for c in greedy.chains(rows_of(frame), strict) for k, x in enumerate(c)]
-        return pd.DataFrame(out, columns=["page_id", "item_id", "chain", "place"])
+    def kernel(rows: list) -> list[tuple]:
+        return [(rows[0].page_id, x["id"], c[0]["id"], k) for c in greedy.chains(rows_of(rows), strict) for k, x in enumerate(c)]
 
-    return df.select(*COLUMNS, "locked").groupBy("page_id").applyInPandas(kernel, "page_id bigint, item_id bigint, chain bigint, place int")
+    return by_page(df.select(*COLUMNS, "locked"), kernel, "page_id bigint, item_id bigint, chain bigint, place int")
 
 
 def chained_on_rasters(items: DataFrame, rasters: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def chained_on_rasters(items: DataFrame, rasters: DataFrame) -> DataFrame:
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         image = None if right.empty else np.frombuffer(right.pixels.iloc[0], np.uint8).reshape(right.height.iloc[0], right.width.iloc[0])
         barred = None if image is None else lambda a, b: raster.bar_between(image, a["box"], b["box"])
-        out = [(left.page_id.iloc[0], x["id"], c[0]["id"], k) for c in greedy.chains(rows_of(left), True, barred) for k, x in enumerate(c)] if len(left) else []
+        out = [(left.page_id.iloc[0], x["id"], c[0]["id"], k) for c in greedy.chains(rows_of(left.itertuples(index=False)), True, barred) for k, x in enumerate(c)] if len(left) else []
         return pd.DataFrame(out, columns=["page_id", "item_id", "chain", "place"])
 
     a = items.select(*COLUMNS).groupBy("page_id")
@@ -76,11 +77,11 @@ def merged_lines(items: DataFrame, strict: bool = True, params: Params = DEFAULT
 def anchored_lines(lines: DataFrame, reach: int = 5) -> DataFrame:
     """page_id, orient, pos and anchor: positions merged with the first existing one within reach."""
 
-    def kernel(frame: pd.DataFrame) -> pd.DataFrame:
-        found = greedy.anchored([int(p) for p in frame.pos], reach)
-        return pd.DataFrame({"page_id": frame.page_id.iloc[0], "orient": frame.orient.iloc[0], "pos": list(found), "anchor": list(found.values())})
+    def kernel(rows: list) -> list[tuple]:
+        kinds = {o: greedy.anchored([int(r.pos) for r in rows if r.orient == o], reach) for o in ("h", "v")}
+        return [(rows[0].page_id, o, p, a) for o, found in kinds.items() for p, a in found.items()]
 
-    return lines.select("page_id", "orient", "pos").distinct().groupBy("page_id", "orient").applyInPandas(kernel, "page_id bigint, orient string, pos int, anchor int")
+    return by_page(lines.select("page_id", "orient", "pos").distinct(), kernel, "page_id bigint, orient string, pos int, anchor int")
 
 
 def split_across_cells(items: DataFrame, lines: DataFrame) -> DataFrame:
