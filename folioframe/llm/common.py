@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import prepare
+
 #: The white space that separates words everywhere in this subpackage (bytes.split() cuts at the same bytes).
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -24,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch; a smaller value that the user has set stays."""
+    """Bound the rows of an Arrow batch; a smaller value that the user has set stays. Workers are told where the package is."""
+    prepare(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))

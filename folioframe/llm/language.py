@@ -173,17 +173,19 @@ def remainder(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Model:
-    """Train on at most rows_per_language rows of each of the max_languages most frequent labels, outside the held-out part.
+    """Train on about rows_per_language rows of each of the max_languages most frequent labels, outside the held-out part.
 
-    Rows are drawn by a hash of the id and the text's length; only their features and labels reach the driver.
+    Rows are drawn by a hash of the id and the text's length; only their features and labels reach the driver, max_rows
+    at most. With many languages each gets its part of three quarters of max_rows.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(remainder(F.col("doc_id")), F.lit(0)) != 2))
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_languages).collect()
     if not counts:
         return Model([], {}, np.zeros((0, DIMS), np.float32), np.zeros(0, np.float32), {})
+    per_language = max(1, min(params.rows_per_language, params.max_rows * 3 // 4 // len(counts)))
     space = 1 << 30
     draw = F.pmod(F.xxhash64("doc_id", F.char_length("text")), F.lit(space))
-    limit = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(space, space * params.rows_per_language // r["count"] + 1))])
+    limit = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(space, space * per_language // r["count"] + 1))])
     drawn = labelled.filter(draw < F.coalesce(F.element_at(limit, F.col("lang")), F.lit(0))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
