@@ -43,7 +43,7 @@ ESTIMATE_CUT = 0.55
 #: Nodes of a band outside its largest component beyond which its nodes are compared by their rarest shingles.
 LARGE_BAND = 16
 #: Rounds in which the nodes of bands with several components are compared with the band's most central node.
-CENTRAL_ROUNDS = 2
+CENTRAL_ROUNDS = 1
 #: Minima of the finer signature that nodes of large bands get, and its cut: four standard deviations below the limit.
 FINE_HASHES = 2048
 FINE_CUT = 0.7
