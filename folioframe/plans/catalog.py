@@ -772,12 +772,12 @@ def split_across_cells(spark, sf):
 
 @query()
 def smart_cuts(spark, sf):
-    return tiling.axis_cuts(v.items(spark, sf).filter("item_id % 7 = 0"), v.page_ids(spark, sf), "x", PAGE_W, 400)
+    return tiling.axis_cuts(v.items(spark, sf), v.page_ids(spark, sf), "x", PAGE_W, 400)
 
 
 @query()
 def smart_tiles(spark, sf):
-    return tiling.smart_tiles(v.items(spark, sf).filter("item_id % 7 = 0"), v.page_ids(spark, sf), 1600, 1400, 640)
+    return tiling.smart_tiles(v.items(spark, sf), v.page_ids(spark, sf), 1600, 1400, 640)
 
 
 def _sized(spark, sf) -> DataFrame:
@@ -868,13 +868,13 @@ def intersection_grid(spark, sf):
 
 @query()
 def text_gap_cells(spark, sf):
-    return flows.text_gap_cells(v.items(spark, sf).filter("item_id % 6 = 0"), v.cells(spark, sf), PAGE_W, PAGE_H)
+    return flows.text_gap_cells(v.items(spark, sf), v.cells(spark, sf), PAGE_W, PAGE_H)
 
 
 @query()
 def cell_cascade(spark, sf):
     c = v.cells(spark, sf)
-    return flows.cell_cascade({"M": c.filter("morph"), "A": c.filter("NOT morph"), "B": c.filter("x1 < 300")}, v.items(spark, sf).filter("item_id % 10 = 0"))
+    return flows.cell_cascade({"M": c.filter("morph"), "A": c.filter("NOT morph"), "B": c.filter("x1 < 300")}, v.items(spark, sf))
 
 
 @query()
