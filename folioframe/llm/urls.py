@@ -47,7 +47,6 @@ class MiningParams:
     min_support: float = 0.002
     min_confidence: float = 0.8
     min_urls: int = 20
-    max_tokens: int = 12
 
 
 BAD = "label:bad"
@@ -78,15 +77,14 @@ def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) ->
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
-def tokens(url: Column, host: Column, path: Column, most: int) -> Column:
-    """The distinct tokens of a URL that can recur; numbers in paths stand for themselves only and are left out."""
+def tokens(url: Column, host: Column, path: Column) -> Column:
+    """All distinct tokens of a URL that can recur; numbers in paths stand for themselves only and are left out."""
     words = F.filter(F.split(F.lower(path), r"[^\p{L}\p{N}_-]+", -1), lambda w: (w != "") & ~w.rlike(r"^[0-9]+$"))
     names = F.regexp_extract_all(F.split_part(F.coalesce(url, F.lit("")), F.lit("#"), F.lit(1)), F.lit(r"[?&]([^=&#?]+)"), 1)
     parts = F.filter(F.split(host, r"\.", -1), lambda w: w != "")
-    every = F.array_distinct(
+    return F.array_distinct(
         F.concat(F.transform(parts, lambda w: F.concat(F.lit("h:"), w)), F.transform(words, lambda w: F.concat(F.lit("p:"), w)), F.transform(names, lambda w: F.concat(F.lit("q:"), w)))
     )
-    return F.slice(every, 1, most)
 
 
 def document_number(path: Column) -> Column:
@@ -99,7 +97,7 @@ def baskets(pages: DataFrame, labels: DataFrame, params: MiningParams) -> DataFr
     bad = F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int"))
     marks = labels.groupBy(F.col("doc_id").alias("__doc")).agg(bad.alias("bad"))
     host, path = host_and_path(F.col("url"))
-    numbered = pages.select(document_number(path).alias("__n"), tokens(F.col("url"), host, path, params.max_tokens).alias("items")).filter("__n IS NOT NULL")
+    numbered = pages.select(document_number(path).alias("__n"), tokens(F.col("url"), host, path).alias("items")).filter("__n IS NOT NULL")
     joined = numbered.join(marks, F.col("__n") == F.col("__doc"))
     return joined.select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
 
@@ -137,7 +135,7 @@ def judged(pages: DataFrame, rules: DataFrame, listed: tuple[Rule, ...] = RULES,
     host, path = host_and_path(F.col("url"))
     at = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     at = at.withColumn("__hit", matched_rule(F.col("host"), F.col("path"), listed))
-    tok = tokens(F.col("url"), F.col("host"), F.col("path"), params.max_tokens)
+    tok = tokens(F.col("url"), F.col("host"), F.col("path"))
     index = rules.select("rule_id", F.col("tokens").alias("__needs"), "key")
     met = (
         at.filter("__hit IS NULL").select("url", tok.alias("__tokens"))

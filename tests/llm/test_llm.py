@@ -453,6 +453,17 @@ def test_mined_rules_block(spark):
     assert urls.judged(none, urls.mined(urls.baskets(none, labels.limit(0), urls.MiningParams()))).count() == 0
 
 
+def test_the_last_tokens_of_a_deep_url_count(spark):
+    deep = lambda k, last: f"http://a.b.example.org/xx/{k}/" + "/".join(f"w{k}x{i}" for i in range(14)) + f"/{last}"
+    rows = [(k, deep(k, ("fine", "tail")[k % 2]) + f"?{('a', 'b')[k % 2]}=1") for k in range(100)] + [(200, deep(200, "tail")), (201, deep(201, "fine") + "?b=1"), (202, deep(202, "fine"))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(100)], "doc_id bigint, quality int, toxic int")
+    rules = urls.mined(urls.baskets(pages, labels, urls.MiningParams()))
+    assert {tuple(r.tokens) for r in rules.collect()} == {("p:tail",), ("q:b",)}
+    got = {r.page_id: r.verdict for r in urls.judged(pages, rules).collect()}
+    assert all(got[k] == ("block" if k % 2 else "allow") for k in range(100)) and (got[200], got[201], got[202]) == ("block", "block", "allow")
+
+
 # -- op10 ----------------------------------------------------------------------------------------------------------
 
 CASES = ["", " ", "  ", "hello  world", " a\n\nb\t", "a　b", "ﬁ Å é", "▁x", "a ▁b", "\x00a", "</s>x<s> <unk> <0x41>", "😀 é", " " * 40 + "x" + " " * 19, "\n" * 30, "中文 mixed English", "a" * 300, "𓀀𓀁 x", LONG[:5000]]
