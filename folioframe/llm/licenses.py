@@ -8,7 +8,8 @@ and misses all bands with a probability below 0.6 ** BANDS = 5e-8. Only DataFram
 Windows are cut only in texts that hold some template's shingle at all, which loses nothing: containment needs one.
 
 Defined results: a null, empty or blank text, and one of fewer than five words, has no shingle and meets no template;
-repeated rows of an id give one row per template; an empty table gives an empty result; the best window of a document
+repeated rows of an id give one row per template; a template of any length is looked for, but one of fewer than five
+words is an error; an empty table gives an empty result; the best window of a document
 and template counts, the first of equals.
 """
 
@@ -24,7 +25,7 @@ from .common import durable, let, spread, table, words
 SHINGLE = 5
 BANDS = 32
 CONTAINED = 0.75
-#: The longest window, in words, of each class; templates are put into the first class that holds them.
+#: The longest template, in words, of each class; longer templates have classes of twice the size, and so on. Templates are put into the first class that holds them.
 CLASSES = (8, 16, 32, 64, 128, 256)
 
 
@@ -76,23 +77,26 @@ def minhash(hashes: Column, j: Column) -> Column:
 
 def class_of(n_words: Column) -> Column:
     out = F.lit(None).cast("int")
-    for size in reversed(CLASSES):
+    for size in reversed([*CLASSES, *(CLASSES[-1] << k for k in range(1, 22))]):
         out = F.when(n_words <= size, F.lit(size)).otherwise(out)
     return out
 
 
 def template_table(spark, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """license_id, class and the distinct shingles of every template that has one and fits a class."""
+    """license_id, class and the distinct shingles of every template; one of fewer than five words is an error."""
     raw = spark.createDataFrame([(t.license_id, t.text) for t in templates], "license_id string, template string")
     ws = words(normal(F.col("template")))
     rows = raw.select("license_id", let(ws, lambda w: F.struct(class_of(F.size(w)).alias("class"), F.array_distinct(shingles(w)).alias("sh"))).alias("x"))
-    return rows.select("license_id", "x.class", F.col("x.sh").alias("t_sh")).filter(F.col("class").isNotNull() & (F.size("t_sh") > 0))
+    return rows.select("license_id", "x.class", F.col("x.sh").alias("t_sh"))
 
 
 def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """doc_id, license_id, n_windows, containment, first_word of every document and template that it states."""
     spark = docs.sparkSession
     found = template_table(spark, templates).collect()  # a list of fixed size
+    short = [r["license_id"] for r in found if not r["t_sh"]]
+    if short:
+        raise ValueError(f"templates of fewer than {SHINGLE} words: {', '.join(map(str, short))}")
     if not found:
         return spark.createDataFrame([], "doc_id bigint, license_id string, n_windows bigint, containment double, first_word bigint")
     vocabulary = F.array(*[F.lit(h) for h in sorted({h for r in found for h in r["t_sh"]})])

@@ -348,6 +348,16 @@ def test_licenses_odd_rows(spark, odd):
     assert licenses.scanned(odd).count() == 0 and licenses.scanned(odd.limit(0)).count() == 0
 
 
+def test_long_and_short_templates(spark):
+    full = " ".join(f"l{i}" for i in range(3000))
+    some = (licenses.Template("full", full), licenses.Template("medium", " ".join(f"m{i}" for i in range(257))), licenses.TEMPLATES[1])
+    fill = " ".join(f"f{i}" for i in range(500))
+    docs = spark.createDataFrame([(1, f"{fill} {full} {fill}"), (2, f"{fill} {some[1].text} {fill} {some[2].text}"), (3, fill)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.license_id, r.containment) for r in licenses.scanned(docs, some).collect()} == {(1, "full", 1.0), (2, "medium", 1.0), (2, "MIT", 1.0)}
+    with pytest.raises(ValueError, match="fewer than 5 words: tiny"):
+        licenses.scanned(docs, (*some, licenses.Template("tiny", "MIT License")))
+
+
 # -- op8 -----------------------------------------------------------------------------------------------------------
 
 
