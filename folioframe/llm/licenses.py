@@ -1,11 +1,10 @@
-"""License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment confirms them.
+"""License scans: shingles that texts share with templates, and exact containment over overlapping text windows.
 
 Templates of similar length share a window class: windows of a quarter more words than the class's longest template,
-a new one every quarter, so every occurrence lies whole in some window. Each window has one band of one row for each
-of BANDS hash functions. A window that holds CONTAINED of a template's shingles has a similarity of at least 0.4 with it
-and misses all bands with a probability below 0.6 ** BANDS = 5e-8. Only DataFrame functions are used.
-
-Windows are cut only in texts that hold some template's shingle at all, which loses nothing: containment needs one.
+a new one every quarter, so every occurrence lies whole in some window. Shingles are joined with those of the templates
+by equality, and each that meets one is dealt to the windows that hold it: a window's containment is a count, and no
+window that holds CONTAINED of a template is missed, however few shingles the template has. Only DataFrame functions
+are used.
 
 Defined results: a null, empty or blank text, and one of fewer than five words, has no shingle and meets no template;
 repeated rows of an id give one row per template; a template of any length is looked for, but one of fewer than five
@@ -23,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import durable, let, spread, table, words
 
 SHINGLE = 5
-BANDS = 32
 CONTAINED = 0.75
 #: The longest template, in words, of each class; longer templates have classes of twice the size, and so on. Templates are put into the first class that holds them.
 CLASSES = (8, 16, 32, 64, 128, 256)
@@ -70,11 +68,6 @@ def shingles(ws: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def minhash(hashes: Column, j: Column) -> Column:
-    """The smallest value of hash function j over the shingles."""
-    return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, j)))
-
-
 def class_of(n_words: Column) -> Column:
     out = F.lit(None).cast("int")
     for size in reversed([*CLASSES, *(CLASSES[-1] << k for k in range(1, 22))]):
@@ -99,23 +92,17 @@ def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Dat
         raise ValueError(f"templates of fewer than {SHINGLE} words: {', '.join(map(str, short))}")
     if not found:
         return spark.createDataFrame([], "doc_id bigint, license_id string, n_windows bigint, containment double, first_word bigint")
-    vocabulary = F.array(*[F.lit(h) for h in sorted({h for r in found for h in r["t_sh"]})])
-    held = docs.select("doc_id", let(words(normal(F.col("text"))), shingles).alias("sh")).filter(F.arrays_overlap("sh", vocabulary))
-    cut = None
-    for size in sorted({r["class"] for r in found}):
-        step = max(1, size // 4)
-        width = size + step - SHINGLE + 1  # shingles of a window
-        starts = F.sequence(F.lit(0), F.greatest(F.size("sh") - 1, F.lit(0)), F.lit(step))
-        part = held.select("doc_id", F.lit(size).alias("class"), "sh", F.explode(starts).alias("start"))
-        part = part.select("doc_id", "class", "start", F.slice("sh", F.col("start") + 1, F.lit(width)).alias("w_sh")).filter(F.arrays_overlap("w_sh", vocabulary))
-        cut = part if cut is None else cut.unionByName(part)
-    windows = durable(cut)
-    functions = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
-    rows = windows.select("doc_id", "class", "start", "w_sh", functions.alias("band")).withColumn("low", minhash(F.col("w_sh"), F.col("band")))
-    known = template_table(spark, templates).select("license_id", "class", "t_sh", functions.alias("band")).withColumn("low", minhash(F.col("t_sh"), F.col("band")))
-    met = rows.join(known.select("license_id", F.col("class").alias("__c"), F.col("band").alias("__b"), F.col("low").alias("__l"), "t_sh"), (F.col("class") == F.col("__c")) & (F.col("band") == F.col("__b")) & (F.col("low") == F.col("__l")))
-    share = F.size(F.array_intersect("w_sh", "t_sh")) / F.size("t_sh")
-    kept = met.select("doc_id", "license_id", "start", share.alias("containment")).filter(F.col("containment") >= CONTAINED)
+    known = template_table(spark, templates).select("license_id", "class", F.size("t_sh").alias("n"), F.explode("t_sh").alias("__h"))
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # beside the generator it would number shingles
+    held = numbered.select("doc_id", "row", F.posexplode(let(words(normal(F.col("text"))), shingles)).alias("at", "h"))
+    hits = durable(held.join(F.broadcast(known), F.col("h") == F.col("__h")).select("doc_id", "row", "license_id", "class", "n", "at", "h"))
+    step = F.greatest(F.lit(1), F.expr("class DIV 4"))
+    width = F.col("class") + F.col("step") - SHINGLE + 1  # shingles of a window
+    first = F.greatest(F.lit(0), F.ceil((F.col("at") - width + 1) / F.col("step"))).cast("int")
+    starts = F.transform(F.sequence(first, F.expr("at DIV step").cast("int")), lambda k: k * F.col("step"))
+    windows = hits.withColumn("step", step).select("doc_id", "row", "license_id", "n", "h", F.explode(starts).alias("start"))
+    held_of = windows.groupBy("doc_id", "row", "license_id", "n", "start").agg(F.count_distinct("h").alias("held"))
+    kept = held_of.select("doc_id", "license_id", "start", (F.col("held") / F.col("n")).alias("containment")).filter(F.col("containment") >= CONTAINED)
     best = kept.groupBy("doc_id", "license_id").agg(
         F.count_distinct("start").alias("n_windows"), F.max("containment").alias("containment"), F.min(F.struct(-F.col("containment"), F.col("start"))).alias("b")
     )

@@ -348,6 +348,14 @@ def test_licenses_odd_rows(spark, odd):
     assert licenses.scanned(odd).count() == 0 and licenses.scanned(odd.limit(0)).count() == 0
 
 
+def test_short_notices_are_found_in_any_surroundings(spark):
+    r = np.random.default_rng(11)
+    rows = [(k, " ".join(f"a{x}" for x in r.integers(0, 10**9, 40)) + " Licensed under CC BY-NC 4.0. " + " ".join(f"b{x}" for x in r.integers(0, 10**9, 40 + k % 3))) for k in range(6000)]
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    # the notice is one shingle, at place 40: of windows of six shingles that begin at even places, three hold it
+    assert len(got) == 6000 and {(r.license_id, r.n_windows, r.containment, r.first_word) for r in got.values()} == {("CC-BY-NC-4.0", 3, 1.0, 36)}
+
+
 def test_long_and_short_templates(spark):
     full = " ".join(f"l{i}" for i in range(3000))
     some = (licenses.Template("full", full), licenses.Template("medium", " ".join(f"m{i}" for i in range(257))), licenses.TEMPLATES[1])
