@@ -25,18 +25,21 @@ from .common import small_batches, spread, table
 
 #: Fixed values of the HTML standard: elements without end tag, with raw text, and those that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math canvas object audio video select button option".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = frozenset(
     "html head body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr legend li main menu nav ol p pre section summary table caption colgroup thead tbody tfoot tr td th ul frameset search".split()
 )
+#: Elements that are nodes too, but stand within a paragraph without ending it.
+PART = frozenset("audio button canvas datalist noscript object optgroup option select svg template video".split())
+NODES = BLOCK | PART
 #: Elements that a start tag closes when they are open within the same scope.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "thead": ("thead", "tbody", "tfoot", "tr", "td", "th"), "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tfoot", "tr", "td", "th"),
-    "option": ("option",), "body": ("head",),
+    "option": ("option",), "optgroup": ("option", "optgroup"), "body": ("head",),
 }
-SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
+SCOPES = {"option": ("select", "datalist", "optgroup"), "optgroup": ("select",), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
 
 #: Words of class, id and role attributes, by the kind of part that they name.
 KINDS = {
@@ -103,7 +106,7 @@ def parsed(html: str) -> list[Node]:
     def shut(k: int) -> None:
         """Close the open elements from k on."""
         nonlocal links
-        if any(t in BLOCK for t, _ in stack[k:]):
+        if any(t in NODES for t, _ in stack[k:]):
             flush()
         links -= sum(t == "a" for t, _ in stack[k:])
         del stack[k:]
@@ -133,16 +136,16 @@ def parsed(html: str) -> list[Node]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in BLOCK:
+            if tag in NODES:
                 flush()
             if tag == "br":
                 add(" ")
-            block = tag in BLOCK
+            block = tag in NODES
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     shut(k)
                     break
-                if not block and stack[k][0] in BLOCK:
+                if not block and stack[k][0] in NODES:
                     break
             continue
         if tag in RAW and not m[3].endswith("/"):
@@ -160,13 +163,15 @@ def parsed(html: str) -> list[Node]:
             else:
                 add(" " if tag == "br" else "")
             continue
-        if tag in BLOCK:
+        if tag in ("svg", "math") and m[3].endswith("/"):
+            continue
+        if tag in NODES:
             flush()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if tag in BLOCK else ():
                 if stack[k][0] == "p":  # a paragraph ends where a block begins
                     shut(k)
                     break
-                if stack[k][0] in BLOCK:
+                if stack[k][0] in NODES:
                     break
             if tag in CLOSES:
                 for k in range(len(stack) - 1, 0, -1):

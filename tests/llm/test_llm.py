@@ -413,6 +413,25 @@ def test_html_odd_rows(spark):
     assert html.main_texts(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "before",
+    ["<datalist><option value=a><option value=b></datalist>", "<select><option>a<option>b</select>", "<button>go", "<noscript>", "<object>", "<svg><path d='M0'/>", "<svg/>", "<template>", "<video><source src=x>"],
+)
+def test_unclosed_parts_lose_no_article(before):
+    got = html.model().main_text(f"<html><head><title>t</title></head><body><div>{before}</div>" + "<article><h1>Head line</h1><p>One sentence of the article, long enough to count.</p><p>Another one follows it.</p></article></body></html>")
+    assert got.endswith("Head line\n\nOne sentence of the article, long enough to count.\n\nAnother one follows it.")
+
+
+def test_parts_of_an_article_are_seen():
+    page = "<article><p>Let <math><mi>x</mi><mspace/></math> be a number of this kind.</p>{}<p>This sentence ends the article.</p></article>"
+    for tag in ("noscript", "object", "button", "template", "canvas"):
+        got = html.model().main_text(page.format(f"<{tag}>Words of a part.</{tag}>"))
+        assert got == "Let x be a number of this kind.\n\nWords of a part.\n\nThis sentence ends the article."
+    # in boilerplate they are boilerplate, and raw text is no text
+    page = "<nav><a href=x>a</a><button>Open the menu</button></nav><article><p>This sentence is the article.</p><script>var a = '</p>'</script></article>"
+    assert html.model().main_text(page) == "This sentence is the article."
+
+
 # -- op9 -----------------------------------------------------------------------------------------------------------
 
 
