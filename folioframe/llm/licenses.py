@@ -1,30 +1,37 @@
-"""License scans: shingles that texts share with templates, and exact containment over overlapping text windows.
-
-Templates of similar length share a window class: windows of a quarter more words than the class's longest template,
-a new one every quarter, so every occurrence lies whole in some window. Shingles are joined with those of the templates
-by equality, and each that meets one is dealt to the windows that hold it: a window's containment is a count, and no
-window that holds CONTAINED of a template is missed, however few shingles the template has. Only DataFrame functions
-are used.
-
-Defined results: a null, empty or blank text, and one of fewer than five words, has no shingle and meets no template;
-repeated rows of an id give one row per template; a template of any length is looked for, but one of fewer than five
-words is an error; an empty table gives an empty result; the best window of a document
-and template counts, the first of equals.
+"""License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
+
+A template with m runs of five words is looked for in windows of about m + m // 4 runs, a new one every m // 4, so every
+occurrence lies whole in some window. Window and template share a band if both minima of that band's two hash functions
+are equal. A window that holds CONTAINED of a template is similar to it to a known degree (one half at least, whatever the
+template's length, unless the template repeats itself), and as many bands are taken as leave a chance of MISS to share none.
+
+A minimum can be equal only where the window holds the template's minimal shingle. So minima are not taken of all windows:
+shingles meet the templates' minima by equality, and the windows around such a place are those whose bands are computed.
+What shares a band goes on to the exact count of shingles. Only DataFrame functions are used.
+
+Defined results: every row of the input has its own results, one row per template that it states, so repeated rows and
+null ids give repeated rows and rows with a null id; a null, empty or blank text, and one of fewer than five words, has no
+shingle and meets no template; a template of any length is looked for, but one of fewer than five words is an error; an
+empty table gives an empty result; the best window counts, the first of equals; columns but doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, let, spread, table, words
+from .common import let, spread, table, words
 
 SHINGLE = 5
 CONTAINED = 0.75
-#: The longest template, in words, of each class; longer templates have classes of twice the size, and so on. Templates are put into the first class that holds them.
-CLASSES = (8, 16, 32, 64, 128, 256)
+#: Hash functions in a band, and the chance that a window that holds CONTAINED of a template shares no band with it.
+BAND_ROWS = 2
+MISS = 1e-9
+#: Rows of the templates' tables up to which they are handed to every executor.
+SMALL_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -68,70 +75,106 @@ def shingles(ws: Column) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def class_of(n_words: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for size in reversed([*CLASSES, *(CLASSES[-1] << k for k in range(1, 22))]):
-        out = F.when(n_words <= size, F.lit(size)).otherwise(out)
-    return out
+def bands_for(shingles: int, width: int) -> int:
+    """Bands that leave a chance of MISS, for a template of so many distinct shingles in windows of so many runs."""
+    held = math.ceil(CONTAINED * shingles)
+    similarity = held / (width + shingles - held)
+    return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log(1 - similarity**BAND_ROWS))
 
 
 def template_table(spark, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """license_id, class and the distinct shingles of every template; one of fewer than five words is an error."""
+    """license_id, n (distinct shingles), step and width (runs of a window) and the shingles t_sh; a template of fewer than five words is an error."""
+    schema = "license_id string, n int, step int, width int, bands int, t_sh array<bigint>"
     raw = spark.createDataFrame([(t.license_id, t.text) for t in templates], "license_id string, template string")
-    ws = words(normal(F.col("template")))
-    rows = raw.select("license_id", let(ws, lambda w: F.struct(class_of(F.size(w)).alias("class"), F.array_distinct(shingles(w)).alias("sh"))).alias("x"))
-    return rows.select("license_id", "x.class", F.col("x.sh").alias("t_sh"))
+    runs = raw.select("license_id", shingles_of(F.col("template")).alias("runs"))
+    rows = runs.select("license_id", F.size("runs").alias("runs"), F.array_distinct("runs").alias("t_sh")).collect()  # the list of templates, as given
+    short = [r["license_id"] for r in rows if not r["runs"]]
+    if short:
+        raise ValueError(f"templates of fewer than {SHINGLE} words: {', '.join(map(str, short))}")
+    made = []
+    for r in rows:
+        step = max(1, r["runs"] // 4)
+        width = r["runs"] + step - 1
+        made.append((r["license_id"], len(r["t_sh"]), step, width, bands_for(len(r["t_sh"]), width), r["t_sh"]))
+    return spark.createDataFrame(made, schema)
+
+
+def band_minima(table: DataFrame) -> DataFrame:
+    """first, license_id, step, width and bands: for each shingle that is the first minimum of some of a template's bands, those bands with both minima."""
+
+    def least(k: Column) -> Column:
+        return F.array_min(F.transform("t_sh", lambda x: F.struct(F.xxhash64(x, k).alias("v"), x.alias("sh"))))
+
+    each = table.select("license_id", "step", "width", "t_sh", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band"))
+    two = each.select("license_id", "step", "width", "band", least(2 * F.col("band")).alias("a"), least(2 * F.col("band") + 1).alias("b"))
+    band = F.struct("band", F.col("a.v").alias("v"), F.col("b.v").alias("w"))
+    return two.groupBy(F.col("a.sh").alias("first"), "license_id", "step", "width").agg(F.array_sort(F.collect_list(band)).alias("bands"))
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast a table whose rows have been counted."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
 def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """doc_id, license_id, n_windows, containment, first_word of every document and template that it states."""
+    """doc_id, license_id, n_windows, containment, first_word of every row and template that it states."""
     spark = docs.sparkSession
-    found = template_table(spark, templates).collect()  # a list of fixed size
-    short = [r["license_id"] for r in found if not r["t_sh"]]
-    if short:
-        raise ValueError(f"templates of fewer than {SHINGLE} words: {', '.join(map(str, short))}")
-    if not found:
+    if not templates:
         return spark.createDataFrame([], "doc_id bigint, license_id string, n_windows bigint, containment double, first_word bigint")
-    known = template_table(spark, templates).select("license_id", "class", F.size("t_sh").alias("n"), F.explode("t_sh").alias("__h"))
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # beside the generator it would number shingles
-    held = numbered.select("doc_id", "row", F.posexplode(let(words(normal(F.col("text"))), shingles)).alias("at", "h"))
-    hits = durable(held.join(F.broadcast(known), F.col("h") == F.col("__h")).select("doc_id", "row", "license_id", "class", "n", "at", "h"))
-    step = F.greatest(F.lit(1), F.expr("class DIV 4"))
-    width = F.col("class") + F.col("step") - SHINGLE + 1  # shingles of a window
-    first = F.greatest(F.lit(0), F.ceil((F.col("at") - width + 1) / F.col("step"))).cast("int")
-    starts = F.transform(F.sequence(first, F.expr("at DIV step").cast("int")), lambda k: k * F.col("step"))
-    windows = hits.withColumn("step", step).select("doc_id", "row", "license_id", "n", "h", F.explode(starts).alias("start"))
-    held_of = windows.groupBy("doc_id", "row", "license_id", "n", "start").agg(F.count_distinct("h").alias("held"))
-    kept = held_of.select("doc_id", "license_id", "start", (F.col("held") / F.col("n")).alias("containment")).filter(F.col("containment") >= CONTAINED)
-    best = kept.groupBy("doc_id", "license_id").agg(
+    known = template_table(spark, templates)
+    held = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), shingles_of(F.col("text")).alias("sh"))
+    at = held.select("doc_id", "row", "sh", F.posexplode("sh").alias("at", "h"))
+    # Around a place where a band's first minimum stands, the runs of every window that holds it.
+    near = at.join(small(band_minima(known)), F.col("h") == F.col("first")).select(
+        "doc_id", "row", "license_id", "step", "width", "bands", "at", F.greatest(F.lit(0), F.col("at") - F.col("width") + 1).alias("from"), F.col("sh")
+    ).withColumn("runs", F.slice("sh", F.col("from") + 1, F.col("at") - F.col("from") + F.col("width"))).drop("sh")
+    first = F.ceil(F.col("from") / F.col("step")).cast("int")
+    starts = F.transform(F.sequence(first, F.floor(F.col("at") / F.col("step")).cast("int")), lambda k: k * F.col("step"))
+    windows = near.filter(first * F.col("step") <= F.col("at")).select("doc_id", "row", "license_id", "bands", "width", "runs", "from", F.explode(starts).alias("start"))
+    windows = windows.withColumn("runs", F.slice("runs", F.col("start") - F.col("from") + 1, F.col("width")))
+
+    def lowest(k: Column) -> Column:
+        return F.array_min(F.transform("runs", lambda x: F.xxhash64(x, k)))
+
+    shares = F.exists("bands", lambda b: (lowest(2 * b["band"]) == b["v"]) & (lowest(2 * b["band"] + 1) == b["w"]))
+    met = windows.filter(shares).select("doc_id", "row", "license_id", "start", "runs").join(
+        small(known.select(F.col("license_id").alias("__l"), "n", "t_sh")), F.col("license_id") == F.col("__l")
+    )
+    counted = met.select("doc_id", "row", "license_id", "start", (F.size(F.array_intersect("runs", "t_sh")) / F.col("n")).alias("containment"))
+    kept = counted.filter(F.col("containment") >= CONTAINED)
+    best = kept.groupBy("doc_id", "row", "license_id").agg(
         F.count_distinct("start").alias("n_windows"), F.max("containment").alias("containment"), F.min(F.struct(-F.col("containment"), F.col("start"))).alias("b")
     )
     return best.select("doc_id", "license_id", "n_windows", "containment", F.col("b.start").cast("bigint").alias("first_word"))
 
 
+def shingles_of(text: Column) -> Column:
+    """The runs of a text, in order."""
+    return let(words(normal(text)), shingles)
+
+
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
     """Every document and license that it states."""
     return scanned(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def _oracle() -> str:
-    """Every document against every template, without windows: the same windows, compared in full."""
+    """Every template against the same windows, compared in full and without bands."""
     values = ", ".join("('{}', '{}')".format(t.license_id, t.text.replace("'", "''")) for t in TEMPLATES)
     norm = r"list_filter(string_split_regex(regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}\s.-]+|\.(\s|$)', ' ', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
-    classes = " ".join(f"WHEN len(ws) <= {c} THEN {c}" for c in CLASSES)
     return f"""
 WITH t0 AS (SELECT * FROM (VALUES {values}) v(license_id, template)),
 t1 AS (SELECT license_id, {norm.format("template")} AS ws FROM t0),
-t AS (SELECT license_id, CASE {classes} END AS class, list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i+4], ' '))) AS t_sh FROM t1 WHERE len(ws) >= 5),
-d AS (SELECT doc_id, {norm.format("text")} AS ws FROM documents),
-s AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 4)) AS i, ws FROM d WHERE len(ws) >= 5),
-g AS (SELECT doc_id, i - 1 AS p, array_to_string(ws[i:i+4], ' ') AS g FROM s),
-u AS (SELECT license_id, class, len(t_sh) AS n, unnest(t_sh) AS g FROM t),
-h AS (SELECT DISTINCT doc_id, p, license_id, class, n, u.g FROM g JOIN u ON g.g = u.g),
-w AS (SELECT doc_id, license_id, n, g, unnest(generate_series(0, p // greatest(1, class // 4))) * greatest(1, class // 4) AS start, p, class FROM h),
-c AS (SELECT doc_id, license_id, start, count(DISTINCT g) / any_value(n) AS containment FROM w WHERE p >= start AND p < start + class + greatest(1, class // 4) - 4 GROUP BY 1, 2, 3),
+t AS (SELECT license_id, len(ws) - 4 + greatest(1, (len(ws) - 4) // 4) - 1 AS width, greatest(1, (len(ws) - 4) // 4) AS step, list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i+4], ' '))) AS t_sh FROM t1 WHERE len(ws) >= 5),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {norm.format("text")} AS ws FROM documents),
+s AS (SELECT rid, doc_id, unnest(generate_series(1, len(ws) - 4)) AS i, ws FROM d WHERE len(ws) >= 5),
+g AS (SELECT rid, doc_id, i - 1 AS p, array_to_string(ws[i:i+4], ' ') AS g FROM s),
+u AS (SELECT license_id, width, step, len(t_sh) AS n, unnest(t_sh) AS g FROM t),
+h AS (SELECT DISTINCT rid, doc_id, p, license_id, width, step, n, u.g FROM g JOIN u ON g.g = u.g),
+w AS (SELECT rid, doc_id, license_id, n, g, unnest(generate_series(0, p // step)) * step AS start, p, width FROM h),
+c AS (SELECT rid, doc_id, license_id, start, count(DISTINCT g) / any_value(n) AS containment FROM w WHERE p >= start AND p < start + width GROUP BY 1, 2, 3, 4),
 k AS (SELECT * FROM c WHERE containment >= 0.75)
-SELECT doc_id, license_id, count(*) AS n_windows, max(containment) AS containment, CAST(arg_min(start, (-containment, start)) AS BIGINT) AS first_word FROM k GROUP BY 1, 2
+SELECT doc_id, license_id, count(*) AS n_windows, max(containment) AS containment, CAST(arg_min(start, (-containment, start)) AS BIGINT) AS first_word FROM k GROUP BY rid, 1, 2
 """
 
 
