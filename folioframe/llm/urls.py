@@ -1,13 +1,15 @@
 """URL filters: host and path rules first, association rules mined by FP-growth for the rest. DataFrame functions only.
 
-URLs of labelled documents are baskets of tokens (host labels, path words, extension, query names) with one item more
-where the document is bad. FP-growth gives the frequent baskets; rules whose consequence is that item are kept if their
-confidence and support suffice and no part of them is as confident. Rules are indexed by their rarest token, which a
-URL must contain; what the index finds is checked in full.
+URLs of labelled documents are baskets of tokens (words of host labels and of the path, extension, query names) with one
+item more where the document is bad. FP-growth gives the frequent baskets; rules whose consequence is that item are kept
+if enough bad URLs support them, if they are min_lift times as confident as the share of bad URLs among all labelled
+ones, and if no part of them is as confident. Rules are indexed by their rarest token, which a URL must contain; what the
+index finds is checked in full. The index is a map inside each row's expression, so no page is shuffled; beyond INDEX_RULES
+rules it is a table that distinct URLs are joined with.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, meets no rule and is allowed; repeated
-rows get equal results; without labels nothing is mined and what no rule meets is allowed; an empty table gives an
-empty result.
+rows get equal results, null ids too; a URL of any length takes part with all its tokens; without labels nothing is mined
+and what no rule meets is allowed; an empty table gives an empty result; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import durable, table
 
@@ -42,14 +45,16 @@ RULES = (
 
 @dataclass(frozen=True)
 class MiningParams:
-    """Support counts as a share of the labelled URLs; a rule needs both limits."""
+    """Support counts as a share of the labelled URLs, confidence against the share of bad ones; a rule needs all limits."""
 
     min_support: float = 0.002
-    min_confidence: float = 0.8
+    min_lift: float = 2.0
     min_urls: int = 20
 
 
 BAD = "label:bad"
+#: Rules up to which the index is a map in the rows' expression; a look-up passes over its keys.
+INDEX_RULES = 512
 
 
 def ascii_lower(c: Column) -> Column:
@@ -79,9 +84,9 @@ def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) ->
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
     """All distinct tokens of a URL that can recur; numbers in paths stand for themselves only and are left out."""
-    words = F.filter(F.split(F.lower(path), r"[^\p{L}\p{N}_-]+", -1), lambda w: (w != "") & ~w.rlike(r"^[0-9]+$"))
+    words = F.filter(F.split(F.lower(path), r"[^\p{L}\p{N}_]+", -1), lambda w: (w != "") & ~w.rlike(r"^[0-9]+$"))
     names = F.regexp_extract_all(F.split_part(F.coalesce(url, F.lit("")), F.lit("#"), F.lit(1)), F.lit(r"[?&]([^=&#?]+)"), 1)
-    parts = F.filter(F.split(host, r"\.", -1), lambda w: w != "")
+    parts = F.filter(F.split(host, r"[.-]", -1), lambda w: w != "")
     return F.array_distinct(
         F.concat(F.transform(parts, lambda w: F.concat(F.lit("h:"), w)), F.transform(words, lambda w: F.concat(F.lit("p:"), w)), F.transform(names, lambda w: F.concat(F.lit("q:"), w)))
     )
@@ -104,15 +109,17 @@ def baskets(pages: DataFrame, labels: DataFrame, params: MiningParams) -> DataFr
 
 def mined(items: DataFrame, params: MiningParams = MiningParams()) -> DataFrame:
     """rule_id, tokens, key (the rarest token) and confidence of the rules that survive; ``items`` should be durable."""
-    total = items.count()
     spark = items.sparkSession
-    if not total:
+    total, bad = items.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", BAD))).first()
+    if not bad:
         return spark.createDataFrame([], "rule_id bigint, tokens array<string>, key string, confidence double")
     support = max(params.min_support, min(1.0, params.min_urls / total))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=params.min_confidence).fit(items)
+    # With every other URL bad no rule can be twice as confident: one that is never wrong is asked for then.
+    confident = min(1.0, params.min_lift * bad / total)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confident).fit(items)
     rules = (
         model.associationRules.filter(F.array_contains("consequent", BAD))
-        .filter(F.col("support") * total >= params.min_urls)
+        .filter(F.round(F.col("support") * total) >= params.min_urls)
         .select(F.array_sort("antecedent").alias("tokens"), "confidence")
     )
     rules = durable(rules.withColumn("rule_id", F.xxhash64("tokens")))
@@ -130,22 +137,38 @@ def mined(items: DataFrame, params: MiningParams = MiningParams()) -> DataFrame:
     )
 
 
-def judged(pages: DataFrame, rules: DataFrame, listed: tuple[Rule, ...] = RULES, params: MiningParams = MiningParams()) -> DataFrame:
-    """page_id, url, host, path, rule, n_mined and verdict of every row of page_id and url."""
-    host, path = host_and_path(F.col("url"))
-    at = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    at = at.withColumn("__hit", matched_rule(F.col("host"), F.col("path"), listed))
-    tok = tokens(F.col("url"), F.col("host"), F.col("path"))
+def by_map(at: DataFrame, rules: DataFrame) -> DataFrame:
+    """Append n_mined by looking every token up in a map of the rules, which stands in the plan once."""
+    entry = F.struct("key", F.collect_list("tokens").over(Window.partitionBy("key")).alias("rules")).alias("e")
+    index = rules.select(entry).distinct().agg(F.map_from_entries(F.collect_list("e")).alias("m"))
+    none = F.array().cast("array<array<string>>")
+    found = F.flatten(F.transform("__tokens", lambda t: F.coalesce(F.element_at("__index", t), none)))
+    whole = F.filter(found, lambda r: F.size(F.array_except(r, F.col("__tokens"))) == 0)
+    return at.withColumn("__index", index.scalar()).withColumn("n_mined", F.size(whole).cast("bigint")).drop("__index")
+
+
+def by_join(at: DataFrame, rules: DataFrame) -> DataFrame:
+    """The same with the index as a table: distinct URLs meet it, and come back to their pages."""
     index = rules.select("rule_id", F.col("tokens").alias("__needs"), "key")
     met = (
-        at.filter("__hit IS NULL").select("url", tok.alias("__tokens"))
+        at.select("url", "__tokens")
+        .dropDuplicates(["url"])
         .withColumn("key", F.explode("__tokens"))
         .join(index, "key")
         .filter(F.size(F.array_except("__needs", "__tokens")) == 0)
         .groupBy(F.col("url").alias("__url"))
         .agg(F.count_distinct("rule_id").alias("n_mined"))
     )
-    out = at.join(met, F.col("url") == F.col("__url"), "left").withColumn("n_mined", F.coalesce("n_mined", F.lit(0)))
+    return at.join(met, F.col("url") == F.col("__url"), "left").withColumn("n_mined", F.coalesce("n_mined", F.lit(0))).drop("__url")
+
+
+def judged(pages: DataFrame, rules: DataFrame, listed: tuple[Rule, ...] = RULES) -> DataFrame:
+    """page_id, host, path, rule, n_mined and verdict of every row of page_id and url; ``rules`` should be durable."""
+    host, path = host_and_path(F.col("url"))
+    at = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    at = at.withColumn("__hit", matched_rule(F.col("host"), F.col("path"), listed)).withColumn("__tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
+    n = rules.count()
+    out = at.withColumn("n_mined", F.lit(0).cast("bigint")) if not n else by_map(at, rules) if n <= INDEX_RULES else by_join(at, rules)
     verdict = F.coalesce(F.col("__hit.verdict"), F.when(F.col("n_mined") > 0, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", F.col("__hit.rule").alias("rule"), F.when(F.col("__hit").isNull(), F.col("n_mined")).otherwise(F.lit(0)).alias("n_mined"), verdict.alias("verdict"))
 
@@ -166,14 +189,14 @@ WITH a AS (SELECT row_number() OVER () AS rid, page_id, url, CASE WHEN position(
 h AS (SELECT rid, page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 l AS (SELECT * FROM (VALUES {listed}) v(r_host, r_path, r_verdict)),
 m AS (SELECT rid, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(r_verdict, length(r_host || r_path)) AS r_verdict FROM h JOIN l ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY rid),
-t AS (SELECT rid, page_id, host, path, list_distinct(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x)
-        || list_transform(list_filter(string_split_regex(lower(path), '[^\p{{L}}\p{{N}}_-]+'), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]+$')), lambda x: 'p:' || x)
+t AS (SELECT rid, page_id, host, path, list_distinct(list_transform(list_filter(string_split_regex(host, '[.-]'), lambda x: x <> ''), lambda x: 'h:' || x)
+        || list_transform(list_filter(string_split_regex(lower(path), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '' AND NOT regexp_matches(x, '^[0-9]+$')), lambda x: 'p:' || x)
         || list_transform(regexp_extract_all(split_part(coalesce(url, ''), '#', 1), '[?&]([^=&#?]+)', 1), lambda x: 'q:' || x)) AS tok,
         TRY_CAST(nullif(regexp_extract(path, '^/[^/]+/([0-9]{{1,18}})(?:[./]|$)', 1), '') AS BIGINT) AS n FROM h),
 k AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 b AS (SELECT tok, bad FROM t JOIN k ON n = doc_id),
 e AS (SELECT bad, list_sort(list_filter(tok, lambda x, i: (mask >> (i - 1)) & 1 = 1)) AS s FROM (SELECT tok, bad, unnest(generate_series(1, CAST(pow(2, len(tok)) AS BIGINT) - 1)) AS mask FROM b)),
-c AS (SELECT s, sum(bad) AS bad, sum(bad) / count(*) AS conf FROM e GROUP BY s HAVING sum(bad) / count(*) >= {p.min_confidence} AND sum(bad) >= {p.min_urls} AND sum(bad) >= {p.min_support} * (SELECT count(*) FROM b)),
+c AS (SELECT s, sum(bad) AS bad, sum(bad) / count(*) AS conf FROM e GROUP BY s HAVING sum(bad) / count(*) >= least(1, {p.min_lift} * (SELECT avg(bad) FROM b)) AND sum(bad) >= {p.min_urls} AND sum(bad) >= {p.min_support} * (SELECT count(*) FROM b)),
 r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE len(o.s) < len(c.s) AND list_has_all(c.s, o.s) AND o.conf >= c.conf)),
 x AS (SELECT rid, count(*) AS n_mined FROM t JOIN r ON list_has_all(t.tok, r.s) GROUP BY rid)
 SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN coalesce(n_mined, 0) ELSE 0 END AS n_mined, coalesce(r_verdict, CASE WHEN n_mined > 0 THEN 'block' ELSE 'allow' END) AS verdict

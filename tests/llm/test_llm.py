@@ -509,7 +509,8 @@ def test_mined_rules_by_brute_force(spark):
         tokens = {f"h:{r.integers(0, 6)}", f"p:{r.integers(0, 4)}", f"q:{r.integers(0, 3)}"}
         bad = {"h:1", "p:2"} <= tokens or "h:5" in tokens or r.random() < 0.1
         rows.append((sorted(tokens) + [urls.BAD] * bad,))
-    params = urls.MiningParams(min_urls=5, min_confidence=0.7)
+    limit = 2 * sum(urls.BAD in items for (items,) in rows) / len(rows)
+    params = urls.MiningParams(min_urls=5)
     got = {tuple(x.tokens): round(x.confidence, 9) for x in urls.mined(spark.createDataFrame(rows, "items array<string>"), params).collect()}
     count, bad = Counter(), Counter()
     for (items,) in rows:
@@ -518,7 +519,7 @@ def test_mined_rules_by_brute_force(spark):
             s = tuple(sorted(x for k, x in enumerate(plain) if mask >> k & 1))
             count[s] += 1
             bad[s] += urls.BAD in items
-    rules = {s: bad[s] / count[s] for s in count if bad[s] >= 5 and bad[s] / count[s] >= 0.7}
+    rules = {s: bad[s] / count[s] for s in count if bad[s] >= 5 and bad[s] / count[s] >= limit}
     want = {s: round(c, 9) for s, c in rules.items() if not any(set(p) < set(s) and rules[p] >= c for p in rules)}
     assert got == want and got
 
@@ -533,6 +534,21 @@ def test_mined_rules_block(spark):
     assert urls.judged(none, urls.mined(urls.baskets(none, labels.limit(0), urls.MiningParams()))).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 512])
+def test_rules_decide_by_map_and_by_join(spark, monkeypatch, most):
+    """Words of host labels, of which bad ones are bad in four of five URLs, not in all."""
+    monkeypatch.setattr(urls, "INDEX_RULES", most)
+    host = lambda k: ("free-casino", "news-daily", "free-mail", "free-news")[k % 4]
+    pages = spark.createDataFrame([(k, f"http://www.{host(k)}.example.edu/xx/{k}", "c") for k in range(400)] + [(None, "http://my-casino.example.edu/" + "y/" * 3000 + "z", None), (None, None, None)], "page_id bigint, url string, host string")
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0 and k % 20 != 0)) for k in range(400)], "doc_id bigint, quality int, toxic int")
+    rules = urls.mined(urls.baskets(pages, labels, urls.MiningParams()))
+    assert {tuple(r.tokens) for r in rules.collect()} == {("h:casino",)}
+    got = urls.judged(pages, rules).collect()
+    assert len(got) == 402 and all((r.verdict == "block") == ("casino" in r.host) == (r.n_mined == 1) for r in got)
+    # without mined rules nothing of this is blocked
+    assert {r.verdict for r in urls.judged(pages, rules.limit(0)).collect()} == {"allow"}
+
+
 def test_the_last_tokens_of_a_deep_url_count(spark):
     deep = lambda k, last: f"http://a.b.example.org/xx/{k}/" + "/".join(f"w{k}x{i}" for i in range(14)) + f"/{last}"
     rows = [(k, deep(k, ("fine", "tail")[k % 2]) + f"?{('a', 'b')[k % 2]}=1") for k in range(100)] + [(200, deep(200, "tail")), (201, deep(201, "fine") + "?b=1"), (202, deep(202, "fine"))]
