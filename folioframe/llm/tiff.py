@@ -2,11 +2,14 @@
 
 The reader follows the chain of image directories of a classic TIFF of either byte order, decodes uncompressed,
 PackBits, LZW and deflate strips or tiles, undoes the horizontal and the floating-point predictor, and puts
-strips, tiles and planes together. The writer makes what the reader reads, for the round trip.
-
-Defined results: a null or empty value has no pages; a file that breaks off or claims more than its bytes can hold
-gives one row with ``error`` for the page that cannot be read, after the pages before it; a chain of directories
-that meets itself ends; repeated rows give repeated pages; other columns of the input are not carried along.
+strips, tiles and planes together. Samples have 1, 2, 4 (one to a byte in the result), 8, 16, 32 or 64 bits. The writer
+makes what the reader reads, for the round trip.
+
+Defined results: a null or empty value has no pages; a page that cannot be read, for its damage or for a form that is not
+among these, gives one row with ``error`` and its number, and the pages after it are read; a file that breaks off in a
+directory gives such a row in its place; a page that claims more than its bytes can hold is an error, whatever its size,
+and so is one beyond what a value of a row can hold; a chain of directories that meets itself ends; null keys and repeated
+rows give pages like any other; an empty table gives an empty result; columns of other names are not carried along.
 """
 
 from __future__ import annotations
@@ -33,13 +36,14 @@ TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4
 TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 LZW_CLEAR, LZW_END = 256, 257
-#: A page of more decoded bytes is refused, so a damaged header cannot exhaust a worker.
-MAX_PAGE_BYTES = 1 << 28
+#: Bytes that a compressed byte can make at most, by scheme, and the bytes that a value of a row can hold.
+EXPANDS = {NONE: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1033, OLD_DEFLATE: 1033}
+VALUE_BYTES = (1 << 31) - (1 << 16)
 
 #: How documents are stored: samples in a row (payloads are padded to it), rows in a strip, rows in a page.
 ROW_SAMPLES = 192
-STRIP_ROWS = 64
-PAGE_ROWS = 2048
+STRIP_ROWS = 16
+PAGE_ROWS = 64
 TILE = 64
 
 
@@ -236,11 +240,19 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
 
 def sample_type(order: str, bits: int, kind: int) -> np.dtype:
     letter = {1: "u", 2: "i", 3: "f"}.get(kind)
+    if bits in (1, 2, 4) and kind == 1:
+        return np.dtype("u1")
     if letter is None or bits not in (8, 16, 32, 64) or letter == "f" and bits < 16:
         raise TiffError(f"samples of {bits} bits, format {kind}")
     return np.dtype(f"{order}{letter}{bits // 8}")
 
 
+def unpacked(raw: bytes, rows: int, across: int, bits: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, rows of which begin at whole bytes, one to a byte."""
+    each = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1)[:, : across * bits].reshape(rows, across, bits)
+    return each @ (1 << np.arange(bits - 1, -1, -1)).astype(np.uint8)
+
+
 def unpredicted(block: np.ndarray, predictor: int, raw: bytes, dtype: np.dtype) -> np.ndarray:
     """Undo the predictor of a block of rows x columns x samples."""
     if predictor == 1:
@@ -266,8 +278,7 @@ def page_of(data: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
     if len(set(bits)) != 1:
         raise TiffError("samples of different widths")
     dtype = sample_type(order, bits[0], one(SAMPLE_FORMAT, 1))
-    if width * height * n * dtype.itemsize > MAX_PAGE_BYTES:
-        raise TiffError("a page too large")
+    whole = bits[0] >= 8
     scheme, predictor, separate = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1) == 2
     tiled = TILE_OFFSETS in f
     if tiled:
@@ -279,29 +290,56 @@ def page_of(data: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
     across, down, planes = -(-width // cols), -(-height // rows), n if separate else 1
     if min(len(offsets), len(counts)) < across * down * planes:
         raise TiffError("strips or tiles are missing")
-    out = np.zeros((height, width, n), dtype.newbyteorder("="))
     per = n // planes
+    row_bytes = cols * per * dtype.itemsize if whole else -(-cols * per * bits[0] // 8)
+    if max(width * height * n * dtype.itemsize, rows * row_bytes) > VALUE_BYTES:
+        raise TiffError("a page larger than a value can be")
+    if sum(min(c, len(data)) for c in counts[: across * down * planes]) * EXPANDS.get(scheme, 1) < width * height * n * bits[0] // 8:
+        raise TiffError("a page larger than its bytes can make")
+    if not whole and predictor != 1:
+        raise TiffError(f"predictor {predictor} of samples of {bits[0]} bits")
+    out = np.zeros((height, width, n), dtype.newbyteorder("="))
     for k in range(across * down * planes):
         plane, place = divmod(k, across * down)
         y, x = place // across * rows, place % across * cols
         tall = rows if tiled else min(rows, height - y)
-        raw = decompress(scheme, data[offsets[k] : offsets[k] + counts[k]], tall * cols * per * dtype.itemsize)
-        block = unpredicted(np.frombuffer(raw, dtype).reshape(tall, cols, per), predictor, raw, dtype)
+        raw = decompress(scheme, data[offsets[k] : offsets[k] + counts[k]], tall * row_bytes)
+        block = np.frombuffer(raw, dtype) if whole else unpacked(raw, tall, cols * per, bits[0])
+        block = unpredicted(block.reshape(tall, cols, per), predictor, raw, dtype)
         out[y : y + tall, x : x + cols, plane * per : (plane + 1) * per] = block[: height - y, : width - x]
     return Page(number, width, height, bits[0], n, scheme, predictor, tiled, out)
 
 
 def pages_of(data: bytes) -> Iterator[Page]:
-    """Every page of a file, in order."""
-    for number, (order, fields) in enumerate(directories(data)):
-        yield page_of(data, number, order, fields)
+    """Every page of a file, in order; the first that cannot be read raises."""
+    for found in pages_or_errors(data):
+        if isinstance(found, TiffError):
+            raise found
+        yield found
+
+
+def pages_or_errors(data: bytes) -> Iterator[Page | TiffError]:
+    """Every page of a file, in order, or why it cannot be read; a broken directory is the last."""
+    chain = enumerate(directories(data))
+    while True:
+        try:
+            number, (order, fields) = next(chain)
+        except StopIteration:
+            return
+        except TiffError as e:
+            yield e
+            return
+        try:
+            yield page_of(data, number, order, fields)
+        except TiffError as e:
+            yield e
 
 
 # -- writing -----------------------------------------------------------------------------------------------------
 
 
-def tiff_bytes(pages: list[np.ndarray], scheme: int, predictor: int = 1, tile: int = 0, strip_rows: int = STRIP_ROWS, order: str = "<") -> bytes:
-    """A file with one directory for each 8-bit page of rows x columns."""
+def tiff_bytes(pages: list[np.ndarray], scheme: int, predictor: int = 1, tile: int = 0, strip_rows: int = STRIP_ROWS, order: str = "<", bits: int = 8) -> bytes:
+    """A file with one directory for each page of rows x columns, whose samples have 8 bits or, without a predictor, 1, 2 or 4."""
     out = bytearray({"<": b"II", ">": b"MM"}[order] + struct.pack(order + "HI", 42, 0))
     link = 4
     for page in pages:
@@ -320,6 +358,8 @@ def tiff_bytes(pages: list[np.ndarray], scheme: int, predictor: int = 1, tile: i
         for block in blocks:
             if predictor == 2:
                 block = np.diff(block, axis=1, prepend=np.zeros((len(block), 1), np.uint8))
+            if bits < 8:
+                block = np.packbits((block[:, :, None] >> np.arange(bits - 1, -1, -1) & 1).astype(np.uint8).reshape(len(block), -1), axis=1)
             made = compress(scheme, block.tobytes())
             places.append(len(out))
             lengths.append(len(made))
@@ -337,7 +377,7 @@ def tiff_bytes(pages: list[np.ndarray], scheme: int, predictor: int = 1, tile: i
 
         short = lambda v: (3, 1, struct.pack(order + "HH", v, 0))
         long = lambda v: (4, 1, struct.pack(order + "I", v))
-        fields = {WIDTH: long(width), HEIGHT: long(height), BITS: short(8), COMPRESSION: short(scheme), PHOTOMETRIC: short(1), SAMPLES: short(1), PREDICTOR: short(predictor)}
+        fields = {WIDTH: long(width), HEIGHT: long(height), BITS: short(bits), COMPRESSION: short(scheme), PHOTOMETRIC: short(1), SAMPLES: short(1), PREDICTOR: short(predictor)}
         if tile:
             fields |= {TILE_WIDTH: long(tile), TILE_HEIGHT: long(tile), TILE_OFFSETS: listed(places), TILE_BYTES: listed(lengths)}
         else:
@@ -366,14 +406,9 @@ def tiff_pages(df: DataFrame, key: str, content: str) -> DataFrame:
         )
         for b in batches:
             for key_value, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows, n = [], 0
-                try:
-                    for p in pages_of(data) if data else ():
-                        rows.append((key_value, p.number, p.width, p.height, p.bits, p.samples_per_pixel, p.compression, p.predictor, p.tiled, p.samples.tobytes(), None))
-                        n += 1
-                except TiffError as e:
-                    rows.append((key_value, n, *[None] * 8, str(e)))
-                if rows:
+                for n, p in enumerate(pages_or_errors(data) if data else ()):
+                    row = (n, *[None] * 8, str(p)) if isinstance(p, TiffError) else (n, p.width, p.height, p.bits, p.samples_per_pixel, p.compression, p.predictor, p.tiled, p.samples.tobytes(), None)
+                    rows = [(key_value, *row)]  # a page at a time: pages may be large
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     small_batches(df.sparkSession)
@@ -383,7 +418,7 @@ def tiff_pages(df: DataFrame, key: str, content: str) -> DataFrame:
 def stored(payload: bytes) -> bytes:
     """The payload as a TIFF; its checksum picks compression, predictor and layout, so equal payloads are stored alike."""
     pick = zlib.crc32(payload)
-    scheme = (LZW, PACKBITS, DEFLATE, DEFLATE, DEFLATE, DEFLATE, DEFLATE, NONE)[pick & 7]
+    scheme = (LZW, PACKBITS, DEFLATE, NONE)[pick & 3]
     predictor = 2 if pick & 8 and scheme in (LZW, DEFLATE) else 1
     tile = TILE if pick & 0x30 == 0 else 0
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW_SAMPLES)

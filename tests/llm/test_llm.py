@@ -79,6 +79,40 @@ def test_tiff_rows(spark):
     assert sorted(got, key=str) == sorted([(1, 0, 3, True), (1, 1, 2, True), (1, 0, 3, True), (1, 1, 2, True), (4, 0, None, False)], key=str)
 
 
+@pytest.mark.parametrize("bits", [1, 2, 4])
+@pytest.mark.parametrize("scheme", [tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE])
+def test_samples_of_few_bits(bits, scheme):
+    page = np.random.default_rng(bits).integers(0, 1 << bits, (9, 21), dtype=np.uint8)
+    for tile in (0, 16):
+        (back,) = tiff.pages_of(tiff.tiff_bytes([page], scheme, tile=tile, strip_rows=4, bits=bits))
+        assert back.bits == bits and (back.samples[:, :, 0] == page).all()
+
+
+def test_pages_after_an_unreadable_one(spark):
+    page = np.arange(192 * 3, dtype=np.uint8).reshape(3, 192)
+    made = bytearray(tiff.tiff_bytes([page, page[:2], page[:1]], tiff.NONE))
+    at = [k for k in range(0, len(made) - 4) if made[k : k + 4] == b"\x03\x01\x03\x00"]  # entries of the compression tag
+    made[at[1] + 8 : at[1] + 10] = (7).to_bytes(2, "little")  # a scheme that is not read
+    df = spark.createDataFrame([(None, made, "x")], "id bigint, data binary, page string")
+    assert [(r.key, r.page, r.height, r.error) for r in tiff.tiff_pages(df, "id", "data").collect()] == [(None, 0, 3, None), (None, 1, None, "compression 7"), (None, 2, 1, None)]
+    huge = bytearray(tiff.tiff_bytes([page], tiff.DEFLATE))
+    at = next(k for k in range(len(huge)) if huge[k : k + 4] == b"\x01\x01\x04\x00")  # the height
+    huge[at + 8 : at + 12] = (1 << 20).to_bytes(4, "little")
+    with pytest.raises(tiff.TiffError):
+        list(tiff.pages_of(bytes(huge)))
+
+
+def test_all_forms_take_part_in_the_store():
+    forms = Counter()
+    for k in range(300):
+        payload, _ = tiff.payload_of("some words " * (k % 40) + str(k))
+        pages = list(tiff.pages_of(tiff.stored(payload)))
+        forms[pages[0].compression, pages[0].predictor, pages[0].tiled] += 1
+    payload, _ = tiff.payload_of("long text " * 4000)
+    assert len(list(tiff.pages_of(tiff.stored(payload)))) == 4
+    assert {c for c, _, _ in forms} == {tiff.LZW, tiff.PACKBITS, tiff.DEFLATE, tiff.NONE} and {p for _, p, _ in forms} == {1, 2} and {t for _, _, t in forms} == {True, False}
+
+
 def test_tiff_query_by_hand(spark, odd):
     got = tiff.through_tiff(odd).collect()
     texts = Counter((r.doc_id, r.text or "") for r in odd.collect())
