@@ -1,12 +1,13 @@
 """Host-level quality rules, DataFrame functions only.
 
 Row rules are computed inside each row. A host's failure rate is shrunk towards the corpus by a beta prior
-whose two parameters are fitted to the hosts by the method of moments, and the host's verdict is joined
-back to its documents.
+whose two parameters are fitted to the hosts by the method of moments. A host is rejected if its rate, less
+two standard deviations of its beta posterior, means odds of failure beyond max_host_odds times the corpus's; the
+verdict is joined back to the host's documents. Where all hosts fail alike, none is rejected, however high the rate.
 
 Defined results: a null text is an empty text (0 words, so it fails); a null host is a host of its own;
-repeated rows are judged and counted once each; an empty table gives an empty result; columns of the input
-stay, and a clashing name is replaced by this operator's column.
+repeated rows are judged and counted once each; texts of any length are read whole; an empty table gives an empty
+result; columns of the input stay, and a clashing name is replaced by this operator's column.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class QualityParams:
-    """Row limits, and the shrunk failure rate above which a whole host is rejected."""
+    """Row limits, and the odds of failure, in those of the corpus, beyond which a whole host is rejected."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     max_symbol_percent: int = 10
     max_dup_line_percent: int = 30
-    max_host_rate: float = 0.6
+    max_host_odds: float = 4.0
+    deviations: float = 2.0
     max_strength: float = 1e6
 
 
@@ -87,7 +89,7 @@ def row_rules(df: DataFrame, text: str = "text", params: QualityParams = Quality
 
 
 def host_verdicts(judged: DataFrame, host: str = "source", params: QualityParams = QualityParams()) -> DataFrame:
-    """host key, documents, failures and host_rejected for every host of a frame that has rule_failed.
+    """host key, documents, failures, host_rate (shrunk) and host_rejected for every host of a frame that has rule_failed.
 
     The prior needs five sums over hosts, the only values that reach the driver.
     """
@@ -97,7 +99,11 @@ def host_verdicts(judged: DataFrame, host: str = "source", params: QualityParams
     n, f = F.col("host_docs"), F.col("host_failed")
     s = hosts.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.count(F.lit(1)).alias("k"), F.sum(f / n).alias("r"), F.sum((f / n) * (f / n)).alias("rr"), F.sum(1 / n).alias("inv")).first()
     a, b = beta_prior(s["n"], s["f"], s["k"], s["r"], s["rr"], s["inv"], params.max_strength)
-    return hosts.withColumn("host_rejected", (f + F.lit(a)) / (n + F.lit(a + b)) > params.max_host_rate)
+    corpus = a / (a + b)
+    limit = params.max_host_odds * corpus / (1 - corpus + params.max_host_odds * corpus)
+    rate = (f + F.lit(a)) / (n + F.lit(a + b))
+    least = rate - params.deviations * F.sqrt(rate * (1 - rate) / (n + F.lit(a + b + 1)))
+    return hosts.withColumns({"host_rate": F.round(rate, 6), "host_rejected": least > limit})
 
 
 def beta_prior(n, f, k, r, rr, inv, max_strength: float) -> tuple[float, float]:
@@ -117,9 +123,9 @@ def host_key(host: Column) -> Column:
 
 
 def with_verdicts(judged: DataFrame, verdicts: DataFrame, host: str = "source") -> DataFrame:
-    """Join the verdicts of hosts to their rows and append host_rejected and kept."""
-    keyed = judged.drop("host_rejected", "kept").withColumn("__host", host_key(F.col(host)))
-    v = verdicts.select(F.col("host_key").alias("__vhost"), F.col("host_rejected"))
+    """Join the verdicts of hosts to their rows and append host_rate, host_rejected and kept."""
+    keyed = judged.drop("host_rate", "host_rejected", "kept").withColumn("__host", host_key(F.col(host)))
+    v = verdicts.select(F.col("host_key").alias("__vhost"), "host_rate", "host_rejected")
     joined = keyed.join(v, F.col("__host") == F.col("__vhost"), "left").drop("__host", "__vhost")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
 
@@ -129,7 +135,7 @@ def op5_host_rules(spark, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     judged = durable(row_rules(docs).drop("text"))
     return with_verdicts(judged, host_verdicts(judged)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "host_rejected", "kept"
     )
 
 
@@ -149,7 +155,8 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE rule_failed) AS f FROM b GROUP BY host),
 s AS (SELECT least(greatest(sum(f) / sum(n), 1e-6), 1 - 1e-6) AS m, sum(f / n) / count(*) AS r, sum((f / n) * (f / n)) / count(*) AS rr, sum(1 / n) / count(*) AS inv FROM h),
 q AS (SELECT m, least(greatest(m * (1 - m) / greatest(rr - 2 * m * r + m * m - m * (1 - m) * inv, 1e-12) - 1, 1.0), 1e6) AS strength FROM s),
-v AS (SELECT host, (f + m * strength) / (n + strength) > 0.6 AS host_rejected FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected, NOT base_failed AND NOT host_rejected AS kept
+y AS (SELECT host, n, (f + m * strength) / (n + strength) AS rate, strength, m FROM h, q),
+v AS (SELECT host, round(rate, 6) AS host_rate, rate - 2 * sqrt(rate * (1 - rate) / (n + strength + 1)) > 4 * m / (1 - m + 4 * m) AS host_rejected FROM y)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, host_rejected, NOT base_failed AND NOT host_rejected AS kept
 FROM b JOIN v USING (host)
 """
