@@ -5,13 +5,14 @@ one source's share of the cumulative targets; the slot's rank among that source'
 equal-token block that it takes. Blocks are cut from the source's documents in hash order, and a source that
 runs out starts again. The schedule is a little longer than the mix; slots past a source's quota are void, and a source
 whose share is so small that points miss it gets the slots it lacks at the end. So a source gives its target to the word.
+Every document is told the first slot that takes words of it and in how many slots it is read.
 
 Ranks and running sums are made in two steps (pieces of a source, then rows of a piece), so no task gets the
-whole of a hot source.
+whole of a hot source. Rows that agree in id, source and size are one row with a count until the end.
 
 Defined results: a null text has size 0 and takes 0; a null source is a source of its own, after all others;
 sources without words have target 0; repeated rows are laid side by side, each with its own words; an empty table
-gives an empty result.
+gives an empty result; texts of any length are counted whole; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ POINTS = 1 << 32
 CELLS = 1024
 #: Words in a block, slots in a piece of the schedule, and pieces of a source's hash order.
 BLOCK_WORDS = 2048
-SLOT_PIECE = 4096
+SLOT_PIECE = 256
 SOURCE_PIECES = 4096
 
 
@@ -66,11 +67,14 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """source_no and rank (from 0) of every slot, void ones too; ``sources`` has source_no, source_size and quota."""
+    """source_no, rank (from 0) and slot of all slots, void ones too; ``sources`` has source_no, source_size and quota.
+
+    Slots that a small source gets at the end are numbered behind all others.
+    """
     spark = sources.sparkSession
     total = sources.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     if not total:
-        return spark.createDataFrame([], "source_no int, rank bigint")
+        return spark.createDataFrame([], "source_no int, rank bigint, slot bigint")
     # Any interval gets its share of N golden-ratio points up to O(log N); the slack covers that for all but small shares.
     slots = total // block_words + 1
     slots += slots // 64 + 64
@@ -87,13 +91,13 @@ def schedule(sources: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     hit = points.join(shares, (points.cell == shares.cell) & (points.x >= shares.lo) & (points.x < shares.hi)).select(
         "source_no", "slot", F.floor(F.col("slot") / SLOT_PIECE).alias("piece")
     )
-    made = durable(ranked(hit, ["slot"], "rank").select("source_no", "rank"))
+    made = durable(ranked(hit, ["slot"], "rank").select("source_no", "rank", "slot"))
     have = made.groupBy(F.col("source_no").alias("__s")).agg(F.count(F.lit(1)).alias("have"))
     size = F.greatest(F.col("source_size"), F.lit(1))
     need = F.floor(F.col("quota") / size) * F.ceil(size / block_words) + F.ceil((F.col("quota") % size) / block_words)
     short = sources.join(have, F.col("source_no") == F.col("__s"), "left").withColumns({"have": F.coalesce("have", F.lit(0)), "need": need.cast("bigint")})
     late = short.filter("need > have").select("source_no", F.explode(F.sequence(F.col("have"), F.col("need") - 1)).alias("rank"))
-    return made.unionByName(late)
+    return made.unionByName(late.withColumn("slot", slots + F.col("rank") * sources.count() + F.col("source_no") - 1))
 
 
 def ranked(df: DataFrame, order: list, name: str, of: Column | None = None) -> DataFrame:
@@ -117,14 +121,16 @@ def order_hash(doc_id: Column) -> Column:
 
 
 def mix(sized: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, source, size -> doc_id, size, source_size, target, taken; ``sized`` should be durable, it is read four times."""
+    """doc_id, source, size -> doc_id, source, size, source_size, target, taken, first_slot, n_slots; ``sized`` should be durable, it is read four times."""
     sources = durable(source_targets(sized))
     keyed = sized.join(
         sources.select(F.col("source").alias("__src"), "source_no", "source_size", "target"), F.col("source").eqNullSafe(F.col("__src"))
     ).drop("__src")
     step = (1 << 28) // SOURCE_PIECES
     full = keyed.filter("size > 0").withColumn("h", order_hash(F.col("doc_id"))).withColumn("piece", F.floor(F.col("h") / step))
-    laid = durable(ranked(full, ["h", "doc_id", "size"], "start", F.col("size")))
+    alike = full.groupBy("source_no", "piece", "h", "doc_id", "source", "size", "source_size", "target").agg(F.count(F.lit(1)).alias("__c"))
+    laid = ranked(alike, ["h", "doc_id", "size"], "start", F.col("size") * F.col("__c"))
+    laid = durable(laid.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__c") - 1))).withColumn("start", F.col("start") + F.col("__k") * F.col("size")).drop("__c", "__k"))
     # Slots of a rank r take block r mod b in pass r div b.
     blocks = F.ceil(F.col("source_size") / block_words).cast("bigint")
     slots = schedule(sources, block_words).join(sources.select("source_no", "source_size", "quota"), "source_no")
@@ -135,21 +141,21 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         slots.withColumn("room", room)
         .filter("room > 0")
         .groupBy("source_no", "block")
-        .agg(F.collect_list("room").alias("rooms"))
+        .agg(F.collect_list(F.struct("slot", "room")).alias("rooms"))
         .select(F.col("source_no").alias("__s"), F.col("block").alias("__b"), "rooms")
     )
     last = F.col("start") + F.col("size") - 1
     parts = laid.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor(last / block_words))))
     begin = F.col("block") * block_words
-    got = F.aggregate(
-        F.col("rooms"),
-        F.lit(0).cast("bigint"),
-        lambda a, r: a + F.greatest(F.lit(0).cast("bigint"), F.least(F.col("start") + F.col("size"), begin + r) - F.greatest(F.col("start"), begin)),
-    )
-    met = parts.join(takes, (F.col("source_no") == F.col("__s")) & (F.col("block") == F.col("__b")), "left").withColumn("got", F.coalesce(got, F.lit(0)))
-    whole = met.groupBy("source_no", "start", "doc_id", "source", "size", "source_size", "target").agg(F.sum("got").alias("taken"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    return whole.select(*columns).unionByName(keyed.filter("size = 0").withColumn("taken", F.lit(0).cast("bigint")).select(*columns))
+    words_of = lambda r: F.least(F.col("start") + F.col("size"), begin + r["room"]) - F.greatest(F.col("start"), begin)
+    reads = F.filter(F.transform("rooms", lambda r: F.struct(r["slot"].alias("slot"), words_of(r).alias("got"))), lambda x: x["got"] > 0)
+    met = parts.join(takes, (F.col("source_no") == F.col("__s")) & (F.col("block") == F.col("__b")), "left").withColumn("reads", reads)
+    none = F.lit(0).cast("bigint")
+    met = met.withColumns({"got": F.coalesce(F.aggregate("reads", none, lambda a, x: a + x["got"]), none), "early": F.array_min(F.transform("reads", lambda x: x["slot"])), "n": F.coalesce(F.size("reads"), F.lit(0))})
+    whole = met.groupBy("source_no", "start", "doc_id", "source", "size", "source_size", "target").agg(F.sum("got").alias("taken"), F.min("early").alias("first_slot"), F.sum(F.greatest("n", F.lit(0))).alias("n_slots"))
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "n_slots"]
+    empty = keyed.filter("size = 0").withColumns({"taken": none, "first_slot": F.lit(None).cast("bigint"), "n_slots": none})
+    return whole.select(*columns).unionByName(empty.select(*columns))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -182,9 +188,22 @@ f AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER
 g AS (SELECT *, first_value(CASE WHEN lvl * weight < cap THEN lvl END IGNORE NULLS) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS flat FROM f),
 t AS (SELECT source, source_no, source_size, coalesce(least(CAST(cap AS DOUBLE), flat * weight), CAST(cap AS DOUBLE)) AS target FROM g),
 q AS (SELECT *, CAST(floor(target) AS BIGINT) AS quota FROM t),
-o AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.quota,
+o AS (SELECT d.doc_id, d.size, q.source_no, q.source_size, q.target, q.quota,
              CAST(sum(d.size) OVER (PARTITION BY q.source_no ORDER BY substr(md5(CAST(d.doc_id AS VARCHAR)), 1, 7), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS start
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0 ELSE size * (quota // source_size) + greatest(0, least(start + size, quota % source_size) - start) END AS taken FROM o
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+n AS (SELECT CAST(sum(quota) AS BIGINT) AS total, count(*) AS n_sources, CAST(sum(quota) AS BIGINT) // {BLOCK_WORDS} + 1 AS few FROM q),
+k AS (SELECT total, n_sources, few + few // 64 + 64 AS slots FROM n),
+e AS (SELECT source_no, CAST(floor(CAST(sum(quota) OVER (ORDER BY source_no) AS DOUBLE) / (SELECT total FROM k) * {POINTS}) AS BIGINT) AS hi FROM q WHERE (SELECT total FROM k) > 0),
+v AS (SELECT source_no, coalesce(lag(hi) OVER (ORDER BY source_no), 0) AS lo, hi FROM e),
+x AS (SELECT i AS slot, ((i % 2147483648) + 1) * {GOLDEN} % {POINTS} AS x FROM (SELECT unnest(range((SELECT slots FROM k))) AS i)),
+m AS (SELECT source_no, slot, row_number() OVER (PARTITION BY source_no ORDER BY slot) - 1 AS rank FROM x JOIN v ON x >= lo AND x < hi),
+c AS (SELECT q.source_no, CAST(quota // greatest(source_size, 1) * ceil(greatest(source_size, 1) / {BLOCK_WORDS}) + ceil(quota % greatest(source_size, 1) / {BLOCK_WORDS}) AS BIGINT) AS need, (SELECT count(*) FROM m WHERE m.source_no = q.source_no) AS have FROM q),
+z AS (SELECT source_no, rank, slot FROM m UNION ALL SELECT source_no, rank, slots + rank * n_sources + source_no - 1 FROM (SELECT source_no, unnest(range(have, need)) AS rank FROM c WHERE need > have), k),
+b AS (SELECT z.source_no, slot, rank % blocks AS block, least(quota - (rank // blocks * source_size + rank % blocks * {BLOCK_WORDS}), {BLOCK_WORDS}, source_size - rank % blocks * {BLOCK_WORDS}) AS room
+      FROM z JOIN (SELECT source_no, source_size, quota, CAST(ceil(source_size / {BLOCK_WORDS}) AS BIGINT) AS blocks FROM q) y ON z.source_no = y.source_no),
+p AS (SELECT doc_id, source_no, size, start, unnest(range(start // {BLOCK_WORDS}, (start + size - 1) // {BLOCK_WORDS} + 1)) AS block FROM o WHERE size > 0),
+r AS (SELECT p.doc_id, min(slot) AS first_slot, count(*) AS n_slots FROM p JOIN b ON p.source_no = b.source_no AND p.block = b.block AND room > 0
+      AND least(start + size, p.block * {BLOCK_WORDS} + room) > greatest(start, p.block * {BLOCK_WORDS}) GROUP BY p.doc_id)
+SELECT o.doc_id, size, source_size, target, first_slot, coalesce(n_slots, 0) AS n_slots,
+       CASE WHEN source_size = 0 THEN 0 ELSE size * (quota // source_size) + greatest(0, least(start + size, quota % source_size) - start) END AS taken FROM o LEFT JOIN r ON o.doc_id = r.doc_id
 """
