@@ -1,17 +1,19 @@
 """Hierarchical language identification: the family first, then one-versus-one linear support vector machines inside it.
 
-Features are relative frequencies of hashed one-, two- and three-byte sequences of the lower-cased whole text. Families
-are learned from nothing but the labels met in training and the fixed table below; a label that the table lacks is a
-family of its own. Every machine is a linear SVM with squared hinge loss, trained on a bounded sample of the labelled
+Features are relative frequencies of hashed one-, two- and three-byte sequences of the lower-cased whole text. The fixed
+table below gives the families of common labels; all labels that it lacks are grouped by the likeness of their mean
+features, about as many groups as each has labels, so the number of machines grows slowly with the languages. Every machine is a linear SVM with squared hinge loss, trained on a bounded sample of the labelled
 rows on the driver; prediction is one matrix product a batch.
 
 Defined results: a null text or one without letters is ``und`` with score 0; a single trained language is predicted
-for every text with letters; without any labelled row everything is ``und``; repeated rows get equal results; very
-long texts are read whole; an empty table gives an empty result.
+for every text with letters; without any labelled row everything is ``und``; every label that has a row with letters is
+learned, however rare; null ids take part in training; repeated rows get equal results and count once in training; very
+long texts are read whole; an empty table gives an empty result; other columns stay, and clashing ones are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -38,11 +40,15 @@ DIMS = 2048
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """Bounds of the training sample and strength of the machines."""
+    """Bounds of the training sample and strength of the machines.
+
+    The sample has about rows_per_language rows of each language, and sample_rows in all if languages are many, but a few
+    of each whatever their number.
+    """
 
     rows_per_language: int = 600
-    max_languages: int = 100
-    max_rows: int = 12_000
+    sample_rows: int = 9_000
+    least_rows: int = 8
     cost: float = 50.0
     steps: int = 60
     #: Documents below it are rejected; a score this low means that no level had a clear winner.
@@ -109,8 +115,21 @@ def conjugate(x: np.ndarray, c: np.ndarray, b: np.ndarray) -> np.ndarray:
     return s
 
 
-def family_of(lang: str) -> str:
-    return next((f for f, langs in FAMILIES.items() if lang in langs), lang)
+def families_of(x: np.ndarray, langs: np.ndarray) -> dict[str, str]:
+    """The family of every label: the table's, or one of about sqrt(n) groups of the n labels that it lacks, by k-means of their mean features."""
+    out = {lang: f for f, known in FAMILIES.items() for lang in known}
+    rest = sorted(set(langs) - set(out))
+    if not rest:
+        return out
+    means = np.stack([x[langs == lang].mean(axis=0) for lang in rest]).astype(np.float64)
+    k = math.ceil(math.sqrt(len(rest)))
+    centres = [means[0]]
+    while len(centres) < k:  # the farthest from those so far
+        centres.append(means[np.argmax(np.min([((means - c) ** 2).sum(axis=1) for c in centres], axis=0))])
+    for _ in range(20):
+        near = np.argmin([((means - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        centres = [means[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(centres)]
+    return out | {lang: f"group of {rest[int(np.flatnonzero(near == i)[0])]}" for lang, i in zip(rest, near, strict=True)}
 
 
 @dataclass
@@ -154,9 +173,10 @@ def trained(x: np.ndarray, langs: list[str], params: LanguageParams = LanguagePa
     """One-versus-one machines among families, and among the languages of each family."""
     names = np.array(langs)
     members: dict[str, list[str]] = {}
+    family = families_of(x, names)
     for lang in sorted(set(langs)):
-        members.setdefault(family_of(lang), []).append(lang)
-    families = np.array([family_of(x) for x in langs])
+        members.setdefault(family[lang], []).append(lang)
+    families = np.array([family[x] for x in langs])
     weights, bias, machines = [], [], {}
     for level, classes, label in [("", sorted(members), families), *[(f, m, names) for f, m in members.items()]]:
         for a, b in combinations(classes, 2):
@@ -173,20 +193,21 @@ def remainder(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Model:
-    """Train on about rows_per_language rows of each of the max_languages most frequent labels, outside the held-out part.
+    """Train on a sample of the labelled rows of every label outside the held-out part.
 
-    Rows are drawn by a hash of the id and the text's length; only their features and labels reach the driver, max_rows
-    at most. With many languages each gets its part of three quarters of max_rows.
+    Rows are drawn by a hash of the id and the text's length, rows alike in both and the label once; only their features
+    and labels reach the driver.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(remainder(F.col("doc_id")), F.lit(0)) != 2))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_languages).collect()
+    counts = labelled.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return Model([], {}, np.zeros((0, DIMS), np.float32), np.zeros(0, np.float32), {})
-    per_language = max(1, min(params.rows_per_language, params.max_rows * 3 // 4 // len(counts)))
+    per_language = max(params.least_rows, min(params.rows_per_language, params.sample_rows // len(counts)))
     space = 1 << 30
     draw = F.pmod(F.xxhash64("doc_id", F.char_length("text")), F.lit(space))
     limit = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(space, space * per_language // r["count"] + 1))])
-    drawn = labelled.filter(draw < F.coalesce(F.element_at(limit, F.col("lang")), F.lit(0))).select("lang", "text")
+    drawn = labelled.select("lang", "text", draw.alias("draw")).filter(F.col("draw") < F.coalesce(F.element_at(limit, F.col("lang")), F.lit(0)))
+    drawn = drawn.dropDuplicates(["lang", "draw"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,7 +215,7 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "grams"])
 
     small_batches(docs.sparkSession)
-    rows = drawn.mapInArrow(run, "lang string, grams binary").limit(params.max_rows).collect()
+    rows = drawn.mapInArrow(run, "lang string, grams binary").collect()
     if not rows:
         return Model([], {}, np.zeros((0, DIMS), np.float32), np.zeros(0, np.float32), {})
     rows.sort(key=lambda r: (r["lang"], r["grams"]))

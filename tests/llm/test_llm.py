@@ -306,6 +306,59 @@ def test_language_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_one_of_many_languages_is_learned(spark):
+    r = np.random.default_rng(8)
+    words = {f"l{k}": ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(12)] for k in range(150)}
+    rows = [(n * 1000 + k, " ".join(r.choice(words[f"l{k}"], 60)), f"l{k}") for k in range(150) for n in range(14 if k else 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit(df)
+    assert {x for m in model.members.values() for x in m} == set(words) and len(model.bias) < 3000
+    got = language.predicted(df, model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.95
+
+
+def test_votes_by_plain_code(docs):
+    """Every machine of the family level, then those of the family, each asked on its own."""
+    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").limit(120).collect()
+    model = language.trained(np.stack([language.grams(r.text) for r in rows]), [r.lang for r in rows])
+    langs, scores = model.predict([r.text for r in rows])
+
+    def level(name, classes, x):
+        won, sure = Counter(), Counter()
+        for k, a, b in model.machines.get(name, ()):
+            m = sum(float(w) * float(v) for w, v in zip(model.weights[k], x)) + float(model.bias[k])
+            p = 1 / (1 + np.exp(-2 * max(-20, min(20, m))))
+            won[a if p >= 0.5 else b] += 1
+            sure[a] += p
+            sure[b] += 1 - p
+        best = max(classes, key=lambda c: (won[c], sure[c], c))
+        return best, sure[best] / (len(classes) - 1) if len(classes) > 1 else 1.0
+
+    for r, lang, score in zip(rows[:40], langs, scores):
+        family, p = level("", model.families, language.grams(r.text))
+        best, q = level(family, model.members[family], language.grams(r.text))
+        assert lang == best and score == pytest.approx(p * q, abs=1e-4)
+
+
+def test_machine_is_at_the_least_loss():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(80, 6)).astype(np.float32)
+    y = np.where(x[:, 0] - 0.4 * x[:, 1] + 0.3 * r.normal(size=80) > 0, 1.0, -1.0)
+    w, b = language.svm(x, y, 5.0, 60)
+    balance = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum()) * 80
+
+    def loss(v):
+        return 0.5 * v @ v + 5.0 / 80 * (balance * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) ** 2).sum()
+
+    v = np.append(w.astype(np.float64), b)
+    u = np.zeros(7)
+    for _ in range(4000):  # plain gradient steps from zero come to the same place
+        margin = np.maximum(0, 1 - y * (x @ u[:-1] + u[-1]))
+        g = u - 2 * 5.0 / 80 * np.append(x, np.ones((80, 1)), axis=1).T @ (balance * y * margin)
+        u -= 0.02 * g
+    assert np.allclose(u, v, atol=1e-3) and loss(v) <= loss(u) + 1e-6
+
+
 def test_language_odd_rows(spark, odd, docs):
     got = language.predicted(odd, language.fit(docs))
     assert got.columns == [*[c for c in odd.columns if c != "score"], "lang_pred", "score"]
