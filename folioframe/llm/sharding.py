@@ -1,57 +1,69 @@
 """K-d tree sharding: nodes are split at distributed weighted medians along their widest metadata dimension.
 
+Dimensions are size, lines, length of words, and share of bytes beyond ASCII. They are compared by ranks: a node is as wide
+in a dimension as the share of the corpus's bytes between its lowest and highest value, so a scale favours none.
+
 A node with m leaves to make is split so that m // 2 of m parts of its bytes go left; the same rule that halves a
-node of two leaves. Splits are found by counting bytes in equal bins of the node's range, then in the bins of the
-bin that holds the median, and so on: at most ROUNDS counts of BINS sums a node, whatever the input's size. Rows
-tied in a dimension are ordered by their text's hash and then by a hash of their id. A split that falls inside a
-small group of equal texts moves to the group's edge; a group that a third of all rows share is cut.
-
-Defined results: a null text has 0 bytes (size 8) and crc32 0; a null id hashes as an empty string and nulls in other
-metadata count as the lowest value; repeated rows are rows of their own; every dimension is a property of the text, so
-equal texts lie side by side and are parted only where a group too large to move lies on a border; an empty table
-gives an empty result.
+node of two leaves. One count of the bytes in CELLS cells of every node and dimension gives the widest dimension and the
+cell of its median; the median's place in the cell is found by counting bytes in equal bins, then in the bins of the bin
+that holds it, and so on: at most ROUNDS counts of BINS sums a node, whatever the input's size. Rows tied in a dimension
+are ordered by their text's hash and then by a hash of their id. A split that falls inside a small group of equal texts
+moves to the group's edge; a group that holds more than MOVABLE of a leaf is cut where it lies on a border, since no law
+of near equal bytes could hold otherwise.
+
+Defined results: a null text has 0 bytes (size 8) and crc32 0; a null id hashes as an empty string; repeated rows are rows
+of their own; texts of any length are measured whole; every dimension is a property of the text, so equal texts lie side by
+side and are parted only where a group too large to move lies on a border; columns of other names are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, table
+from .common import durable, spread, table
 
 SHARDS = 24
-BINS = 8192
-ROUNDS = 5
+CELLS = 512
+BINS = 1 << 16
+ROUNDS = 4
 #: Bits of the text's hash and of the id's hash that order rows of one value; a value has 32 bits.
 TEXT_BITS, ID_BITS = 20, 10
 TIE_BITS = TEXT_BITS + ID_BITS
 #: Share of a leaf's bytes to which a split is found, and up to which a group of equal texts is not cut.
 EXACT, MOVABLE = 0.001, 0.02
+CELL_WIDTH = (1 << 32) // CELLS
 #: Pieces in which the rows of a shard are numbered.
 SLOT_PIECES = 1024
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, n_lines and tie."""
+    """doc_id, size, text_crc32, tie and the dimensions."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     t = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    one = docs.select(
         "doc_id",
         (F.octet_length(raw) + 8).cast("bigint").alias("size"),
         F.crc32(raw).cast("bigint").alias("text_crc32"),
-        (F.char_length(t) - F.char_length(F.translate(t, "\n", ""))).cast("bigint").alias("n_lines"),
-    ).withColumn("tie", tie(F.col("doc_id"), F.col("text_crc32")))
+        F.char_length(t).alias("chars"),
+        (F.char_length(t) - F.char_length(F.translate(t, "\n", ""))).alias("lines"),
+        (F.char_length(t) - F.char_length(F.translate(t, " ", ""))).alias("blanks"),
+    )
+    return one.withColumns(dimensions()).withColumn("tie", tie(F.col("doc_id"), F.col("text_crc32"))).drop("chars", "lines", "blanks")
 
 
 def dimensions() -> dict[str, Column]:
-    """Each from 0 to 2**32 - 1: size and lines on log scales with bits of the text's hash below, and the text's hash."""
+    """Each from 0 to 2**32 - 1: size, lines and letters a word on log scales, and the share of bytes beyond those of ASCII."""
 
-    def scaled(c: Column) -> Column:
-        steps = F.least(F.floor(F.log2(c.cast("double") + 1) * (1 << 20)), F.lit((1 << 26) - 1)).cast("bigint")
-        return F.shiftleft(steps, 6) + F.shiftright("text_crc32", 26)
+    def steps(c: Column) -> Column:
+        return F.least(F.floor(F.log2(c.cast("double") + 1) * (1 << 26)), F.lit((1 << 32) - 1)).cast("bigint")
 
-    return {"by_size": scaled(F.col("size")), "by_text": F.col("text_crc32"), "by_lines": scaled(F.col("n_lines"))}
+    octets = F.col("size") - 8
+    wide = F.when(octets > 0, (octets - F.col("chars")) / octets).otherwise(0.0)
+    return {"by_size": steps(F.col("size")), "by_lines": steps(F.col("lines")), "by_word": steps(F.col("chars") / (F.col("blanks") + 1)), "by_wide": F.floor(wide * ((1 << 32) - 1)).cast("bigint")}
 
 
 def tie(doc_id: Column, text_crc: Column) -> Column:
@@ -68,21 +80,25 @@ def kd_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     dims = list(dimensions())
     nodes = {0: (0, shards)}  # node number -> first leaf, leaves
     splits: list[tuple[int, str, int, int, int]] = []
-    node = F.lit(0)
+    node, ranks = F.lit(0), None
     while any(n > 1 for _, n in nodes.values()):
         live = [k for k, (_, n) in nodes.items() if n > 1]
         at = rows.withColumn("node", node).filter(F.col("node").isin(live))
-        ranges = {r["node"]: r for r in at.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{p}_{d}") for d in dims for p, f in (("lo", F.min), ("hi", F.max))]).collect()}
+        held = cells_of(at, dims)
+        ranks = ranks or {d: np.cumsum(held.get((0, d), np.zeros(CELLS))) for d in dims}  # of the root: the whole corpus
         goal, span, pick = {}, {}, {}
         for k in live:
-            if k not in ranges:  # no rows: any split will do
+            if (k, dims[0]) not in held:  # no rows: any split will do
                 continue
-            r, n = ranges[k], nodes[k][1]
-            pick[k] = max(dims, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"], -dims.index(d)))
-            span[k] = (r[f"lo_{pick[k]}"] << TIE_BITS, ((r[f"hi_{pick[k]}"] + 1) << TIE_BITS))
-            goal[k] = r["bytes"] * (n // 2) / n
+            n = nodes[k][1]
+            pick[k] = max(dims, key=lambda d: (rank_width(held[k, d], ranks[d]), -dims.index(d)))
+            upto = np.cumsum(held[k, pick[k]])
+            goal[k] = upto[-1] * (n // 2) / n
+            cell = int(np.argmax(upto > goal[k]))
+            goal[k] -= float(upto[cell - 1]) if cell else 0.0
+            span[k] = (cell * CELL_WIDTH << TIE_BITS, (cell + 1) * CELL_WIDTH << TIE_BITS)
         value = chosen(pick)
-        leaf_bytes = sum(r["bytes"] for r in ranges.values()) / sum(nodes[k][1] for k in live)
+        leaf_bytes = sum(int(held[k, dims[0]].sum()) for k in goal) / max(sum(nodes[k][1] for k in goal), 1)
         for _ in range(ROUNDS):
             span, goal, most = narrowed(at, value, span, goal)
             if most <= EXACT * leaf_bytes:
@@ -100,6 +116,21 @@ def kd_shards(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     return rows.withColumn("shard", F.element_at(leaf, node).cast("int"))
 
 
+def cells_of(at: DataFrame, dims: list[str]) -> dict[tuple[int, str], np.ndarray]:
+    """Bytes in each of CELLS equal cells of every node and dimension, in one pass: the rows are nodes x dimensions x cells at most."""
+    places = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.floor(F.col(d) / CELL_WIDTH).cast("int").alias("cell")) for d in dims]))
+    out: dict[tuple[int, str], np.ndarray] = {}
+    for r in at.select("node", "size", places.alias("p")).groupBy("node", "p.dim", "p.cell").agg(F.sum("size").alias("bytes")).collect():
+        out.setdefault((r["node"], r["dim"]), np.zeros(CELLS, np.int64))[r["cell"]] = r["bytes"]
+    return out
+
+
+def rank_width(held: np.ndarray, ranks: np.ndarray) -> int:
+    """The corpus's bytes from the lowest to the highest cell that a node has rows in; 0 where they are in one cell."""
+    at = np.flatnonzero(held)
+    return int(ranks[at[-1]] - ranks[at[0]])
+
+
 def ordered(dim: str) -> Column:
     return F.shiftleft(F.col(dim), TIE_BITS) + F.col("tie")
 
@@ -169,7 +200,7 @@ def with_slots(sharded: DataFrame) -> DataFrame:
 
     Counted by pieces of a shard first, so that no task numbers a whole shard.
     """
-    cut = sharded.withColumn("piece", F.pmod(F.hash("doc_id"), F.lit(SLOT_PIECES)))
+    cut = sharded.withColumn("piece", F.pmod(F.hash("doc_id", "text_crc32"), F.lit(SLOT_PIECES)))
     up = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("shard").alias("__s"), F.col("piece").alias("__p"), F.coalesce(F.sum("n").over(up), F.lit(0)).alias("__start")
@@ -185,7 +216,7 @@ def with_slots(sharded: DataFrame) -> DataFrame:
 
 def op6_kd_shards(spark, sf_dir: str) -> DataFrame:
     """Every document with its shard and its place in it."""
-    rows = durable(metadata(table(spark, sf_dir, "documents")).withColumns(dimensions()))
+    rows = durable(metadata(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
     sharded = durable(kd_shards(rows))
     return with_slots(sharded).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

@@ -423,7 +423,7 @@ def test_quality_odd_rows(spark, odd):
 
 
 def shards_of(df, n=24):
-    rows = sharding.metadata(df).withColumns(sharding.dimensions())
+    rows = sharding.metadata(df)
     return sharding.with_slots(sharding.kd_shards(rows, n))
 
 
@@ -445,6 +445,40 @@ def test_shards_are_even_and_gapless(spark):
     assert all(r.size == len(text[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in got)
 
 
+def test_shards_by_a_plain_tree(spark):
+    """The same tree by sorting rows in lists; all four dimensions split some node."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    meta = sharding.metadata(d).collect()
+    got = {r.doc_id: r.shard for r in shards_of(d).collect()}
+    dims = list(sharding.dimensions())
+    ordered = {x: sorted((r[x] // sharding.CELL_WIDTH, r["size"]) for r in meta) for x in dims}
+    used, want = set(), {}
+
+    def width(rows, x):
+        cells = [r[x] // sharding.CELL_WIDTH for r in rows]
+        return sum(n for c, n in ordered[x] if min(cells) < c <= max(cells))
+
+    def split(rows, first, leaves):
+        if leaves == 1:
+            want.update({r.doc_id: first for r in rows})
+            return
+        x = max(dims, key=lambda x: (width(rows, x), -dims.index(x)))
+        used.add(x)
+        rows = sorted(rows, key=lambda r: (r[x], r.tie))
+        goal, total, cut = sum(r["size"] for r in rows) * (leaves // 2) / leaves, 0, 0
+        while total + rows[cut]["size"] <= goal:
+            total += rows[cut]["size"]
+            cut += 1
+        while cut and rows[cut].text_crc32 == rows[cut - 1].text_crc32:
+            cut -= 1
+        split(rows[:cut], first, leaves // 2)
+        split(rows[cut:], first + leaves // 2, leaves - leaves // 2)
+
+    split(meta, 0, 24)
+    assert used == set(dims)
+    assert sum(got[i] == want[i] for i in want) / len(want) > 0.98  # splits are exact to a thousandth of a shard
+
+
 def test_a_large_group_of_copies_is_cut(spark):
     rows = [(k, "same text " * 20) for k in range(1200)] + [(2000 + k, f"other {k} " * (k % 40 + 1)) for k in range(600)]
     size = Counter()
