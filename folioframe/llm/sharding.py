@@ -159,17 +159,17 @@ def at_edges(at: DataFrame, value: Column, span: dict, most: float) -> dict:
 
 
 def narrowed(at: DataFrame, value: Column, span: dict, goal: dict) -> tuple[dict, dict, int]:
-    """The bin of each node in which its goal of bytes is reached, what of the goal is left inside it, and the fullest such bin."""
+    """The bin of each node in which its goal of bytes is reached, what of the goal is left inside it, and the bytes of the fullest such bin of several rows."""
     look = lambda i: looked_up({k: s[i] for k, s in span.items()})
     if not span:
         return span, goal, 0
     width = F.greatest(F.ceil((look(1) - look(0)) / BINS).cast("bigint"), F.lit(1))
     inside = at.withColumn("v", value).filter((F.col("v") >= look(0)) & (F.col("v") < look(1)))
-    bins = inside.groupBy("node", F.floor((F.col("v") - look(0)) / width).alias("bin")).agg(F.sum("size").alias("bytes"))
+    bins = inside.groupBy("node", F.floor((F.col("v") - look(0)) / width).alias("bin")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     up = Window.partitionBy("node").orderBy("bin")
     sums = bins.withColumn("upto", F.sum("bytes").over(up))
     aim = looked_up({k: float(g) for k, g in goal.items()})
-    found = sums.groupBy("node").agg(F.min(F.when(F.col("upto") > aim, F.struct("bin", (F.col("upto") - F.col("bytes")).alias("below"), "bytes"))).alias("x")).collect()
+    found = sums.groupBy("node").agg(F.min(F.when(F.col("upto") > aim, F.struct("bin", (F.col("upto") - F.col("bytes")).alias("below"), "bytes", "n"))).alias("x")).collect()
     out_span, out_goal, most = dict(span), dict(goal), 0
     for r in found:
         k, lo, hi = r["node"], *span[r["node"]]
@@ -178,7 +178,7 @@ def narrowed(at: DataFrame, value: Column, span: dict, goal: dict) -> tuple[dict
             start = lo + r["x"]["bin"] * w
             out_span[k] = (start, min(start + w, hi))
             out_goal[k] = goal[k] - r["x"]["below"]
-            most = max(most, r["x"]["bytes"] if w > 1 else 0)
+            most = max(most, r["x"]["bytes"] if w > 1 and r["x"]["n"] > 1 else 0)
     return out_span, out_goal, most
 
 
