@@ -47,8 +47,9 @@ CENTRAL_ROUNDS = 1
 #: Minima of the finer signature that nodes of large bands get, and its cut: four standard deviations below the limit.
 FINE_HASHES = 2048
 FINE_CUT = 0.7
-#: Cells of the table of shingle counts by which shingles are ordered; any order gives exact results, so cells may be shared.
-COUNT_CELLS = 1 << 18
+#: Least and most cells of the table of shingle counts by which shingles are ordered, four a shingle between them; any order
+#: gives exact results, so cells may be shared.
+COUNT_CELLS = (1 << 16, 1 << 22)
 
 _rng = np.random.default_rng(20240229)
 _MIX = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -194,12 +195,10 @@ def star_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
 def unsettled(members: DataFrame, components: DataFrame) -> DataFrame:
     """Members of bands that hold several components: band, root, main (the band's largest component), outside (its members outside that) and the node's columns."""
     at = with_roots(members.select("band", *_MEMBER), components)
-    several = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(F.col("band").alias("__b"))
-    at = at.join(several, F.col("band") == F.col("__b"), "left_semi")
+    # Counted by band and root first: no task gets all rows of a crowded band.
     per = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select(
-        F.col("band").alias("__b"), F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("outside")
-    )
+    several = per.groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    main = several.select(F.col("band").alias("__b"), F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("outside"))
     return at.join(main, F.col("band") == F.col("__b")).drop("__b")
 
 
@@ -239,53 +238,56 @@ def band_pairs(at: DataFrame) -> DataFrame:
     return found.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 
-_RARE = ["shingle", "place", "short", "rest", "node", "n", "fine"]
+_RARE = ["shingle", "place", "short", "rest", "node", "n"]
+
 
+def rare_shingles(many: DataFrame, texts: DataFrame) -> DataFrame:
+    """A row for each of the rarest quarter of every node's shingles: shingle, place in their order, short (in the rarest seventh), rest, node and n.
 
-def rare_shingles(many: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """A row for each of the rarest quarter of every node's shingles: shingle, place in their order, short (in the rarest seventh), rest, node, n and fine signature."""
-    texts = texts_of(many.select("node"), nodes, docs)
+    ``many`` has node, rest and n, ``texts`` node and text.
+    """
+    spark = texts.sparkSession
+    least, most = COUNT_CELLS
+    wanted = 4 * (many.agg(F.sum("n")).first()[0] or 0)
+    cells = min(most, max(least, 1 << wanted.bit_length()))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNT_CELLS, np.int64)
+        counts = np.zeros(cells, np.int64)
         for b in batches:
             for text in b.column(1).to_pylist():
-                np.add.at(counts, (shingle_set(text) % np.uint64(COUNT_CELLS)).astype(np.int64), 1)
+                np.add.at(counts, (shingle_set(text) % np.uint64(cells)).astype(np.int64), 1)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "n"])
 
-    # A table of fixed size, whatever the input: cells that are met often, and how often.
-    common = texts.mapInArrow(counted, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 4").collect()
-    counts = np.zeros(COUNT_CELLS, np.int64)
-    for r in common:
-        counts[r["cell"]] = r["n"]
+    small_batches(spark)
+    # Cells that are met often, and how often: a table of bounded size, whatever the input.
+    common = texts.mapInArrow(counted, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 4").toArrow()
+    counts = np.zeros(cells, np.int32)
+    counts[common.column("cell").to_numpy()] = np.minimum(common.column("n").to_numpy(), 1 << 30)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owners, sizes, fines, keys, places = [], [], [], [], []
+            owners, sizes, keys, places = [], [], [], []
             for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingle_set(text)
                 n = len(s)
-                fine = signature(minima(s, _FINE_MULT, _FINE_ADD)).tolist()
-                s = s[np.lexsort((s, counts[(s % np.uint64(COUNT_CELLS)).astype(np.int64)]))]
+                s = s[np.lexsort((s, counts[(s % np.uint64(cells)).astype(np.int64)]))]
                 probe, index = n - -(-3 * n // 4) + 1, n - -(-6 * n // 7) + 1
                 owners += [node] * probe
                 sizes += [n] * probe
-                fines += [fine] * probe
                 keys.append(s[:probe].view(np.int64))
                 places.append(np.stack([np.arange(probe), np.arange(probe) < index]))
             if owners:
                 place, short = np.concatenate(places, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(place), pa.array(short.astype(bool)), pa.array(owners, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fines, pa.list_(pa.int64()))], names=["shingle", "place", "short", "node", "n", "fine"]
+                    [pa.array(np.concatenate(keys)), pa.array(place), pa.array(short.astype(bool)), pa.array(owners, pa.binary()), pa.array(sizes, pa.int64())], names=["shingle", "place", "short", "node", "n"]
                 )
 
-    small_batches(docs.sparkSession)
-    rows = texts.mapInArrow(rarest, "shingle bigint, place bigint, short boolean, node binary, n bigint, fine array<bigint>")
+    rows = texts.mapInArrow(rarest, "shingle bigint, place bigint, short boolean, node binary, n bigint")
     return durable(rows.join(many.select(F.col("node").alias("__n"), "rest"), F.col("node") == F.col("__n")).select(*_RARE))
 
 
-def rare_pairs(rows: DataFrame, components: DataFrame) -> DataFrame:
+def rare_pairs(rows: DataFrame, components: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of nodes of different components, at least one of them marked ``rest``, that share a rare shingle and pass size and fine estimate."""
     at = with_roots(rows, components)
     small = renamed(at.filter("short"), "a_", [*_RARE, "root"])
@@ -298,16 +300,33 @@ def rare_pairs(rows: DataFrame, components: DataFrame) -> DataFrame:
         & (F.col("a_rest") | F.col("b_rest"))
         # Were this the first shingle that both share, as many must follow as the limit asks for.
         & (7 * F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) >= 3 * (F.col("a_n") + F.col("b_n")))
-        & size_allows("a_", "b_")
-        & (fine_estimate("a_", "b_") >= FINE_CUT),
+        & size_allows("a_", "b_"),
     )
-    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    pairs = durable(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+    fine = durable(fine_signatures(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), texts))
+    x = pairs.join(renamed(fine, "a_", ["node", "fine"]), F.col("a") == F.col("a_node")).join(renamed(fine, "b_", ["node", "fine"]), F.col("b") == F.col("b_node"))
+    return x.filter(fine_estimate("a_", "b_") >= FINE_CUT).select("a", "b")
+
+
+def fine_signatures(used: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and its finer signature, of the nodes in ``used``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fine = [signature(minima(shingle_set(text), _FINE_MULT, _FINE_ADD)).tolist() for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fine, pa.list_(pa.int64()))], names=["node", "fine"])
+
+    return texts.join(used.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_semi").mapInArrow(run, "node binary, fine array<bigint>")
 
 
 def texts_of(used: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and one text of each node in ``used``, written out."""
-    keys = nodes.join(used, "node", "left_semi").select("node", "text_key")
-    texts = docs.select(text_key().alias("__k"), "text").join(keys, F.col("__k") == F.col("text_key")).select("node", "text")
+    """node and one text of each node in ``used``, written out.
+
+    Only the row that speaks for a node has its id and text, so a text that many rows repeat is dealt by their ids, and one row of it goes on.
+    """
+    speaks = nodes.join(used, "node", "left_semi").select("node", "least_id", F.col("text_key").alias("__k"))
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("__id"), text_key().alias("__key"), "text")
+    texts = keyed.join(speaks, (F.col("__id") == F.col("least_id")) & (F.col("__key") == F.col("__k"))).select("node", "text")
     return durable(texts.dropDuplicates(["node"]))
 
 
@@ -375,10 +394,8 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     digest = durable(digests(docs))
     with_set = digest.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    first = with_set.groupBy("node").agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct("text_key", F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")).alias("x")
-    )
-    nodes = durable(first.select("node", "least_id", "x.*"))
+    first = with_set.groupBy("node").agg(F.min(F.struct(F.col("doc_id").alias("least_id"), "text_key", F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")).alias("x"))
+    nodes = durable(first.select("node", "x.*"))
     members = durable(members_of_shared_bands(nodes))
     links = durable(confirmed(durable(star_pairs(members, nodes)), nodes, docs))
     components = components_of(links)
@@ -394,9 +411,10 @@ def groups(docs: DataFrame) -> DataFrame:
         components = components_of(links)
         at = durable(unsettled(members, components))
     more = band_pairs(at)
-    many = durable(at.filter(F.col("outside") > LARGE_BAND).groupBy("node").agg(F.max(F.col("root") != F.col("main")).alias("rest")))
+    many = durable(at.filter(F.col("outside") > LARGE_BAND).groupBy("node", "n").agg(F.max(F.col("root") != F.col("main")).alias("rest")))
     if many.take(1):
-        more = more.union(rare_pairs(rare_shingles(many, nodes, docs), components)).distinct()
+        texts = texts_of(many.select("node"), nodes, docs)
+        more = more.union(rare_pairs(rare_shingles(many, texts), components, texts)).distinct()
     more = durable(more)
     if more.take(1):
         components = components_of(links.union(confirmed(more, nodes, docs)))
