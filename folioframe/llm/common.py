@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +43,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. A session on one machine may name none and gets a temporary one; on a cluster that is an error."""
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="folioframe-")
     return _own_folder
@@ -60,17 +64,38 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete the tables that durable() has written in this process; call it when the results that read them are stored."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete what is made durable inside, but for the result: ``with passing(spark) as last: ... return last(df)``."""
+    mark, results = len(_written), []
+
+    def last(df: DataFrame) -> DataFrame:
+        out = durable(df)
+        results.append(_written[-1])
+        return out
+
+    try:
+        yield last
+    finally:
+        made, _written[mark:] = _written[mark:], results
+        _delete(spark, [p for p in made if p not in results])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         n += path.getFileSystem(conf).delete(path, True)
     return n
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that durable() has written in this process; call it when the results that read them are stored."""
+    paths, _written[:] = list(_written), []
+    return _delete(spark, paths)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` as a lambda variable."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, free_name, spread, table, words
+from .common import durable, free_name, passing, spread, table, words
 
 #: The weights in turn, the share of all sizes to take in percent, and the golden ratio as a 32-bit fraction.
 WEIGHTS = (5, 2, 1)
@@ -167,16 +167,19 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix as rows: each document as often as the words taken from it fill it, rounded; all columns stay."""
     key = free_name(docs, "__key")
     keyed = docs.withColumn(key, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    sized = durable(keyed.select(F.col(key).alias("doc_id"), "source", F.size(words(F.col("text"))).cast("bigint").alias("size")))
-    taken = mix(sized).filter("size > 0").groupBy("doc_id", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = taken.select(F.col("doc_id").alias("__k"), F.col("source").alias("__s"), F.floor(F.col("taken") / F.col("size") + 0.5).alias("__copies")).filter("__copies > 0")
+    with passing(docs.sparkSession) as last:
+        sized = durable(keyed.select(F.col(key).alias("doc_id"), "source", F.size(words(F.col("text"))).cast("bigint").alias("size")))
+        taken = mix(sized).filter("size > 0").groupBy("doc_id", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+        copies = taken.select(F.col("doc_id").alias("__k"), F.col("source").alias("__s"), F.floor(F.col("taken") / F.col("size") + 0.5).alias("__copies"))
+        copies = last(copies.filter("__copies > 0"))
     met = keyed.join(copies, (F.col(key) == F.col("__k")) & F.col("source").eqNullSafe(F.col("__s")))
     return met.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
 
 
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it."""
-    return mix(durable(sizes(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))))).drop("source")
+    with passing(spark) as last:
+        return last(mix(durable(sizes(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))))).drop("source"))
 
 
 SQL_OP3 = rf"""

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, free_name, small_batches, spread, table
+from .common import durable, free_name, passing, small_batches, spread, table
 
 SHINGLE = 5
 HASHES, ROWS = 128, 4
@@ -392,39 +392,40 @@ def groups(docs: DataFrame) -> DataFrame:
 
     ``group`` tells components apart where ids repeat; what has no shingles is grouped by its text only.
     """
-    digest = durable(digests(docs))
-    with_set = digest.filter("node IS NOT NULL AND doc_id IS NOT NULL")
-    first = with_set.groupBy("node").agg(F.min(F.struct(F.col("doc_id").alias("least_id"), "text_key", F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")).alias("x"))
-    nodes = durable(first.select("node", "x.*"))
-    members = durable(members_of_shared_bands(nodes))
-    links = durable(confirmed(durable(star_pairs(members, nodes)), nodes, docs))
-    components = components_of(links)
-    at = durable(unsettled(members, components))
-    tried = None
-    for _ in range(CENTRAL_ROUNDS):
-        found = central_pairs(at)
-        found = durable(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
-        if not found.take(1):
-            break
-        tried = found if tried is None else tried.union(found)
-        links = durable(links.union(confirmed(found, nodes, docs)))
+    with passing(docs.sparkSession) as last:
+        digest = durable(digests(docs))
+        with_set = digest.filter("node IS NOT NULL AND doc_id IS NOT NULL")
+        first = with_set.groupBy("node").agg(F.min(F.struct(F.col("doc_id").alias("least_id"), "text_key", F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")).alias("x"))
+        nodes = durable(first.select("node", "x.*"))
+        members = durable(members_of_shared_bands(nodes))
+        links = durable(confirmed(durable(star_pairs(members, nodes)), nodes, docs))
         components = components_of(links)
         at = durable(unsettled(members, components))
-    more = band_pairs(at)
-    many = durable(at.filter(F.col("outside") > LARGE_BAND).groupBy("node", "n").agg(F.max(F.col("root") != F.col("main")).alias("rest")))
-    if many.take(1):
-        texts = texts_of(many.select("node"), nodes, docs)
-        more = more.union(rare_pairs(rare_shingles(many, texts), components, texts)).distinct()
-    more = durable(more)
-    if more.take(1):
-        components = components_of(links.union(confirmed(more, nodes, docs)))
-    c = components.select(F.col("id").alias("__id"), "root")
-    rooted = nodes.select("node", "least_id").join(c, F.col("node") == F.col("__id"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least_id").alias("component")).select(F.col("root").alias("__root"), "component")
-    named = rooted.join(names, F.col("root") == F.col("__root")).select(F.col("node").alias("__node"), "component", F.col("root").alias("group"))
-    out = digest.join(named, F.col("node") == F.col("__node"), "left")
-    grouped = F.when(F.col("node").isNotNull() & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("group", "text_key").alias("group"), grouped.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        tried = None
+        for _ in range(CENTRAL_ROUNDS):
+            found = central_pairs(at)
+            found = durable(found if tried is None else found.join(tried, ["a", "b"], "left_anti"))
+            if not found.take(1):
+                break
+            tried = found if tried is None else tried.union(found)
+            links = durable(links.union(confirmed(found, nodes, docs)))
+            components = components_of(links)
+            at = durable(unsettled(members, components))
+        more = band_pairs(at)
+        many = durable(at.filter(F.col("outside") > LARGE_BAND).groupBy("node", "n").agg(F.max(F.col("root") != F.col("main")).alias("rest")))
+        if many.take(1):
+            texts = texts_of(many.select("node"), nodes, docs)
+            more = more.union(rare_pairs(rare_shingles(many, texts), components, texts)).distinct()
+        more = durable(more)
+        if more.take(1):
+            components = components_of(links.union(confirmed(more, nodes, docs)))
+        c = components.select(F.col("id").alias("__id"), "root")
+        rooted = nodes.select("node", "least_id").join(c, F.col("node") == F.col("__id"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+        names = rooted.groupBy("root").agg(F.min("least_id").alias("component")).select(F.col("root").alias("__root"), "component")
+        named = rooted.join(names, F.col("root") == F.col("__root")).select(F.col("node").alias("__node"), "component", F.col("root").alias("group"))
+        out = digest.join(named, F.col("node") == F.col("__node"), "left")
+        grouped = F.when(F.col("node").isNotNull() & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
+        return last(out.select("doc_id", "text_key", "n_shingles", F.coalesce("group", "text_key").alias("group"), grouped.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def op2_near_duplicates(spark, sf_dir: str) -> DataFrame:
@@ -438,10 +439,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat both id and text are rare: only they are compared with each other.
     """
     ids, key = free_name(docs, "__id"), free_name(docs, "__key")
-    found = durable(groups(docs.select("doc_id", "text")).filter("kept AND doc_id IS NOT NULL"))
-    keep = found.groupBy(F.col("doc_id").alias(ids), F.col("text_key").alias("__k"), "group").agg(F.count(F.lit(1)).alias("__n"))
-    # One id may carry several texts of one group: the smallest text key speaks for it.
-    keep = durable(keep.groupBy(ids, "group").agg(F.min(F.struct("__k", "__n")).alias("x")).select(ids, "x.__k", "x.__n"))
+    with passing(docs.sparkSession) as last:
+        found = groups(docs.select("doc_id", "text")).filter("kept AND doc_id IS NOT NULL")
+        keep = found.groupBy(F.col("doc_id").alias(ids), F.col("text_key").alias("__k"), "group").agg(F.count(F.lit(1)).alias("__n"))
+        # One id may carry several texts of one group: the smallest text key speaks for it.
+        keep = last(keep.groupBy(ids, "group").agg(F.min(F.struct("__k", "__n")).alias("x")).select(ids, "x.__k", "x.__n"))
     keyed = docs.withColumn(key, text_key())
     same = (F.col("doc_id") == F.col(ids)) & (F.col(key) == F.col("__k"))
     out = keyed.join(keep.filter("__n = 1"), same, "left_semi")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, durable, let, spread, table, words
+from .common import WORD_GAP, durable, let, passing, spread, table, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -132,11 +132,12 @@ def with_verdicts(judged: DataFrame, verdicts: DataFrame, host: str = "source")
 
 def op5_host_rules(spark, sf_dir: str) -> DataFrame:
     """Every document with its counts and verdict."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    judged = durable(row_rules(docs).drop("text"))
-    return with_verdicts(judged, host_verdicts(judged)).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "host_rejected", "kept"
-    )
+    with passing(spark) as last:
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+        judged = durable(row_rules(docs).drop("text"))
+        return last(with_verdicts(judged, host_verdicts(judged)).select(
+            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "host_rejected", "kept"
+        ))
 
 
 SQL_OP5 = r"""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, spread, table
+from .common import durable, passing, spread, table
 
 SHARDS = 24
 CELLS = 512
@@ -216,8 +216,9 @@ def with_slots(sharded: DataFrame) -> DataFrame:
 
 def op6_kd_shards(spark, sf_dir: str) -> DataFrame:
     """Every document with its shard and its place in it."""
-    rows = durable(metadata(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
-    sharded = durable(kd_shards(rows))
-    return with_slots(sharded).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
-    )
+    with passing(spark) as last:
+        rows = durable(metadata(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+        sharded = durable(kd_shards(rows))
+        return last(with_slots(sharded).select(
+            "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        ))

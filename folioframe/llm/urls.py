@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, table
+from .common import durable, passing, table
 
 
 @dataclass(frozen=True)
@@ -175,9 +175,10 @@ def judged(pages: DataFrame, rules: DataFrame, listed: tuple[Rule, ...] = RULES)
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
     """Every page's verdict."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    rules = durable(mined(durable(baskets(pages, table(spark, sf_dir, "labels"), MiningParams()))))
-    return judged(pages, rules)
+    with passing(spark) as last:
+        pages = table(spark, sf_dir, "pages").select("page_id", "url")
+        rules = durable(mined(durable(baskets(pages, table(spark, sf_dir, "labels"), MiningParams()))))
+        return last(judged(pages, rules))
 
 
 def _oracle() -> str:

@@ -824,3 +824,30 @@ def test_durable_tables_can_be_cleared(spark, tmp_path):
     import os
 
     assert os.path.isdir(path) and common.clear(spark) == 1 and not os.path.isdir(path)
+
+
+def test_queries_leave_their_result_only(spark, tmp_path):
+    import os
+
+    from folioframe.llm import common
+
+    common.clear(spark)
+    common.durable(spark.range(1))
+    folder = os.path.dirname(common._written[-1].removeprefix("file://"))
+    common.clear(spark)
+    held = set(os.listdir(folder))
+    for name in ("op2_near_duplicates", "op3_source_mix", "op5_host_rules", "op6_kd_shards", "op9_url_filter"):
+        result = registry.QUERIES[name](spark, SF)
+        assert result.count() > 0 and len(common._written) == 1 and len(set(os.listdir(folder)) - held) == 1
+        common.clear(spark)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from folioframe.llm import common
+
+    on = lambda master, folder: SimpleNamespace(conf={"spark.checkpoint.dir": folder} if folder else {}, sparkContext=SimpleNamespace(master=master))
+    assert common.shared_folder(on("spark://h:7077", "s3a://b/c/")) == "s3a://b/c"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(on("spark://h:7077", None))
