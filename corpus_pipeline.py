@@ -1,12 +1,18 @@
 """The corpus pipeline: quality rules, language, near-duplicates, source mix, and token ids.
 
 Every stage takes all rows that the one before it kept. All but the last return the columns of documents.
+
+Defined results: a null or empty text has no words, so the quality rules reject it; a text without letters has no language
+and is rejected; a null source is a source and a host of its own; a null id is no reason to reject, and such rows are no
+near-duplicates; of rows that repeat id and text one stays; of near-duplicates the one with the smallest id stays; texts of
+any length are taken whole; columns beside those of documents pass through the first four stages, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from folioframe.llm import language, mixing, neardup, pieces, quality
-from folioframe.llm.common import durable, table
+from folioframe.llm.common import durable, passing, table
 
 
 def quality_stage(spark, docs, sf_dir):
@@ -50,8 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over documents; each result but the last is written, and read again as the next stage's input."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over documents; each result is written and read again as the next stage's input, and only the last one stays."""
+    with passing(spark) as last:
+        docs = table(spark, sf_dir, "documents")
+        for _, stage in STAGES[:-1]:
+            docs = durable(stage(spark, docs, sf_dir))
+        return last(STAGES[-1][1](spark, docs, sf_dir))
