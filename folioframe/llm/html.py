@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,6 +89,8 @@ def parsed(html: str) -> list[Node]:
     """Nodes in page order, parents before their children."""
     nodes = [Node("#page", (), -1)]
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and the node that each is in
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open, so that no end tag is searched for
+    blocks = [0]  # and where elements that are nodes are
     text: list[str] = []
     linked = 0
     links = 0
@@ -106,10 +109,21 @@ def parsed(html: str) -> list[Node]:
     def shut(k: int) -> None:
         """Close the open elements from k on."""
         nonlocal links
-        if any(t in NODES for t, _ in stack[k:]):
+        if blocks[-1] >= k:
             flush()
-        links -= sum(t == "a" for t, _ in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            tag, _ = stack.pop()
+            places[tag].pop()
+            links -= tag == "a"
+        while blocks[-1] >= k:
+            blocks.pop()
+
+    def last_place(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def opened(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
 
     def add(chunk: str) -> None:
         nonlocal linked
@@ -140,13 +154,9 @@ def parsed(html: str) -> list[Node]:
                 flush()
             if tag == "br":
                 add(" ")
-            block = tag in NODES
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    shut(k)
-                    break
-                if not block and stack[k][0] in NODES:
-                    break
+            k = last_place((tag,))
+            if k > (0 if tag in NODES else blocks[-1]):
+                shut(k)
             continue
         if tag in RAW and not m[3].endswith("/"):
             low = html.lower() if low is None else low
@@ -167,28 +177,26 @@ def parsed(html: str) -> list[Node]:
             continue
         if tag in NODES:
             flush()
-            for k in range(len(stack) - 1, 0, -1) if tag in BLOCK else ():
-                if stack[k][0] == "p":  # a paragraph ends where a block begins
-                    shut(k)
-                    break
-                if stack[k][0] in NODES:
-                    break
+            if tag in BLOCK and stack[blocks[-1]][0] == "p":  # a paragraph ends where a block begins
+                shut(blocks[-1])
             if tag in CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in SCOPES.get(tag, ()):
-                        break
-                    if stack[k][0] in CLOSES[tag]:
-                        shut(k)
-                        if tag not in ("tr", "thead", "tbody", "tfoot"):
-                            break
+                scope = last_place(SCOPES.get(tag, ()))
+                if tag in ("tr", "thead", "tbody", "tfoot"):  # all of them within the table end, the outermost first
+                    ends = [places[t][i] for t in CLOSES[tag] if places.get(t) and (i := bisect_right(places[t], scope)) < len(places[t])]
+                    k = min(ends, default=0)
+                else:
+                    k = last_place(CLOSES[tag])
+                if k > scope:
+                    shut(k)
             kinds = kinds_of(m[3]) if "=" in m[3] else ()
             label = re.search(r"data-label=(\d)", m[3])
             nodes.append(Node(tag, kinds, stack[-1][1], int(label[1]) if label else None))
-            stack.append((tag, len(nodes) - 1))
+            blocks.append(len(stack))
+            opened(tag, len(nodes) - 1)
         else:
             if tag == "a":
                 links += 1
-            stack.append((tag, stack[-1][1]))
+            opened(tag, stack[-1][1])
     flush()
     for n in range(len(nodes) - 1, 0, -1):
         p = nodes[nodes[n].parent]

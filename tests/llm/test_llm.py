@@ -639,6 +639,28 @@ def test_unclosed_parts_lose_no_article(before):
     assert got.endswith("Head line\n\nOne sentence of the article, long enough to count.\n\nAnother one follows it.")
 
 
+def test_time_grows_with_the_page():
+    """Open elements that never end, and end tags without a start."""
+    from time import process_time
+
+    def seconds(n):
+        pages = ["<div>" * n + "</span></section>" * n, "<b>" * n + "<div>x</div></i>" * n, "<table>" + "<tr><td><i>y" * n, "<ul>" + "<li><b>z" * n + "</p>" * n, "<p>x" * n]
+        at = process_time()
+        for p in pages:
+            html.parsed(p)
+        return process_time() - at
+
+    seconds(2000)
+    assert seconds(16_000) < 8 * 3 * max(seconds(2000), 0.02)
+
+
+def test_very_long_and_odd_pages(spark):
+    long = "<article>" + "".join(f"<p>This is sentence number {i} of the article.</p>" for i in range(20_000)) + "</article>"
+    df = spark.createDataFrame([(1, "u", long), (1, "u", long), (None, None, None)], "page_id bigint, url string, html string").withColumn("n_chars", F.lit("x"))
+    got = html.main_texts(df).collect()
+    assert Counter((r.page_id, r.text.count("\n\n"), r.n_chars == len(r.text)) for r in got) == {(1, 19_999, True): 2, (None, 0, True): 1}
+
+
 def test_parts_of_an_article_are_seen():
     page = "<article><p>Let <math><mi>x</mi><mspace/></math> be a number of this kind.</p>{}<p>This sentence ends the article.</p></article>"
     for tag in ("noscript", "object", "button", "template", "canvas"):
