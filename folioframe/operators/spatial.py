@@ -2,7 +2,11 @@
 
 Every join is an equality on the page, so Spark hashes pages over the cluster, plus a residual condition in the
 generated code. Where a page may be dense, boxes are also dealt to the squares of a grid that they touch and meet
-by square: a pair is kept in one square only, that of the upper left corner of what the two share.
+by square: a pair is kept in one square only, that of the upper left corner of what the two share. What asks whether a box
+lies in another looks up the square of its upper left corner only; what asks for something near widens one side by the reach.
+
+Boxes and pages that are null meet nothing; equal boxes and repeated rows are rows of their own unless an operator says
+otherwise; of equally good partners the upper, then the left one or the smaller number counts; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -52,57 +56,79 @@ def best_cell(items: DataFrame, cells: DataFrame, params: Params = DEFAULT) -> D
     return found.select("page_id", "item_id", F.col("m.overlap").alias("overlap"), (-F.col("m.l")).alias("c_x1"), (-F.col("m.t")).alias("c_y1"), F.col("m.b_x2").alias("c_x2"), F.col("m.b_y2").alias("c_y2"))
 
 
-def nearest_cell_gap(items: DataFrame, cells: DataFrame) -> DataFrame:
-    """page_id, item_id and the distance to the nearest cell of the page."""
-    pairs = prefixed(items.select("page_id", "item_id", *BOX), "a_").join(prefixed(cells.select("page_id", *BOX), "b_"), "page_id")
-    return pairs.groupBy("page_id", F.col("a_item_id").alias("item_id")).agg(F.min(g.gap(g.box("a_"), g.box("b_"))).alias("gap"))
+def nearest_cell_gap(items: DataFrame, cells: DataFrame, reach: int = SQUARE) -> DataFrame:
+    """page_id, item_id and the distance to the nearest cell of the page.
+
+    Cells within reach meet an item by square; only items that have none so near are compared with all cells of their page.
+    """
+    a = prefixed(items.select("page_id", "item_id", *BOX), "a_")
+    b = prefixed(cells.select("page_id", *BOX), "b_")
+    gap = F.min(g.gap(g.box("a_"), g.box("b_"))).alias("gap")
+    met = squares(a, "a_").join(squares(b, "b_", reach=reach), ["page_id", "gx", "gy"])
+    near = met.groupBy("page_id", F.col("a_item_id").alias("item_id")).agg(gap).filter(F.col("gap") <= reach)
+    far = a.join(near.select(F.col("page_id").alias("__p"), F.col("item_id").alias("__i")), (F.col("page_id") == F.col("__p")) & (F.col("a_item_id") == F.col("__i")), "left_anti")
+    return near.unionByName(far.join(b, "page_id").groupBy("page_id", F.col("a_item_id").alias("item_id")).agg(gap))
+
+
+def outer_squares(cells: DataFrame) -> DataFrame:
+    """Boxes b_ as containers: page, square and box."""
+    return squares(prefixed(cells.select("page_id", *BOX), "b_", ()), "b_").withColumnsRenamed({"gx": "b_gx", "gy": "b_gy"})
+
+
+def in_outer() -> Column:
+    """Whether a container is on the page, covers the square of the inner box's upper left corner, and holds the box."""
+    x1, y1, _, _ = g.box()
+    at = (F.floor(x1 / SQUARE) == F.col("b_gx")) & (F.floor(y1 / SQUARE) == F.col("b_gy"))
+    return (F.col("page_id") == F.col("b_page_id")) & at & g.contains(g.box("b_"), g.box())
 
 
 def without_contained(cells: DataFrame) -> DataFrame:
     """Cells that no cell of strictly larger area contains."""
-    a = cells
-    b = prefixed(cells.select("page_id", *BOX), "b_", ())
-    return a.join(b, (a.page_id == b.b_page_id) & g.contains(g.box("b_"), g.box()) & (g.area(g.box("b_")) > g.area(g.box())), "left_anti")
+    return cells.join(outer_squares(cells), in_outer() & (g.area(g.box("b_")) > g.area(g.box())), "left_anti")
 
 
 def outside_protected(cells: DataFrame, protected: Column | None = None) -> DataFrame:
     """All protected cells, and the others that lie in no different protected cell."""
-    mark = F.col("morph") if protected is None else protected
-    a = cells.withColumn("__p", mark)
-    b = prefixed(a.filter("__p").select("page_id", *BOX), "b_", ())
-    same = (a.x1 == b.b_x1) & (a.y1 == b.b_y1) & (a.x2 == b.b_x2) & (a.y2 == b.b_y2)
-    return a.join(b, (a.page_id == b.b_page_id) & ~a["__p"] & ~same & g.contains(g.box("b_"), g.box()), "left_anti").drop("__p")
+    a = cells.withColumn("__p", F.col("morph") if protected is None else protected)
+    same = (F.col("x1") == F.col("b_x1")) & (F.col("y1") == F.col("b_y1")) & (F.col("x2") == F.col("b_x2")) & (F.col("y2") == F.col("b_y2"))
+    return a.join(outer_squares(a.filter("__p")), ~F.col("__p") & ~same & in_outer(), "left_anti").drop("__p")
 
 
 def uncovered(items: DataFrame, cells: DataFrame) -> DataFrame:
     """Items that lie in no cell."""
-    b = prefixed(cells.select("page_id", *BOX), "b_", ())
-    return items.join(b, (items.page_id == b.b_page_id) & g.contains(g.box("b_"), g.box()), "left_anti")
+    return items.join(outer_squares(cells), in_outer(), "left_anti")
+
+
+def with_partner(cells: DataFrame, others: DataFrame, reach: int, condition: Column) -> DataFrame:
+    """Cells for which some other box b_, which lies within reach, fulfils the condition."""
+    wide = squares(cells.select("page_id", *BOX).distinct(), reach=reach)
+    b = squares(prefixed(others.select("page_id", *BOX), "b_", ()), "b_").withColumnsRenamed({"gx": "b_gx", "gy": "b_gy"})
+    near = (F.col("page_id") == F.col("b_page_id")) & (F.col("gx") == F.col("b_gx")) & (F.col("gy") == F.col("b_gy"))
+    met = wide.join(b, near & condition, "left_semi").select("page_id", *BOX).distinct()
+    return cells.join(met, ["page_id", *BOX], "left_semi").select(*cells.columns)
 
 
 def cells_near_text(cells: DataFrame, items: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Cells with an item's centre inside, with more than near_share of an item, or with an item's centre at near_distance at most."""
-    b = prefixed(items.select("page_id", *BOX), "b_", ())
     c, i = g.box(), g.box("b_")
     cx, cy = g.centre_x(i), g.centre_y(i)
     inside = (cx >= c[0]) & (cx <= c[2]) & (cy >= c[1]) & (cy <= c[3])
     shares = g.overlap_area(c, i) > params.near_share * g.area(i)
     dx, dy = g.centre_x(c) - cx, g.centre_y(c) - cy
     near = dx * dx + dy * dy <= params.near_distance**2
-    return cells.join(b, (F.col("page_id") == F.col("b_page_id")) & (inside | shares | near), "left_semi")
+    return with_partner(cells, items, params.near_distance, inside | shares | near)
 
 
 def grid_neighbours(cells: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Cells with a neighbour in their row or column; a page of one cell keeps it."""
-    b = prefixed(cells.select("page_id", *BOX), "b_", ())
     c, o = g.box(), g.box("b_")
     t, s = params.neighbour_align, params.neighbour_gap
     row = (F.abs(c[1] - o[1]) <= t) & (F.abs(c[3] - o[3]) <= t) & (F.least(F.abs(c[2] - o[0]), F.abs(o[2] - c[0])) <= s)
     col = (F.abs(c[0] - o[0]) <= t) & (F.abs(c[2] - o[2]) <= t) & (F.least(F.abs(c[3] - o[1]), F.abs(o[3] - c[1])) <= s)
     other = (c[0] != o[0]) | (c[1] != o[1]) | (c[2] != o[2]) | (c[3] != o[3])
-    met = cells.join(b, (F.col("page_id") == F.col("b_page_id")) & other & (row | col), "left_semi")
-    single = cells.join(cells.groupBy("page_id").count().filter("count <= 1").select(F.col("page_id").alias("__p")), F.col("page_id") == F.col("__p"), "left_semi")
-    return met.unionByName(single)
+    met = with_partner(cells, cells, max(t, s), other & (row | col))
+    single = cells.groupBy("page_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n <= 1").select(F.col("page_id").alias("__p"))
+    return met.unionByName(cells.join(single, F.col("page_id") == F.col("__p"), "left_semi"))
 
 
 def line_crossings(segments: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -169,6 +195,37 @@ def bounding_lines(items: DataFrame, rulings: DataFrame, page_w: int, page_h: in
     return sides.select("page_id", "item_id", F.coalesce("l", F.lit(0)).alias("x1"), F.coalesce("t", F.lit(0)).alias("y1"), F.coalesce("r", F.lit(page_w)).alias("x2"), F.coalesce("b", F.lit(page_h)).alias("y2"))
 
 
+def bounding_cells(items: DataFrame, segments: DataFrame, page_w: int, page_h: int, params: Params = DEFAULT) -> DataFrame:
+    """page_id, item_id, try_no and the box that the nearest lines around each item's centre enclose, within the size limits.
+
+    ``segments`` has page_id, orient, pos, lo and hi. A line counts if it has ink within a reach of the centre, measured along
+    the line. The first of three tries counts that gives a box of fitting size: the near reach, the wide one, and the wide one
+    with the page's border where a side has no line. Whether the box is white inside is a raster's matter (``raster.measured``).
+    """
+    near, wide = params.bounding_reach
+    cx, cy = F.expr("(x1 + x2) DIV 2").cast("int"), F.expr("(y1 + y2) DIV 2").cast("int")
+    points = items.select("page_id", "item_id", cx.alias("cx"), cy.alias("cy"))
+    # Points and lines meet by strips across the lines, so that a dense page is spread.
+    way = F.explode(F.array(F.struct(F.lit("h").alias("o"), F.col("cx").alias("along"), F.col("cy").alias("at")), F.struct(F.lit("v").alias("o"), F.col("cy").alias("along"), F.col("cx").alias("at")))).alias("w")
+    p = points.select("page_id", "item_id", way).select("page_id", "item_id", "w.*", F.floor(F.col("w.along") / SQUARE).alias("strip"))
+    strips = F.explode(F.sequence(F.floor((F.col("lo") - wide) / SQUARE), F.floor((F.col("hi") + wide) / SQUARE))).alias("b_strip")
+    s = segments.filter("hi >= lo").select(F.col("page_id").alias("b_page"), "orient", "pos", "lo", "hi", strips)
+    met = p.join(s, (F.col("page_id") == F.col("b_page")) & (F.col("o") == F.col("orient")) & (F.col("strip") == F.col("b_strip")) & F.col("along").between(F.col("lo") - wide, F.col("hi") + wide))
+    close = F.col("along").between(F.col("lo") - near, F.col("hi") + near)
+    sides = {}
+    for name, ok in (("n", close), ("w", F.lit(True))):
+        for o in ("h", "v"):
+            sides[f"{name}{o}0"] = F.max(F.when(ok & (F.col("o") == o) & (F.col("pos") <= F.col("at")), F.col("pos")))
+            sides[f"{name}{o}1"] = F.min(F.when(ok & (F.col("o") == o) & (F.col("pos") >= F.col("at")), F.col("pos")))
+    found = points.select("page_id", "item_id").join(met.groupBy("page_id", "item_id").agg(*[c.alias(k) for k, c in sides.items()]), ["page_id", "item_id"], "left")
+    box = lambda k, name, border: F.struct(
+        F.lit(k).alias("try_no"), *[F.coalesce(F.col(name + side), F.lit(b) if border else F.lit(None).cast("int")).alias(c) for side, c, b in (("v0", "x1", 0), ("h0", "y1", 0), ("v1", "x2", page_w - 1), ("h1", "y2", page_h - 1))]
+    )
+    fits = lambda t: (t["x2"] - t["x1"]).between(params.cell_min_w, params.cell_max_w) & (t["y2"] - t["y1"]).between(params.cell_min_h, params.cell_max_h)
+    tries = F.filter(F.array(box(1, "n", False), box(2, "w", False), box(3, "w", True)), lambda t: F.coalesce(fits(t), F.lit(False)))
+    return found.select("page_id", "item_id", F.get(tries, 0).alias("t")).filter("t IS NOT NULL").select("page_id", "item_id", "t.*")
+
+
 def near_duplicates(items: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Pairs of items of one page whose boxes agree: page_id, a, b (a < b) and iou."""
     cols = ["page_id", "item_id", *BOX]
@@ -190,16 +247,22 @@ def aligned_below(a, b, strict: bool) -> Column:
 
 
 def nearest_below(items: DataFrame, strict: bool = False) -> DataFrame:
-    """page_id, item_id, below and v_gap: the nearest aligned line under each item."""
+    """page_id, item_id, below and v_gap: the nearest aligned line under each item.
+
+    The gap is bounded by a multiple of both heights, so a box's share of the space below it and a box's share of the space
+    above it must touch: these spaces meet by square.
+    """
     cols = ["page_id", "item_id", *BOX]
     a, b = g.box("a_"), g.box("b_")
     v_gap = b[1] - a[3]
+    most, aside = (1.2, 36) if strict else (2.5, 80)
     one = F.lit(1)
-    heights = (F.greatest(one, g.height(a)) + F.greatest(one, g.height(b))) / 2 if strict else (g.height(a) + g.height(b)) / 2
-    pairs = prefixed(items.select(*cols), "a_", ()).join(
-        prefixed(items.select(*cols), "b_", ()),
-        (F.col("a_page_id") == F.col("b_page_id")) & (F.col("a_item_id") != F.col("b_item_id")) & (v_gap >= 0) & (v_gap <= (1.2 if strict else 2.5) * heights) & aligned_below(a, b, strict),
-    )
+    tall = lambda x: F.greatest(one, g.height(x)) if strict else g.height(x)
+    space = lambda x: F.ceil(tall(x) * most / 2).cast("int")
+    under = squares(prefixed(items.select(*cols), "a_", ()).withColumns({"u_x1": a[0] - aside, "u_y1": a[3], "u_x2": a[2] + aside, "u_y2": a[3] + space(a)}), "u_")
+    above = squares(prefixed(items.select(*cols), "b_", ()).withColumns({"o_x1": b[0], "o_y1": b[1] - space(b), "o_x2": b[2], "o_y2": b[1]}), "o_").withColumnsRenamed({"gx": "b_gx", "gy": "b_gy"})
+    near = (F.col("a_page_id") == F.col("b_page_id")) & (F.col("gx") == F.col("b_gx")) & (F.col("gy") == F.col("b_gy"))
+    pairs = under.join(above, near & (F.col("a_item_id") != F.col("b_item_id")) & (v_gap >= 0) & (v_gap <= most * ((tall(a) + tall(b)) / 2)) & aligned_below(a, b, strict))
     best = pairs.groupBy(F.col("a_page_id").alias("page_id"), F.col("a_item_id").alias("item_id")).agg(F.min(F.struct(v_gap.alias("v_gap"), F.col("b_item_id").alias("below"))).alias("m"))
     return best.select("page_id", "item_id", "m.below", "m.v_gap")
 

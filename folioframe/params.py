@@ -27,6 +27,9 @@ class Params:
     crossing_window: int = 100
     min_crossings: int = 2
     side_tolerances: tuple[int, int] = (5, 9)
+    bounding_reach: tuple[int, int] = (30, 120)
+    corner_level: int = 128
+    least_cells: int = 3
     dedup_iou: float = 0.45
     dedup_ratio: float = 0.68
     batch_size: int = 40
