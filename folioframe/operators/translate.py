@@ -13,8 +13,11 @@ from ..functions import text as t
 from ..functions.fitting import Metrics
 from ..params import DEFAULT
 
-#: Rows of a term list or cache up to which it is handed to every executor; larger ones are joined by hash.
+#: Rows and bytes of a term list or cache up to which it is handed to every executor; larger ones are joined by hash.
 SMALL_ROWS = 50_000
+SMALL_BYTES = 16 << 20
+#: Leading characters by which texts are numbered in pieces.
+PIECE_CHARS = 6
 
 
 def distinct_terms(terms: DataFrame) -> DataFrame:
@@ -23,8 +26,10 @@ def distinct_terms(terms: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast a table if a count shows it to be small; else leave the choice of join to Spark."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    """Broadcast a table if its rows and bytes, counted, are few; else leave the choice of join to Spark."""
+    octets = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns]
+    n, size = df.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(octets[1:], octets[0])), F.lit(0))).first()
+    return F.broadcast(df) if n <= SMALL_ROWS and size <= SMALL_BYTES else df
 
 
 def with_terms(items: DataFrame, terms: DataFrame, keep: str = "absent") -> DataFrame:
@@ -64,10 +69,20 @@ def cache_cascade(items: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def batches(texts: DataFrame, order: list[str], size: int = DEFAULT.batch_size, within: str | None = None) -> DataFrame:
-    """Append batch_no and id (both from 1) in order; ``within`` numbers each key's rows for themselves, which is what large inputs need."""
-    w = Window.partitionBy(within if within else F.lit(1)).orderBy(*order)
-    n = F.row_number().over(w)
-    return texts.withColumn("__n", n).withColumns({"batch_no": F.expr(f"(__n - 1) DIV {size}") + 1, "id": F.col("__n")}).drop("__n")
+    """Append batch_no and id (both from 1) in order; ``within`` numbers each key's rows for themselves.
+
+    Rows are numbered in pieces of equal leading characters of the first column, and pieces by their rows: no task gets all texts.
+    """
+    if within:
+        out = texts.withColumn("id", F.row_number().over(Window.partitionBy(within).orderBy(*order)))
+    else:
+        cut = texts.withColumn("__piece", F.substring(F.coalesce(F.col(order[0]).cast("string"), F.lit("")), 1, PIECE_CHARS))
+        counts = cut.groupBy("__piece").agg(F.count(F.lit(1)).alias("__c"))
+        before = F.coalesce(F.sum("__c").over(Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = counts.select(F.col("__piece").alias("__p"), before.alias("__before"))
+        inside = F.row_number().over(Window.partitionBy("__piece").orderBy(*order))
+        out = cut.withColumn("__n", inside).join(starts, F.col("__piece") == F.col("__p")).withColumn("id", (F.col("__before") + F.col("__n")).cast("int")).drop("__piece", "__p", "__before", "__n")
+    return out.withColumn("batch_no", F.expr(f"(id - 1) DIV {size}") + 1)
 
 
 def requests(sent: DataFrame, tagged: bool = True) -> DataFrame:
