@@ -16,6 +16,13 @@ def white_share(image: np.ndarray, box: Box, inset: int = 2, level: int = 180) -
     return float((part > level).mean()) if part.size else None
 
 
+def dark_corners(image: np.ndarray, box: Box, margin: int, level: int = 128) -> int:
+    """How many corners of a box have a dark pixel in the square around them."""
+    x1, y1, x2, y2 = box
+    around = (image[max(0, y - margin) : y + margin, max(0, x - margin) : x + margin] for y in (y1, y2) for x in (x1, x2))
+    return sum(bool((part < level).any()) for part in around if part.size)
+
+
 def mean_level(image: np.ndarray, box: Box, margin: int = 2) -> float:
     """Mean of a box widened by the margin; white where it lies outside."""
     x1, y1, x2, y2 = box

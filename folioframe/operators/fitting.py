@@ -69,6 +69,56 @@ def rotated_layers(items: DataFrame, metrics: Metrics = Metrics()) -> DataFrame:
     return placed(items, each)
 
 
+def quad_layers(items: DataFrame) -> DataFrame:
+    """angle, layer_w, layer_h, left and top of each turned item's layer, as columns beside the item's.
+
+    ``items`` has a quad, an array of four points x and y, beside the box. The layer is as long as the quad's longer side and as
+    high as its shorter one, within the box's longer and shorter side; turned, it is centred in the box: left and top are the
+    places of its upper left corner there, negative where it is larger. What lies outside the quad is cut away by ``in_quad``.
+    """
+    point = lambda k: F.get("quad", k)
+    dx, dy = point(1)["x"] - point(0)["x"], point(1)["y"] - point(0)["y"]
+    ex, ey = point(3)["x"] - point(0)["x"], point(3)["y"] - point(0)["y"]
+    one = F.lit(1.0)
+    side = lambda x, y: F.greatest(one, F.rint(F.sqrt((x * x + y * y).cast("double"))))
+    base, other = side(dx, dy), side(ex, ey)
+    w, h = F.greatest(F.lit(1), F.col("x2") - F.col("x1")), F.greatest(F.lit(1), F.col("y2") - F.col("y1"))
+    out = items.withColumns(
+        {
+            "angle": F.degrees(F.atan2(dy.cast("double"), dx.cast("double"))),
+            "layer_w": F.greatest(one, F.least(F.greatest(base, other), F.greatest(w, h))).cast("int"),
+            "layer_h": F.greatest(one, F.least(F.least(base, other), F.least(w, h))).cast("int"),
+        }
+    )
+    turn = F.radians("angle")
+    across = F.ceil(F.round(F.abs(F.col("layer_w") * F.cos(turn)) + F.abs(F.col("layer_h") * F.sin(turn)), 6))
+    down = F.ceil(F.round(F.abs(F.col("layer_w") * F.sin(turn)) + F.abs(F.col("layer_h") * F.cos(turn)), 6))
+    return out.withColumns({"left": ((w - across) / 2).cast("int"), "top": ((h - down) / 2).cast("int")})
+
+
+def in_quad(x: Column, y: Column, quad: str = "quad") -> Column:
+    """Whether a point lies in a convex quad, sides included: on one side of all four."""
+    crosses = []
+    for k in range(4):
+        a, b = F.get(quad, k), F.get(quad, (k + 1) % 4)
+        crosses.append((b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]))
+    return (F.least(*crosses) >= 0) | (F.greatest(*crosses) <= 0)
+
+
+def layer_texts(layers: DataFrame, metrics: Metrics = Metrics()) -> DataFrame:
+    """Lines of every layer (layer_w by layer_h) with their tops inside it."""
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                fit, lines = fitting.layer_lines(r.text, r.layer_w, r.layer_h, metrics)
+                out += [(r.page_id, r.item_id, k, line, 0.0, float(top), float(fit.size), fit.overflow) for k, (line, top) in enumerate(lines)]
+            yield pd.DataFrame(out, columns=NAMES)
+
+    return layers.select("page_id", "item_id", F.coalesce("text", F.lit("")).alias("text"), "layer_w", "layer_h").mapInPandas(kernel, PLACED)
+
+
 def single_line(metrics: Metrics = Metrics()) -> dict[str, Column]:
     """Size and state of the horizontal rule's first two steps as columns: whole, scaled, or still too wide."""
     w = F.col("x2") - F.col("x1")

@@ -1,21 +1,35 @@
-"""Order-dependent grouping. Kernels run on one page at a time: what they need is bounded by a page's items."""
+"""Order-dependent grouping. Kernels run on one page at a time: what they need is bounded by a page's items.
+
+An item is known by its page and its number there: pages may use the same numbers. Rows without a page are in no group; a
+null text is empty, a null confidence lowest, a null angle 0; ties go to the upper, then the left, then the smaller number;
+an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import greedy, raster
 from ..params import DEFAULT, Params
-from . import aggregates, spatial
+from . import aggregates, sequences, spatial
 from .paging import by_page
 
-ITEM = "page_id bigint, item_id bigint, text string, x1 int, y1 int, x2 int, y2 int, confidence double, source string"
+ITEM = "page_id bigint, item_id bigint, text string, x1 int, y1 int, x2 int, y2 int, confidence double, source string, angle double"
 COLUMNS = [c.split()[0] for c in ITEM.split(", ")]
 
 
+def upright(items: DataFrame) -> DataFrame:
+    """The items with their angle, 0 where there is none."""
+    return items.withColumn("angle", F.coalesce("angle", F.lit(0.0)) if "angle" in items.columns else F.lit(0.0))
+
+
+def same_item() -> Column:
+    return (F.col("page_id") == F.col("__p")) & (F.col("item_id") == F.col("__i"))
+
+
 def rows_of(rows) -> list[dict]:
     """Rows of a page as the kernels take them."""
     return [
@@ -30,9 +44,10 @@ def deduplicated(items: DataFrame, params: Params = DEFAULT) -> DataFrame:
     Only items that have a partner by box enter the kernel; the others cannot match and pass by.
     """
     pairs = spatial.near_duplicates(items, params)
-    partners = pairs.select(F.explode(F.array("a", "b")).alias("__i")).distinct()
-    in_kernel = items.join(partners, F.col("item_id") == F.col("__i"), "left_semi").select(*COLUMNS)
-    alone = items.join(partners, F.col("item_id") == F.col("__i"), "left_anti").select(*COLUMNS)
+    partners = pairs.select(F.col("page_id").alias("__p"), F.explode(F.array("a", "b")).alias("__i")).distinct()
+    items = upright(items).select(*COLUMNS)
+    in_kernel = items.join(partners, same_item(), "left_semi")
+    alone = items.join(partners, same_item(), "left_anti")
 
     def kernel(rows: list) -> list[tuple]:
         kept = {x["id"] for x in greedy.deduplicated(rows_of(rows), params.dedup_iou, params.dedup_ratio)}
@@ -48,7 +63,7 @@ def chained(items: DataFrame, strict: bool = False) -> DataFrame:
     def kernel(rows: list) -> list[tuple]:
         return [(rows[0].page_id, x["id"], c[0]["id"], k) for c in greedy.chains(rows_of(rows), strict) for k, x in enumerate(c)]
 
-    return by_page(df.select(*COLUMNS, "locked"), kernel, "page_id bigint, item_id bigint, chain bigint, place int")
+    return by_page(df.select("page_id", "item_id", "text", "x1", "y1", "x2", "y2", "confidence", "locked"), kernel, "page_id bigint, item_id bigint, chain bigint, place int")
 
 
 def chained_on_rasters(items: DataFrame, rasters: DataFrame) -> DataFrame:
@@ -60,55 +75,74 @@ def chained_on_rasters(items: DataFrame, rasters: DataFrame) -> DataFrame:
         out = [(left.page_id.iloc[0], x["id"], c[0]["id"], k) for c in greedy.chains(rows_of(left.itertuples(index=False)), True, barred) for k, x in enumerate(c)] if len(left) else []
         return pd.DataFrame(out, columns=["page_id", "item_id", "chain", "place"])
 
-    a = items.select(*COLUMNS).groupBy("page_id")
+    a = upright(items).select(*COLUMNS).groupBy("page_id")
     b = rasters.select("page_id", "width", "height", "pixels").groupBy("page_id")
     return a.cogroup(b).applyInPandas(kernel, "page_id bigint, item_id bigint, chain bigint, place int")
 
 
 def merged_lines(items: DataFrame, strict: bool = True, params: Params = DEFAULT) -> DataFrame:
     """Near-horizontal lines joined to paragraphs, turned ones as they are; chain names the block."""
+    items = upright(items)
     flat = items.filter(F.abs("angle") < params.near_horizontal)
     turned = items.filter(F.abs("angle") >= params.near_horizontal).withColumn("chain", F.col("item_id"))
-    c = chained(flat, strict).select(F.col("item_id").alias("__i"), "chain")
-    both = flat.join(c, F.col("item_id") == F.col("__i")).drop("__i").unionByName(turned)
-    return aggregates.blocks(both, ["page_id", "chain"], 0.0 if strict else None)
+    c = chained(flat, strict).select(F.col("page_id").alias("__p"), F.col("item_id").alias("__i"), "chain")
+    both = flat.join(c, same_item()).drop("__p", "__i").withColumn("angle", F.lit(0.0)).unionByName(turned)
+    # A block of several lines lies flat; a turned item is a block of its own and keeps its angle.
+    return aggregates.blocks(both, ["page_id", "chain", "angle"], 0.0 if strict else None)
 
 
 def anchored_lines(lines: DataFrame, reach: int = 5) -> DataFrame:
-    """page_id, orient, pos and anchor: positions merged with the first existing one within reach."""
+    """page_id, orient, pos and anchor: positions merged with the first existing one within reach.
 
-    def kernel(rows: list) -> list[tuple]:
-        kinds = {o: greedy.anchored([int(r.pos) for r in rows if r.orient == o], reach) for o in ("h", "v")}
-        return [(rows[0].page_id, o, p, a) for o, found in kinds.items() for p, a in found.items()]
+    Anchors lie over the reach apart, so the last one before a position is the only one that can be near: one fold over a page's sorted positions.
+    """
+    at = lines.groupBy("page_id", "orient").agg(F.array_sort(F.collect_set("pos")).alias("ps"))
+    none = F.array().cast("array<struct<pos:int,anchor:int>>")
+
+    def step(done: Column, p: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)["anchor"]
+        return F.concat(done, F.array(F.struct(p.cast("int").alias("pos"), F.when(p - last <= reach, last).otherwise(p).cast("int").alias("anchor"))))
 
-    return by_page(lines.select("page_id", "orient", "pos").distinct(), kernel, "page_id bigint, orient string, pos int, anchor int")
+    return at.select("page_id", "orient", F.explode(F.aggregate("ps", none, step)).alias("a")).select("page_id", "orient", "a.pos", "a.anchor")
 
 
 def split_across_cells(items: DataFrame, lines: DataFrame) -> DataFrame:
-    """Items of several lines cut where cell borders cross them: part counts from 0."""
-    crossed = spatial.crossed_by_lines(items, lines).select(F.col("item_id").alias("__i"), "lines")
-    multi = items.filter(F.col("text").contains("\n")).join(crossed, F.col("item_id") == F.col("__i")).drop("__i")
-    rest = items.join(multi.select(F.col("item_id").alias("__i")), F.col("item_id") == F.col("__i"), "left_anti").select("page_id", "item_id", F.lit(0).alias("part"), "text", "x1", "y1", "x2", "y2")
-
-    def kernel(frames):
-        for frame in frames:
-            out = [
-                (r.page_id, r.item_id, k, text, *box)
-                for r in frame.itertuples(index=False)
-                for k, (text, box) in enumerate(greedy.split_at_lines(r.text, (r.x1, r.y1, r.x2, r.y2), [int(y) for y in r.lines]))
-            ]
-            yield pd.DataFrame(out, columns=["page_id", "item_id", "part", "text", "x1", "y1", "x2", "y2"])
-
-    cut = multi.select("page_id", "item_id", "text", "x1", "y1", "x2", "y2", "lines").mapInPandas(kernel, "page_id bigint, item_id bigint, part int, text string, x1 int, y1 int, x2 int, y2 int")
-    return cut.unionByName(rest)
-
-
-def merged_items(items: DataFrame, cells: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Blocks of each page: items of one cell together, the rest joined to paragraphs, turned ones alone; kind tells which."""
-    found = spatial.best_cell(items, cells, params)
-    at = items.join(found.drop("page_id", "overlap").withColumnRenamed("item_id", "__i"), F.col("item_id") == F.col("__i"), "left").drop("__i")
+    """Items of several lines cut where cell borders cross them: part counts from 0; other columns stay.
+
+    A line at some height of the box cuts the text before the row that it stands in; each part takes its rows' share of the height.
+    """
+    crossed = spatial.crossed_by_lines(items, lines).select(F.col("page_id").alias("__p"), F.col("item_id").alias("__i"), "lines")
+    met = items.join(crossed, same_item(), "left").drop("__p", "__i")
+    n, tall = F.size("__rows"), F.col("y2") - F.col("y1")
+    row = lambda y: F.least(n, F.floor((y - F.col("y1")) / tall / (F.lit(1.0) / n)).cast("int"))
+    edges = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform("lines", row), F.array(n)))
+    cut = met.withColumn("__rows", F.split("text", "\n", -1)).withColumn("__edges", F.when(F.col("lines").isNotNull() & (n > 1) & (tall > 0), edges).otherwise(F.array(F.lit(0), n)))
+    parts = cut.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(2), F.size("__edges")) - 2)))
+    a, b = F.get("__edges", F.col("part")), F.get("__edges", F.col("part") + 1)
+    at = lambda k: (F.col("y1") + tall * k / n).cast("int")
+    whole = F.size("__edges") <= 2
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice("__rows", a + 1, b - a), "\n"))
+    made = {"text": text, "y1": F.when(whole, F.col("y1")).otherwise(at(a)), "y2": F.when(whole, F.col("y2")).otherwise(at(b))}
+    return parts.withColumns(made).drop("lines", "__rows", "__edges")
+
+
+def merged_items(items: DataFrame, cells: DataFrame, params: Params = DEFAULT, segments: DataFrame | None = None, page_w: int = 0, page_h: int = 0) -> DataFrame:
+    """Blocks of each page: items of one cell together, the rest joined to paragraphs, turned ones alone; kind tells which.
+
+    Items of several lines are first cut at the cells' borders. With ``segments``, items outside all cells that ruling lines
+    enclose stand alone: no paragraph takes them in.
+    """
+    borders = cells.select("page_id", F.explode(F.array("y1", "y2")).alias("pos")).distinct()
+    cut = split_across_cells(upright(items).select(*COLUMNS), borders)
+    # Parts are items of their own from here on.
+    cut = sequences.numbered(cut, ["page_id"], ["item_id", "part"], "item_id").drop("part")
+    found = spatial.best_cell(cut, cells, params)
+    at = cut.join(found.drop("overlap").withColumnsRenamed({"page_id": "__p", "item_id": "__i"}), same_item(), "left").drop("__p", "__i")
     inside = at.filter("c_x1 IS NOT NULL")
-    by_cell = aggregates.blocks(inside, ["page_id", "c_x1", "c_y1", "c_x2", "c_y2"], 1.0).withColumn("kind", F.lit("cell")).drop("c_x1", "c_y1", "c_x2", "c_y2")
+    by_cell = aggregates.blocks(inside, ["page_id", "c_x1", "c_y1", "c_x2", "c_y2"], 1.0).withColumns({"kind": F.lit("cell"), "angle": F.lit(0.0)}).drop("c_x1", "c_y1", "c_x2", "c_y2")
     outside = at.filter("c_x1 IS NULL").drop("c_x1", "c_y1", "c_x2", "c_y2")
+    if segments is not None:
+        enclosed = spatial.bounding_cells(outside, segments, page_w, page_h, params).select(F.col("page_id").alias("__p"), F.col("item_id").alias("__i"), F.lit(True).alias("locked"))
+        outside = outside.join(enclosed, same_item(), "left").drop("__p", "__i").withColumn("locked", F.coalesce("locked", F.lit(False)))
     by_line = merged_lines(outside, False, params).withColumn("kind", F.lit("text")).drop("chain")
     return by_cell.unionByName(by_line)

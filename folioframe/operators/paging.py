@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 
 def by_page(df: DataFrame, kernel: Callable[[list], list[tuple]], schema: str) -> DataFrame:
-    """``kernel`` gets the rows of one page (page_id first among the columns, never null) and returns output rows.
+    """``kernel`` gets the rows of one page (page_id first among the columns) and returns output rows; rows without a page have none.
 
     Rows are dealt by page and sorted, and batches hold many pages, so small pages cost no call of their own. A page that
     goes on in the next batch is kept back: a worker holds one batch and one page at most.
@@ -24,16 +24,21 @@ def by_page(df: DataFrame, kernel: Callable[[list], list[tuple]], schema: str) -
         return pd.DataFrame([x for _, g in groupby(rows, page) for x in kernel(list(g))], columns=names)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []  # frames of the page that is still open, put together once
         for frame in frames:
             if frame.empty:
                 continue
-            frame = frame if held is None else pd.concat([held, frame])
             open_page = frame.page_id == frame.page_id.iloc[-1]
-            if not open_page.all():
+            if held and not open_page.all():
+                yield made(pd.concat([*held, frame[~open_page]]))
+                held = []
+            elif held and held[-1].page_id.iloc[-1] != frame.page_id.iloc[0]:
+                yield made(pd.concat(held))
+                held = []
+            elif not open_page.all():
                 yield made(frame[~open_page])
-            held = frame[open_page]
-        if held is not None:
-            yield made(held)
+            held.append(frame[open_page])
+        if held:
+            yield made(pd.concat(held))
 
-    return df.repartition("page_id").sortWithinPartitions("page_id").mapInPandas(run, schema)
+    return df.filter("page_id IS NOT NULL").repartition("page_id").sortWithinPartitions("page_id").mapInPandas(run, schema)

@@ -61,3 +61,26 @@ def measured(items: DataFrame, rasters: DataFrame) -> DataFrame:
     a = items.select("page_id", "item_id", "x1", "y1", "x2", "y2").groupBy("page_id")
     b = rasters.select("page_id", "width", "height", "pixels").groupBy("page_id")
     return a.cogroup(b).applyInPandas(kernel, "page_id bigint, item_id bigint, mean_level double, white_ratio double")
+
+
+def closed_cells(cells: DataFrame, rasters: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Cells with two dark corners at least and white inside; ``cells`` has sides: with three, corners are looked for in a wider square.
+
+    The white limit is 0.85 of that for other cells, since cells full of text are darker. Pages without a raster have none.
+    """
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            r = right.iloc[0]
+            image = image_of(r.pixels, r.width, r.height)
+            for c in left.itertuples(index=False):
+                box = (int(c.x1), int(c.y1), int(c.x2), int(c.y2))
+                white = raster.white_share(image, box, level=params.white_level)
+                if raster.dark_corners(image, box, 10 if c.sides == 3 else 6, params.corner_level) >= 2 and white is not None and white >= 0.85 * params.white_share:
+                    out.append((c.page_id, *box, c.sides, white))
+        return pd.DataFrame(out, columns=["page_id", "x1", "y1", "x2", "y2", "sides", "white_ratio"])
+
+    a = cells.select("page_id", "x1", "y1", "x2", "y2", F.col("sides").cast("bigint").alias("sides")).groupBy("page_id")
+    b = rasters.select("page_id", "width", "height", "pixels").groupBy("page_id")
+    return a.cogroup(b).applyInPandas(kernel, "page_id bigint, x1 int, y1 int, x2 int, y2 int, sides bigint, white_ratio double")

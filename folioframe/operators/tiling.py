@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.greedy import best_splits
 from ..params import DEFAULT
+from .paging import by_page
 from .sequences import free_gaps
 
 
@@ -38,12 +38,11 @@ def axis_cuts(items: DataFrame, pages: DataFrame, axis: str, total: int, target:
     """
     gaps = free_gaps(items, ["page_id"], f"{axis}1", f"{axis}2", total, margin, least)
 
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = sorted(zip(frame.gap_lo, frame.gap_hi, strict=True))
-        cuts = best_splits([(int(a), int(b)) for a, b in ordered], total, target)
-        return pd.DataFrame({"page_id": [frame.page_id.iloc[0]] * len(cuts), "orient": ["v" if axis == "x" else "h"] * len(cuts), "pos": cuts})
+    def choose(rows: list) -> list[tuple]:
+        cuts = best_splits(sorted((int(r.gap_lo), int(r.gap_hi)) for r in rows), total, target)
+        return [(rows[0].page_id, "v" if axis == "x" else "h", c) for c in cuts]
 
-    return gaps.groupBy("page_id").applyInPandas(choose, "page_id bigint, orient string, pos int")
+    return by_page(gaps.select("page_id", "gap_lo", "gap_hi"), choose, "page_id bigint, orient string, pos int")
 
 
 def smart_tiles(items: DataFrame, pages: DataFrame, page_w: int, page_h: int, target: int, plain_below: int = 1280) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..functions.fitting import Metrics
 from ..operators import aggregates, fitting, grouping, items, raster, reports, sequences, spatial, tasks, tiling, translate
+from ..sources import readers
 from . import flows
 from . import views as v
 
@@ -169,6 +170,12 @@ def page_kind(spark, sf):
     return items.page_kind(pages, ACCENTED)
 
 
+@query(f"SELECT source AS doc_id, CASE WHEN bool_or(doc_id // 20 = 0 AND regexp_matches(text, '{ACCENTED}')) THEN 'vector' ELSE 'scan' END AS kind FROM documents GROUP BY source")
+def page_kind_first(spark, sf):
+    pages = v.table(spark, sf, "documents").select(F.col("source").alias("doc_id"), F.expr("doc_id DIV 20").alias("page_no"), "text")
+    return items.page_kind(pages, ACCENTED, first=1)
+
+
 # -- dictionary, cache and replies -------------------------------------------------------------------------------
 
 
@@ -308,6 +315,23 @@ def term_top_n(spark, sf):
     return translate.distinct_terms(v.terms(spark)).orderBy(F.desc(F.char_length("cn")), "ord").limit(3).select("ord", "cn", "en")
 
 
+@query("SELECT p_size AS page, p_name AS cn, upper(p_name) AS en, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS INT) AS ord FROM part")
+def json_terms(spark, sf):
+    """Names of a size as one JSON object in order, read back with their places; equal names stay apart."""
+    pair = F.substring(F.to_json(F.create_map("p_name", F.upper("p_name"))), 2, 1 << 20)
+    one = F.expr("substring(j, 1, length(j) - 1)")
+    rows = v.table(spark, sf, "part").select(F.col("p_size").alias("page"), "p_partkey", pair.alias("j")).withColumn("j", one)
+    objects = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "j"))).alias("r"))
+    return readers.terms_of(objects.select("page", F.concat(F.lit("{"), F.array_join("r.j", ", "), F.lit("}")).alias("value")))
+
+
+@query(_SHORT + _CACHE + " SELECT item_id, coalesce(en, c.translated, CASE WHEN s.text LIKE '%g%' THEN s.text ELSE 'T:' || s.text END) AS translated FROM short s LEFT JOIN terms ON s.text = cn LEFT JOIN cache c ON c.text = s.text", "items", "terms")
+def translate_flow(spark, sf):
+    """Dictionary, cache, and a translator that leaves texts with a g unanswered."""
+    answer = lambda texts: [None if "g" in x else f"T:{x}" for x in texts]
+    return flows.translated(_short(spark, sf), v.terms(spark), _cache(spark, sf), answer).select("item_id", "translated")
+
+
 # -- spatial joins -----------------------------------------------------------------------------------------------
 
 _OVER = "(least(i.x2, c.x2) - greatest(i.x1, c.x1))::BIGINT * (least(i.y2, c.y2) - greatest(i.y1, c.y1))"
@@ -345,24 +369,26 @@ def uncovered_items(spark, sf):
 
 
 @query(
-    f"""SELECT c.page_id, c.x1, c.y1, c.x2, c.y2 FROM cells c WHERE EXISTS (SELECT 1 FROM few i WHERE i.page_id = c.page_id AND (
+    f"""SELECT c.page_id, c.x1, c.y1, c.x2, c.y2 FROM cells c WHERE EXISTS (SELECT 1 FROM items i WHERE i.page_id = c.page_id AND (
       ((i.x1 + i.x2) / 2 BETWEEN c.x1 AND c.x2 AND (i.y1 + i.y2) / 2 BETWEEN c.y1 AND c.y2)
       OR (i.x1 < c.x2 AND c.x1 < i.x2 AND i.y1 < c.y2 AND c.y1 < i.y2 AND {_OVER} > 0.3 * (i.x2 - i.x1) * (i.y2 - i.y1))
-      OR ((c.x1 + c.x2) / 2 - (i.x1 + i.x2) / 2) ** 2 + ((c.y1 + c.y2) / 2 - (i.y1 + i.y2) / 2) ** 2 <= 2500))""".replace("SELECT c.page_id", ", few AS (SELECT * FROM items WHERE item_id % 10 = 0) SELECT c.page_id", 1),
+      OR ((c.x1 + c.x2) / 2 - (i.x1 + i.x2) / 2) ** 2 + ((c.y1 + c.y2) / 2 - (i.y1 + i.y2) / 2) ** 2 <= 2500))""",
     "items", "cells",
 )
 def cells_near_text(spark, sf):
-    return spatial.cells_near_text(v.cells(spark, sf), v.items(spark, sf).filter("item_id % 10 = 0")).select("page_id", "x1", "y1", "x2", "y2")
+    return spatial.cells_near_text(v.cells(spark, sf), v.items(spark, sf)).select("page_id", "x1", "y1", "x2", "y2")
 
 
 @query(
-    """, k AS (SELECT * FROM cells WHERE (page_id * 7 + x1 // 20 + y1 // 20) % 3 <> 0), n AS (SELECT page_id, count(*) AS n FROM k GROUP BY 1)
+    """, k AS (SELECT page_id, x1 + CAST((x1 // 20 * 7 + y1 // 20 * 3 + page_id) % 23 AS INT) AS x1, y1 + CAST((y1 // 20 + page_id) % 19 AS INT) AS y1, x2, y2 FROM cells), n AS (SELECT page_id, count(*) AS n FROM k GROUP BY 1)
     SELECT a.page_id, a.x1, a.y1, a.x2, a.y2 FROM k a JOIN n ON a.page_id = n.page_id WHERE n <= 1 OR EXISTS (SELECT 1 FROM k b WHERE a.page_id = b.page_id AND NOT (a.x1 = b.x1 AND a.y1 = b.y1 AND a.x2 = b.x2 AND a.y2 = b.y2) AND (
       (abs(a.y1 - b.y1) <= 8 AND abs(a.y2 - b.y2) <= 8 AND least(abs(a.x2 - b.x1), abs(b.x2 - a.x1)) <= 10) OR (abs(a.x1 - b.x1) <= 8 AND abs(a.x2 - b.x2) <= 8 AND least(abs(a.y2 - b.y1), abs(b.y2 - a.y1)) <= 10)))""",
     "cells",
 )
 def grid_neighbors(spark, sf):
-    k = v.cells(spark, sf).filter("(page_id * 7 + x1 DIV 20 + y1 DIV 20) % 3 <> 0")
+    """Cells whose left and upper sides are moved by a few pixels, so that some are out of line."""
+    x1 = (F.col("x1") + F.expr("(x1 DIV 20 * 7 + y1 DIV 20 * 3 + page_id) % 23")).cast("int")
+    k = v.cells(spark, sf).withColumns({"x1": x1, "y1": (F.col("y1") + F.expr("(y1 DIV 20 + page_id) % 19")).cast("int")})
     return spatial.grid_neighbours(k).select("page_id", "x1", "y1", "x2", "y2")
 
 
@@ -409,8 +435,9 @@ def bounding_lines_asof(spark, sf):
 
 
 @query(
-    """SELECT page_id, a, b, iou FROM (SELECT i.page_id, i.item_id AS a, c.item_id AS b, s / (greatest(1, (i.x2 - i.x1) * (i.y2 - i.y1)) + greatest(1, (c.x2 - c.x1) * (c.y2 - c.y1)) - s)::DOUBLE AS iou FROM
-    (SELECT i, c, (least(i.x2, c.x2) - greatest(i.x1, c.x1)) * (least(i.y2, c.y2) - greatest(i.y1, c.y1)) AS s FROM items i JOIN items c ON i.page_id = c.page_id AND i.item_id < c.item_id AND i.x1 < c.x2 AND c.x1 < i.x2 AND i.y1 < c.y2 AND c.y1 < i.y2)) WHERE iou >= 0.45""",
+    """, p AS MATERIALIZED (SELECT i.page_id, i.item_id AS a, c.item_id AS b, i.x1 AS ax1, i.y1 AS ay1, i.x2 AS ax2, i.y2 AS ay2, c.x1 AS bx1, c.y1 AS by1, c.x2 AS bx2, c.y2 AS by2 FROM items i JOIN items c ON i.page_id = c.page_id),
+    q AS (SELECT *, greatest(0, least(ax2, bx2) - greatest(ax1, bx1)) * greatest(0, least(ay2, by2) - greatest(ay1, by1)) AS s FROM p WHERE a < b),
+    r AS (SELECT page_id, a, b, s / (greatest(1, (ax2 - ax1) * (ay2 - ay1)) + greatest(1, (bx2 - bx1) * (by2 - by1)) - s)::DOUBLE AS iou FROM q WHERE s > 0) SELECT page_id, a, b, iou FROM r WHERE iou >= 0.45""",
     "items",
 )
 def near_dup_pairs(spark, sf):
@@ -441,11 +468,40 @@ def cut_crossings(spark, sf):
     return spatial.cut_crossings(v.items(spark, sf), v.rulings(spark, sf))
 
 
-@query(f"SELECT i.page_id, i.x1 AS a_x1, i.y1 AS a_y1, c.x1 AS b_x1, c.y1 AS b_y1 FROM cells i JOIN cells c ON {_MEET} WHERE (i.x2 - i.x1) * (i.y2 - i.y1) > (c.x2 - c.x1) * (c.y2 - c.y1) AND {_OVER} > 0.7 * (c.x2 - c.x1) * (c.y2 - c.y1)", "cells")
+@query(
+    """, p AS MATERIALIZED (SELECT i.page_id, i.x1 AS a_x1, i.y1 AS a_y1, i.x2 AS a_x2, i.y2 AS a_y2, c.x1 AS b_x1, c.y1 AS b_y1, c.x2 AS b_x2, c.y2 AS b_y2 FROM cells i JOIN cells c ON i.page_id = c.page_id),
+    q AS (SELECT *, (a_x2 - a_x1) * (a_y2 - a_y1) AS a, (b_x2 - b_x1) * (b_y2 - b_y1) AS b, greatest(0, least(a_x2, b_x2) - greatest(a_x1, b_x1)) * greatest(0, least(a_y2, b_y2) - greatest(a_y1, b_y1)) AS s FROM p)
+    SELECT page_id, a_x1, a_y1, b_x1, b_y1 FROM q WHERE a > b AND s > 0.7 * b""",
+    "cells",
+)
 def nested_cells(spark, sf):
     return spatial.nested_pairs(v.cells(spark, sf)).select("page_id", "a_x1", "a_y1", "b_x1", "b_y1")
 
 
+@query(
+    _LINES + """, pt AS (SELECT page_id, item_id, (x1 + x2) // 2 AS cx, (y1 + y2) // 2 AS cy FROM items),
+    s AS (SELECT p.page_id, item_id, orient, pos, CASE WHEN orient = 'h' THEN cy ELSE cx END AS c, CASE WHEN orient = 'h' THEN cx ELSE cy END AS along, lo, hi FROM pt p JOIN lines l ON p.page_id = l.page_id),
+    r AS (SELECT page_id, item_id, m, max(pos) FILTER (WHERE orient = 'v' AND pos <= c) AS l, max(pos) FILTER (WHERE orient = 'h' AND pos <= c) AS t, min(pos) FILTER (WHERE orient = 'v' AND pos >= c) AS r, min(pos) FILTER (WHERE orient = 'h' AND pos >= c) AS b
+      FROM s, (VALUES (30), (120)) w(m) WHERE along BETWEEN lo - m AND hi + m GROUP BY 1, 2, 3),
+    y AS (SELECT page_id, item_id, CASE WHEN m = 30 THEN 1 ELSE 2 END AS k, l AS x1, t AS y1, r AS x2, b AS y2 FROM r UNION ALL SELECT p.page_id, p.item_id, 3, coalesce(l, 0), coalesce(t, 0), coalesce(r, 1199), coalesce(b, 899) FROM pt p LEFT JOIN r ON r.page_id = p.page_id AND r.item_id = p.item_id AND m = 120)
+    SELECT page_id, item_id, CAST(k AS INT) AS try_no, x1, y1, x2, y2 FROM y WHERE x2 - x1 BETWEEN 20 AND 1200 AND y2 - y1 BETWEEN 20 AND 400 QUALIFY row_number() OVER (PARTITION BY page_id, item_id ORDER BY k) = 1""",
+    "items", "rulings",
+)
+def bounding_cells(spark, sf):
+    return spatial.bounding_cells(v.items(spark, sf), _lines(spark, sf), PAGE_W, PAGE_H)
+
+
+@query(
+    """, a AS (SELECT page_id, x1, y1, x2, y2 FROM cells WHERE page_id % 3 <> 0 OR (x1 < 240 AND y1 < 360 AND NOT morph)), n AS (SELECT page_id FROM a GROUP BY 1 HAVING count(*) >= 3)
+    SELECT *, 'preferred' AS engine FROM a WHERE page_id IN (SELECT page_id FROM n) UNION ALL SELECT page_id, x1, y1, x2, y2, 'fallback' FROM cells WHERE NOT morph AND page_id NOT IN (SELECT page_id FROM n)""",
+    "cells",
+)
+def cell_dispatch(spark, sf):
+    """An engine that finds two cells on every third page, and one that finds the grid."""
+    c = v.cells(spark, sf)
+    return flows.dispatched_cells(c.filter("page_id % 3 <> 0 OR (x1 < 240 AND y1 < 360 AND NOT morph)"), c.filter("NOT morph"))
+
+
 # -- aggregates --------------------------------------------------------------------------------------------------
 
 
@@ -482,12 +538,12 @@ def page_counts(spark, sf):
 
 
 @query(
-    """, k AS (SELECT page_id, count(*) AS n, min(x1) AS a, min(y1) AS b, max(x2) AS c, max(y2) AS d FROM cells WHERE (x1 + y1 + page_id) % 4 = 0 GROUP BY 1 HAVING count(*) >= 3)
+    """, k AS (SELECT page_id, count(*) AS n, min(x1) AS a, min(y1) AS b, max(x2) AS c, max(y2) AS d FROM cells GROUP BY 1 HAVING count(*) >= 3)
     SELECT page_id, n, greatest(0, a - CAST(floor((c - a) * 0.2::DOUBLE) AS INT)) AS x1, greatest(0, b - CAST(floor((d - b) * 0.2::DOUBLE) AS INT)) AS y1, least(1200, c + CAST(floor((c - a) * 0.2::DOUBLE) AS INT)) AS x2, least(900, d + CAST(floor((d - b) * 0.2::DOUBLE) AS INT)) AS y2 FROM k""",
     "cells",
 )
 def table_region(spark, sf):
-    return aggregates.table_region(v.cells(spark, sf).filter("(x1 + y1 + page_id) % 4 = 0"), PAGE_W, PAGE_H)
+    return aggregates.table_region(v.cells(spark, sf), PAGE_W, PAGE_H)
 
 
 @query(
@@ -566,12 +622,18 @@ def cluster_medians(spark, sf):
 
 
 @query(
-    """, few AS (SELECT * FROM items WHERE item_id % 5 = 0), s AS (SELECT page_id, greatest(0, x1 - 30) AS a, least(1200, x2 + 30) AS b FROM few UNION ALL SELECT DISTINCT page_id, 1200, 1200 FROM few),
-    w AS (SELECT page_id, a, coalesce(max(b) OVER (PARTITION BY page_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_lo FROM s) SELECT page_id, gap_lo, a AS gap_hi FROM w WHERE a - gap_lo >= 80""",
+    """, s AS (SELECT page_id, greatest(0, x1 - 4) AS a, least(1200, x1 + 12) AS b FROM items UNION ALL SELECT DISTINCT page_id, 1200, 1200 FROM items),
+    w AS (SELECT page_id, a, coalesce(max(b) OVER (PARTITION BY page_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_lo FROM s) SELECT page_id, gap_lo, a AS gap_hi FROM w WHERE a - gap_lo >= 20""",
     "items",
 )
 def free_gaps(spark, sf):
-    return sequences.free_gaps(v.items(spark, sf).filter("item_id % 5 = 0"), ["page_id"], "x1", "x2", PAGE_W)
+    """Gaps between the left edges of all items, read as bars of eight pixels."""
+    return sequences.free_gaps(v.items(spark, sf).withColumn("x2", F.col("x1") + 8), ["page_id"], "x1", "x2", PAGE_W, 4, 20)
+
+
+@query(", f AS (SELECT page_id, x1, CASE WHEN x1 - lag(x1) OVER (PARTITION BY page_id ORDER BY x1, item_id) <= 4 THEN 0 ELSE 1 END AS s FROM items), c AS (SELECT page_id, x1, CAST(sum(s) OVER (PARTITION BY page_id ORDER BY x1 RANGE UNBOUNDED PRECEDING) AS BIGINT) AS cluster FROM f) SELECT page_id, cluster, CAST(floor((min(x1) + max(x1)) / 2) AS INT) AS middle FROM c GROUP BY 1, 2", "items")
+def coordinate_runs(spark, sf):
+    return sequences.coordinate_runs(v.items(spark, sf), ["page_id"], "x1")
 
 
 @query("SELECT page_id, orient, pos, nxt AS next, nxt - pos AS step FROM (SELECT page_id, orient, pos, lead(pos) OVER (PARTITION BY page_id, orient ORDER BY pos) AS nxt FROM (SELECT DISTINCT page_id, orient, pos FROM rulings)) WHERE nxt IS NOT NULL", "rulings")
@@ -756,18 +818,34 @@ def line_chain(spark, sf):
 
 @query()
 def merged_items(spark, sf):
-    return grouping.merged_items(v.items(spark, sf), v.cells(spark, sf))
+    """Every second item's words on lines of their own, so that some are cut at borders."""
+    i = v.items(spark, sf).withColumn("text", F.when(F.col("item_id") % 2 == 0, F.regexp_replace("text", " ", "\n")).otherwise(F.col("text")))
+    return grouping.merged_items(i, v.cells(spark, sf), segments=_lines(spark, sf), page_w=PAGE_W, page_h=PAGE_H)
 
 
-@query()
+_ANCHORED = """RECURSIVE {0}, seq AS (SELECT page_id, orient, pos, row_number() OVER (PARTITION BY page_id, orient ORDER BY pos) AS n FROM (SELECT DISTINCT page_id, orient, pos FROM {1})),
+    anc AS (SELECT page_id, orient, pos, n, pos AS anchor FROM seq WHERE n = 1 UNION ALL SELECT s.page_id, s.orient, s.pos, s.n, CASE WHEN s.pos - a.anchor <= 5 THEN a.anchor ELSE s.pos END FROM seq s JOIN anc a ON s.page_id = a.page_id AND s.orient = a.orient AND s.n = a.n + 1)"""
+
+
+@query("WITH " + _ANCHORED.format(v.SQL_VIEWS["pids"] + ",\n" + v.SQL_VIEWS["rulings"], "rulings") + " SELECT page_id, orient, pos, CAST(anchor AS INT) AS anchor FROM anc")
 def anchored_lines(spark, sf):
     return grouping.anchored_lines(v.rulings(spark, sf))
 
 
-@query()
+@query(
+    """, t AS (SELECT page_id, item_id, replace(text, ' ', chr(10)) AS text, x1, y1, x2, y2 FROM items),
+    c AS (SELECT t.page_id, item_id, list_sort(list(DISTINCT pos)) AS l FROM t JOIN rulings r ON r.page_id = t.page_id AND orient = 'h' AND y1 < pos AND pos < y2 GROUP BY 1, 2),
+    e AS (SELECT t.*, string_split(text, chr(10)) AS w, len(string_split(text, chr(10))) AS n, l FROM t LEFT JOIN c USING (page_id, item_id)),
+    g AS (SELECT *, CASE WHEN l IS NULL OR n < 2 THEN [0, n] ELSE list_sort(list_distinct([0] || list_transform(l, lambda y: least(n, CAST(floor(((y - y1) / (y2 - y1)::DOUBLE) / (1.0::DOUBLE / n)) AS BIGINT))) || [n])) END AS k FROM e),
+    u AS (SELECT *, unnest(range(1, len(k))) AS i FROM g)
+    SELECT page_id, item_id, CAST(i - 1 AS INT) AS part, CASE WHEN len(k) <= 2 THEN text ELSE array_to_string(w[k[i] + 1:k[i + 1]], chr(10)) END AS text, x1, CASE WHEN len(k) <= 2 THEN y1 ELSE CAST(floor(y1 + (y2 - y1) * k[i] / n::DOUBLE) AS INT) END AS y1, x2,
+    CASE WHEN len(k) <= 2 THEN y2 ELSE CAST(floor(y1 + (y2 - y1) * k[i + 1] / n::DOUBLE) AS INT) END AS y2 FROM u""",
+    "items", "rulings",
+)
 def split_across_cells(spark, sf):
     i = v.items(spark, sf).withColumn("text", F.regexp_replace("text", " ", "\n"))
-    return grouping.split_across_cells(i, v.rulings(spark, sf).filter("orient = 'h'"))
+    cut = grouping.split_across_cells(i, v.rulings(spark, sf).filter("orient = 'h'"))
+    return cut.select("page_id", "item_id", "part", "text", *spatial.BOX)
 
 
 @query()
@@ -799,16 +877,62 @@ def wrap_lines(spark, sf):
     return fitting.horizontal_lines(_sized(spark, sf))
 
 
-@query()
+@query(
+    """, z AS (SELECT page_id, item_id, text, x1, y1, y2, x2 - x1 AS w, y2 - y1 AS h, CASE WHEN 1.374::DOUBLE * s > x2 - x1 THEN s * ((x2 - x1) / (1.374::DOUBLE * s)) * 0.85::DOUBLE ELSE s END AS s FROM (SELECT *, CAST(10 + item_id % 30 AS DOUBLE) AS s FROM items)),
+    c AS (SELECT *, greatest(h / length(text), 1.05::DOUBLE * (0.5::DOUBLE * s)) AS step, unnest(range(length(text))) AS i FROM z)
+    SELECT page_id, item_id, CAST(i AS INT) AS line_no, text[i + 1] AS text, x1 + w / 2 AS x, y2 - step * (i + 0.5::DOUBLE) AS y, s AS font_size, y2 - step * (i + 0.5::DOUBLE) < y1 AS overflow FROM c""",
+    "items",
+)
 def vertical_layout(spark, sf):
     return fitting.vertical_characters(_sized(spark, sf))
 
 
-@query()
+@query(
+    """, a AS (SELECT page_id, item_id, text, x1 + (x2 - x1) / 2 AS x, y1 + (y2 - y1) / 2 AS y, greatest(x2 - x1, y2 - y1) AS most, greatest(5.0::DOUBLE, least(x2 - x1, y2 - y1) * 0.92::DOUBLE) AS s0 FROM items),
+    b AS (SELECT *, CASE WHEN length(text) * 0.5::DOUBLE * s0 <= 1.3::DOUBLE * most THEN s0 ELSE s0 * 0.85::DOUBLE END AS s1 FROM a),
+    c AS (SELECT *, CASE WHEN length(text) * 0.5::DOUBLE * s1 <= 1.3::DOUBLE * most THEN s1 ELSE s1 * 0.85::DOUBLE END AS s2 FROM b),
+    d AS (SELECT *, CASE WHEN length(text) * 0.5::DOUBLE * s2 <= 1.3::DOUBLE * most THEN s2 ELSE s2 * 0.85::DOUBLE END AS s3 FROM c)
+    SELECT page_id, item_id, CAST(0 AS INT) AS line_no, text, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, s3 AS font_size, length(text) * 0.5::DOUBLE * s3 > most AS overflow FROM d""",
+    "items",
+)
 def rotated_layout(spark, sf):
     return fitting.rotated_layers(_sized(spark, sf))
 
 
+@query(
+    """, q AS (SELECT *, CAST(x2 - x1 AS DOUBLE) AS w, CAST(item_id % 21 AS DOUBLE) AS d FROM items), s AS (SELECT *, greatest(1.0::DOUBLE, round_even(sqrt(w * w + d * d), 0)) AS base, greatest(1.0::DOUBLE, y2 - y1) AS other FROM q)
+    SELECT page_id, item_id, round(degrees(atan2(d, w)), 6) AS angle, CAST(greatest(1, least(greatest(base, other), greatest(w, y2 - y1))) AS INT) AS layer_w, CAST(greatest(1, least(least(base, other), least(w, y2 - y1))) AS INT) AS layer_h, d <= 10 AS corner_inside FROM s""",
+    "items",
+)
+def quad_layers(spark, sf):
+    """Items as quads whose first side rises by up to 20 pixels; whether a point ten pixels under the box's upper right corner is inside."""
+    p = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    x1, y1, x2, y2 = g.box()
+    d = F.col("item_id") % 21
+    i = v.items(spark, sf).withColumn("quad", F.array(p(x1, y1), p(x2, y1 + d), p(x2, y2 + d), p(x1, y2)))
+    out = fitting.quad_layers(i).withColumns({"angle": F.round("angle", 6), "corner_inside": fitting.in_quad(x2, y1 + 10)})
+    return out.select("page_id", "item_id", "angle", "layer_w", "layer_h", "corner_inside")
+
+
+@query()
+def layer_texts(spark, sf):
+    return fitting.layer_texts(v.items(spark, sf).withColumns({"layer_w": F.col("x2") - F.col("x1"), "layer_h": F.col("y2") - F.col("y1")}))
+
+
+@query(
+    """, b AS (SELECT page_id, item_id, text, x1, y1, x2, y2, row_number() OVER w - 1 AS k, item_id - page_id * 1000 AS n FROM items WINDOW w AS (PARTITION BY page_id ORDER BY y1, item_id))
+    SELECT page_id, CAST(k AS INT) AS line_no, upper(text) AS text, x1, y1, x2, y2 FROM b WHERE page_id % 2 = 0
+    UNION ALL SELECT page_id, 0, 'one line', min(x1), min(y1), max(x2), max(y2) FROM items WHERE page_id % 2 = 1 GROUP BY page_id HAVING count(*) > 1
+    UNION ALL SELECT page_id, 0, 'one line', min(x1), min(y1), max(x2), max(y2) FROM items WHERE page_id % 2 = 1 GROUP BY page_id HAVING count(*) = 1""",
+    "items",
+)
+def line_boxes(spark, sf):
+    """Whole pages as blocks: translated line by line on even pages, by one line on the others."""
+    b = aggregates.blocks(v.items(spark, sf), ["page_id"]).withColumn("chain", F.col("page_id"))
+    done = b.withColumn("translated", F.when(F.col("page_id") % 2 == 0, F.upper("text")).otherwise(F.lit("one line")))
+    return fitting.line_boxes(done).drop("chain")
+
+
 @query()
 def cell_layout(spark, sf):
     return fitting.cell_layout(_assigned(spark, sf))
@@ -849,15 +973,65 @@ def raster_lines(spark, sf):
     return raster.detected_lines(_rasters(spark, sf))
 
 
+@query()
+def closed_cells(spark, sf):
+    """Cells that the lines of each raster make, and some that are moved off them."""
+    r = _rasters(spark, sf)
+    lines = raster.detected_lines(r)
+    found = spatial.closed_sides(spatial.grid_cells(lines.select("page_id", "orient", "pos")), lines)
+    moved = found.select("page_id", *[(F.col(c) + 25).alias(c) for c in spatial.BOX], "sides")
+    return raster.closed_cells(found.unionByName(moved), r)
+
+
+@query()
+def recognition_chain(spark, sf):
+    """Two engines over overlapping tiles that see the items of a tile: one all of them, one less surely and without the last letter."""
+    i = v.items(spark, sf).select("page_id", "text", *spatial.BOX, "confidence").withColumn("angle", F.lit(0.0))
+    tiles = tiling.overlapping_tiles(v.page_ids(spark, sf).select("page_id", F.lit(PAGE_W).alias("page_w"), F.lit(PAGE_H).alias("page_h")), 700, 150)
+    seen = i.join(tiles.withColumnRenamed("page_id", "__p"), (F.col("page_id") == F.col("__p")) & (F.col("x1") >= F.col("x")) & (F.col("y1") >= F.col("y")) & (F.col("x2") <= F.col("x") + F.col("w")) & (F.col("y2") <= F.col("y") + F.col("h")))
+    row = F.struct("text", *[(F.col(c) - F.col("x" if c[0] == "x" else "y")).alias(c) for c in spatial.BOX], "angle", "confidence")
+    shown = seen.groupBy("page_id", "x", "y", "w", "h").agg(F.to_json(F.array_sort(F.collect_list(row))).cast("binary").alias("pixels"))
+
+    def whole():
+        import json
+
+        return lambda pixels, w, h: [(r["text"], r["x1"], r["y1"], r["x2"], r["y2"], r["angle"], r["confidence"]) for r in json.loads(bytes(pixels))]
+
+    def clipped():
+        import json
+
+        return lambda pixels, w, h: [(r["text"][:-1], r["x1"] + 1, r["y1"], r["x2"], r["y2"], r["angle"], r["confidence"] / 2) for r in json.loads(bytes(pixels))]
+
+    return readers.recognised_tiles(shown, {"whole": whole, "clipped": clipped}, PAGE_W, PAGE_H)
+
+
 @query()
 def raster_levels(spark, sf):
-    return raster.measured(v.items(spark, sf).filter("x2 < 320 AND y2 < 240"), _rasters(spark, sf))
+    """All items, on a page a quarter as wide and high."""
+    quarter = {c: F.expr(f"CAST({c} DIV 4 AS INT)") for c in spatial.BOX}
+    return raster.measured(v.items(spark, sf).withColumns(quarter), _rasters(spark, sf))
 
 
 # -- whole flows ---------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    "WITH "
+    + _ANCHORED.format(
+        v.SQL_VIEWS["pids"] + ",\n" + v.SQL_VIEWS["rulings"] + _LINES
+        + """, raw AS (SELECT page_id, CASE WHEN orient = 'h' THEN lo ELSE pos END AS x1, CASE WHEN orient = 'h' THEN pos ELSE lo END AS y1, CASE WHEN orient = 'h' THEN 1200 ELSE pos + 2 END AS x2, CASE WHEN orient = 'h' THEN pos + 2 ELSE 900 END AS y2 FROM lines),
+    ang AS (SELECT *, CASE WHEN x1 = x2 THEN 90.0 ELSE degrees(atan2(abs(y2 - y1), abs(x2 - x1))) END AS a FROM raw),
+    seg AS (SELECT page_id, CASE WHEN a < 15 THEN 'h' ELSE 'v' END AS orient, CASE WHEN a < 15 THEN (y1 + y2) // 2 ELSE (x1 + x2) // 2 END AS pos, CASE WHEN a < 15 THEN least(x1, x2) ELSE least(y1, y2) END AS lo, CASE WHEN a < 15 THEN greatest(x1, x2) ELSE greatest(y1, y2) END AS hi FROM ang WHERE a < 15 OR a > 75)""",
+        "seg",
+    )
+    + """, met AS (SELECT s.page_id, s.orient, a.anchor AS pos, lo, hi FROM seg s JOIN anc a ON s.page_id = a.page_id AND s.orient = a.orient AND s.pos = a.pos),
+    ok AS (SELECT a.page_id, a.orient, a.pos FROM (SELECT DISTINCT page_id, orient, pos FROM met) a JOIN met b ON a.page_id = b.page_id AND a.orient <> b.orient AND a.pos BETWEEN b.lo - 100 AND b.hi + 100 GROUP BY 1, 2, 3 HAVING count(DISTINCT b.pos) >= 2),
+    p AS (SELECT page_id, orient, pos, lead(pos) OVER (PARTITION BY page_id, orient ORDER BY pos) AS nxt FROM ok),
+    grid AS (SELECT h.page_id, v.pos AS x1, h.pos AS y1, v.nxt AS x2, h.nxt AS y2 FROM p h JOIN p v ON h.page_id = v.page_id AND h.orient = 'h' AND v.orient = 'v' WHERE h.nxt - h.pos BETWEEN 20 AND 400 AND v.nxt - v.pos BETWEEN 20 AND 1200),
+    q AS (SELECT *, """
+    + " + ".join(_covers(o, p, a, b).replace("FROM lines s", "FROM met s") for o, p, a, b in (("h", "c.y1", "c.x1", "c.x2"), ("h", "c.y2", "c.x1", "c.x2"), ("v", "c.x1", "c.y1", "c.y2"), ("v", "c.x2", "c.y1", "c.y2")))
+    + " AS sides FROM grid c) SELECT page_id, x1, y1, x2, y2 FROM q WHERE sides >= 3"
+)
 def intersection_grid(spark, sf):
     """Grid lines of every page, as segments of a few pixels' slant."""
     r = _lines(spark, sf)
@@ -866,12 +1040,37 @@ def intersection_grid(spark, sf):
     return flows.intersection_grid(s)
 
 
-@query()
+_EDGES = " UNION ".join(
+    f"""SELECT page_id, '{o}' AS orient, CAST(floor(median(v)) AS INT) AS pos FROM (SELECT page_id, v, sum(f) OVER (PARTITION BY page_id ORDER BY v, item_id ROWS UNBOUNDED PRECEDING) AS cl FROM
+    (SELECT page_id, item_id, {c} AS v, CASE WHEN {c} - lag({c}) OVER (PARTITION BY page_id ORDER BY {c}, item_id) <= {tol} THEN 0 ELSE 1 END AS f FROM inside)) GROUP BY page_id, cl"""
+    for o, c, tol in (("v", "x1", 25), ("v", "x2", 25), ("h", "y1", 20), ("h", "y2", 20))
+)
+
+
+@query(
+    f""", k AS (SELECT page_id, min(x1) AS a, min(y1) AS b, max(x2) AS c, max(y2) AS d FROM cells GROUP BY 1 HAVING count(*) >= 3),
+    region AS (SELECT page_id, greatest(0, a - CAST(floor((c - a) * 0.2::DOUBLE) AS INT)) AS a, greatest(0, b - CAST(floor((d - b) * 0.2::DOUBLE) AS INT)) AS b, least(1200, c + CAST(floor((c - a) * 0.2::DOUBLE) AS INT)) AS c, least(900, d + CAST(floor((d - b) * 0.2::DOUBLE) AS INT)) AS d FROM k),
+    inside AS (SELECT i.page_id, item_id, x1, y1, x2, y2 FROM items i JOIN region r ON i.page_id = r.page_id AND a <= x1 AND b <= y1 AND c >= x2 AND d >= y2),
+    l AS ({_EDGES}), p AS (SELECT page_id, orient, pos, lead(pos) OVER (PARTITION BY page_id, orient ORDER BY pos) AS nxt FROM l)
+    SELECT h.page_id, v.pos AS x1, h.pos AS y1, v.nxt AS x2, h.nxt AS y2 FROM p h JOIN p v ON h.page_id = v.page_id AND h.orient = 'h' AND v.orient = 'v' WHERE h.nxt - h.pos BETWEEN 20 AND 400 AND v.nxt - v.pos BETWEEN 20 AND 1200""",
+    "items", "cells",
+)
 def text_gap_cells(spark, sf):
     return flows.text_gap_cells(v.items(spark, sf), v.cells(spark, sf), PAGE_W, PAGE_H)
 
 
-@query()
+@query(
+    f""", st AS (SELECT page_id, x1, y1, x2, y2, string_agg(DISTINCT s, ',' ORDER BY s) AS stages, bool_or(s = 'M') AS m FROM (SELECT *, CASE WHEN morph THEN 'M' ELSE 'A' END AS s FROM cells UNION ALL SELECT *, 'B' FROM cells WHERE x1 < 300) GROUP BY 1, 2, 3, 4, 5),
+    a1 AS (SELECT * FROM st a WHERE m OR NOT EXISTS (SELECT 1 FROM st b WHERE b.m AND {_IN} AND NOT (a.x1 = b.x1 AND a.y1 = b.y1 AND a.x2 = b.x2 AND a.y2 = b.y2))),
+    a2 AS (SELECT * FROM a1 a WHERE NOT EXISTS (SELECT 1 FROM a1 b WHERE {_IN} AND (b.x2 - b.x1) * (b.y2 - b.y1) > (a.x2 - a.x1) * (a.y2 - a.y1))),
+    a3 AS (SELECT * FROM a2 c WHERE EXISTS (SELECT 1 FROM items i WHERE i.page_id = c.page_id AND (((i.x1 + i.x2) / 2 BETWEEN c.x1 AND c.x2 AND (i.y1 + i.y2) / 2 BETWEEN c.y1 AND c.y2)
+      OR (i.x1 < c.x2 AND c.x1 < i.x2 AND i.y1 < c.y2 AND c.y1 < i.y2 AND {_OVER} > 0.3 * (i.x2 - i.x1) * (i.y2 - i.y1)) OR ((c.x1 + c.x2) / 2 - (i.x1 + i.x2) / 2) ** 2 + ((c.y1 + c.y2) / 2 - (i.y1 + i.y2) / 2) ** 2 <= 2500))),
+    a4 AS (SELECT a.* FROM a3 a WHERE (SELECT count(*) FROM a3 n WHERE n.page_id = a.page_id) <= 1 OR EXISTS (SELECT 1 FROM a3 b WHERE a.page_id = b.page_id AND NOT (a.x1 = b.x1 AND a.y1 = b.y1 AND a.x2 = b.x2 AND a.y2 = b.y2) AND (
+      (abs(a.y1 - b.y1) <= 8 AND abs(a.y2 - b.y2) <= 8 AND least(abs(a.x2 - b.x1), abs(b.x2 - a.x1)) <= 10) OR (abs(a.x1 - b.x1) <= 8 AND abs(a.x2 - b.x2) <= 8 AND least(abs(a.y2 - b.y1), abs(b.y2 - a.y1)) <= 10)))),
+    a5 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, y2, x2) AS n FROM a4)
+    SELECT page_id, x1, y1, x2, y2, stages, CAST(n AS INT) AS cell_no, 'Cell_' || lpad(CAST(n AS VARCHAR), 3, '0') AS cell_id FROM a5""",
+    "items", "cells",
+)
 def cell_cascade(spark, sf):
     c = v.cells(spark, sf)
     return flows.cell_cascade({"M": c.filter("morph"), "A": c.filter("NOT morph"), "B": c.filter("x1 < 300")}, v.items(spark, sf))

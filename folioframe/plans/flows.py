@@ -50,6 +50,17 @@ def cell_cascade(stages: dict[str, DataFrame], texts: DataFrame, params: Params
     return aggregates.named_cells(kept).select("page_id", *spatial.BOX, F.array_join("stages", ",").alias("stages"), "cell_no", "cell_id")
 
 
+def dispatched_cells(preferred: DataFrame | None, fallback: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Each page's cells by the preferred engine, or by the other one where that gives fewer than least_cells or is not there; engine tells which."""
+    second = fallback.select("page_id", *spatial.BOX).withColumn("engine", F.lit("fallback"))
+    if preferred is None:
+        return second
+    first = preferred.select("page_id", *spatial.BOX)
+    enough = first.groupBy("page_id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= params.least_cells).select(F.col("page_id").alias("__p"))
+    on = F.col("page_id") == F.col("__p")
+    return first.join(enough, on, "left_semi").withColumn("engine", F.lit("preferred")).unionByName(second.join(enough, on, "left_anti"))
+
+
 def translated(blocks: DataFrame, terms: DataFrame, cache: DataFrame, translator: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
     """Dictionary, then cache, then the translator over the distinct texts that are left."""
     hit, left = translate.cache_cascade(translate.with_terms(blocks, terms), cache)
@@ -61,11 +72,14 @@ def translated(blocks: DataFrame, terms: DataFrame, cache: DataFrame, translator
 
 
 def unified_flow(found: DataFrame, terms: DataFrame, cache: DataFrame, translator=None, script: str | None = t.HAN, metrics: Metrics = Metrics(), params: Params = DEFAULT) -> DataFrame:
-    """Recognised items to placed lines: gate, near-duplicates, paragraphs, translation, and one row a line in its own or the whole box."""
-    kept = grouping.deduplicated(items.gated(found, script, params).drop("angle"), params).withColumn("angle", F.lit(0.0))
+    """Recognised items to placed lines: gate, near-duplicates, paragraphs of upright items, translation, and one row a line in its own or the whole box.
+
+    Lines are numbered anew on each page, in the order of their blocks. Turned items are blocks of their own.
+    """
+    kept = grouping.deduplicated(items.gated(found, script, params), params)
     done = translated(grouping.merged_lines(kept, True, params), terms, cache, translator)
     lines = fitting.line_boxes(done.filter(translate.is_translated()))
-    ready = lines.withColumns({"item_id": F.col("chain") * 4096 + F.col("line_no"), "size": F.greatest(F.lit(4.0), (F.col("y2") - F.col("y1")) * 0.92)})
+    ready = sequences.numbered(lines, ["page_id"], ["chain", "line_no"], "item_id").withColumns({"size": F.greatest(F.lit(4.0), (F.col("y2") - F.col("y1")) * 0.92)})
     return fitting.fitted_lines(ready, metrics, unified=True)
 
 

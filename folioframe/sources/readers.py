@@ -8,22 +8,35 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import grouping, items, sequences
+from ..params import DEFAULT, Params
+
 ITEM = "text string, x1 int, y1 int, x2 int, y2 int, angle double, confidence double"
 
 
 def terms(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of terms as rows in file order; a key that occurs twice gives two rows."""
-    raw = spark.read.text(path, wholetext=True)
+    return terms_of(spark.read.text(path, wholetext=True)).select("ord", "cn", "en")
+
+
+def terms_of(raw: DataFrame) -> DataFrame:
+    """The same of every row's JSON object in ``value``; other columns stay. Null and empty objects have no terms."""
     pairs = F.regexp_extract_all("value", F.lit(r'"((?:[^"\\]|\\.)*)"\s*:\s*"((?:[^"\\]|\\.)*)"'), 0)
-    rows = raw.select(F.posexplode(pairs).alias("ord", "pair"))
+    rest = [c for c in raw.columns if c != "value"]
+    rows = raw.select(*rest, F.posexplode(pairs).alias("ord", "pair"))
     one = F.from_json(F.concat(F.lit("{"), "pair", F.lit("}")), "map<string,string>")
-    return rows.select("ord", F.map_keys(one)[0].alias("cn"), F.map_values(one)[0].alias("en"))
+    return rows.select(*rest, "ord", F.map_keys(one)[0].alias("cn"), F.map_values(one)[0].alias("en"))
 
 
 def cache(spark: SparkSession, path: str) -> DataFrame:
     """A translation cache: a JSON object of texts."""
-    raw = spark.read.text(path, wholetext=True)
-    return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("text", "translated"))
+    return cache_of(spark.read.text(path, wholetext=True)).select("text", "translated")
+
+
+def cache_of(raw: DataFrame) -> DataFrame:
+    """text and translated of every row's JSON object in ``value``; other columns stay."""
+    rest = [c for c in raw.columns if c != "value"]
+    return raw.select(*rest, F.explode(F.from_json("value", "map<string,string>")).alias("text", "translated"))
 
 
 def as_mapping(result) -> dict:
@@ -81,3 +94,14 @@ def recognised(tiles: DataFrame, engines: dict[str, Callable[[], Callable[[bytes
             yield pd.DataFrame(out, columns=["page_id", "source", "text", "x1", "y1", "x2", "y2", "angle", "confidence"])
 
     return tiles.mapInPandas(kernel, f"page_id bigint, source string, {ITEM}")
+
+
+def recognised_tiles(tiles: DataFrame, engines: dict, page_w: int, page_h: int, script: str | None = None, params: Params = DEFAULT) -> DataFrame:
+    """The whole chain over tiles: every engine's items, moved to the page, inside it, of the script and sure enough, numbered, and without near-duplicates.
+
+    Numbers follow the page's reading order, so they do not depend on the order in which tiles are read.
+    """
+    found = items.clamp(recognised(tiles, engines), page_w, page_h).drop("width", "height")
+    kept = items.gated(found, script, params)
+    order = ["y1", "x1", "y2", "x2", "source", "text", "confidence"]
+    return grouping.deduplicated(sequences.numbered(kept, ["page_id"], order, "item_id").withColumn("item_id", F.col("item_id").cast("bigint")), params)
