@@ -42,6 +42,8 @@ SIMILAR_PERCENT = 75
 ESTIMATE_CUT = 0.55
 #: Nodes of a band outside its largest component beyond which its nodes are compared by their rarest shingles.
 LARGE_BAND = 16
+#: Parts of all rows of bands: a band that holds more than one part is dealt in pieces.
+CROWDED = 4096
 #: Rounds in which the nodes of bands with several components are compared with the band's most central node.
 CENTRAL_ROUNDS = 1
 #: Minima of the finer signature that nodes of large bands get, and its cut: four standard deviations below the limit.
@@ -173,33 +175,49 @@ def size_allows(a: str, b: str) -> Column:
 _MEMBER = ["node", "n", "s0", "s1", "s2", "s3"]
 
 
+def in_pieces(per_band: DataFrame) -> DataFrame:
+    """A row for each piece of its band."""
+    return per_band.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+
+
 def members_of_shared_bands(nodes: DataFrame) -> DataFrame:
-    """band, the member's node, size and signature, and the band's smallest node, for bands that two nodes or more share."""
+    """Nodes in the bands that two nodes or more share: band, pieces, piece, the band's smallest node (lead), near and the node's columns.
+
+    near tells that the estimate lets the pair of lead and node through. A band that holds over a CROWDED-th of all rows is
+    dealt in pieces of that size. At most CROWDED bands can be so large, which bounds what is broadcast.
+    """
     rows = nodes.select(F.explode("bands").alias("band"), "node")
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead")).filter("c > 1").select(F.col("band").alias("__b"), "lead")
-    all_rows = nodes.select(F.explode("bands").alias("band"), *_MEMBER)
-    return all_rows.join(shared, F.col("band") == F.col("__b")).drop("__b")
+    least = rows.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("lead")).filter("c > 1")
+    share = max(1, nodes.count() * BANDS) / CROWDED
+    # A node leads as many bands as it has at most, so this join has no large key.
+    led = least.join(renamed(nodes, "a_", _MEMBER), F.col("lead") == F.col("a_node")).drop("a_node")
+    shared = durable(led.withColumn("pieces", (1 + F.floor(F.col("c") / share)).cast("int")).drop("c"))
+    crowded = F.broadcast(shared.filter("pieces > 1").select(F.col("band").alias("__c"), F.col("pieces").alias("__n")))
+    piece = F.pmod(F.xxhash64("node"), F.coalesce("__n", F.lit(1))).cast("int")
+    dealt = nodes.select(F.explode("bands").alias("band"), *_MEMBER).join(crowded, F.col("band") == F.col("__c"), "left").withColumn("piece", piece).drop("__c", "__n")
+    per = in_pieces(shared).withColumnsRenamed({"band": "__b", "piece": "__p"})
+    met = dealt.join(per, (F.col("band") == F.col("__b")) & (F.col("piece") == F.col("__p")))
+    near = (F.col("node") != F.col("lead")) & (estimate("a_", "") >= ESTIMATE_CUT) & size_allows("a_", "")
+    return met.select("band", "pieces", "piece", "lead", near.alias("near"), *_MEMBER)
 
 
 def renamed(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in columns])
 
 
-def star_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def star_pairs(members: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of a band's smallest node a and another, which the estimate lets through."""
-    pairs = members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    x = pairs.join(renamed(nodes, "a_", _MEMBER), F.col("a") == F.col("a_node")).join(renamed(nodes, "b_", _MEMBER), F.col("b") == F.col("b_node"))
-    return x.filter((estimate("a_", "b_") >= ESTIMATE_CUT) & size_allows("a_", "b_")).select("a", "b")
+    return members.filter("near").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def unsettled(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Members of bands that hold several components: band, root, main (the band's largest component), outside (its members outside that) and the node's columns."""
-    at = with_roots(members.select("band", *_MEMBER), components)
+    """Members of bands that hold several components: band, pieces, piece, size, root, main (the band's largest component), outside (its members outside that) and the node's columns."""
+    at = with_roots(members.select("band", "pieces", "piece", *_MEMBER), components)
     # Counted by band and root first: no task gets all rows of a crowded band.
-    per = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-    several = per.groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    main = several.select(F.col("band").alias("__b"), F.col("m.root").alias("main"), (F.col("all") - F.col("m.c")).alias("outside"))
-    return at.join(main, F.col("band") == F.col("__b")).drop("__b")
+    per = at.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), F.max("pieces").alias("pieces"))
+    several = per.groupBy("band").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("k"), F.max("pieces").alias("pieces")).filter("k > 1")
+    main = in_pieces(several).select(F.col("band").alias("__b"), F.col("piece").alias("__p"), "size", F.col("m.root").alias("main"), (F.col("size") - F.col("m.c")).alias("outside"))
+    return at.join(main, (F.col("band") == F.col("__b")) & (F.col("piece") == F.col("__p"))).drop("__b", "__p")
 
 
 def with_roots(rows: DataFrame, components: DataFrame) -> DataFrame:
@@ -213,23 +231,24 @@ def central_pairs(at: DataFrame) -> DataFrame:
 
     Of texts edited from one, that one shares bands with the most others: a node's centrality is the sum of its bands' sizes.
     """
-    sizes = at.groupBy("band").agg(F.count(F.lit(1)).alias("c")).select(F.col("band").alias("__b"), "c")
-    ranked = at.join(sizes, F.col("band") == F.col("__b")).groupBy(F.col("node").alias("__n")).agg(F.sum("c").alias("rank"))
-    lead = at.join(ranked, F.col("node") == F.col("__n")).groupBy("band").agg(F.max(F.struct("rank", *_MEMBER, "root")).alias("m"))
-    lead = lead.select(F.col("band").alias("a_band"), *[F.col(f"m.{c}").alias(f"a_{c}") for c in [*_MEMBER, "root"]])
-    b = renamed(at, "b_", ["band", "root", *_MEMBER])
-    met = b.join(lead, (F.col("a_band") == F.col("b_band")) & (F.col("a_root") != F.col("b_root")) & size_allows("a_", "b_") & (estimate("a_", "b_") >= ESTIMATE_CUT))
+    ranked = at.groupBy(F.col("node").alias("__n")).agg(F.sum("size").alias("rank"))
+    lead = at.join(ranked, F.col("node") == F.col("__n")).groupBy("band").agg(F.max(F.struct("rank", *_MEMBER, "root")).alias("m"), F.max("pieces").alias("pieces"))
+    lead = in_pieces(lead).select(F.col("band").alias("a_band"), F.col("piece").alias("a_piece"), *[F.col(f"m.{c}").alias(f"a_{c}") for c in [*_MEMBER, "root"]])
+    b = renamed(at, "b_", ["band", "piece", "root", *_MEMBER])
+    same = (F.col("a_band") == F.col("b_band")) & (F.col("a_piece") == F.col("b_piece"))
+    met = b.join(lead, same & (F.col("a_root") != F.col("b_root")) & size_allows("a_", "b_") & (estimate("a_", "b_") >= ESTIMATE_CUT))
     return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def band_pairs(at: DataFrame) -> DataFrame:
     """Pairs of nodes of different components in small bands; at least one lies outside the band's largest component."""
     at = at.filter(F.col("outside") <= LARGE_BAND)
-    rest = renamed(at.filter("root <> main"), "a_", ["band", "root", "main", *_MEMBER])
-    every = renamed(at, "b_", ["band", "root", *_MEMBER])
+    rest = renamed(in_pieces(at.filter("root <> main")), "a_", ["band", "piece", "root", "main", *_MEMBER])
+    every = renamed(at, "b_", ["band", "piece", "root", *_MEMBER])
     found = rest.join(
         every,
         (F.col("a_band") == F.col("b_band"))
+        & (F.col("a_piece") == F.col("b_piece"))
         & (F.col("a_root") != F.col("b_root"))
         & ((F.col("b_root") == F.col("a_main")) | (F.col("a_node") < F.col("b_node")))
         & (estimate("a_", "b_") >= ESTIMATE_CUT)
@@ -398,7 +417,7 @@ def groups(docs: DataFrame) -> DataFrame:
         first = with_set.groupBy("node").agg(F.min(F.struct(F.col("doc_id").alias("least_id"), "text_key", F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")).alias("x"))
         nodes = durable(first.select("node", "x.*"))
         members = durable(members_of_shared_bands(nodes))
-        links = durable(confirmed(durable(star_pairs(members, nodes)), nodes, docs))
+        links = durable(confirmed(durable(star_pairs(members)), nodes, docs))
         components = components_of(links)
         at = durable(unsettled(members, components))
         tried = None
