@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, language, licenses, mixing, neardup, pieces, quality, sharding, tiff, urls
+from . import html, language, licenses, middle, mixing, neardup, pieces, quality, sharding, tiff, urls
 
 QUERIES = {
     "op1_tiff_pages": tiff.op1_tiff_pages,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_main_text": html.op8_main_text,
     "op9_url_filter": urls.op9_url_filter,
     "op10_piece_ids": pieces.op10_piece_ids,
+    "op12_middle_cuts": middle.op12_middle_cuts,
+}
+ORACLES = {
+    "op2_near_duplicates": neardup.SQL_OP2,
+    "op3_source_mix": mixing.SQL_OP3,
+    "op5_host_rules": quality.SQL_OP5,
+    "op7_license_scan": licenses.SQL_OP7,
+    "op9_url_filter": urls.SQL_OP9,
+    "op12_middle_cuts": middle.SQL_OP12,
 }
-ORACLES = {"op2_near_duplicates": neardup.SQL_OP2, "op3_source_mix": mixing.SQL_OP3, "op5_host_rules": quality.SQL_OP5, "op7_license_scan": licenses.SQL_OP7, "op9_url_filter": urls.SQL_OP9}
