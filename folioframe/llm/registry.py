@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, language, licenses, middle, mixing, neardup, pieces, quality, sharding, tiff, urls
+from . import html, language, licenses, middle, mixing, neardup, pieces, quality, sharding, tiff, urls, variants
 
 QUERIES = {
     "op1_tiff_pages": tiff.op1_tiff_pages,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filter": urls.op9_url_filter,
     "op10_piece_ids": pieces.op10_piece_ids,
     "op12_middle_cuts": middle.op12_middle_cuts,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
 ORACLES = {
     "op2_near_duplicates": neardup.SQL_OP2,
@@ -24,4 +25,5 @@ ORACLES = {
     "op7_license_scan": licenses.SQL_OP7,
     "op9_url_filter": urls.SQL_OP9,
     "op12_middle_cuts": middle.SQL_OP12,
+    "op13_spelling_variants": variants.SQL_OP13,
 }
