@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html, language, licenses, middle, mixing, neardup, pieces, quality, sharding, tiff, urls, variants
+from . import html, language, licenses, middle, mixing, neardup, packing, pieces, quality, sharding, tiff, urls, variants
 
 QUERIES = {
     "op1_tiff_pages": tiff.op1_tiff_pages,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_main_text": html.op8_main_text,
     "op9_url_filter": urls.op9_url_filter,
     "op10_piece_ids": pieces.op10_piece_ids,
+    "op11_packed_sequences": packing.op11_packed_sequences,
     "op12_middle_cuts": middle.op12_middle_cuts,
     "op13_spelling_variants": variants.op13_spelling_variants,
 }
