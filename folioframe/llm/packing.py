@@ -17,6 +17,8 @@ places; a null id stays null; an empty table gives no pieces; columns of other n
 
 from __future__ import annotations
 
+import re
+import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,8 +32,10 @@ from .common import durable, free_name, passing, small_batches, spread, table
 
 CAPACITY = 2048
 #: Chunks whose ids a worker remembers before it forgets all; longer chunks are not remembered.
-MEMORY = 400_000
+MEMORY = 800_000
 LONG = 48
+#: A chunk of letters, ASCII or U+00C0 to U+00FF, and ASCII marks behind them; an apostrophe, < and > can belong to what tokenizers treat as one.
+WORD_AND_MARKS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=?@\[-`{-~]*)")
 #: Pieces of a length that are ranked in one task on average.
 BUCKET_ROWS = 1 << 20
 #: Steps of the least-squares fit, patterns that it keeps for each token of a sequence, and lengths that count as frequent.
@@ -45,11 +49,13 @@ SHARES = (1.0, 0.95, 0.9, 0.8, 0.65, 0.5, 0.25)
 class ChunkedTokenizer:
     """Ids by the tokenizers library, asked once for each distinct chunk between ASCII white space.
 
-    That is right for tokenizers that normalise and split without looking across white space: the constructor compares
-    chunked and whole encoding on a probe and then takes whole texts if they differ.
+    That is right for tokenizers that normalise and split without looking across white space, and a chunk of letters with
+    marks behind it may be asked for in two parts, in lower case, if the tokenizer parts letters from marks and lowers all, a word
+    of plain letters of the model alone. The constructor compares all this with whole encoding on probes, and leaves out what
+    differs.
     """
 
-    PROBE = "A b's  12\tÉ́ ΣΣ x́ …中文\n<|endoftext|> don't stop　‍\U0001f600 ...  "
+    PROBE = "A b's  12 Word, WÖRD.) MiXed;\t\tÉ́ ΣΣ x́ …中文\n<|endoftext|> don't stop　‍\U0001f600 ...  "
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,13 +64,33 @@ class ChunkedTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
-        self.chunked = self._whole(self.PROBE) == b"".join(self._whole(c.decode()) for c in self.PROBE.encode().split())
+        chunks = self.PROBE.encode().split()
+        self.lowers, self.chunked = False, self._whole(self.PROBE) == b"".join(self._whole(c.decode()) for c in chunks)
+        parts = [p for c in chunks for p in self._parts(c)]
+        self.lowers = self._whole(self.PROBE) == b"".join(self._whole(p.decode()) for p in parts)
+        self.plain = all(self._whole(w) == self._word(w) for w in ("word", "mixed", "zzyzx", "q", "antidisestablishmentarianism"))
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of the letters a to z, which only the library's model has to look at."""
+        found = self.tokenizer.model.tokenize(word)
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    @staticmethod
+    def _parts(chunk: bytes) -> list[bytes]:
+        found = WORD_AND_MARKS.fullmatch(chunk)
+        return [p for p in (found[1].lower(), found[2]) if p] if found else [chunk]
 
     def _chunk(self, chunk: bytes) -> bytes:
-        made = self._whole(chunk.decode("utf-8", "replace"))
+        parts = self._parts(chunk) if self.lowers else [chunk]
+        if parts == [chunk]:
+            letters = self.plain and self.lowers and chunk.isalpha()
+            made = self._word(chunk.decode()) if letters else self._whole(chunk.decode("utf-8", "replace"))
+        else:
+            made = b"".join([self.known.get(p) or self._chunk(p) for p in parts])
         if len(chunk) <= LONG:
             if len(self.known) >= MEMORY:
                 self.known.clear()
