@@ -36,8 +36,9 @@ MEMORY = 800_000
 LONG = 48
 #: A chunk of letters, ASCII or U+00C0 to U+00FF, and ASCII marks behind them; an apostrophe, < and > can belong to what tokenizers treat as one.
 WORD_AND_MARKS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:;=?@\[-`{-~]*)")
-#: Pieces of a length that are ranked in one task on average.
+#: Pieces of all lengths in a bucket on average, and the fewest buckets: the pieces of a frequent length are spread over all of them.
 BUCKET_ROWS = 1 << 20
+LEAST_BUCKETS = 256
 #: Steps of the least-squares fit, patterns that it keeps for each token of a sequence, and lengths that count as frequent.
 STEPS = 300
 KEEP = 2
@@ -315,7 +316,7 @@ def ranked(rows: DataFrame, total: int, salt: str, rank: str) -> DataFrame:
     """
     bucket, first, n = (free_name(rows, f"{rank}_{x}") for x in ("bucket", "first", "n"))
     key = ["doc_id", "piece", "start", "length", salt]
-    keyed = rows.withColumn(bucket, F.pmod(F.xxhash64(*key), F.lit(max(-(-total // BUCKET_ROWS), 1))))
+    keyed = rows.withColumn(bucket, F.pmod(F.xxhash64(*key), F.lit(max(-(-total // BUCKET_ROWS), LEAST_BUCKETS))))
     up = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     held = keyed.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(n)).select("length", bucket, F.coalesce(F.sum(n).over(up), F.lit(0)).alias(first))
     inside = Window.partitionBy("length", bucket).orderBy(*key[:3], salt)
