@@ -49,6 +49,37 @@ def otsu(image: np.ndarray) -> int:
     return int(np.nanargmax(between[:-1])) if np.isfinite(between[:-1]).any() else 127
 
 
+def local_mean(image: np.ndarray, block: int, gaussian: bool = True) -> np.ndarray:
+    """Mean of the square of odd width ``block`` around each pixel, the border continued outwards.
+
+    The plain mean is four look-ups in a summed-area table whatever the width; the Gaussian one, whose spread follows from the
+    width, is one pass a direction.
+    """
+    if block % 2 == 0:
+        raise ValueError("the width of the square must be odd")
+    r = block // 2
+    p = np.pad(image.astype(np.float64), r, mode="edge")
+    h, w = image.shape
+    if not gaussian:
+        table = np.pad(p.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        return (table[block:, block:] - table[:-block, block:] - table[block:, :-block] + table[:-block, :-block]) / block**2
+    spread = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
+    taps = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * spread**2))
+    taps /= taps.sum()
+    rows = sum(t * p[:, k : k + w] for k, t in enumerate(taps))
+    return sum(t * rows[k : k + h] for k, t in enumerate(taps))
+
+
+def locally_dark(image: np.ndarray, block: int = 21, margin: int = 6, gaussian: bool = True) -> np.ndarray:
+    """Pixels darker than the mean around them by the margin: pale lines on shaded ground too."""
+    return image <= np.rint(local_mean(image, block, gaussian)) - margin
+
+
+def ink(image: np.ndarray, block: int = 21, margin: int = 6) -> np.ndarray:
+    """Dark pixels by the local or by the page's own threshold."""
+    return locally_dark(image, block, margin) | (image <= otsu(image))
+
+
 def runs(mask: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(row, start, end) of every run of set pixels in a row, ``least`` long at least."""
     edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
@@ -104,8 +135,8 @@ def components(mask: np.ndarray) -> list[tuple[Box, int]]:
 
 
 def line_mask(image: np.ndarray, length: int = 35) -> np.ndarray:
-    """Dark pixels in horizontal or vertical lines of the length, grown twice."""
-    dark = image <= otsu(image)
+    """Dark pixels, by the local or the page's own threshold, in horizontal or vertical lines of the length, grown twice."""
+    dark = ink(image)
     return dilated(opened(dark, length) | opened(dark.T, length).T, 2)
 
 

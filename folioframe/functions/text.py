@@ -33,11 +33,6 @@ def cell_number(name: Column) -> Column:
     return F.element_at(F.split(name, "_"), -1).cast("int")
 
 
-def replaced(text: Column, terms: Column) -> Column:
-    """Replace every term in the order of an array of (cn, en); what a replacement makes can be matched again."""
-    return F.aggregate(terms, text, lambda t, x: F.replace(t, x["cn"], x["en"]))
-
-
 def rgb(color: Column) -> dict[str, Column]:
     """A packed colour as three shares of 255."""
     part = lambda n: F.shiftright(color, n).bitwiseAND(255) / F.lit(255.0)

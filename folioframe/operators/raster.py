@@ -2,36 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import raster
+from ..functions import detect, raster
 from ..params import DEFAULT, Params
 
 
+#: Bytes of pages handed to a Python worker at once: a scanned page has some megabytes.
+BATCH_BYTES = 64 << 20
+
+
 def image_of(pixels: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(pixels, np.uint8).reshape(height, width)
 
 
+def on_pages(rasters: DataFrame, kernel: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """The rows that ``kernel`` finds on each page's image, after its page_id; a page without an image has none."""
+    names = ["page_id", *[c.strip().split()[0] for c in schema.split(",")]]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(r.page_id, *x) for r in frame.itertuples(index=False) for x in kernel(image_of(r.pixels, int(r.width), int(r.height)))]
+            made = pd.DataFrame(out, columns=names)
+            made["page_id"] = made.page_id.astype("Int64")
+            yield made
+
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", rasters.sparkSession.conf
+    if conf.get(key, None) is None or int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    there = rasters.filter("pixels IS NOT NULL AND width > 0 AND height > 0")
+    return there.select("page_id", "width", "height", "pixels").mapInPandas(run, f"page_id bigint, {schema}")
+
+
+def detected_segments(rasters: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """page_id, item_id (a number on the page), x1, y1, x2, y2 of the line segments on each page: edges of the ink, then a Hough search."""
+
+    def kernel(image: np.ndarray) -> list[tuple]:
+        edge = detect.edges(raster.ink(image).astype(np.uint8) * 255)
+        return [(k, *s) for k, s in enumerate(detect.line_segments(edge, params.hough_votes, params.hough_length, params.hough_gap))]
+
+    return on_pages(rasters, kernel, "item_id bigint, x1 int, y1 int, x2 int, y2 int")
+
+
+def detected_contours(rasters: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """page_id, x1, y1, x2, y2, contour_area, corners, white_ratio of outer contours within the size limits of cells."""
+
+    def kernel(image: np.ndarray) -> list[tuple]:
+        mask = detect.closed(raster.locally_dark(image, 31, 8))
+        out = []
+        for box, area, corners in detect.outer_contours(mask, params.cell_min_w, params.cell_min_h):
+            white = raster.white_share(image, box, level=params.white_level)
+            if white is not None:
+                out.append((*box, area, corners, white))
+        return out
+
+    found = on_pages(rasters, kernel, "x1 int, y1 int, x2 int, y2 int, contour_area double, corners int, white_ratio double")
+    return found.filter(((F.col("x2") - F.col("x1")) <= params.cell_max_w) & ((F.col("y2") - F.col("y1")) <= params.cell_max_h))
+
+
 def detected_cells(rasters: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """page_id, x1, y1, x2, y2, white_ratio of the cells that lines enclose, within the size limits and white inside."""
 
-    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                image = image_of(r.pixels, r.width, r.height)
-                for box in raster.cells_by_components(image, min_area=params.component_min_area, max_share=params.component_max_share, max_aspect=params.component_max_aspect):
-                    white = raster.white_share(image, box, level=params.white_level)
-                    if white is not None:
-                        out.append((r.page_id, *box, white))
-            yield pd.DataFrame(out, columns=["page_id", "x1", "y1", "x2", "y2", "white_ratio"])
-
-    found = rasters.select("page_id", "width", "height", "pixels").mapInPandas(kernel, "page_id bigint, x1 int, y1 int, x2 int, y2 int, white_ratio double")
+    def kernel(image: np.ndarray) -> list[tuple]:
+        out = []
+        for box in raster.cells_by_components(image, min_area=params.component_min_area, max_share=params.component_max_share, max_aspect=params.component_max_aspect):
+            white = raster.white_share(image, box, level=params.white_level)
+            if white is not None:
+                out.append((*box, white))
+        return out
+
+    found = on_pages(rasters, kernel, "x1 int, y1 int, x2 int, y2 int, white_ratio double")
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     return found.filter(w.between(params.cell_min_w, params.cell_max_w) & h.between(params.cell_min_h, params.cell_max_h) & (F.col("white_ratio") >= params.white_share))
 
@@ -39,12 +84,7 @@ def detected_cells(rasters: DataFrame, params: Params = DEFAULT) -> DataFrame:
 def detected_lines(rasters: DataFrame, length: int = 80) -> DataFrame:
     """page_id, orient, pos, lo, hi of long dark lines."""
 
-    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(r.page_id, *x) for r in frame.itertuples(index=False) for x in raster.ruling_lines(image_of(r.pixels, r.width, r.height), length)]
-            yield pd.DataFrame(out, columns=["page_id", "orient", "pos", "lo", "hi"])
-
-    return rasters.select("page_id", "width", "height", "pixels").mapInPandas(kernel, "page_id bigint, orient string, pos int, lo int, hi int")
+    return on_pages(rasters, lambda image: raster.ruling_lines(image, length), "orient string, pos int, lo int, hi int")
 
 
 def measured(items: DataFrame, rasters: DataFrame) -> DataFrame:

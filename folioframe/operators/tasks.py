@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..params import DEFAULT
 
+#: States that a task does not leave.
+END_STATES = ("completed", "failed")
+
 
 def accepted_uploads(files: DataFrame) -> DataFrame:
     """Files with a name that ends in .pdf in any case: base name and a fresh task id."""
@@ -36,6 +39,7 @@ def without_task(tasks: DataFrame, task_id: str) -> DataFrame:
 
 
 def latest_states(changes: DataFrame) -> DataFrame:
-    """The last state of each task; a task that reached an end stays there."""
-    end = F.col("status").isin("completed", "failed")
-    return changes.groupBy("task_id").agg(F.coalesce(F.min_by("status", F.when(end, F.col("ts"))), F.max_by("status", "ts")).alias("status"), F.max("ts").alias("ts"))
+    """The last state of each task; a task that reached an end stays there, at its first end. Of equal times the smaller status counts."""
+    end = F.when(F.col("status").isin(*END_STATES), F.struct("ts", "status"))
+    last = F.max_by("status", F.struct("ts", F.transform(F.split("status", ""), lambda c: -F.ascii(c))))
+    return changes.groupBy("task_id").agg(F.coalesce(F.min(end)["status"], last).alias("status"), F.max("ts").alias("ts"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,14 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
+from ..functions.dictionary import Replacer
 from ..functions.fitting import Metrics
 from ..params import DEFAULT
+from ..session import stored
 
 #: Rows and bytes of a term list or cache up to which it is handed to every executor; larger ones are joined by hash.
 SMALL_ROWS = 50_000
 SMALL_BYTES = 16 << 20
-#: Leading characters by which texts are numbered in pieces.
-PIECE_CHARS = 6
 
 
 def distinct_terms(terms: DataFrame) -> DataFrame:
@@ -40,17 +41,54 @@ def with_terms(items: DataFrame, terms: DataFrame, keep: str = "absent") -> Data
     return items.join(d, F.col("text") == F.col("__cn"), "left").withColumn("translated", F.coalesce("__en", other)).drop("__cn", "__en")
 
 
-def term_array(terms: DataFrame) -> Column:
-    """The terms as a literal, longest first and in file order. A term list is configuration: it is read on the driver."""
-    rows = sorted(distinct_terms(terms).collect(), key=lambda r: (-len(r["cn"]), r["ord"]))
-    if not rows:
-        return F.array().cast("array<struct<cn:string,en:string>>")
-    return F.array(*[F.struct(F.lit(r["cn"]).alias("cn"), F.lit(r["en"]).alias("en")) for r in rows])
+def replace_terms(items: DataFrame, terms: DataFrame) -> DataFrame:
+    """Append translated: every term replaced in the text, longest first and in file order; what a replacement makes can be matched again.
 
+    A dictionary goes to the workers as one automaton, a very large one as several that follow each other: a list cut into
+    stretches gives what the whole list gives, and a worker holds one stretch. Terms without a wording are left out.
+    """
+    out = items.withColumn("translated", F.col("text"))
+    for stretch in _stretches(terms):
+        out = out.withColumn("translated", _replacing(stretch)(F.col("translated")))
+    return out
 
-def replace_terms(items: DataFrame, terms: DataFrame) -> DataFrame:
-    """Append translated: every term replaced in the text, longest first."""
-    return items.withColumn("translated", t.replaced(F.col("text"), term_array(terms)))
+
+def _stretches(terms: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """The terms in order, at most SMALL_ROWS terms and SMALL_BYTES characters at a time."""
+    ready = distinct_terms(terms).filter("cn <> '' AND en IS NOT NULL").orderBy(F.desc(F.char_length("cn")), "ord", "cn")
+    held, size = [], 0
+    for r in ready.select("cn", "en").toLocalIterator(prefetchPartitions=True):
+        if len(held) >= SMALL_ROWS or (held and size > SMALL_BYTES):
+            yield held
+            held, size = [], 0
+        held.append((r.cn, r.en))
+        size += len(r.cn) + len(r.en)
+    if held:
+        yield held
+
+
+_replacers: dict[str, Replacer] = {}
+
+
+def _replacer(name: str, terms: list[tuple[str, str]]) -> Replacer:
+    """The automaton of a list, built once a worker; only the last few lists' stay."""
+    if name not in _replacers:
+        if len(_replacers) >= 4:
+            _replacers.clear()
+        _replacers[name] = Replacer(terms)
+    return _replacers[name]
+
+
+def _replacing(terms: list[tuple[str, str]]):
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("string")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        replaced = _replacer(name, terms)
+        for series in texts:
+            yield series.map(replaced, na_action="ignore")
+
+    return run
 
 
 def is_translated() -> Column:
@@ -69,19 +107,23 @@ def cache_cascade(items: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def batches(texts: DataFrame, order: list[str], size: int = DEFAULT.batch_size, within: str | None = None) -> DataFrame:
-    """Append batch_no and id (both from 1) in order; ``within`` numbers each key's rows for themselves.
+    """Append batch_no and id (both from 1) in order, nulls first; ``within`` numbers each key's rows for themselves.
 
-    Rows are numbered in pieces of equal leading characters of the first column, and pieces by their rows: no task gets all texts.
+    Rows are dealt by ranges of the order and stored with the number of their range; ranges are numbered by their rows, and rows
+    inside a range. No task gets all texts, and rows that agree in the order are dealt to several ranges.
     """
     if within:
         out = texts.withColumn("id", F.row_number().over(Window.partitionBy(within).orderBy(*order)))
     else:
-        cut = texts.withColumn("__piece", F.substring(F.coalesce(F.col(order[0]).cast("string"), F.lit("")), 1, PIECE_CHARS))
-        counts = cut.groupBy("__piece").agg(F.count(F.lit(1)).alias("__c"))
-        before = F.coalesce(F.sum("__c").over(Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = counts.select(F.col("__piece").alias("__p"), before.alias("__before"))
-        inside = F.row_number().over(Window.partitionBy("__piece").orderBy(*order))
-        out = cut.withColumn("__n", inside).join(starts, F.col("__piece") == F.col("__p")).withColumn("id", (F.col("__before") + F.col("__n")).cast("int")).drop("__piece", "__p", "__before", "__n")
+        ranges = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = texts.withColumn("__at", F.monotonically_increasing_id()).repartitionByRange(ranges, *order, "__at")
+        kept = stored(dealt.withColumn("__range", F.spark_partition_id()))
+        counts = kept.groupBy("__range").agg(F.count(F.lit(1)).alias("__c"))
+        before = F.coalesce(F.sum("__c").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = counts.select(F.col("__range").alias("__r"), before.alias("__before"))  # a row a range
+        inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order, "__at"))
+        met = kept.withColumn("__n", inside).join(F.broadcast(starts), F.col("__range") == F.col("__r"))
+        out = met.withColumn("id", (F.col("__before") + F.col("__n")).cast("int")).drop("__at", "__range", "__r", "__before", "__n")
     return out.withColumn("batch_no", F.expr(f"(id - 1) DIV {size}") + 1)
 
 

@@ -29,6 +29,9 @@ class Params:
     side_tolerances: tuple[int, int] = (5, 9)
     bounding_reach: tuple[int, int] = (30, 120)
     corner_level: int = 128
+    hough_votes: int = 20
+    hough_length: int = 15
+    hough_gap: int = 15
     least_cells: int = 3
     dedup_iou: float = 0.45
     dedup_ratio: float = 0.68

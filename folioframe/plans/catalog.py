@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +13,9 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..functions.fitting import Metrics
 from ..operators import aggregates, fitting, grouping, items, raster, reports, sequences, spatial, tasks, tiling, translate
-from ..sources import readers
+from ..session import shared_folder
+from ..sources import documents, readers
+from ..streaming import arrivals, lifecycle
 from . import flows
 from . import views as v
 
@@ -310,9 +313,27 @@ def short_term_fallback(spark, sf):
     return translate.short_terms(u, v.terms(spark)).select("item_id", "translated")
 
 
-@query("SELECT ord, cn, en FROM terms ORDER BY length(cn) DESC, ord LIMIT 3", "terms")
+@query("SELECT min(p_partkey) AS ord, p_name AS cn, arg_max(upper(p_name) || ' ' || p_size, p_partkey) AS en FROM part GROUP BY p_name ORDER BY length(p_name) DESC, ord LIMIT 20")
 def term_top_n(spark, sf):
-    return translate.distinct_terms(v.terms(spark)).orderBy(F.desc(F.char_length("cn")), "ord").limit(3).select("ord", "cn", "en")
+    """The twenty longest names of parts as a term list, in file order; the last wording of a name counts."""
+    d = v.table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("cn"), F.concat_ws(" ", F.upper("p_name"), "p_size").alias("en"))
+    return translate.distinct_terms(d).orderBy(F.desc(F.char_length("cn")), "ord").limit(20).select("ord", "cn", "en")
+
+
+@query(
+    """WITH k AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0),
+    o AS (SELECT o_orderkey, 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS a, 'Customer#' || lpad(CAST(o_custkey * 7 % 20011 AS VARCHAR), 9, '0') AS b FROM orders)
+    SELECT o_orderkey, 'Order ' || o_orderkey || ' for ' || coalesce('K' || x.c_custkey, replace(a, 'Customer', 'Client')) || ' and ' || coalesce('K' || y.c_custkey, replace(b, 'Customer', 'Client')) AS translated
+    FROM o LEFT JOIN k x ON a = x.c_name LEFT JOIN k y ON b = y.c_name"""
+)
+def dict_large_replace(spark, sf):
+    """Names of customers as a dictionary that grows with the tables: longest first, so a name that is known is not taken for its first word."""
+    names = v.table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ord"), F.col("c_name").alias("cn"), F.concat(F.lit("K"), F.col("c_custkey").cast("string")).alias("en"))
+    one = v.table(spark, sf, "customer").select(F.lit(-1).cast("bigint").alias("ord"), F.lit("Customer").alias("cn"), F.lit("Client").alias("en")).limit(1)
+    name = lambda key: F.concat(F.lit("Customer#"), F.lpad(key.cast("string"), 9, "0"))
+    key = F.col("o_custkey")
+    texts = v.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" for "), name(key), F.lit(" and "), name(key * 7 % 20011)).alias("text"))
+    return translate.replace_terms(texts, names.unionByName(one)).select("o_orderkey", "translated")
 
 
 @query("SELECT p_size AS page, p_name AS cn, upper(p_name) AS en, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS INT) AS ord FROM part")
@@ -798,6 +819,51 @@ def task_states(spark, sf):
     return tasks.latest_states(e).select("task_id", "status")
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS task_id, coalesce(arg_min(s, ts) FILTER (WHERE s IN ('completed', 'failed')), arg_max(s, ts)) AS status, max(ts) AS ts FROM (SELECT user_id, ts, CASE event_id % 40 WHEN 0 THEN 'completed' WHEN 17 THEN 'failed' WHEN 3 THEN 'uploaded' ELSE 'processing' END AS s FROM events) GROUP BY user_id")
+def task_states_stream(spark, sf):
+    """The event log replayed as a stream with keyed state; the last row of each task is its state."""
+    k = F.col("event_id") % 40
+    status = F.when(k == 0, "completed").when(k == 17, "failed").when(k == 3, "uploaded").otherwise("processing")
+    stream = arrivals.arriving(spark, f"{sf}/events.parque[t]", v.table(spark, sf, "events").schema)
+    folder = f"{shared_folder(spark)}/folioframe-{uuid.uuid4().hex}"
+    log = stream.select(F.col("user_id").alias("task_id"), status.alias("status"), "ts")
+    return lifecycle.current(lifecycle.replayed(log, f"{folder}/out", f"{folder}/checkpoint", "36500 days"))
+
+
+@query("SELECT page_id, item_id, text FROM items", "items")
+def page_documents(spark, sf):
+    """The items of pages written as paged documents, a line a page, and read back by the page source."""
+    spark.dataSource.register(documents.document_source("paged_items", None, "page_id bigint, ids array<bigint>, texts array<string>"))
+    row = F.array_sort(F.collect_list(F.struct("item_id", "text")))
+    pages = v.items(spark, sf).groupBy("page_id").agg(row.alias("r")).select("page_id", F.col("r.item_id").alias("ids"), F.col("r.text").alias("texts"))
+    path = f"{shared_folder(spark)}/folioframe-{uuid.uuid4().hex}"
+    pages.write.format("paged_items").mode("append").save(path)
+    read = spark.read.format("paged_items").schema("page_id bigint, ids array<bigint>, texts array<string>").load(path)
+    return read.select("page_id", F.explode(F.arrays_zip("ids", "texts")).alias("z")).select("page_id", F.col("z.ids").alias("item_id"), F.col("z.texts").alias("text"))
+
+
+@query(
+    """SELECT page_id, CAST(w AS DOUBLE) AS page_width_pt, CAST(h AS DOUBLE) AS page_height_pt, 0 AS rotation, 144 AS dpi, w * 2 AS pixel_width, h * 2 AS pixel_height, w * 2 * h * 2 AS n_bytes
+    FROM (SELECT page_id, max(x2) // 10 AS w, max(y2) // 10 AS h FROM items GROUP BY page_id)""",
+    "items",
+)
+def rendered_pages(spark, sf):
+    """The first page of a document a page of items, by an injected renderer that draws a white sheet of the page's size."""
+    size = v.items(spark, sf).groupBy("page_id").agg(F.expr("max(x2) DIV 10").alias("w"), F.expr("max(y2) DIV 10").alias("h"))
+    sheet = F.struct("w", "h")
+    docs = size.select(F.col("page_id").cast("string").alias("path"), F.to_json(F.struct(F.array(sheet, sheet).alias("pages"))).cast("binary").alias("content"))
+
+    def render(content, page_no, zoom):
+        import json
+
+        p = json.loads(bytes(content))["pages"][page_no]
+        w, h = round(p["w"] * zoom), round(p["h"] * zoom)
+        return float(p["w"]), float(p["h"]), 0, w, h, np.full(w * h, 255, np.uint8).tobytes()
+
+    made = readers.first_pages(docs, render, 144)
+    return made.select(F.col("path").cast("bigint").alias("page_id"), "page_width_pt", "page_height_pt", "rotation", "dpi", F.col("pixel_width").cast("bigint").alias("pixel_width"), F.col("pixel_height").cast("bigint").alias("pixel_height"), F.length("pixels").cast("bigint").alias("n_bytes"))
+
+
 # -- kernels: their result depends on an order of visits, so tests compare them with hand-made rows -----------------
 
 
@@ -960,7 +1026,9 @@ def _rasters(spark, sf) -> DataFrame:
                 out.append((p, 320, 240, image.tobytes()))
             yield pd.DataFrame(out, columns=["page_id", "width", "height", "pixels"])
 
-    return v.page_ids(spark, sf).mapInPandas(draw, "page_id bigint, width int, height int, pixels binary")
+    # Page numbers are so few bytes that Spark would put all into one task; drawing and looking at a page takes milliseconds.
+    pages = v.page_ids(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism)
+    return pages.mapInPandas(draw, "page_id bigint, width int, height int, pixels binary")
 
 
 @query()
@@ -973,6 +1041,36 @@ def raster_lines(spark, sf):
     return raster.detected_lines(_rasters(spark, sf))
 
 
+@query()
+def raster_segments(spark, sf):
+    """Line segments of every raster, as ranges by orientation and position."""
+    return items.segment_kind(raster.detected_segments(_rasters(spark, sf)))
+
+
+@query(
+    """SELECT page_id, 20 AS x1, 20 AS y1, CAST(greatest(301, max(x) FILTER (WHERE x <= 303) + 1) AS INT) AS x2, CAST(greatest(221, max(y) FILTER (WHERE y <= 223) + 1) AS INT) AS y2
+    FROM (SELECT page_id, 20 + k * (70 + page_id % 30) AS x, 20 + k * (50 + page_id % 20) AS y FROM pids, range(5) a(k)) GROUP BY page_id""",
+    "pids",
+)
+def raster_contours(spark, sf):
+    """The boxes of outer contours: the frame of every raster, with a rule that stands two pixels off; others are too thin."""
+    return raster.detected_contours(_rasters(spark, sf)).select("page_id", *spatial.BOX)
+
+
+@query()
+def scanned_cells(spark, sf):
+    """The cells of every raster by all detectors, near the page's items at a quarter of their size."""
+    quarter = {c: F.expr(f"CAST({c} DIV 4 AS INT)") for c in spatial.BOX}
+    return flows.scanned_cells(_rasters(spark, sf), v.items(spark, sf).withColumns(quarter))
+
+
+@query()
+def barred_chain(spark, sf):
+    """Paragraphs of items at a quarter of their size, none across a dark bar of the page's raster."""
+    quarter = {c: F.expr(f"CAST({c} DIV 4 AS INT)") for c in spatial.BOX}
+    return grouping.chained_on_rasters(v.items(spark, sf).withColumns(quarter), _rasters(spark, sf))
+
+
 @query()
 def closed_cells(spark, sf):
     """Cells that the lines of each raster make, and some that are moved off them."""

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as t
 from ..functions.fitting import Metrics
-from ..operators import aggregates, fitting, grouping, items, sequences, spatial, translate
+from ..operators import aggregates, fitting, grouping, items, raster, sequences, spatial, translate
 from ..params import DEFAULT, Params
+from ..session import stored
 
 
 def intersection_grid(segments: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -50,6 +51,19 @@ def cell_cascade(stages: dict[str, DataFrame], texts: DataFrame, params: Params
     return aggregates.named_cells(kept).select("page_id", *spatial.BOX, F.array_join("stages", ",").alias("stages"), "cell_no", "cell_id")
 
 
+def scanned_cells(rasters: DataFrame, texts: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """The cascade on images: enclosed regions (M), contours (A) and the grid of line segments (B) of each page.
+
+    What detectors find is stored: later steps read it several times, and images are looked at once.
+    """
+    stages = {
+        "M": stored(raster.detected_cells(rasters, params)),
+        "A": stored(items.contour_gate(raster.detected_contours(rasters, params), params)),
+        "B": stored(intersection_grid(stored(raster.detected_segments(rasters, params)), params)),
+    }
+    return cell_cascade(stages, texts, params)
+
+
 def dispatched_cells(preferred: DataFrame | None, fallback: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Each page's cells by the preferred engine, or by the other one where that gives fewer than least_cells or is not there; engine tells which."""
     second = fallback.select("page_id", *spatial.BOX).withColumn("engine", F.lit("fallback"))

@@ -1,11 +1,13 @@
-"""What a session needs to run this package's kernels."""
+"""What a session needs to run this package's kernels, and the folder that its machines share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -20,3 +22,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark
+
+
+_own_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may lack it and gets a temporary one."""
+    global _own_folder
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _own_folder is None:
+        _own_folder = "file://" + tempfile.mkdtemp(prefix="folioframe-")
+    return _own_folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what depends on the run (partition numbers, places in a partition) stays as it is."""
+    path = f"{shared_folder(df.sparkSession)}/folioframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

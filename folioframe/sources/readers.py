@@ -69,6 +69,24 @@ def rendered(documents: DataFrame, render: Callable[[bytes], Iterator[tuple[int,
     return documents.select("path", "content").mapInPandas(kernel, "path string, page_no int, width int, height int, pixels binary")
 
 
+def first_pages(documents: DataFrame, render: Callable[[bytes, int, float], tuple[float, float, int, int, int, bytes]], dpi: int = 200) -> DataFrame:
+    """path, page_width_pt, page_height_pt, rotation, dpi, pixel_width, pixel_height and pixels of each document's first page.
+
+    ``render`` gets the content, the page number 0 and the zoom, dpi / 72, and gives width and height in points, rotation,
+    width and height in pixels, and pixels. A document without content has no row.
+    """
+    names = ["path", "page_width_pt", "page_height_pt", "rotation", "dpi", "pixel_width", "pixel_height", "pixels"]
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):  # a frame a page: pages are large
+                w, h, turn, pixel_w, pixel_h, pixels = render(r.content, 0, dpi / 72)
+                yield pd.DataFrame([(r.path, w, h, turn, dpi, pixel_w, pixel_h, pixels)], columns=names)
+
+    schema = "path string, page_width_pt double, page_height_pt double, rotation int, dpi int, pixel_width int, pixel_height int, pixels binary"
+    return documents.filter("content IS NOT NULL").select("path", "content").mapInPandas(kernel, schema)
+
+
 def recognised(tiles: DataFrame, engines: dict[str, Callable[[], Callable[[bytes, int, int], list[tuple]]]]) -> DataFrame:
     """Items of every tile by each engine, as one table with the engine as source; a tile that an engine fails on has none.
 

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def arriving(spark: SparkSession, path: str, schema: str, most: int = 100) -> DataFrame:
+def arriving(spark: SparkSession, path: str, schema: str | StructType, most: int = 100) -> DataFrame:
     """Parquet files as they arrive, ``most`` a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", most).parquet(path)
 

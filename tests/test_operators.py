@@ -230,3 +230,15 @@ def test_cascade_and_flow(spark):
     cache = spark.createDataFrame([("钢", "Steel")], "text string, translated string")
     placed = flows.unified_flow(df, terms, cache, lambda x: [y.upper() for y in x]).collect()
     assert {r.text for r in placed} == {"Bolt", "Steel"}
+
+
+def test_batches_follow_the_order_of_numbers_and_of_equal_rows(spark):
+    numbers = [1, 2, 9, 10, 11, 100, 7, 55, 1000, 3]
+    df = spark.createDataFrame([(n, "same") for n in numbers], "n int, text string").repartition(4)
+    got = {r.n: (r.id, r.batch_no) for r in translate.batches(df, ["n"], 4).collect()}
+    assert got == {n: (k, (k - 1) // 4 + 1) for k, n in enumerate(sorted(numbers), 1)}
+    one = translate.batches(df.withColumn("n", (df.n > 8).cast("int")), ["text"], 3)
+    assert sorted(r.id for r in one.collect()) == list(range(1, 11))
+    nulls = spark.createDataFrame([(None, "a"), (2, "b"), (None, "c"), (1, "d")], "n int, text string")
+    assert [r.text for r in translate.batches(nulls, ["n", "text"]).orderBy("id").collect()] == ["a", "c", "d", "b"]
+    assert translate.batches(df.limit(0), ["n"]).count() == 0
