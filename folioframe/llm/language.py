@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import small_batches, spread, table
 
@@ -195,10 +197,11 @@ def remainder(doc_id: Column) -> Column:
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Model:
     """Train on a sample of the labelled rows of every label outside the held-out part.
 
-    Rows are drawn by a hash of the id and the text's length, rows alike in both and the label once; only their features
-    and labels reach the driver.
+    Rows with a letter are drawn by a hash of the id and the text's length, rows alike in both and the label once: by a
+    threshold for about as many as wanted of each label, and the least_rows smallest hashes of each, which even the rarest label
+    has. Only their features and labels reach the driver, at most about sample_rows and least_rows of each label.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(remainder(F.col("doc_id")), F.lit(0)) != 2))
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.coalesce(remainder(F.col("doc_id")), F.lit(0)) != 2))
     counts = labelled.groupBy("lang").count().collect()  # a row a language
     if not counts:
         return Model([], {}, np.zeros((0, DIMS), np.float32), np.zeros(0, np.float32), {})
@@ -206,7 +209,10 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Model:
     space = 1 << 30
     draw = F.pmod(F.xxhash64("doc_id", F.char_length("text")), F.lit(space))
     limit = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(space, space * per_language // r["count"] + 1))])
-    drawn = labelled.select("lang", "text", draw.alias("draw")).filter(F.col("draw") < F.coalesce(F.element_at(limit, F.col("lang")), F.lit(0)))
+    rows = labelled.select("doc_id", "lang", "text", draw.alias("draw"))
+    # Ranks this low are cut off in every task before the shuffle.
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).filter(F.col("rank") <= params.least_rows)
+    drawn = rows.filter(F.col("draw") < F.coalesce(F.element_at(limit, F.col("lang")), F.lit(0))).unionByName(first.drop("rank"))
     drawn = drawn.dropDuplicates(["lang", "draw"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +232,7 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> Model:
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Append lang_pred and score; columns of the input with these names are replaced."""
     rest = docs.drop("lang_pred", "score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
+    schema = StructType([*rest.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     at = rest.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +241,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     small_batches(docs.sparkSession)
-    return spread(rest).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return spread(rest).mapInArrow(run, schema)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import small_batches, spread, table
 
@@ -294,8 +295,7 @@ def restored(made: DataFrame, params: MiddleParams = MiddleParams()) -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary()).view(pa.string())], names=[*names, "restored"])
 
     small_batches(made.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.schema)
-    return made.mapInArrow(run, f"{fields}, restored string")
+    return made.mapInArrow(run, StructType([*made.schema.fields, StructField("restored", StringType())]))
 
 
 def op12_middle_cuts(spark, sf_dir: str) -> DataFrame:

@@ -170,10 +170,11 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     with passing(docs.sparkSession) as last:
         sized = durable(keyed.select(F.col(key).alias("doc_id"), "source", F.size(words(F.col("text"))).cast("bigint").alias("size")))
         taken = mix(sized).filter("size > 0").groupBy("doc_id", "source").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-        copies = taken.select(F.col("doc_id").alias("__k"), F.col("source").alias("__s"), F.floor(F.col("taken") / F.col("size") + 0.5).alias("__copies"))
-        copies = last(copies.filter("__copies > 0"))
-    met = keyed.join(copies, (F.col(key) == F.col("__k")) & F.col("source").eqNullSafe(F.col("__s")))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*docs.columns)
+        k, source, n, copy = (free_name(docs, x) for x in ("__k", "__s", "__copies", "__copy"))
+        copies = taken.select(F.col("doc_id").alias(k), F.col("source").alias(source), F.floor(F.col("taken") / F.col("size") + 0.5).alias(n))
+        copies = last(copies.filter(F.col(n) > 0))
+    met = keyed.join(copies, (F.col(key) == F.col(k)) & F.col("source").eqNullSafe(F.col(source)))
+    return met.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(n)))).select(*docs.columns)
 
 
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -457,16 +457,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat both id and text are rare: only they are compared with each other.
     """
-    ids, key = free_name(docs, "__id"), free_name(docs, "__key")
+    ids, key, k, n = (free_name(docs, x) for x in ("__id", "__key", "__k", "__n"))
     with passing(docs.sparkSession) as last:
         found = groups(docs.select("doc_id", "text")).filter("kept AND doc_id IS NOT NULL")
-        keep = found.groupBy(F.col("doc_id").alias(ids), F.col("text_key").alias("__k"), "group").agg(F.count(F.lit(1)).alias("__n"))
+        keep = found.groupBy(F.col("doc_id").alias(ids), F.col("text_key").alias(k), "group").agg(F.count(F.lit(1)).alias(n))
         # One id may carry several texts of one group: the smallest text key speaks for it.
-        keep = last(keep.groupBy(ids, "group").agg(F.min(F.struct("__k", "__n")).alias("x")).select(ids, "x.__k", "x.__n"))
+        keep = last(keep.groupBy(ids, "group").agg(F.min(F.struct(k, n)).alias("x")).select(ids, F.col("x")[k].alias(k), F.col("x")[n].alias(n)))
     keyed = docs.withColumn(key, text_key())
-    same = (F.col("doc_id") == F.col(ids)) & (F.col(key) == F.col("__k"))
-    out = keyed.join(keep.filter("__n = 1"), same, "left_semi")
-    twice = keep.filter("__n > 1")
+    same = (F.col("doc_id") == F.col(ids)) & (F.col(key) == F.col(k))
+    out = keyed.join(keep.filter(F.col(n) == 1), same, "left_semi")
+    twice = keep.filter(F.col(n) > 1)
     if twice.take(1):
         out = out.unionByName(keyed.join(twice, same, "left_semi").dropDuplicates(["doc_id", key]))
     return out.drop(key).unionByName(docs.filter("doc_id IS NULL"))

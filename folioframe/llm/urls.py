@@ -1,10 +1,9 @@
 """URL filters: host and path rules first, association rules mined by FP-growth for the rest. DataFrame functions only.
 
 URLs of labelled documents are baskets of tokens (words of host labels and of the path, extension, query names) with one
-item more where the document is bad. FP-growth gives the frequent baskets; rules whose consequence is that item are kept
-if enough bad URLs support them, if they are min_lift times as confident as the share of bad URLs among all labelled
-ones, and if no part of them is as confident. Rules are indexed by their rarest token, which a URL must contain; what the
-index finds is checked in full. The index is a map inside each row's expression, so no page is shuffled; beyond INDEX_RULES
+item more where the document is bad. FP-growth gives the token sets that enough bad URLs have; they are kept as rules if they
+are min_lift times as confident as the share of bad URLs among all labelled ones, and if no part of them is as confident. Rules
+are indexed by their rarest token, which a URL must contain; what the index finds is checked in full. The index is a map inside each row's expression, so no page is shuffled; beyond INDEX_RULES
 rules it is a table that distinct URLs are joined with.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, meets no rule and is allowed; repeated
@@ -14,6 +13,7 @@ and what no rule meets is allowed; an empty table gives an empty result; columns
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -108,35 +108,83 @@ def baskets(pages: DataFrame, labels: DataFrame, params: MiningParams) -> DataFr
 
 
 def mined(items: DataFrame, params: MiningParams = MiningParams()) -> DataFrame:
-    """rule_id, tokens, key (the rarest token) and confidence of the rules that survive; ``items`` should be durable."""
+    """rule_id, tokens, key (the rarest token) and confidence of the rules that survive; ``items`` should be durable.
+
+    FP-growth sees bad URLs only, and of their tokens those that enough bad URLs have, without two kinds that would make the
+    number of combinations explode and add nothing: a token that only bad URLs have is a rule that no longer one can better, and
+    of tokens that always stand together one stands for all, since a second one changes no count. The others' rules follow by
+    putting each of them in its place.
+    """
     spark = items.sparkSession
-    total, bad = items.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", BAD))).first()
+    none = spark.createDataFrame([], "rule_id bigint, tokens array<string>, key string, confidence double")
+    is_bad = F.array_contains("items", BAD)
+    total, bad = items.agg(F.count(F.lit(1)), F.count_if(is_bad)).first()
     if not bad:
-        return spark.createDataFrame([], "rule_id bigint, tokens array<string>, key string, confidence double")
-    support = max(params.min_support, min(1.0, params.min_urls / total))
+        return none
+    need = max(params.min_urls, math.ceil(params.min_support * total - 1e-9))
     # With every other URL bad no rule can be twice as confident: one that is never wrong is asked for then.
     confident = min(1.0, params.min_lift * bad / total)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confident).fit(items)
-    rules = (
-        model.associationRules.filter(F.array_contains("consequent", BAD))
-        .filter(F.round(F.col("support") * total) >= params.min_urls)
-        .select(F.array_sort("antecedent").alias("tokens"), "confidence")
-    )
-    rules = durable(rules.withColumn("rule_id", F.xxhash64("tokens")))
-    # A longer rule that is no more confident than a part of it adds nothing. Parts share a token, so they meet by it.
-    one = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("t"))
-    part = rules.select(F.col("rule_id").alias("p_id"), F.col("tokens").alias("p_tokens"), F.col("confidence").alias("p_confidence"), F.element_at("tokens", 1).alias("p_t"))
-    beaten = one.join(part, (F.col("t") == F.col("p_t")) & (F.col("rule_id") != F.col("p_id")) & (F.col("p_confidence") >= F.col("confidence"))).filter(
-        (F.size(F.array_except("p_tokens", "tokens")) == 0) & (F.size("p_tokens") < F.size("tokens"))
+    urls = durable(items.select(F.monotonically_increasing_id().alias("url_id"), is_bad.alias("bad"), F.filter("items", lambda t: t != BAD).alias("tokens")))
+    per = urls.select("url_id", "bad", F.explode("tokens").alias("t")).groupBy("t").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), *[F.sum(F.xxhash64("url_id", F.lit(k)) % (1 << 28)).alias(f"s{k}") for k in (1, 2, 3)]
     )
-    rules = rules.join(beaten.select("rule_id").distinct(), "rule_id", "left_anti")
-    seen = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("t"), "freq")
-    keyed = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("t")).join(seen, "t")
-    return keyed.groupBy("rule_id").agg(F.min(F.struct("freq", "t")).alias("k"), F.first("tokens").alias("tokens"), F.first("confidence").alias("confidence")).select(
+    per = durable(per.filter(F.col("n_bad") >= need))
+    single = per.filter("n_bad = n").select(F.array("t").alias("tokens"), F.lit(1.0).alias("confidence"))
+    rest = per.filter("n_bad < n").groupBy("n", "n_bad", "s1", "s2", "s3").agg(F.array_sort(F.collect_list("t")).alias("alike"))
+    classes = durable(rest.select(F.element_at("alike", 1).alias("t"), "alike", "n", "n_bad"))
+    reduced = urls.select("url_id", "bad", F.explode("tokens").alias("t")).join(classes.select("t"), "t", "left_semi")
+    reduced = durable(reduced.groupBy("url_id", "bad").agg(F.collect_list("t").alias("items")))
+    if not reduced.filter("bad").take(1):
+        sets = none.select("tokens", "confidence")
+    else:
+        n_baskets = reduced.filter("bad").count()
+        found = FPGrowth(itemsCol="items", minSupport=max(0.0, (need - 0.5) / n_baskets)).fit(reduced.filter("bad").select("items")).freqItemsets
+        found = durable(found.filter(F.col("freq") >= need).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n_bad")).withColumn("set_id", F.xxhash64("tokens")))
+        sets = _not_beaten(_with_confidence(found, reduced, classes))
+        members = classes.select(F.col("t").alias("__t"), "alike")
+        placed = sets.filter(F.col("confidence") >= confident).select("set_id", "confidence", F.explode("tokens").alias("t")).join(members, F.col("t") == F.col("__t"))
+        choices = placed.groupBy("set_id", "confidence").agg(F.collect_list("alike").alias("choices"))
+        start = F.array(F.array().cast("array<string>"))
+        each = F.aggregate("choices", start, lambda out, more: F.flatten(F.transform(out, lambda o: F.transform(more, lambda m: F.array_append(o, m)))))
+        sets = choices.select(F.explode(each).alias("tokens"), "confidence").withColumn("tokens", F.array_sort("tokens"))
+    rules = sets.select("tokens", "confidence").unionByName(single).withColumn("rule_id", F.xxhash64("tokens"))
+    keyed = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("t")).join(per.select("t", "n"), "t")
+    return keyed.groupBy("rule_id").agg(F.min(F.struct("n", "t")).alias("k"), F.first("tokens").alias("tokens"), F.first("confidence").alias("confidence")).select(
         "rule_id", "tokens", F.col("k.t").alias("key"), "confidence"
     )
 
 
+def _with_confidence(found: DataFrame, urls: DataFrame, tokens_of: DataFrame) -> DataFrame:
+    """``found`` (set_id, tokens, n_bad) with confidence: good URLs meet a set by its rarest token."""
+    rare = found.select("set_id", "tokens", F.explode("tokens").alias("t")).join(tokens_of.select("t", "n"), "t")
+    rare = rare.groupBy("set_id").agg(F.min(F.struct("n", "t")).alias("k"), F.first("tokens").alias("needs")).select("set_id", "needs", F.col("k.t").alias("t"))
+    good = urls.filter("NOT bad").select("items", F.explode("items").alias("t"))
+    n_good = good.join(rare, "t").filter(F.size(F.array_except("needs", "items")) == 0).groupBy(F.col("set_id").alias("__s")).agg(F.count(F.lit(1)).alias("n_good"))
+    met = found.join(n_good, F.col("set_id") == F.col("__s"), "left")
+    return met.select("set_id", "tokens", (F.col("n_bad") / (F.col("n_bad") + F.coalesce("n_good", F.lit(0)))).alias("confidence"))
+
+
+def _not_beaten(sets: DataFrame) -> DataFrame:
+    """Sets that are more confident than each of their parts.
+
+    Every part of a frequent set is frequent, so the most confident part is found length by length: it is one of the parts
+    with one token less, or the best below those. Parts meet by the hash of their tokens.
+    """
+    sets = durable(sets.withColumn("size", F.size("tokens")))
+    longest = sets.agg(F.max("size")).first()[0] or 0
+    below = sets.filter("size = 1").withColumn("best", F.col("confidence"))
+    out = sets.filter("size = 1").select("set_id", "tokens", "confidence")
+    for size in range(2, longest + 1):
+        at = sets.filter(F.col("size") == size)
+        parts = F.transform("tokens", lambda t: F.xxhash64(F.array_remove(F.col("tokens"), t)))
+        met = at.select("set_id", F.explode(parts).alias("part")).join(below.select(F.col("set_id").alias("part"), "best"), "part")
+        best = met.groupBy(F.col("set_id").alias("__s")).agg(F.max("best").alias("part_best"))
+        level = durable(at.join(best, F.col("set_id") == F.col("__s")).drop("__s").withColumn("best", F.greatest("confidence", "part_best")))
+        out = out.unionByName(level.filter("confidence > part_best").select("set_id", "tokens", "confidence"))
+        below = level
+    return out
+
+
 def by_map(at: DataFrame, rules: DataFrame) -> DataFrame:
     """Append n_mined by looking every token up in a map of the rules, which stands in the plan once."""
     entry = F.struct("key", F.collect_list("tokens").over(Window.partitionBy("key")).alias("rules")).alias("e")

@@ -372,6 +372,15 @@ def test_language_odd_rows(spark, odd, docs):
     assert language.predicted(odd.limit(0), one).count() == 0
 
 
+def test_a_label_with_one_row_of_letters_is_learned(spark):
+    rows = [(k, "12 34 56", "xx") for k in range(6000)] + [(9000, "zażółć gęślą jaźń", "xx")]
+    rows += [(10_000 + k, f"the words of this text are number {k} of many", "en") for k in range(200)]
+    rows += [(20_000 + k, f"слово за словом номер {k}", f"r{k % 30}") for k in range(300)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    learned = {x for m in model.members.values() for x in m}
+    assert learned == {"xx", "en", *(f"r{k}" for k in range(30))}
+
+
 # -- op5 -----------------------------------------------------------------------------------------------------------
 
 
@@ -720,6 +729,19 @@ def test_mined_rules_by_brute_force(spark):
     assert got == want and got
 
 
+@pytest.mark.parametrize("kind", ["same", "one less", "with good ones"])
+def test_many_tokens_that_stand_together(spark, kind):
+    """Thirty bad URLs that share forty tokens, all of them or all but one each, and good URLs with half of them."""
+    words = [f"p:t{k:02d}" for k in range(40)]
+    rows = [(sorted({*words, f"p:own{i}"} - ({words[i]} if kind == "one less" else set())) + [urls.BAD],) for i in range(30)]
+    rows += [([f"p:other{i}", "p:all"],) for i in range(70)]
+    if kind == "with good ones":
+        rows += [(words,) for _ in range(10)]
+    rules = urls.mined(spark.createDataFrame(rows, "items array<string>")).collect()
+    assert sorted(r.tokens[0] for r in rules) == words and all(len(r.tokens) == 1 and r.key == r.tokens[0] for r in rules)
+    assert {round(r.confidence, 6) for r in rules} == {0.75 if kind == "with good ones" else 1.0}
+
+
 def test_mined_rules_block(spark):
     pages = spark.createDataFrame([(k, f"http://{'bad' if k % 2 else 'ok'}.example.org/xx/{k}") for k in range(100)] + [(None, None), (7, "http://bad.example.org/xx/7")], "page_id bigint, url string")
     labels = spark.createDataFrame([(k, 1, k % 2) for k in range(100)] + [(None, None, None), (3, None, 1)], "doc_id bigint, quality int, toxic int")
@@ -829,12 +851,43 @@ def test_pipeline_by_hand(spark, docs):
     assert corpus_pipeline.run(spark, SF).count() == len(kept["token ids"])
 
 
+def odd_stage_rows(rows, columns):
+    """What each stage keeps of odd rows, in plain code; the mix is given the ids that its own operator takes."""
+    text = {c: k for k, c in enumerate(columns)}["text"]
+    words = [(r, (r[text] or "").encode().split()) for r in rows]
+    long = []
+    for r, w in words:
+        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        hit = {k + j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        if len(w) >= 50 and 100 * len(hit) <= 50 * len(w):
+            long.append(r)
+    return long
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd):
+    """Columns with the names that operators use come back unchanged, row by row, through every stage."""
     import corpus_pipeline
 
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, odd, SF).count()
-        assert stage(spark, odd.limit(0), SF).count() == 0
+    unlike = " ".join(f"word{k}" for k in range(80))
+    more = spark.createDataFrame([(20 + k, f"{unlike} and {'more ' * k}", "en", "a", None, "x", "y", "z", "s", "n", "t", None) for k in range(3)], DOC)
+    names = {"n_words": 7, "host_rate": 0.25, "lang_pred": "zz", "__k": "k", "__w": "w", "__host": "h", "__copies": 3, "__copy": None, "__key": "key", "__id": 4, "component_id": -1, "carried": "c", "first slot": 1.5}
+    docs = odd.unionByName(more).withColumns({c: F.lit(x) if x is not None else F.lit(None).cast("int") for c, x in names.items()})
+    at = docs
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, got = plain(at), plain(stage(spark, at, SF))
+        assert at.columns == docs.columns == stage(spark, at, SF).columns and set(map(repr, got)) <= set(map(repr, before)), name
+        if name == "quality rules":
+            assert got == sorted(odd_stage_rows(before, docs.columns), key=repr) and len(got) >= 3
+        if name == "near-duplicates":
+            ids = [r[0] for r in got]
+            assert len({r[1] for r in got if r[0] is not None}) == len([i for i in ids if i is not None])
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        assert set(map(repr, plain(stage(spark, docs, SF)))) <= set(map(repr, plain(docs)))
+        at = stage(spark, at, SF)
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    enc = pieces.PieceEncoder(pieces.default_model())
+    assert Counter((r.doc_id, r.n_tokens) for r in tokens) == Counter((r.doc_id, len(enc.encode(r.text or ""))) for r in docs.collect())
 
 
 def test_durable_tables_can_be_cleared(spark, tmp_path):
