@@ -160,3 +160,11 @@ def ruling_lines(image: np.ndarray, length: int = 80) -> list[tuple[str, int, in
             f = found.setdefault((orient, pos), [lo, hi])
             f[:] = [min(f[0], lo), max(f[1], hi)]
     return [(o, p, lo, hi) for (o, p), (lo, hi) in sorted(found.items())]
+
+
+def shrunk(image: np.ndarray, w: int, h: int) -> np.ndarray:
+    """The image in fewer pixels, each the mean of the pixels that it covers."""
+    ys, xs = np.arange(h) * image.shape[0] // h, np.arange(w) * image.shape[1] // w
+    sums = np.add.reduceat(np.add.reduceat(image.astype(np.int64), ys, axis=0), xs, axis=1)
+    covers = np.diff(np.append(ys, image.shape[0]))[:, None] * np.diff(np.append(xs, image.shape[1]))[None, :]
+    return np.rint(sums / covers).astype(np.uint8)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fitting
-from ..functions.fitting import Metrics
+from ..functions.fitting import Metrics, TableMetrics
 from .paging import by_page
 
 PLACED = "page_id bigint, item_id bigint, line_no int, text string, x double, y double, font_size double, overflow boolean"
@@ -27,7 +27,7 @@ def placed(items: DataFrame, each: Callable[[tuple], list[tuple]]) -> DataFrame:
     return items.select("page_id", "item_id", F.coalesce("text", F.lit("")).alias("text"), "x1", "y1", "x2", "y2", "size").mapInPandas(kernel, PLACED)
 
 
-def fitted_lines(items: DataFrame, metrics: Metrics = Metrics(), unified: bool = False) -> DataFrame:
+def fitted_lines(items: DataFrame, metrics: Metrics | TableMetrics = Metrics(), unified: bool = False) -> DataFrame:
     """Lines of the largest size that fits each box: from ``size`` down to 5, or to 4 with every run cut by characters (unified)."""
     kw = {"min_size": 4, "spacing": 0.10, "least_spacing": 0, "break_all": True} if unified else {}
 
@@ -39,7 +39,7 @@ def fitted_lines(items: DataFrame, metrics: Metrics = Metrics(), unified: bool =
     return placed(items, each)
 
 
-def horizontal_lines(items: DataFrame, metrics: Metrics = Metrics()) -> DataFrame:
+def horizontal_lines(items: DataFrame, metrics: Metrics | TableMetrics = Metrics()) -> DataFrame:
     """Lines by the scale, wrap and shrink rule."""
 
     def each(r) -> list[tuple]:
@@ -49,7 +49,7 @@ def horizontal_lines(items: DataFrame, metrics: Metrics = Metrics()) -> DataFram
     return placed(items, each)
 
 
-def vertical_characters(items: DataFrame, metrics: Metrics = Metrics()) -> DataFrame:
+def vertical_characters(items: DataFrame, metrics: Metrics | TableMetrics = Metrics()) -> DataFrame:
     """Characters set from the bottom up; overflow where one lies beyond the box."""
 
     def each(r) -> list[tuple]:
@@ -58,7 +58,7 @@ def vertical_characters(items: DataFrame, metrics: Metrics = Metrics()) -> DataF
     return placed(items, each)
 
 
-def rotated_layers(items: DataFrame, metrics: Metrics = Metrics()) -> DataFrame:
+def rotated_layers(items: DataFrame, metrics: Metrics | TableMetrics = Metrics()) -> DataFrame:
     """One centred layer for each turned item; its box's sides are the layer's."""
 
     def each(r) -> list[tuple]:
@@ -105,7 +105,7 @@ def in_quad(x: Column, y: Column, quad: str = "quad") -> Column:
     return (F.least(*crosses) >= 0) | (F.greatest(*crosses) <= 0)
 
 
-def layer_texts(layers: DataFrame, metrics: Metrics = Metrics()) -> DataFrame:
+def layer_texts(layers: DataFrame, metrics: Metrics | TableMetrics = Metrics()) -> DataFrame:
     """Lines of every layer (layer_w by layer_h) with their tops inside it."""
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,10 +119,10 @@ def layer_texts(layers: DataFrame, metrics: Metrics = Metrics()) -> DataFrame:
     return layers.select("page_id", "item_id", F.coalesce("text", F.lit("")).alias("text"), "layer_w", "layer_h").mapInPandas(kernel, PLACED)
 
 
-def single_line(metrics: Metrics = Metrics()) -> dict[str, Column]:
+def single_line(metrics: Metrics | TableMetrics = Metrics()) -> dict[str, Column]:
     """Size and state of the horizontal rule's first two steps as columns: whole, scaled, or still too wide."""
     w = F.col("x2") - F.col("x1")
-    wide = F.char_length("text") * metrics.advance * F.col("size")
+    wide = metrics.column_width(F.col("text")) * F.col("size")
     scale = F.greatest(w / F.greatest(wide, F.lit(1e-9)), F.lit(0.4))
     state = F.when(wide <= w * 1.05, "whole").when(wide * scale <= w * 1.1, "scaled").otherwise("wrap")
     return {"fit_state": state, "fit_size": F.when(state == "whole", F.col("size")).otherwise(F.col("size") * scale)}
@@ -159,7 +159,7 @@ def cell_erase_boxes(cells: DataFrame, mean_level: str = "mean_level", inset: in
     return out.filter("x2 > x1 AND y2 > y1")
 
 
-def cell_layout(assigned: DataFrame, metrics: Metrics = Metrics(), max_size: int = 40) -> DataFrame:
+def cell_layout(assigned: DataFrame, metrics: Metrics | TableMetrics = Metrics(), max_size: int = 40) -> DataFrame:
     """Rows of each cell below each other, each with its share of the height by its item's height: one size for the cell if one fits all rows, else each row's own.
 
     ``assigned`` has the cell's box as c_ columns beside each item. A page's items are what one call sees.

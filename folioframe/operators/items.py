@@ -17,7 +17,7 @@ def gated(items: DataFrame, script: str | None = t.HAN, params: Params = DEFAULT
     return out if script is None else out.filter(t.has_script(F.col("text"), script))
 
 
-def clamp(items: DataFrame, page_w: int, page_h: int) -> DataFrame:
+def clamp(items: DataFrame, page_w: int | Column, page_h: int | Column) -> DataFrame:
     """Boxes put inside the page, with their new width and height."""
     return items.withColumns(g.clamped(g.box(), F.lit(page_w), F.lit(page_h)))
 

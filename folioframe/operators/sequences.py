@@ -23,10 +23,11 @@ def cluster_medians(points: DataFrame, keys: list[str], value: str, tolerance: i
     return clusters(points, keys, value, tolerance).groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"), F.floor(F.median(value)).cast("int").alias("median"))
 
 
-def free_gaps(boxes: DataFrame, keys: list[str], lo: str, hi: str, total: int, margin: int = 30, least: int = DEFAULT.min_gap) -> DataFrame:
-    """keys, gap_lo and gap_hi: stretches of 0..total that no box, widened by the margin, covers, ``least`` long at least."""
-    spans = boxes.select(*keys, F.greatest(F.lit(0), F.col(lo) - margin).alias("a"), F.least(F.lit(total), F.col(hi) + margin).alias("b")).filter("b > a")
-    ends = boxes.select(*keys).distinct().select(*keys, F.lit(total).alias("a"), F.lit(total).alias("b"))
+def free_gaps(boxes: DataFrame, keys: list[str], lo: str, hi: str, total: int | str, margin: int = 30, least: int = DEFAULT.min_gap) -> DataFrame:
+    """keys, gap_lo and gap_hi: stretches of 0..total (a number, or a column that the keys decide) that no box, widened by the margin, covers, ``least`` long at least."""
+    end = F.col(total) if isinstance(total, str) else F.lit(total)
+    spans = boxes.select(*keys, F.greatest(F.lit(0), F.col(lo) - margin).alias("a"), F.least(end, F.col(hi) + margin).alias("b")).filter("b > a")
+    ends = boxes.select(*keys, end.alias("a")).distinct().withColumn("b", F.col("a"))
     w = Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     seen = spans.unionByName(ends).withColumn("gap_lo", F.coalesce(F.max("b").over(w), F.lit(0)))
     return seen.filter(F.col("a") - F.col("gap_lo") >= least).select(*keys, "gap_lo", F.col("a").alias("gap_hi"))

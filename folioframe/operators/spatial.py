@@ -11,6 +11,8 @@ otherwise; of equally good partners the upper, then the left one or the smaller
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,10 +58,18 @@ def best_cell(items: DataFrame, cells: DataFrame, params: Params = DEFAULT) -> D
     return found.select("page_id", "item_id", F.col("m.overlap").alias("overlap"), (-F.col("m.l")).alias("c_x1"), (-F.col("m.t")).alias("c_y1"), F.col("m.b_x2").alias("c_x2"), F.col("m.b_y2").alias("c_y2"))
 
 
+def ladder(df: DataFrame, prefix: str, side: Column, reach: Column) -> DataFrame:
+    """A row for every square of the row's own ``side`` that its box, widened by ``reach``, touches: gx and gy."""
+    x1, y1, x2, y2 = g.box(prefix)
+    spread = lambda lo, hi: F.explode(F.sequence(F.floor((lo - reach) / side), F.floor((hi + reach) / side)))
+    return df.withColumn("gx", spread(x1, x2)).withColumn("gy", spread(y1, y2))
+
+
 def nearest_cell_gap(items: DataFrame, cells: DataFrame, reach: int = SQUARE) -> DataFrame:
-    """page_id, item_id and the distance to the nearest cell of the page.
+    """page_id, item_id and the distance to the nearest cell of the page; items of pages without cells have no row.
 
-    Cells within reach meet an item by square; only items that have none so near are compared with all cells of their page.
+    Cells within reach meet an item by square. An item that has none so near looks at squares of doubling side until one
+    around it holds a cell. The nearest cell is then at most two sides away, and is looked for in the squares of that side only.
     """
     a = prefixed(items.select("page_id", "item_id", *BOX), "a_")
     b = prefixed(cells.select("page_id", *BOX), "b_")
@@ -67,7 +77,18 @@ def nearest_cell_gap(items: DataFrame, cells: DataFrame, reach: int = SQUARE) ->
     met = squares(a, "a_").join(squares(b, "b_", reach=reach), ["page_id", "gx", "gy"])
     near = met.groupBy("page_id", F.col("a_item_id").alias("item_id")).agg(gap).filter(F.col("gap") <= reach)
     far = a.join(near.select(F.col("page_id").alias("__p"), F.col("item_id").alias("__i")), (F.col("page_id") == F.col("__p")) & (F.col("a_item_id") == F.col("__i")), "left_anti")
-    return near.unionByName(far.join(b, "page_id").groupBy("page_id", F.col("a_item_id").alias("item_id")).agg(gap))
+    ends = [F.min("x1"), F.max("x2"), F.min("y1"), F.max("y2")]
+    left, right, top, bottom = items.select(*BOX).unionByName(cells.select(*BOX)).agg(*ends).first()
+    span = 0 if left is None or top is None else max(right - left, bottom - top)
+    levels = max(1, math.ceil(math.log2(max(span, 1) / reach)) + 1)  # squares of the last level are as large as any page
+    step = lambda df: df.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
+    side = F.lit(reach) * F.pow(F.lit(2), F.col("level"))
+    at = ["page_id", "level", "gx", "gy"]
+    held = ladder(step(b), "b_", side, F.lit(0))
+    found = ladder(step(far), "a_", side, side).join(held.select(*at).distinct(), at, "left_semi")
+    level = found.groupBy("page_id", "a_item_id", *[f"a_{c}" for c in BOX]).agg(F.min("level").alias("level"))
+    rest = ladder(level, "a_", side, 2 * side).join(held, at).groupBy("page_id", F.col("a_item_id").alias("item_id")).agg(gap)
+    return near.unionByName(rest)
 
 
 def outer_squares(cells: DataFrame) -> DataFrame:

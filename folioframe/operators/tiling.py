@@ -31,33 +31,42 @@ def grid_tiles(pages: DataFrame, tile: int, least: int = 0) -> DataFrame:
     return out.filter((F.col("w") >= least) & (F.col("h") >= least))
 
 
-def axis_cuts(items: DataFrame, pages: DataFrame, axis: str, total: int, target: int, margin: int = 30, least: int = DEFAULT.min_gap) -> DataFrame:
+def axis_cuts(items: DataFrame, pages: DataFrame, axis: str, total: int | str, target: int, margin: int = 30, least: int = DEFAULT.min_gap) -> DataFrame:
     """page_id, orient and pos: cuts of one axis (x or y) in the gaps between items, evenly where gaps do not suffice.
 
-    Gaps come from a window; only their greedy choice runs in Python, on a page's few gaps.
+    ``total`` is the size of all pages, or the column of ``pages`` that has it. Gaps come from a window; only their greedy choice
+    runs in Python, on a page's few gaps.
     """
-    gaps = free_gaps(items, ["page_id"], f"{axis}1", f"{axis}2", total, margin, least)
+    size = F.lit(total) if isinstance(total, int) else F.col(total)
+    sizes = pages.select("page_id", size.cast("int").alias("__total")).distinct()
+    gaps = free_gaps(items.join(sizes, "page_id"), ["page_id"], f"{axis}1", f"{axis}2", "__total", margin, least).join(sizes, "page_id")
 
     def choose(rows: list) -> list[tuple]:
-        cuts = best_splits(sorted((int(r.gap_lo), int(r.gap_hi)) for r in rows), total, target)
+        cuts = best_splits(sorted((int(r.gap_lo), int(r.gap_hi)) for r in rows), int(rows[0].total), target)
         return [(rows[0].page_id, "v" if axis == "x" else "h", c) for c in cuts]
 
-    return by_page(gaps.select("page_id", "gap_lo", "gap_hi"), choose, "page_id bigint, orient string, pos int")
+    return by_page(gaps.select("page_id", "gap_lo", "gap_hi", F.col("__total").alias("total")), choose, "page_id bigint, orient string, pos int")
 
 
-def smart_tiles(items: DataFrame, pages: DataFrame, page_w: int, page_h: int, target: int, plain_below: int = 1280) -> DataFrame:
-    """page_id, x, y, w, h: tiles between the cuts of both axes; small pages stay whole, pages without items get a plain grid."""
-    if max(page_w, page_h) <= plain_below:
-        return pages.select("page_id", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(page_w).alias("w"), F.lit(page_h).alias("h"))
-    used = pages.join(items.select("page_id").distinct(), "page_id", "left_semi")
-    empty = pages.join(items.select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.lit(page_w).alias("page_w"), F.lit(page_h).alias("page_h"))
+def smart_tiles(items: DataFrame, pages: DataFrame, page_w: int | None, page_h: int | None, target: int, plain_below: int = 1280) -> DataFrame:
+    """page_id, x, y, w, h: tiles between the cuts of both axes; small pages stay whole, pages without items get a plain grid.
 
-    def edges(axis: str, total: int) -> DataFrame:
-        cuts = axis_cuts(items, pages, axis, total, target).groupBy("page_id").agg(F.array_sort(F.collect_list("pos")).alias("cuts"))
-        all_edges = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.lit(total)))
+    Without ``page_w`` and ``page_h`` each page has its own size, in columns of these names.
+    """
+    sized = pages if page_w is None else pages.withColumns({"page_w": F.lit(page_w), "page_h": F.lit(page_h)})
+    sized = sized.select("page_id", F.col("page_w").cast("int").alias("page_w"), F.col("page_h").cast("int").alias("page_h")).distinct()
+    small = F.greatest("page_w", "page_h") <= plain_below
+    whole = sized.filter(small).select("page_id", F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("page_w").alias("w"), F.col("page_h").alias("h"))
+    large = sized.filter(~small)
+    seen = items.select("page_id").distinct()
+    used, empty = large.join(seen, "page_id", "left_semi"), large.join(seen, "page_id", "left_anti")
+
+    def edges(axis: str, total: str) -> DataFrame:
+        cuts = axis_cuts(items, used, axis, total, target).groupBy("page_id").agg(F.array_sort(F.collect_list("pos")).alias("cuts"))
+        all_edges = F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.col(total)))
         e = used.join(cuts, "page_id", "left").select("page_id", all_edges.alias("e"))
         pairs = F.arrays_zip(F.slice("e", 1, F.size("e") - 1).alias("a"), F.slice("e", 2, F.size("e") - 1).alias("b"))
         return e.select("page_id", F.explode(pairs).alias("p")).select("page_id", F.col("p.a").alias(axis), (F.col("p.b") - F.col("p.a")).alias("w" if axis == "x" else "h"))
 
-    tiles = edges("x", page_w).join(edges("y", page_h), "page_id").select("page_id", "x", "y", "w", "h")
-    return tiles.unionByName(grid_tiles(empty, target).select("page_id", "x", "y", "w", "h"))
+    tiles = edges("x", "page_w").join(edges("y", "page_h"), "page_id").select("page_id", "x", "y", "w", "h")
+    return whole.unionByName(tiles).unionByName(grid_tiles(empty, target).select("page_id", "x", "y", "w", "h"))

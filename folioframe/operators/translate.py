@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..functions.dictionary import Replacer
-from ..functions.fitting import Metrics
+from ..functions.fitting import Metrics, TableMetrics
 from ..params import DEFAULT
 from ..session import stored
 
@@ -205,14 +205,14 @@ def merged_cache(cache: DataFrame, fresh: DataFrame, overwrite: bool = False, id
     return both.groupBy("text").agg(pick("translated", "age").alias("translated"))
 
 
-def short_terms(items: DataFrame, terms: DataFrame, metrics: Metrics = Metrics()) -> DataFrame:
+def short_terms(items: DataFrame, terms: DataFrame, metrics: Metrics | TableMetrics = Metrics()) -> DataFrame:
     """Vertical items whose translation is too tall for their box take the dictionary's wording if that is shorter."""
     d = distinct_terms(terms).select(F.col("cn").alias("__cn"), F.col("en").alias("__en"))
     met = items.join(d, F.col("text") == F.col("__cn"), "left")
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     tall = metrics.height * F.col("size")
     size = F.when(tall > w, F.col("size") * (w / tall) * 0.85).otherwise(F.col("size"))
-    need = metrics.advance * size * 1.05 * F.char_length("translated")
+    need = metrics.column_widest(F.col("translated")) * size * 1.05 * F.char_length("translated")
     swap = F.col("is_vertical") & is_translated() & (need > 1.2 * h) & (F.char_length("__en") < F.char_length("translated"))
     return met.withColumn("translated", F.when(swap, F.col("__en")).otherwise(F.col("translated"))).drop("__cn", "__en")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..functions.fitting import Metrics
+from ..functions.fitting import FontTable, Metrics, TableMetrics
 from ..operators import aggregates, fitting, grouping, items, raster, reports, sequences, spatial, tasks, tiling, translate
 from ..session import shared_folder
 from ..sources import documents, readers
@@ -933,6 +933,29 @@ def fit_font(spark, sf):
     return fitting.fitted_lines(_sized(spark, sf))
 
 
+#: Two small fonts for the fits by tables: one has the first half of the alphabet and the blank, the other the rest and capitals.
+NARROW = FontTable("narrow", ((0x20, 0x20, 250), (0x61, 0x6D, 400)))
+BROAD = FontTable("broad", ((0x41, 0x5A, 700), (0x61, 0x65, 900), (0x6E, 0x7A, 600)))
+TABLES = TableMetrics((NARROW, BROAD), missing=300)
+
+
+@query(
+    """SELECT item_id, (len(regexp_extract_all(text, ' ')) * 250 + len(regexp_extract_all(text, '[a-m]')) * 400 + len(regexp_extract_all(text, '[A-Z]')) * 700 + len(regexp_extract_all(text, '[n-z]')) * 600
+      + len(regexp_extract_all(text, '[^ a-zA-Z]')) * 300) / 1000::DOUBLE AS width, CAST(CASE WHEN regexp_matches(text, '[A-Z]') THEN 0.7 WHEN regexp_matches(text, '[n-z]') THEN 0.6 WHEN regexp_matches(text, '[a-m]') THEN 0.4 WHEN regexp_matches(text, '[^ ]') THEN 0.3 WHEN text <> '' THEN 0.25 ELSE 0 END AS DOUBLE) AS widest
+      FROM (SELECT item_id, upper(text[1]) || text[2:] || '#' AS text FROM items)""",
+    "items",
+)
+def table_widths(spark, sf):
+    """Widths of texts by two fonts with a fallback order; letters that both have are set in the first."""
+    text = F.concat(F.upper(F.substring("text", 1, 1)), F.substring("text", 2, 1 << 20), F.lit("#"))
+    return v.items(spark, sf).select("item_id", TABLES.column_width(text).alias("width"), TABLES.column_widest(text).cast("double").alias("widest"))
+
+
+@query()
+def fit_font_tables(spark, sf):
+    return fitting.fitted_lines(_sized(spark, sf), TABLES)
+
+
 @query()
 def fit_font_unified(spark, sf):
     return fitting.fitted_lines(_sized(spark, sf), unified=True)
@@ -1103,6 +1126,40 @@ def recognition_chain(spark, sf):
     return readers.recognised_tiles(shown, {"whole": whole, "clipped": clipped}, PAGE_W, PAGE_H)
 
 
+def _drawn_items(spark, sf) -> DataFrame:
+    """White pages, every other one twice as wide, with the items of the page as dark boxes at a third of their size."""
+    third = v.items(spark, sf).select("page_id", F.struct(*[F.expr(f"CAST({c} DIV 3 AS INT)").alias(c) for c in spatial.BOX]).alias("b"))
+    pages = third.groupBy("page_id").agg(F.array_sort(F.collect_list("b")).alias("boxes")).repartition(4 * spark.sparkContext.defaultParallelism)
+
+    def draw(frames):
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                w, h = (700 if r.page_id % 2 else 350), 300
+                image = np.full((h, w), 255, np.uint8)
+                for b in r.boxes:
+                    image[b["y1"] : b["y2"], b["x1"] * w // 350 : b["x1"] * w // 350 + 12] = 0
+                out.append((r.page_id, w, h, image.tobytes()))
+            yield pd.DataFrame(out, columns=["page_id", "width", "height", "pixels"])
+
+    return pages.mapInPandas(draw, "page_id bigint, width int, height int, pixels binary")
+
+
+def box_engine():
+    """An engine that sees dark regions: their size as text, surer the larger they are."""
+    from ..functions.raster import components
+
+    return lambda image: [(f"{b[2] - b[0]} by {b[3] - b[1]}", *b, 0.0, min(0.99, 0.2 + n / 2000)) for b, n in components(image < 160)]
+
+
+@query()
+def coarse_to_fine(spark, sf):
+    """Dark boxes of every page, found on a small image first and then on tiles cut between them."""
+    return readers.coarse_to_fine(_drawn_items(spark, sf), box_engine, 120, 175)
+
+
 @query()
 def raster_levels(spark, sf):
     """All items, on a page a quarter as wide and high."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..functions.fitting import Metrics
+from ..functions.fitting import Metrics, TableMetrics
 from ..operators import aggregates, fitting, grouping, items, raster, sequences, spatial, translate
 from ..params import DEFAULT, Params
 from ..session import stored
@@ -85,7 +85,7 @@ def translated(blocks: DataFrame, terms: DataFrame, cache: DataFrame, translator
     return hit.join(fresh, F.col("text") == F.col("__t"), "left").withColumn("translated", F.coalesce("translated", "__new", "text")).drop("__t", "__new")
 
 
-def unified_flow(found: DataFrame, terms: DataFrame, cache: DataFrame, translator=None, script: str | None = t.HAN, metrics: Metrics = Metrics(), params: Params = DEFAULT) -> DataFrame:
+def unified_flow(found: DataFrame, terms: DataFrame, cache: DataFrame, translator=None, script: str | None = t.HAN, metrics: Metrics | TableMetrics = Metrics(), params: Params = DEFAULT) -> DataFrame:
     """Recognised items to placed lines: gate, near-duplicates, paragraphs of upright items, translation, and one row a line in its own or the whole box.
 
     Lines are numbered anew on each page, in the order of their blocks. Turned items are blocks of their own.
@@ -97,7 +97,7 @@ def unified_flow(found: DataFrame, terms: DataFrame, cache: DataFrame, translato
     return fitting.fitted_lines(ready, metrics, unified=True)
 
 
-def vector_flow(spans: DataFrame, terms: DataFrame, script: str = t.HAN, metrics: Metrics = Metrics()) -> DataFrame:
+def vector_flow(spans: DataFrame, terms: DataFrame, script: str = t.HAN, metrics: Metrics | TableMetrics = Metrics()) -> DataFrame:
     """Vector text items to their way back: every term replaced, too tall vertical texts shortened, route and erase decided."""
     out = translate.short_terms(translate.replace_terms(spans, terms), terms, metrics)
     fits = fitting.single_line(metrics)

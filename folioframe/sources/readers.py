@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grouping, items, sequences
+from ..functions import raster as kernels
+from ..operators import grouping, items, raster, sequences, tiling
+from ..operators.spatial import BOX
 from ..params import DEFAULT, Params
+from ..session import stored
 
 ITEM = "text string, x1 int, y1 int, x2 int, y2 int, angle double, confidence double"
 
@@ -123,3 +127,66 @@ def recognised_tiles(tiles: DataFrame, engines: dict, page_w: int, page_h: int,
     kept = items.gated(found, script, params)
     order = ["y1", "x1", "y2", "x2", "source", "text", "confidence"]
     return grouping.deduplicated(sequences.numbered(kept, ["page_id"], order, "item_id").withColumn("item_id", F.col("item_id").cast("bigint")), params)
+
+
+Engine = Callable[[np.ndarray], list[tuple]]
+
+
+def seen_coarsely(rasters: DataFrame, make: Callable[[], Engine], side: int) -> DataFrame:
+    """Items (with page_w and page_h) that an engine finds on pages made so small that no side is over ``side``, in the page's own pixels.
+
+    Pages that are small enough have none: nothing is cut there.
+    """
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine = make()
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                image = raster.image_of(r.pixels, int(r.width), int(r.height))
+                scale = side / max(image.shape)
+                small = kernels.shrunk(image, max(1, int(r.width * scale)), max(1, int(r.height * scale)))
+                for t, *box, a, c in engine(small):
+                    out.append((r.page_id, t, *(int(v / scale) for v in box), float(a), float(c), int(r.width), int(r.height)))
+            yield pd.DataFrame(out, columns=["page_id", "text", *BOX, "angle", "confidence", "page_w", "page_h"])
+
+    large = rasters.filter((F.greatest("width", "height") > side) & F.col("pixels").isNotNull())
+    found = large.select("page_id", "width", "height", "pixels").mapInPandas(kernel, f"page_id bigint, {ITEM}, page_w int, page_h int")
+    return items.clamp(found, F.col("page_w"), F.col("page_h")).drop("width", "height")
+
+
+def seen_on_tiles(rasters: DataFrame, tiles: DataFrame, make: Callable[[], Engine], source: str) -> DataFrame:
+    """Items that an engine finds on the tiles of each page, moved to the page and put inside it; a page's tiles come to its pixels."""
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine = make()
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                image = raster.image_of(r.pixels, int(r.width), int(r.height))
+                for x, y, w, h in r.tiles:
+                    for t, x1, y1, x2, y2, a, c in engine(image[y : y + h, x : x + w]):
+                        out.append((r.page_id, source, t, x1 + x, y1 + y, x2 + x, y2 + y, float(a), float(c), int(r.width), int(r.height)))
+            yield pd.DataFrame(out, columns=["page_id", "source", "text", *BOX, "angle", "confidence", "page_w", "page_h"])
+
+    per = tiles.groupBy(F.col("page_id").alias("__p")).agg(F.collect_list(F.array("x", "y", "w", "h")).alias("tiles"))
+    met = rasters.filter("pixels IS NOT NULL").select("page_id", "width", "height", "pixels").join(per, F.col("page_id") == F.col("__p")).drop("__p")
+    found = met.mapInPandas(kernel, f"page_id bigint, source string, {ITEM}, page_w int, page_h int")
+    return items.clamp(found, F.col("page_w"), F.col("page_h")).drop("width", "height", "page_w", "page_h")
+
+
+def coarse_to_fine(rasters: DataFrame, make: Callable[[], Engine], target: int, side: int = 1280, script: str | None = None, params: Params = DEFAULT) -> DataFrame:
+    """Items of pages seen twice: small and whole to find the gaps between texts, then tile by tile in full size.
+
+    Tiles are cut in the gaps of the first look, each page by its own size; a page that is small enough is one tile, one
+    without any text a plain grid. Items of the second look are gated, numbered in reading order and freed of near-duplicates.
+    ``rasters`` has page_id (one row a page), width, height and pixels; ``make`` gives an engine from an image to
+    (text, x1, y1, x2, y2, angle, confidence).
+    """
+    pages = rasters.filter("pixels IS NOT NULL").select("page_id", F.col("width").alias("page_w"), F.col("height").alias("page_h"))
+    first = stored(seen_coarsely(rasters, make, side))
+    tiles = tiling.smart_tiles(first, pages, None, None, target, side)
+    found = items.gated(stored(seen_on_tiles(rasters, tiles, make, "fine")), script, params)
+    order = ["y1", "x1", "y2", "x2", "text", "confidence"]
+    numbered = sequences.numbered(found, ["page_id"], order, "item_id").withColumn("item_id", F.col("item_id").cast("bigint"))
+    return grouping.deduplicated(numbered, params)

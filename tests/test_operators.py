@@ -242,3 +242,26 @@ def test_batches_follow_the_order_of_numbers_and_of_equal_rows(spark):
     nulls = spark.createDataFrame([(None, "a"), (2, "b"), (None, "c"), (1, "d")], "n int, text string")
     assert [r.text for r in translate.batches(nulls, ["n", "text"]).orderBy("id").collect()] == ["a", "c", "d", "b"]
     assert translate.batches(df.limit(0), ["n"]).count() == 0
+
+
+def test_nearest_cells_far_away(spark):
+    """Items and cells thrown over pages of very different sizes, against all pairs; no join on the page alone."""
+    import random
+
+    draw = random.Random(3)
+    def boxes(n, size):
+        return [(x, y, x + draw.randrange(1, 40), y + draw.randrange(1, 40)) for x, y in ((draw.randrange(-size, size), draw.randrange(size)) for _ in range(n))]
+
+    pages = {1: (30, 40, 300), 2: (30, 5, 20_000), 3: (20, 2, 1_000_000), 4: (5, 0, 100)}
+    items = {p: boxes(n, size) for p, (n, _, size) in pages.items()}
+    cells = {p: boxes(n, size) for p, (_, n, size) in pages.items()}
+    i = spark.createDataFrame([(p, k, *b) for p, bs in items.items() for k, b in enumerate(bs)] + [(None, 1, 0, 0, 1, 1), (1, 99, None, 0, 1, 1)], "page_id bigint, item_id bigint, x1 int, y1 int, x2 int, y2 int")
+    c = spark.createDataFrame([(p, *b) for p, bs in cells.items() for b in bs], "page_id bigint, x1 int, y1 int, x2 int, y2 int")
+    gap = lambda a, b: max(0, b[0] - a[2], a[0] - b[2], b[1] - a[3], a[1] - b[3])
+    want = {(p, k): min(gap(b, x) for x in cells[p]) for p, bs in items.items() for k, b in enumerate(bs) if cells[p]}
+    out = spatial.nearest_cell_gap(i, c)
+    got = {(r.page_id, r.item_id): r.gap for r in out.collect() if (r.page_id, r.item_id) != (1, 99)}
+    assert got == want and max(want.values()) > 100_000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "gx" in plan and "Cartesian" not in plan and "Join Inner, (page_id#" not in plan
+    assert spatial.nearest_cell_gap(i.limit(0), c.limit(0)).count() == 0

@@ -5,9 +5,10 @@ from itertools import pairwise, product
 from math import floor
 from statistics import median
 
+import numpy as np
 from conftest import SF
 
-from folioframe.functions.greedy import best_splits
+from folioframe.functions.greedy import best_splits, deduplicated
 from folioframe.plans import catalog
 from folioframe.plans import views as v
 
@@ -87,3 +88,40 @@ def test_cell_cascade_of_all_items(spark):
         want |= {(p, *b, ",".join(sorted(stages[b])), n) for n, b in enumerate(sorted(kept, key=lambda b: (b[1], b[0], b[3], b[2])), 1)}
     got = {(r.page_id, r.x1, r.y1, r.x2, r.y2, r.stages, r.cell_no) for r in catalog.QUERIES["cell_cascade"](spark, SF).collect()}
     assert got == want and want
+
+
+def test_coarse_to_fine_of_all_pages(spark):
+    """The small image, its gaps, the tiles and what they hold, in plain code."""
+    from folioframe.functions import raster
+
+    want = set()
+    for r in catalog._drawn_items(spark, SF).collect():
+        image = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width)
+        engine, scale = catalog.box_engine(), 175 / max(image.shape)
+        w, h = int(r.width * scale), int(r.height * scale)
+        edges = lambda n, of: [k * of // n for k in range(n)] + [of]
+        ys, xs = edges(h, r.height), edges(w, r.width)
+        small = np.array([[np.rint(image[a:b, c:d].mean()) for c, d in pairwise(xs)] for a, b in pairwise(ys)]).astype(np.uint8)
+        assert (raster.shrunk(image, w, h) == small).all()
+        boxes = [[int(v / scale) for v in b] for _, *b, _, _ in engine(small)]
+        cut = lambda lo, hi, total: [0, *cuts([{"lo": b[lo], "hi": b[hi]} for b in boxes], "lo", "hi", total, 120), total]
+        tiles = list(product(pairwise(cut(0, 2, r.width)), pairwise(cut(1, 3, r.height)))) if boxes else []
+        found = [(t, x1 + x, y1 + y, x2 + x, y2 + y, c) for (x, x_end), (y, y_end) in tiles for t, x1, y1, x2, y2, _, c in engine(image[y:y_end, x:x_end])]
+        kept = deduplicated([{"id": k, "box": f[1:5], "text": f[0], "confidence": f[5]} for k, f in enumerate(sorted(found, key=lambda f: (f[2], f[1], f[4], f[3], f[0], f[5])))])
+        want |= {(r.page_id, k["text"], *k["box"]) for k in kept}
+    got = {(r.page_id, r.text, r.x1, r.y1, r.x2, r.y2) for r in catalog.QUERIES["coarse_to_fine"](spark, SF).collect()}
+    assert got == want and len(want) > 200
+
+
+def test_chains_on_rasters_of_all_pages(spark):
+    from folioframe.functions import raster
+    from folioframe.functions.greedy import chains
+
+    images = {r.page_id: np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width) for r in catalog._rasters(spark, SF).collect()}
+    want = set()
+    for p, items in by_page(v.items(spark, SF)).items():
+        boxes = [{"id": i.item_id, "box": (i.x1 // 4, i.y1 // 4, i.x2 // 4, i.y2 // 4)} for i in items]
+        barred = lambda a, b, image=images[p]: raster.bar_between(image, a["box"], b["box"])
+        want |= {(p, x["id"], c[0]["id"], k) for c in chains(boxes, True, barred) for k, x in enumerate(c)}
+    assert {tuple(r) for r in catalog.QUERIES["barred_chain"](spark, SF).select("page_id", "item_id", "chain", "place").collect()} == want
+    assert len({w[2] for w in want}) < len(want)
