@@ -5,6 +5,9 @@ both; a node's features depend on its state, and its state on its parent's. Mess
 and passed downward again, which gives each node's exact marginals; text blocks whose marginal is content are kept.
 The potentials are counts over labelled pages, which this module composes from a small grammar of page parts.
 
+No single sign decides: class names are counted on pages some of whose articles are misnamed, against what a node holds of the
+page's text, its paragraphs, and where titles stand.
+
 Defined results: null or empty html gives an empty text; unclosed and misnested tags are closed where browsers would
 close them; a page without any content block gives an empty text; repeated rows give repeated results; pages of any
 length and depth are read whole, without recursion; other columns of the input are not carried along.
@@ -57,21 +60,31 @@ KINDS = {
 }
 KIND_OF = {word: kind for kind, words in KINDS.items() for word in words.split()}
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_REMARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_SIGN = re.compile("[>\"']")
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 BOILER, CONTENT, FRAME = range(3)
+#: Elements that can hold an article, of which the share of the page's text is looked at.
+HOLDERS = frozenset("address article aside body center details div dl fieldset form main nav ol section table td ul header footer".split())
+#: Characters from which unlinked text is a paragraph, and the share of a page's unlinked text that is much.
+PARAGRAPH = 80
+MUCH = 0.35
 
 
 class Node:
     """A block element or, with text, a run of text between block borders."""
 
-    __slots__ = ("tag", "kinds", "parent", "text", "chars", "linked", "label")
+    __slots__ = ("tag", "kinds", "parent", "text", "chars", "linked", "label", "titles", "paragraphs", "share", "late", "mains", "rival")
 
     def __init__(self, tag: str, kinds: tuple[str, ...], parent: int, label: int | None = None):
         self.tag, self.kinds, self.parent, self.text, self.chars, self.linked, self.label = tag, kinds, parent, None, 0, 0, label
+        # Within the node; its share of the page's unlinked text; whether a title stands before it.
+        self.titles, self.paragraphs, self.share, self.late = int(tag == "h1"), 0, 0.0, False
+        # Elements named article or main within, and whether there are others that neither hold the node nor lie in it.
+        self.mains, self.rival = int(tag in ("article", "main")), False
 
 
 def kinds_of(attributes: str) -> tuple[str, ...]:
@@ -85,8 +98,46 @@ def kinds_of(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+class TagEnds:
+    """Where tags end: at the first > outside quotes, or at the first > at all where quotes do not close.
+
+    What follows a quote is the same for every tag that meets it, so it is remembered, and a page is passed over once.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.known = html, {}
+
+    def after(self, at: int) -> tuple[int, int]:
+        """The end of the attributes that begin here, and the place behind the tag."""
+        html, known, met, place = self.html, self.known, [], at
+        while True:
+            m = _SIGN.search(html, place)
+            if m is None:
+                end = -1
+                break
+            q = m.start()
+            if html[q] == ">":
+                end = q
+                break
+            if q in known:
+                end = known[q]
+                break
+            met.append(q)
+            close = html.find(html[q], q + 1)
+            if close < 0:
+                end = -1
+                break
+            place = close + 1
+        for q in met:
+            known[q] = end
+        if end < 0:
+            end = html.find(">", at)
+        return (len(html), len(html)) if end < 0 else (end, end + 1)
+
+
 def parsed(html: str) -> list[Node]:
     """Nodes in page order, parents before their children."""
+    ends = TagEnds(html)
     nodes = [Node("#page", (), -1)]
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and the node that each is in
     places: dict[str, list[int]] = {}  # where in the stack each tag is open, so that no end tag is searched for
@@ -140,14 +191,17 @@ def parsed(html: str) -> list[Node]:
             add(html[at:])
             break
         add(html[at:sign])
-        m = _TAG.match(html, sign) or _LOOSE.match(html, sign)
+        m = _TAG.match(html, sign)
         if m is None:
-            add("<")
-            at = sign + 1
-            continue
-        at = m.end()
-        if not m[2]:
+            remark = _REMARK.match(html, sign)
+            if remark is None:
+                add("<")
+                at = sign + 1
+            else:
+                at = remark.end()
             continue
+        stop, at = ends.after(m.end())
+        attributes = html[m.end() : stop]
         tag = m[2].lower()
         if m[1]:
             if tag in NODES:
@@ -158,7 +212,7 @@ def parsed(html: str) -> list[Node]:
             if k > (0 if tag in NODES else blocks[-1]):
                 shut(k)
             continue
-        if tag in RAW and not m[3].endswith("/"):
+        if tag in RAW and not attributes.endswith("/"):
             low = html.lower() if low is None else low
             if len(low) != end:  # lower-casing changed the length
                 low = "".join(c.lower() if len(c.lower()) == 1 else c for c in html)
@@ -173,7 +227,7 @@ def parsed(html: str) -> list[Node]:
             else:
                 add(" " if tag == "br" else "")
             continue
-        if tag in ("svg", "math") and m[3].endswith("/"):
+        if tag in ("svg", "math") and attributes.endswith("/"):
             continue
         if tag in NODES:
             flush()
@@ -182,14 +236,14 @@ def parsed(html: str) -> list[Node]:
             if tag in CLOSES:
                 scope = last_place(SCOPES.get(tag, ()))
                 if tag in ("tr", "thead", "tbody", "tfoot"):  # all of them within the table end, the outermost first
-                    ends = [places[t][i] for t in CLOSES[tag] if places.get(t) and (i := bisect_right(places[t], scope)) < len(places[t])]
-                    k = min(ends, default=0)
+                    open_ones = [places[t][i] for t in CLOSES[tag] if places.get(t) and (i := bisect_right(places[t], scope)) < len(places[t])]
+                    k = min(open_ones, default=0)
                 else:
                     k = last_place(CLOSES[tag])
                 if k > scope:
                     shut(k)
-            kinds = kinds_of(m[3]) if "=" in m[3] else ()
-            label = re.search(r"data-label=(\d)", m[3])
+            kinds = kinds_of(attributes) if "=" in attributes else ()
+            label = re.search(r"data-label=(\d)", attributes)
             nodes.append(Node(tag, kinds, stack[-1][1], int(label[1]) if label else None))
             blocks.append(len(stack))
             opened(tag, len(nodes) - 1)
@@ -198,19 +252,47 @@ def parsed(html: str) -> list[Node]:
                 links += 1
             opened(tag, stack[-1][1])
     flush()
+    head = 0
     for n in range(len(nodes) - 1, 0, -1):
-        p = nodes[nodes[n].parent]
-        p.chars += nodes[n].chars
-        p.linked += nodes[n].linked
+        x = nodes[n]
+        if x.text is not None and not x.linked and x.chars >= PARAGRAPH:
+            x.paragraphs = 1
+        if x.tag == "head":
+            head += x.chars
+        p = nodes[x.parent]
+        p.chars += x.chars
+        p.linked += x.linked
+        p.titles += x.titles
+        p.paragraphs += x.paragraphs
+        p.mains += x.mains
+    own = max(nodes[0].chars - nodes[0].linked - head, 1)
+    late, above = False, [0] * len(nodes)  # elements named article or main around each node
+    for n, x in enumerate(nodes):
+        if n:
+            p = nodes[x.parent]
+            above[n] = above[x.parent] + (p.tag in ("article", "main"))
+        x.share, x.late, x.rival = (x.chars - x.linked) / own, late, nodes[0].mains > x.mains + above[n]
+        late = late or x.tag == "h1"
     return nodes
 
 
 def features(node: Node) -> list[str]:
-    """What is seen of a node: its tag with the kinds of its names, both alone, and its links; of text its length, links and ending."""
+    """What is seen of a node: its tag with the kinds of its names, both alone, its links, and what it holds of the page's text.
+
+    Of text its length, links and ending.
+    """
     share = node.linked / node.chars if node.chars else 0.0
     links = "links:" + ("none" if not share else "few" if share < 0.35 else "half" if share < 0.75 else "most")
     if node.text is None:
-        return [f"{node.tag}/{k}" for k in node.kinds or ("none",)] + [f"tag:{node.tag}", *(f"kind:{k}" for k in node.kinds or ("none",)), links]
+        holds = node.tag in HOLDERS
+        # A name on what holds much of the page says less than one on a small part.
+        much = holds and node.share >= MUCH and (node.titles > 0 or not node.rival)
+        kinds = [f"{k}, much" if much else k for k in node.kinds or ("none",)]
+        names = [f"{node.tag}/{k}" for k in kinds] + [f"tag:{node.tag}", *(f"kind:{k}" for k in kinds), links]
+        if not holds:
+            return names
+        share, paragraphs = sum(node.share >= x for x in (0.03, 0.15, 0.35, 0.6)), sum(node.paragraphs >= x for x in (1, 2, 4))
+        return [*names, f"holds:{share}/{paragraphs}/{node.titles > 0}/{node.late}"]
     size = "size:" + str(sum(node.chars >= x for x in (15, 60, 200)))
     return [links + ":text", size, "ends:" + str(node.text[-1] in ".!?:;\"')…")]
 
@@ -218,7 +300,8 @@ def features(node: Node) -> list[str]:
 class TreeModel:
     """Potentials of states, features and parent-child pairs."""
 
-    def __init__(self, pages: list[str], smoothing: float = 1e-5):
+    def __init__(self, pages: list[str], smoothing: float = 1e-5, doubt: float = 0.01):
+        """``doubt``: what is added to the counts of features, so that none rules a state out by itself."""
         seen: dict[bool, dict[str, np.ndarray]] = {False: {}, True: {}}
         self.pairs = np.full((3, 3), smoothing)
         self.pairs[BOILER, CONTENT] = self.pairs[BOILER, FRAME] = 1e-6
@@ -230,9 +313,9 @@ class TreeModel:
                 leaf = n.text is not None
                 total[leaf][n.label] += 1
                 for f in features(n):
-                    seen[leaf].setdefault(f, np.full(3, smoothing))[n.label] += 1
+                    seen[leaf].setdefault(f, np.full(3, doubt))[n.label] += 1
         self.pairs /= self.pairs.sum(axis=1, keepdims=True)
-        self.seen = {leaf: {f: np.log(c / (total[leaf] + 2 * smoothing)) for f, c in fs.items()} for leaf, fs in seen.items()}
+        self.seen = {leaf: {f: np.log(c / (total[leaf] + 2 * doubt)) for f, c in fs.items()} for leaf, fs in seen.items()}
         self.leaf_states = np.array([0.0, 0.0, -60.0])
         self.known: dict[tuple, np.ndarray] = {}
 
@@ -292,7 +375,7 @@ def labelled(nodes: list[Node]) -> list[Node]:
     return nodes
 
 
-def training_pages(count: int = 800, seed: int = 7) -> list[str]:
+def training_pages(count: int = 1200, seed: int = 7) -> list[str]:
     """Labelled pages composed from parts: data-label=1 on content and data-label=0 on boilerplate."""
     r = random.Random(seed)
     syllables = "an the or ing re tion ed lo mi ra ve so ti na de".split()
@@ -316,6 +399,15 @@ def training_pages(count: int = 800, seed: int = 7) -> list[str]:
     def bare_or(*names: str) -> str:
         return r.choice(["", named(*names)])
 
+    everything = sorted(KIND_OF)
+
+    def misnamed(often: float) -> str:
+        """Names say little about some pages' articles: words from both sides, alone or joined, or words that say nothing."""
+        if r.random() >= often:
+            return ""
+        name = "-".join(r.choice([r.choice(everything), words(1, 1)]) for _ in range(r.randint(1, 3)))
+        return r.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {words(1, 1)}"'])
+
     def menu() -> str:
         return r.choice([off("nav", bare_or("menu", "nav"), f"<ul>{links(3, 9)}</ul>"), off("div", named("menu", "navbar", "breadcrumbs"), f"<ul>{links(2, 8)}</ul>"), off("ul", named("nav", "menu"), links(2, 8))])
 
@@ -385,13 +477,13 @@ def training_pages(count: int = 800, seed: int = 7) -> list[str]:
     def article() -> str:
         return r.choice(
             [
-                f"<article data-label=1>{body()}</article>",
+                f"<article{misnamed(0.1)} data-label=1>{body()}</article>",
                 f"<article data-label=1>{body()}</article>",
                 f"<main><article{named('post', 'entry')} data-label=1>{body()}</article></main>",
-                f"<main data-label=1>{body()}</main>",
+                f"<main{misnamed(0.1)} data-label=1>{body()}</main>",
                 f"<div{named('content', 'article', 'post', 'entry', 'story', 'main')} data-label=1>{body()}</div>",
-                f"<div data-label=1>{body()}</div>",
-                f"<section data-label=1>{body()}</section>",
+                f"<div{misnamed(0.6)} data-label=1>{body()}</div>",
+                f"<section{misnamed(0.3)} data-label=1>{body()}</section>",
                 f"<div{named('content', 'main')}><div{named('entry', 'text')} data-label=1>{body()}</div>{comments()}</div>",
             ]
         )
@@ -411,7 +503,7 @@ _model: TreeModel | None = None
 
 
 def model() -> TreeModel:
-    """The trained model, made once a worker."""
+    """The trained model, made once a process."""
     global _model
     if _model is None:
         _model = TreeModel(training_pages())
@@ -421,8 +513,9 @@ def model() -> TreeModel:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of page_id, url and html."""
 
+    m = model()  # trained on the driver; its counts go to the workers
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model()
         for b in batches:
             texts = [m.main_text(h) for h in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -616,6 +616,39 @@ def test_held_out_layouts():
     assert right / n > 0.98
 
 
+LONG_PARAGRAPH = "This is a long paragraph of the article, which tells about things that happened and goes on for some time. "
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["body", "mw-parser-output", "x1", "header-image-story", "page-top", "related", "more-text", "tags", "search-results", "form-factor review", "share-price", "skip-content", "toc", "thread", "reply", "ad-hoc"],
+)
+def test_a_class_name_takes_no_article_away(name):
+    page = '<nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav><div class="{}"><h1>Head line</h1><p>{}</p><p>{} Again.</p></div><footer>&copy; example</footer>'
+    got = html.model().main_text("<html><head><title>t</title></head><body>" + page.format(name, LONG_PARAGRAPH, LONG_PARAGRAPH) + "</body></html>")
+    assert got == f"Head line\n\n{LONG_PARAGRAPH.strip()}\n\n{LONG_PARAGRAPH.strip()} Again."
+
+
+@pytest.mark.parametrize("part", ["<div class=related><h3>More</h3><p>Another text that is named here.</p></div>", "<section class=comments><div class=comment><p>I liked this one very much, thank you.</p></div><div class=comment><p>So did I.</p></div></section>", "<div class=sidebar><p>Words beside the article.</p></div>", "<div class='cookie-notice'><p>We use cookies on this site.</p></div>"])
+def test_parts_around_an_article_go(part):
+    body = f"<article><h1>Head line</h1><p>{LONG_PARAGRAPH}</p><p>{LONG_PARAGRAPH} Again.</p></article>"
+    for page in (body + part, part + body, body.replace("article>", "div>") + part):
+        got = html.model().main_text(f"<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav>{page}<footer>&copy; x</footer></body></html>")
+        assert got == f"Head line\n\n{LONG_PARAGRAPH.strip()}\n\n{LONG_PARAGRAPH.strip()} Again."
+
+
+def test_quotes_that_do_not_close():
+    from time import process_time
+
+    at = process_time()
+    html.parsed("<p title='x>text it's " * 4000)
+    html.parsed('<p title="x>text " ' * 4001 + "<b>")
+    assert process_time() - at < 0.5
+    texts = lambda page: [n.text for n in html.parsed(page) if n.text is not None]
+    assert texts("<p title='a>b' class=\"c>d\">one</p><p title='e>two</p><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p title='it>x' y>one <b title=\"'\">two</b>") == ["one two"] and texts("a <p") == ["a"]
+
+
 def test_marginals_by_enumeration():
     """Sum-product gives what summing over all joint states gives."""
     m = html.model()
