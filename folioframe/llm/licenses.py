@@ -18,6 +18,7 @@ empty table gives an empty result; the best window counts, the first of equals;
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,7 +43,7 @@ class Template:
     text: str
 
 
-#: Usual short notices.
+#: Usual short notices, and two whole texts.
 TEMPLATES = (
     Template("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     Template("MIT", "Released under the MIT License."),
@@ -58,6 +59,22 @@ TEMPLATES = (
     Template("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"),
     Template("MIT-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files,"),
     Template("Unlicense", "This is free and unencumbered software released into the public domain."),
+    Template(
+        "MIT-full",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS "
+        "PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+        "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    Template(
+        "ISC-full",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear "
+        "in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT "
+        "SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
     Template("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
@@ -82,33 +99,51 @@ def bands_for(shingles: int, width: int) -> int:
     return 1 if similarity >= 1 else math.ceil(math.log(MISS) / math.log(1 - similarity**BAND_ROWS))
 
 
+def shortest_whole(runs: list[int]) -> int:
+    """The length of the shortest stretch of runs that holds each of them."""
+    least, begin, wanted, held = len(runs), 0, len(set(runs)), Counter()
+    for end, run in enumerate(runs, 1):
+        held[run] += 1
+        while len(held) == wanted:
+            least = min(least, end - begin)
+            held[runs[begin]] -= 1
+            if not held[runs[begin]]:
+                del held[runs[begin]]
+            begin += 1
+    return least
+
+
 def template_table(spark, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """license_id, n (distinct shingles), step and width (runs of a window) and the shingles t_sh; a template of fewer than five words is an error."""
-    schema = "license_id string, n int, step int, width int, bands int, t_sh array<bigint>"
-    raw = spark.createDataFrame([(t.license_id, t.text) for t in templates], "license_id string, template string")
-    runs = raw.select("license_id", shingles_of(F.col("template")).alias("runs"))
-    rows = runs.select("license_id", F.size("runs").alias("runs"), F.array_distinct("runs").alias("t_sh")).collect()  # the list of templates, as given
+    """no (of the wording), license_id, n (distinct shingles), step and width (runs of a window) and the shingles t_sh.
+
+    Windows follow the shortest stretch of a template that holds all its shingles, which is all of it unless it repeats itself.
+    A template of fewer than five words is an error.
+    """
+    schema = "no int, license_id string, n int, step int, width int, bands int, t_sh array<bigint>"
+    raw = spark.createDataFrame([(no, t.license_id, t.text) for no, t in enumerate(templates)], "no int, license_id string, template string")
+    rows = raw.select("no", "license_id", shingles_of(F.col("template")).alias("runs")).collect()  # the list of templates, as given
     short = [r["license_id"] for r in rows if not r["runs"]]
     if short:
         raise ValueError(f"templates of fewer than {SHINGLE} words: {', '.join(map(str, short))}")
     made = []
     for r in rows:
-        step = max(1, r["runs"] // 4)
-        width = r["runs"] + step - 1
-        made.append((r["license_id"], len(r["t_sh"]), step, width, bands_for(len(r["t_sh"]), width), r["t_sh"]))
+        own, size = list(dict.fromkeys(r["runs"])), shortest_whole(r["runs"])
+        step = max(1, size // 4)
+        width = size + step - 1
+        made.append((r["no"], r["license_id"], len(own), step, width, bands_for(len(own), width), own))
     return spark.createDataFrame(made, schema)
 
 
 def band_minima(table: DataFrame) -> DataFrame:
-    """first, license_id, step, width and bands: for each shingle that is the first minimum of some of a template's bands, those bands with both minima."""
+    """first, no, license_id, step, width and bands: for each shingle that is the first minimum of some of a template's bands, those bands with both minima."""
 
     def least(k: Column) -> Column:
         return F.array_min(F.transform("t_sh", lambda x: F.struct(F.xxhash64(x, k).alias("v"), x.alias("sh"))))
 
-    each = table.select("license_id", "step", "width", "t_sh", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band"))
-    two = each.select("license_id", "step", "width", "band", least(2 * F.col("band")).alias("a"), least(2 * F.col("band") + 1).alias("b"))
+    each = table.select("no", "license_id", "step", "width", "t_sh", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band"))
+    two = each.select("no", "license_id", "step", "width", "band", least(2 * F.col("band")).alias("a"), least(2 * F.col("band") + 1).alias("b"))
     band = F.struct("band", F.col("a.v").alias("v"), F.col("b.v").alias("w"))
-    return two.groupBy(F.col("a.sh").alias("first"), "license_id", "step", "width").agg(F.array_sort(F.collect_list(band)).alias("bands"))
+    return two.groupBy(F.col("a.sh").alias("first"), "no", "license_id", "step", "width").agg(F.array_sort(F.collect_list(band)).alias("bands"))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -117,7 +152,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """doc_id, license_id, n_windows, containment, first_word of every row and template that it states."""
+    """doc_id, license_id, n_windows, containment, first_word of every row and license that it states, in any of its wordings."""
     spark = docs.sparkSession
     if not templates:
         return spark.createDataFrame([], "doc_id bigint, license_id string, n_windows bigint, containment double, first_word bigint")
@@ -126,24 +161,24 @@ def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Dat
     at = held.select("doc_id", "row", "sh", F.posexplode("sh").alias("at", "h"))
     # Around a place where a band's first minimum stands, the runs of every window that holds it.
     near = at.join(small(band_minima(known)), F.col("h") == F.col("first")).select(
-        "doc_id", "row", "license_id", "step", "width", "bands", "at", F.greatest(F.lit(0), F.col("at") - F.col("width") + 1).alias("from"), F.col("sh")
+        "doc_id", "row", "no", "license_id", "step", "width", "bands", "at", F.greatest(F.lit(0), F.col("at") - F.col("width") + 1).alias("from"), F.col("sh")
     ).withColumn("runs", F.slice("sh", F.col("from") + 1, F.col("at") - F.col("from") + F.col("width"))).drop("sh")
     first = F.ceil(F.col("from") / F.col("step")).cast("int")
     starts = F.transform(F.sequence(first, F.floor(F.col("at") / F.col("step")).cast("int")), lambda k: k * F.col("step"))
-    windows = near.filter(first * F.col("step") <= F.col("at")).select("doc_id", "row", "license_id", "bands", "width", "runs", "from", F.explode(starts).alias("start"))
+    windows = near.filter(first * F.col("step") <= F.col("at")).select("doc_id", "row", "no", "license_id", "bands", "width", "runs", "from", F.explode(starts).alias("start"))
     windows = windows.withColumn("runs", F.slice("runs", F.col("start") - F.col("from") + 1, F.col("width")))
 
     def lowest(k: Column) -> Column:
         return F.array_min(F.transform("runs", lambda x: F.xxhash64(x, k)))
 
     shares = F.exists("bands", lambda b: (lowest(2 * b["band"]) == b["v"]) & (lowest(2 * b["band"] + 1) == b["w"]))
-    met = windows.filter(shares).select("doc_id", "row", "license_id", "start", "runs").join(
-        small(known.select(F.col("license_id").alias("__l"), "n", "t_sh")), F.col("license_id") == F.col("__l")
+    met = windows.filter(shares).select("doc_id", "row", "no", "license_id", "start", "runs").join(
+        small(known.select(F.col("no").alias("__no"), "n", "t_sh")), F.col("no") == F.col("__no")
     )
-    counted = met.select("doc_id", "row", "license_id", "start", (F.size(F.array_intersect("runs", "t_sh")) / F.col("n")).alias("containment"))
+    counted = met.select("doc_id", "row", "no", "license_id", "start", (F.size(F.array_intersect("runs", "t_sh")) / F.col("n")).alias("containment"))
     kept = counted.filter(F.col("containment") >= CONTAINED)
     best = kept.groupBy("doc_id", "row", "license_id").agg(
-        F.count_distinct("start").alias("n_windows"), F.max("containment").alias("containment"), F.min(F.struct(-F.col("containment"), F.col("start"))).alias("b")
+        F.count_distinct("no", "start").alias("n_windows"), F.max("containment").alias("containment"), F.min(F.struct(-F.col("containment"), F.col("start"))).alias("b")
     )
     return best.select("doc_id", "license_id", "n_windows", "containment", F.col("b.start").cast("bigint").alias("first_word"))
 

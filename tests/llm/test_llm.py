@@ -582,6 +582,18 @@ def test_repeated_rows_and_null_ids_with_a_license(spark):
     assert Counter((r.doc_id, r.license_id, r.n_windows, r.first_word) for r in licenses.scanned(df).collect()) == {(1, "MIT", 1, 3): 2, (None, "MIT", 1, 3): 1}
 
 
+def test_wordings_of_one_license_and_templates_that_repeat_themselves(spark):
+    again = " ".join(["one two three four five six"] * 60)
+    some = (licenses.Template("A", "alpha beta gamma delta epsilon zeta"), licenses.Template("A", " ".join(f"w{i}" for i in range(200))), licenses.Template("again", again))
+    table = licenses.template_table(spark, some).orderBy("no").collect()
+    assert [(r.n, r.width) for r in table] == [(2, 2), (196, 244), (6, 6)] and max(r.bands for r in table) < 1000
+    whole = some[1].text
+    docs = spark.createDataFrame([(1, f"x y {some[0].text} z"), (2, f"x {whole} y"), (3, f"x {whole} {some[0].text}"), (4, f"a b {again} c"), (5, "x y z")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.license_id): (r.containment, r.n_windows) for r in licenses.scanned(docs, some).collect()}
+    assert {k: c for k, (c, _) in got.items()} == {(1, "A"): 1.0, (2, "A"): 1.0, (3, "A"): 1.0, (4, "again"): 1.0}
+    assert got[3, "A"][1] == got[1, "A"][1] + got[2, "A"][1] or got[3, "A"][1] > got[1, "A"][1]
+
+
 def test_long_and_short_templates(spark):
     full = " ".join(f"l{i}" for i in range(3000))
     some = (licenses.Template("full", full), licenses.Template("medium", " ".join(f"m{i}" for i in range(257))), licenses.TEMPLATES[1])
