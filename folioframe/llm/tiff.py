@@ -32,6 +32,7 @@ from .common import small_batches, spread, table
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR = 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
+FILL_ORDER = 266
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -40,6 +41,9 @@ LZW_CLEAR, LZW_END = 256, 257
 EXPANDS = {NONE: 1, PACKBITS: 64, LZW: 2731, DEFLATE: 1033, OLD_DEFLATE: 1033}
 VALUE_BYTES = (1 << 31) - (1 << 16)
 
+#: Each byte with its bits the other way round, for files that begin bytes at the low bit.
+TURNED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+
 #: How documents are stored: samples in a row (payloads are padded to it), rows in a strip, rows in a page.
 ROW_SAMPLES = 192
 STRIP_ROWS = 16
@@ -296,6 +300,9 @@ def page_of(data: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
         raise TiffError("a page larger than a value can be")
     if sum(min(c, len(data)) for c in counts[: across * down * planes]) * EXPANDS.get(scheme, 1) < width * height * n * bits[0] // 8:
         raise TiffError("a page larger than its bytes can make")
+    low_first = one(FILL_ORDER, 1) == 2
+    if one(FILL_ORDER, 1) not in (1, 2):
+        raise TiffError(f"fill order {one(FILL_ORDER)}")
     if not whole and predictor != 1:
         raise TiffError(f"predictor {predictor} of samples of {bits[0]} bits")
     out = np.zeros((height, width, n), dtype.newbyteorder("="))
@@ -303,7 +310,8 @@ def page_of(data: bytes, number: int, order: str, f: dict[int, tuple]) -> Page:
         plane, place = divmod(k, across * down)
         y, x = place // across * rows, place % across * cols
         tall = rows if tiled else min(rows, height - y)
-        raw = decompress(scheme, data[offsets[k] : offsets[k] + counts[k]], tall * row_bytes)
+        part = data[offsets[k] : offsets[k] + counts[k]]
+        raw = decompress(scheme, part.translate(TURNED) if low_first else part, tall * row_bytes)
         block = np.frombuffer(raw, dtype) if whole else unpacked(raw, tall, cols * per, bits[0])
         block = unpredicted(block.reshape(tall, cols, per), predictor, raw, dtype)
         out[y : y + tall, x : x + cols, plane * per : (plane + 1) * per] = block[: height - y, : width - x]

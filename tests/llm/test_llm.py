@@ -88,6 +88,32 @@ def test_samples_of_few_bits(bits, scheme):
         assert back.bits == bits and (back.samples[:, :, 0] == page).all()
 
 
+@pytest.mark.parametrize("scheme", [tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE])
+def test_bytes_that_begin_at_the_low_bit(scheme):
+    page = np.random.default_rng(9).integers(0, 2, (40, 24), dtype=np.uint8)
+    made = bytearray(tiff.tiff_bytes([page], scheme, strip_rows=7, bits=1))
+    entry = next(k for k in range(len(made)) if made[k : k + 4] == b"\x06\x01\x03\x00")  # the photometric tag gives its place
+    made[entry : entry + 2] = (tiff.FILL_ORDER).to_bytes(2, "little")
+    made[entry + 8 : entry + 10] = (2).to_bytes(2, "little")
+    first = next(k for k in range(len(made)) if made[k : k + 4] == b"\x11\x01\x04\x00")
+    n, at = int.from_bytes(made[first + 4 : first + 8], "little"), int.from_bytes(made[first + 8 : first + 12], "little")
+    sizes = int.from_bytes(made[next(k for k in range(len(made)) if made[k : k + 4] == b"\x17\x01\x04\x00") + 8 :][:4], "little")
+    for k in range(n):
+        a, size = (int.from_bytes(made[x + 4 * k : x + 4 * k + 4], "little") for x in (at, sizes))
+        made[a : a + size] = bytes(made[a : a + size]).translate(tiff.TURNED)
+    (back,) = tiff.pages_of(bytes(made))
+    assert (back.samples[:, :, 0] == page).all()
+    made[entry + 8 : entry + 10] = (3).to_bytes(2, "little")
+    with pytest.raises(tiff.TiffError, match="fill order 3"):
+        next(p for p in tiff.pages_of(bytes(made)) if _raised(p))
+
+
+def _raised(page):
+    if isinstance(page, tiff.TiffError):
+        raise page
+    return False
+
+
 def test_pages_after_an_unreadable_one(spark):
     page = np.arange(192 * 3, dtype=np.uint8).reshape(3, 192)
     made = bytearray(tiff.tiff_bytes([page, page[:2], page[:1]], tiff.NONE))
