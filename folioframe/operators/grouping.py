@@ -16,6 +16,7 @@ from ..functions import greedy, raster
 from ..params import DEFAULT, Params
 from . import aggregates, sequences, spatial
 from .paging import by_page
+from .raster import one_a_page
 
 ITEM = "page_id bigint, item_id bigint, text string, x1 int, y1 int, x2 int, y2 int, confidence double, source string, angle double"
 COLUMNS = [c.split()[0] for c in ITEM.split(", ")]
@@ -76,7 +77,7 @@ def chained_on_rasters(items: DataFrame, rasters: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["page_id", "item_id", "chain", "place"])
 
     a = upright(items).select(*COLUMNS).groupBy("page_id")
-    b = rasters.select("page_id", "width", "height", "pixels").groupBy("page_id")
+    b = one_a_page(rasters).groupBy("page_id")
     return a.cogroup(b).applyInPandas(kernel, "page_id bigint, item_id bigint, chain bigint, place int")
 
 

@@ -87,6 +87,12 @@ def detected_lines(rasters: DataFrame, length: int = 80) -> DataFrame:
     return on_pages(rasters, lambda image: raster.ruling_lines(image, length), "orient string, pos int, lo int, hi int")
 
 
+def one_a_page(rasters: DataFrame) -> DataFrame:
+    """page_id, width, height and pixels of one raster a page: of several, the widest, then the highest, then the last by its pixels."""
+    there = rasters.filter("pixels IS NOT NULL AND width > 0 AND height > 0")
+    return there.groupBy("page_id").agg(F.max(F.struct("width", "height", "pixels")).alias("r")).select("page_id", "r.width", "r.height", "r.pixels")
+
+
 def measured(items: DataFrame, rasters: DataFrame) -> DataFrame:
     """Append mean_level and white_ratio of each item's box on its page's raster; a page's items meet in one group."""
 
@@ -99,7 +105,7 @@ def measured(items: DataFrame, rasters: DataFrame) -> DataFrame:
         return pd.DataFrame({"page_id": left.page_id, "item_id": left.item_id, "mean_level": [raster.mean_level(image, b) for b in boxes], "white_ratio": [raster.white_share(image, b) for b in boxes]})
 
     a = items.select("page_id", "item_id", "x1", "y1", "x2", "y2").groupBy("page_id")
-    b = rasters.select("page_id", "width", "height", "pixels").groupBy("page_id")
+    b = one_a_page(rasters).groupBy("page_id")
     return a.cogroup(b).applyInPandas(kernel, "page_id bigint, item_id bigint, mean_level double, white_ratio double")
 
 
@@ -122,5 +128,5 @@ def closed_cells(cells: DataFrame, rasters: DataFrame, params: Params = DEFAULT)
         return pd.DataFrame(out, columns=["page_id", "x1", "y1", "x2", "y2", "sides", "white_ratio"])
 
     a = cells.select("page_id", "x1", "y1", "x2", "y2", F.col("sides").cast("bigint").alias("sides")).groupBy("page_id")
-    b = rasters.select("page_id", "width", "height", "pixels").groupBy("page_id")
+    b = one_a_page(rasters).groupBy("page_id")
     return a.cogroup(b).applyInPandas(kernel, "page_id bigint, x1 int, y1 int, x2 int, y2 int, sides bigint, white_ratio double")

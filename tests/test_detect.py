@@ -231,3 +231,13 @@ def test_cells_of_scanned_pages(spark):
     assert {(round((r.x1 - 20) / 95), round((r.y1 - 20) / 110)) for r in found} == {(i, j) for i in range(4) for j in range(4)}
     assert sorted(r.cell_no for r in found) == list(range(1, 17))
     assert flows.scanned_cells(rasters.limit(0), texts).count() == 0
+
+
+def test_of_several_rasters_of_a_page_the_widest_counts(spark):
+    small, wide = np.zeros((40, 40), np.uint8), np.full((40, 90), 200, np.uint8)
+    rows = [page(small), page(wide), page(small), (2, None, None, None), page(small, None)]
+    boxes = spark.createDataFrame([(1, 1, 10, 10, 30, 30), (2, 2, 10, 10, 30, 30)], "page_id bigint, item_id bigint, x1 int, y1 int, x2 int, y2 int")
+    for r in (rows, rows[::-1]):
+        rasters = spark.createDataFrame(r, RASTER)
+        assert [(x.page_id, x.mean_level) for x in raster.measured(boxes, rasters).collect()] == [(1, 200.0)]
+        assert sorted((x.page_id, x.width) for x in raster.one_a_page(rasters).filter("page_id IS NOT NULL").collect()) == [(1, 90)]
