@@ -1059,8 +1059,15 @@ def raster_cells(spark, sf):
     return raster.detected_cells(_rasters(spark, sf))
 
 
-@query()
+@query(
+    """, xs AS (SELECT page_id, CAST(20 + k * (70 + page_id % 30) AS INT) AS x FROM pids, range(5) a(k) WHERE 20 + k * (70 + page_id % 30) < 320),
+    ys AS (SELECT page_id, CAST(20 + k * (50 + page_id % 20) AS INT) AS y FROM pids, range(5) a(k) WHERE 20 + k * (50 + page_id % 20) < 240)
+    SELECT page_id, 'h' AS orient, y AS pos, 20 AS lo, 301 AS hi FROM ys
+    UNION ALL SELECT page_id, 'v', x, 20, CASE WHEN x <= 300 AND EXISTS (SELECT 1 FROM ys WHERE ys.page_id = xs.page_id AND y = 221) THEN 222 ELSE 221 END FROM xs""",
+    "pids",
+)
 def raster_lines(spark, sf):
+    """Long dark lines; a rule that lies on the end of upright ones makes them a pixel longer."""
     return raster.detected_lines(_rasters(spark, sf))
 
 

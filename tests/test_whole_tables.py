@@ -125,3 +125,47 @@ def test_chains_on_rasters_of_all_pages(spark):
         want |= {(p, x["id"], c[0]["id"], k) for c in chains(boxes, True, barred) for k, x in enumerate(c)}
     assert {tuple(r) for r in catalog.QUERIES["barred_chain"](spark, SF).select("page_id", "item_id", "chain", "place").collect()} == want
     assert len({w[2] for w in want}) < len(want)
+
+
+def test_greedy_dedup_of_all_items(spark):
+    want = set()
+    for p, items in by_page(v.items(spark, SF)).items():
+        kept = deduplicated([{"id": i.item_id, "box": (i.x1, i.y1, i.x2, i.y2), "text": i.text, "confidence": float(i.confidence)} for i in items])
+        want |= {(p, k["id"]) for k in kept}
+    got = [(r.page_id, r.item_id) for r in catalog.QUERIES["greedy_dedup"](spark, SF).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_paragraph_chains_of_all_items(spark):
+    """The nearest free line below among all lines of the page."""
+    from folioframe.functions.greedy import follows
+
+    want = set()
+    for p, items in by_page(v.items(spark, SF)).items():
+        lines = sorted(((i.x1, i.y1, i.x2, i.y2), i.item_id) for i in items)
+        lines.sort(key=lambda x: (x[0][1], x[1]))
+        free = [True] * len(lines)
+        for start in range(len(lines)):
+            at, place = start, 0
+            while at is not None and free[at]:
+                free[at] = False
+                want.add((p, lines[at][1], lines[start][1], place))
+                near = [(g, k) for k in range(len(lines)) if free[k] and (g := follows(lines[at][0], lines[k][0], False)) is not None]
+                at, place = (min(near)[1] if near else None), place + 1
+    got = {(r.page_id, r.item_id, r.chain, r.place) for r in catalog.QUERIES["paragraph_chain"](spark, SF).collect()}
+    assert got == want and any(w[3] > 0 for w in want)
+
+
+def test_raster_levels_of_all_items(spark):
+    """Means and white shares pixel by pixel."""
+    images = {r.page_id: np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width) for r in catalog._rasters(spark, SF).collect()}
+    want = {}
+    for p, items in by_page(v.items(spark, SF)).items():
+        for i in items:
+            x1, y1, x2, y2 = (w // 4 for w in (i.x1, i.y1, i.x2, i.y2))
+            around = [int(images[p][y, x]) for y in range(max(0, y1 - 2), min(240, y2 + 2)) for x in range(max(0, x1 - 2), min(320, x2 + 2))]
+            inside = [int(images[p][y, x]) > 180 for y in range(y1 + 2, min(240, y2 - 2)) for x in range(x1 + 2, min(320, x2 - 2))]
+            fits = x2 - x1 > 4 and y2 - y1 > 4
+            want[p, i.item_id] = (round(sum(around) / len(around), 6), round(sum(inside) / len(inside), 6) if fits and inside else None)
+    got = {(r.page_id, r.item_id): (round(r.mean_level, 6), None if r.white_ratio is None else round(r.white_ratio, 6)) for r in catalog.QUERIES["raster_levels"](spark, SF).collect()}
+    assert got == want
