@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import greedy, raster
 from ..params import DEFAULT, Params
@@ -95,9 +96,13 @@ def merged_lines(items: DataFrame, strict: bool = True, params: Params = DEFAULT
 def anchored_lines(lines: DataFrame, reach: int = 5) -> DataFrame:
     """page_id, orient, pos and anchor: positions merged with the first existing one within reach.
 
-    Anchors lie over the reach apart, so the last one before a position is the only one that can be near: one fold over a page's sorted positions.
+    A position farther than the reach from the one before it is an anchor, so each run of near positions is for itself. Within
+    it anchors lie over the reach apart, and the last one before a position is the only one that can be near: one fold a run.
     """
-    at = lines.groupBy("page_id", "orient").agg(F.array_sort(F.collect_set("pos")).alias("ps"))
+    apart = F.col("pos") - F.lag("pos").over(Window.partitionBy("page_id", "orient").orderBy("pos")) > reach
+    run = F.sum(F.when(apart, 1).otherwise(0)).over(Window.partitionBy("page_id", "orient").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    placed = lines.select("page_id", "orient", "pos").filter("pos IS NOT NULL").distinct().withColumn("run", run)
+    at = placed.groupBy("page_id", "orient", "run").agg(F.array_sort(F.collect_list("pos")).alias("ps"))
     none = F.array().cast("array<struct<pos:int,anchor:int>>")
 
     def step(done: Column, p: Column) -> Column:

@@ -265,3 +265,19 @@ def test_nearest_cells_far_away(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "gx" in plan and "Cartesian" not in plan and "Join Inner, (page_id#" not in plan
     assert spatial.nearest_cell_gap(i.limit(0), c.limit(0)).count() == 0
+
+
+def test_anchors_of_many_positions(spark):
+    """A page of twenty thousand positions in runs, nulls and repeats, against the rule one by one."""
+    import random
+
+    draw = random.Random(8)
+    rows = [(1, "h", draw.randrange(400_000)) for _ in range(20_000)] + [(2, "v", k) for k in range(40)] * 2 + [(2, "h", 7), (2, "h", None), (3, None, 4)]
+    want = set()
+    for key in {r[:2] for r in rows}:
+        anchor = None
+        for p in sorted({r[2] for r in rows if r[:2] == key and r[2] is not None}):
+            anchor = p if anchor is None or p - anchor > 5 else anchor
+            want.add((*key, p, anchor))
+    got = [tuple(r) for r in grouping.anchored_lines(spark.createDataFrame(rows, "page_id bigint, orient string, pos int")).collect()]
+    assert set(got) == want and len(got) == len(want)
