@@ -2,43 +2,113 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detect, raster
 from ..params import DEFAULT, Params
-
+from .paging import by_page
 
 #: Bytes of pages handed to a Python worker at once: a scanned page has some megabytes.
-BATCH_BYTES = 64 << 20
+BATCH_BYTES = 16 << 20
+#: Found rows that a task keeps for images that come again.
+REMEMBERED = 200_000
 
 
 def image_of(pixels: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(pixels, np.uint8).reshape(height, width)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_BYTES at most, or one row; a smaller limit of the session stays."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf
+    if conf.get(key, None) is None or int(conf.get(key).rstrip("b")) > BATCH_BYTES or int(conf.get(key).rstrip("b")) <= 0:
+        conf.set(key, str(BATCH_BYTES))
+
+
+def once_an_image(kernel: Callable[[np.ndarray], list[tuple]], most: int = REMEMBERED) -> Callable[[bytes, int, int], list[tuple]]:
+    """``kernel`` for pixels, width and height; what it found is kept while it is ``most`` rows in all, so equal images are looked at once."""
+    known: dict[tuple[bytes, int, int], list[tuple]] = {}
+    held = 0
+
+    def look(pixels: bytes, width: int, height: int) -> list[tuple]:
+        nonlocal held
+        key = (blake2b(pixels, digest_size=32).digest(), width, height)
+        if key not in known:
+            found = kernel(image_of(pixels, width, height))
+            if held + len(found) + 1 > most:
+                known.clear()
+                held = 0
+            known[key] = found
+            held += len(found) + 1
+        return known[key]
+
+    return look
+
+
 def on_pages(rasters: DataFrame, kernel: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
     """The rows that ``kernel`` finds on each page's image, after its page_id; a page without an image has none."""
     names = ["page_id", *[c.strip().split()[0] for c in schema.split(",")]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look = once_an_image(kernel)
         for frame in frames:
-            out = [(r.page_id, *x) for r in frame.itertuples(index=False) for x in kernel(image_of(r.pixels, int(r.width), int(r.height)))]
+            out = [(r.page_id, *x) for r in frame.itertuples(index=False) for x in look(r.pixels, int(r.width), int(r.height))]
             made = pd.DataFrame(out, columns=names)
             made["page_id"] = made.page_id.astype("Int64")
             yield made
 
-    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", rasters.sparkSession.conf
-    if conf.get(key, None) is None or int(conf.get(key).rstrip("b")) > BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
+    bounded_batches(rasters.sparkSession)
     there = rasters.filter("pixels IS NOT NULL AND width > 0 AND height > 0")
     return there.select("page_id", "width", "height", "pixels").mapInPandas(run, f"page_id bigint, {schema}")
 
 
+def packed(rasters: DataFrame) -> DataFrame:
+    """page_id, width, height and deflated pixels of rasters that are there: what is dealt and sorted is a fraction of the pixels."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(packed=[zlib.compress(p, 1) for p in frame.pixels]).drop(columns="pixels")
+
+    bounded_batches(rasters.sparkSession)
+    there = rasters.filter("page_id IS NOT NULL AND pixels IS NOT NULL AND width > 0 AND height > 0")
+    return there.select("page_id", "width", "height", "pixels").mapInPandas(run, "page_id bigint, width int, height int, packed binary")
+
+
+def unpacked(row) -> np.ndarray:
+    return image_of(zlib.decompress(row.packed), int(row.width), int(row.height))
+
+
+def chosen(rows: list) -> np.ndarray | None:
+    """The image of a page's packed rasters that counts: the widest, then the highest, then the last by its pixels."""
+    size = max(((r.width, r.height) for r in rows), default=None)
+    different = {r.packed: r for r in rows if (r.width, r.height) == size}
+    return max((unpacked(r) for r in different.values()), key=lambda i: i.tobytes()) if len(different) > 1 else next(map(unpacked, different.values()), None)
+
+
+def on_items(items: DataFrame, rasters: DataFrame, kernel: Callable[[list, np.ndarray | None], list[tuple]], schema: str) -> DataFrame:
+    """``kernel`` gets the items of a page and the page's image, None without one, and returns output rows; rows without a page have none.
+
+    Items and packed rasters are dealt and sorted as one table, many pages a batch.
+    """
+    numbers = {"byte", "short", "integer", "long"}  # a null would make the column one of doubles
+    blank = [(F.lit(0) if f.dataType.typeName() in numbers else F.lit(None)).cast(f.dataType).alias(f.name) for f in items.schema if f.name != "page_id"]
+    own = items.select("*", F.lit(0).alias("width"), F.lit(0).alias("height"), F.lit(None).cast("binary").alias("packed"))
+    images = packed(rasters).select("page_id", *blank, "width", "height", "packed")
+
+    def run(rows: list) -> list[tuple]:
+        left = [r for r in rows if r.packed is None]
+        return kernel(left, chosen([r for r in rows if r.packed is not None])) if left else []
+
+    return by_page(own.unionByName(images), run, schema)
+
+
 def detected_segments(rasters: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """page_id, item_id (a number on the page), x1, y1, x2, y2 of the line segments on each page: edges of the ink, then a Hough search."""
 
@@ -89,24 +159,24 @@ def detected_lines(rasters: DataFrame, length: int = 80) -> DataFrame:
 
 def one_a_page(rasters: DataFrame) -> DataFrame:
     """page_id, width, height and pixels of one raster a page: of several, the widest, then the highest, then the last by its pixels."""
-    there = rasters.filter("pixels IS NOT NULL AND width > 0 AND height > 0")
-    return there.groupBy("page_id").agg(F.max(F.struct("width", "height", "pixels")).alias("r")).select("page_id", "r.width", "r.height", "r.pixels")
+
+    def kernel(rows: list) -> list[tuple]:
+        image = chosen(rows)
+        return [(rows[0].page_id, image.shape[1], image.shape[0], image.tobytes())]
+
+    return by_page(packed(rasters), kernel, "page_id bigint, width int, height int, pixels binary")
 
 
 def measured(items: DataFrame, rasters: DataFrame) -> DataFrame:
-    """Append mean_level and white_ratio of each item's box on its page's raster; a page's items meet in one group."""
+    """Append mean_level and white_ratio of each item's box on its page's raster; items of pages without one have no row."""
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=["page_id", "item_id", "mean_level", "white_ratio"])
-        r = right.iloc[0]
-        image = image_of(r.pixels, r.width, r.height)
-        boxes = [(int(a.x1), int(a.y1), int(a.x2), int(a.y2)) for a in left.itertuples(index=False)]
-        return pd.DataFrame({"page_id": left.page_id, "item_id": left.item_id, "mean_level": [raster.mean_level(image, b) for b in boxes], "white_ratio": [raster.white_share(image, b) for b in boxes]})
+    def kernel(rows: list, image: np.ndarray | None) -> list[tuple]:
+        if image is None:
+            return []
+        boxes = [(int(a.x1), int(a.y1), int(a.x2), int(a.y2)) for a in rows]
+        return [(a.page_id, a.item_id, raster.mean_level(image, b), raster.white_share(image, b)) for a, b in zip(rows, boxes, strict=True)]
 
-    a = items.select("page_id", "item_id", "x1", "y1", "x2", "y2").groupBy("page_id")
-    b = one_a_page(rasters).groupBy("page_id")
-    return a.cogroup(b).applyInPandas(kernel, "page_id bigint, item_id bigint, mean_level double, white_ratio double")
+    return on_items(items.select("page_id", "item_id", "x1", "y1", "x2", "y2"), rasters, kernel, "page_id bigint, item_id bigint, mean_level double, white_ratio double")
 
 
 def closed_cells(cells: DataFrame, rasters: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -115,18 +185,14 @@ def closed_cells(cells: DataFrame, rasters: DataFrame, params: Params = DEFAULT)
     The white limit is 0.85 of that for other cells, since cells full of text are darker. Pages without a raster have none.
     """
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def kernel(rows: list, image: np.ndarray | None) -> list[tuple]:
         out = []
-        if len(left) and len(right):
-            r = right.iloc[0]
-            image = image_of(r.pixels, r.width, r.height)
-            for c in left.itertuples(index=False):
-                box = (int(c.x1), int(c.y1), int(c.x2), int(c.y2))
-                white = raster.white_share(image, box, level=params.white_level)
-                if raster.dark_corners(image, box, 10 if c.sides == 3 else 6, params.corner_level) >= 2 and white is not None and white >= 0.85 * params.white_share:
-                    out.append((c.page_id, *box, c.sides, white))
-        return pd.DataFrame(out, columns=["page_id", "x1", "y1", "x2", "y2", "sides", "white_ratio"])
-
-    a = cells.select("page_id", "x1", "y1", "x2", "y2", F.col("sides").cast("bigint").alias("sides")).groupBy("page_id")
-    b = one_a_page(rasters).groupBy("page_id")
-    return a.cogroup(b).applyInPandas(kernel, "page_id bigint, x1 int, y1 int, x2 int, y2 int, sides bigint, white_ratio double")
+        for c in rows if image is not None else []:
+            box = (int(c.x1), int(c.y1), int(c.x2), int(c.y2))
+            white = raster.white_share(image, box, level=params.white_level)
+            if raster.dark_corners(image, box, 10 if c.sides == 3 else 6, params.corner_level) >= 2 and white is not None and white >= 0.85 * params.white_share:
+                out.append((c.page_id, *box, c.sides, white))
+        return out
+
+    a = cells.select("page_id", "x1", "y1", "x2", "y2", F.col("sides").cast("bigint").alias("sides"))
+    return on_items(a, rasters, kernel, "page_id bigint, x1 int, y1 int, x2 int, y2 int, sides bigint, white_ratio double")
