@@ -55,3 +55,15 @@ def test_no_step_on_pixels_sorts_or_deals_whole_images(spark, name):
     """Between the drawing and the look at a page only packed pixels are dealt."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "max(struct(width" not in plan and "packed" in plan
+
+
+def test_pages_that_are_looked_at_twice_come_in_bounded_batches(spark):
+    """No other raster query need have run before; tiles meet packed pixels."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(1 << 30))
+    try:
+        catalog.QUERIES["coarse_to_fine"](spark, SF)
+        assert int(spark.conf.get(key)) <= raster.BATCH_BYTES
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
