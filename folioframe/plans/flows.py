@@ -17,11 +17,7 @@ from ..session import stored
 
 def intersection_grid(segments: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Cells from line segments: lines merged within reach, kept if crossed often enough, paired to cells, and closed on three sides at least."""
-    kinds = items.segment_kind(segments)
-    anchors = grouping.anchored_lines(kinds).select(F.col("page_id").alias("__p"), F.col("orient").alias("__o"), F.col("pos").alias("__s"), "anchor")
-    at = kinds.join(anchors, (F.col("page_id") == F.col("__p")) & (F.col("orient") == F.col("__o")) & (F.col("pos") == F.col("__s"))).select("page_id", "orient", F.col("anchor").alias("pos"), "lo", "hi")
-    lines = spatial.line_crossings(at, params)
-    return spatial.closed_sides(spatial.grid_cells(lines, params), at, params).select("page_id", *spatial.BOX)
+    return grouping.enclosed_cells(items.segment_kind(segments), params)
 
 
 def text_gap_cells(texts: DataFrame, cells: DataFrame, page_w: int, page_h: int, params: Params = DEFAULT) -> DataFrame:
