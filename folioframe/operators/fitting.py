@@ -31,8 +31,13 @@ def fitted_lines(items: DataFrame, metrics: Metrics | TableMetrics = Metrics(),
     """Lines of the largest size that fits each box: from ``size`` down to 5, or to 4 with every run cut by characters (unified)."""
     kw = {"min_size": 4, "spacing": 0.10, "least_spacing": 0, "break_all": True} if unified else {}
 
+    def starting(text: str, w: int, h: int, size: int) -> fitting.Fit:
+        return fitting.fitted(text, w, h, size, metrics, **kw)
+
+    fit = fitting.remembered(starting)
+
     def each(r) -> list[tuple]:
-        f = fitting.fitted(r.text, r.x2 - r.x1, r.y2 - r.y1, int(r.size), metrics, **kw)
+        f = fit(r.text, r.x2 - r.x1, r.y2 - r.y1, int(r.size))
         step = metrics.line_height(f.size) + f.spacing
         return [(k, line, float(r.x1), float(r.y1 + k * step), float(f.size), f.overflow) for k, line in enumerate(f.lines)]
 
@@ -109,10 +114,11 @@ def layer_texts(layers: DataFrame, metrics: Metrics | TableMetrics = Metrics())
     """Lines of every layer (layer_w by layer_h) with their tops inside it."""
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lay = fitting.remembered(lambda text, w, h: fitting.layer_lines(text, w, h, metrics))
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                fit, lines = fitting.layer_lines(r.text, r.layer_w, r.layer_h, metrics)
+                fit, lines = lay(r.text, r.layer_w, r.layer_h)
                 out += [(r.page_id, r.item_id, k, line, 0.0, float(top), float(fit.size), fit.overflow) for k, (line, top) in enumerate(lines)]
             yield pd.DataFrame(out, columns=NAMES)
 
