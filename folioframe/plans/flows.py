@@ -21,9 +21,9 @@ def intersection_grid(segments: DataFrame, params: Params = DEFAULT) -> DataFram
 
 
 def text_gap_cells(texts: DataFrame, cells: DataFrame, page_w: int, page_h: int, params: Params = DEFAULT) -> DataFrame:
-    """Cells between the medians of clustered text edges, inside the region of the cells that are known."""
+    """Cells between the medians of clustered text edges, inside the region of the cells that are known. The texts inside are stored: each of their four edges is a step."""
     region = aggregates.table_region(cells, page_w, page_h).select(F.col("page_id").alias("__p"), *[F.col(c).alias(f"r_{c}") for c in spatial.BOX])
-    inside = texts.join(region, (F.col("page_id") == F.col("__p")) & g.contains(g.box("r_"), g.box()))
+    inside = stored(texts.join(region, (F.col("page_id") == F.col("__p")) & g.contains(g.box("r_"), g.box())).select("page_id", *spatial.BOX))
     edges = None
     for orient, lo, hi, tolerance in (("v", "x1", "x2", 25), ("h", "y1", "y2", 20)):
         found = None

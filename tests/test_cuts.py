@@ -17,4 +17,4 @@ def test_cuts_by_hand(spark):
 def test_spans_are_dealt_once(spark):
     """Windows and joins over the spans held their rows several times, in tasks joined by packed bytes."""
     plan = catalog.QUERIES["smart_cuts"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Window [") == 1 and plan.count("Join") == 1  # those of the items
+    assert "Window" not in plan and plan.count("Join") == 1  # that of the items
