@@ -35,16 +35,24 @@ def text_gap_cells(texts: DataFrame, cells: DataFrame, page_w: int, page_h: int,
 
 
 def cell_cascade(stages: dict[str, DataFrame], texts: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Cells of all stages as one set, without cells inside morphological ones (stage M) or larger ones, near text and in a grid, numbered by top and left."""
+    """Cells of all stages as one set, without cells inside morphological ones (stage M) or larger ones, near text and in a grid, numbered by top and left.
+
+    Stages (62 at most) are bits of one number on the way. What two steps read is stored, once for all stages and once for cells near text.
+    """
+    names = sorted(stages)
     every = None
-    for name, cells in stages.items():
-        one = items.cell_gate(cells.select("page_id", *spatial.BOX), params).withColumn("stage", F.lit(name))
+    for k, name in enumerate(names):
+        one = items.cell_gate(stages[name].select("page_id", *spatial.BOX), params).withColumn("bits", F.lit(1 << k).cast("bigint"))
         every = one if every is None else every.unionByName(one)
-    union = every.groupBy("page_id", *spatial.BOX).agg(F.array_sort(F.collect_set("stage")).alias("stages"))
-    union = union.withColumn("morph", F.array_contains("stages", "M"))
-    kept = spatial.without_contained(spatial.outside_protected(union))
-    kept = spatial.grid_neighbours(spatial.cells_near_text(kept, texts, params), params)
-    return aggregates.named_cells(kept).select("page_id", *spatial.BOX, F.array_join("stages", ",").alias("stages"), "cell_no", "cell_id")
+    has = lambda name: F.col("bits").bitwiseAND(F.lit(1 << names.index(name)).cast("bigint")) != 0
+    # In order of pages, boxes are packed to a few bytes a row. Spark then takes them for few: it is to sort both sides.
+    ordered = lambda df: df.sortWithinPartitions("page_id", "y1", "x1")
+    union = stored(ordered(every.groupBy("page_id", *spatial.BOX).agg(F.bit_or("bits").alias("bits")))).withColumn("morph", has("M") if "M" in names else F.lit(False)).hint("merge")
+    kept = spatial.outermost(union).drop("morph").hint("merge")
+    near = stored(ordered(spatial.cells_near_text(kept, texts, params, unique=True))).hint("merge")
+    kept = spatial.grid_neighbours(near, params, unique=True)
+    told = F.array_join(F.array_compact(F.array(*[F.when(has(name), F.lit(name)) for name in names])), ",")
+    return aggregates.named_cells(kept).select("page_id", *spatial.BOX, told.alias("stages"), "cell_no", "cell_id")
 
 
 def scanned_cells(rasters: DataFrame, texts: DataFrame, params: Params = DEFAULT) -> DataFrame:
