@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detect, raster
 from ..params import DEFAULT, Params
+from ..session import stored
 from .paging import by_page
 
 #: Bytes of pages handed to a Python worker at once: a scanned page has some megabytes.
@@ -52,12 +53,28 @@ def once_an_image(kernel: Callable[[np.ndarray], list[tuple]], most: int = REMEM
     return look
 
 
-def on_pages(rasters: DataFrame, kernel: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
-    """The rows that ``kernel`` finds on each page's image, after its page_id; a page without an image has none."""
+#: What kernels found, by a name for each with its limits: a Python worker keeps it for its next tasks.
+_looks: dict[tuple, Callable[[bytes, int, int], list[tuple]]] = {}
+
+
+def once_a_worker(kernel: Callable[[np.ndarray], list[tuple]], key: tuple) -> Callable[[bytes, int, int], list[tuple]]:
+    """``once_an_image`` for all tasks of a worker; the memories of eight keys stay."""
+    if key not in _looks:
+        if len(_looks) >= 8:
+            _looks.pop(next(iter(_looks)))
+        _looks[key] = once_an_image(kernel)
+    return _looks[key]
+
+
+def on_pages(rasters: DataFrame, kernel: Callable[[np.ndarray], list[tuple]], schema: str, key: tuple | None = None) -> DataFrame:
+    """The rows that ``kernel`` finds on each page's image, after its page_id; a page without an image has none.
+
+    ``key`` tells what the kernel and its limits are; without one, what it found is kept for a task only.
+    """
     names = ["page_id", *[c.strip().split()[0] for c in schema.split(",")]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = once_an_image(kernel)
+        look = once_an_image(kernel) if key is None else once_a_worker(kernel, key)
         for frame in frames:
             out = [(r.page_id, *x) for r in frame.itertuples(index=False) for x in look(r.pixels, int(r.width), int(r.height))]
             made = pd.DataFrame(out, columns=names)
@@ -109,46 +126,76 @@ def on_items(items: DataFrame, rasters: DataFrame, kernel: Callable[[list, np.nd
     return by_page(own.unionByName(images), run, schema)
 
 
-def detected_segments(rasters: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """page_id, item_id (a number on the page), x1, y1, x2, y2 of the line segments on each page: edges of the ink, then a Hough search."""
+SEGMENT = "item_id bigint, x1 int, y1 int, x2 int, y2 int"
+CONTOUR = "x1 int, y1 int, x2 int, y2 int, contour_area double, corners int, white_ratio double"
+CELL = "x1 int, y1 int, x2 int, y2 int, white_ratio double"
 
-    def kernel(image: np.ndarray) -> list[tuple]:
-        edge = detect.edges(raster.ink(image).astype(np.uint8) * 255)
-        return [(k, *s) for k, s in enumerate(detect.line_segments(edge, params.hough_votes, params.hough_length, params.hough_gap))]
 
-    return on_pages(rasters, kernel, "item_id bigint, x1 int, y1 int, x2 int, y2 int")
+def segments_of(image: np.ndarray, params: Params) -> list[tuple]:
+    edge = detect.edges(raster.ink(image).astype(np.uint8) * 255)
+    return [(k, *s) for k, s in enumerate(detect.line_segments(edge, params.hough_votes, params.hough_length, params.hough_gap))]
 
 
-def detected_contours(rasters: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """page_id, x1, y1, x2, y2, contour_area, corners, white_ratio of outer contours within the size limits of cells."""
+def contours_of(image: np.ndarray, params: Params) -> list[tuple]:
+    mask = detect.closed(raster.locally_dark(image, 31, 8))
+    out = []
+    for box, area, corners in detect.outer_contours(mask, params.cell_min_w, params.cell_min_h):
+        white = raster.white_share(image, box, level=params.white_level)
+        if white is not None:
+            out.append((*box, area, corners, white))
+    return out
+
+
+def cells_of(image: np.ndarray, params: Params) -> list[tuple]:
+    out = []
+    for box in raster.cells_by_components(image, min_area=params.component_min_area, max_share=params.component_max_share, max_aspect=params.component_max_aspect):
+        white = raster.white_share(image, box, level=params.white_level)
+        if white is not None:
+            out.append((*box, white))
+    return out
 
-    def kernel(image: np.ndarray) -> list[tuple]:
-        mask = detect.closed(raster.locally_dark(image, 31, 8))
-        out = []
-        for box, area, corners in detect.outer_contours(mask, params.cell_min_w, params.cell_min_h):
-            white = raster.white_share(image, box, level=params.white_level)
-            if white is not None:
-                out.append((*box, area, corners, white))
-        return out
 
-    found = on_pages(rasters, kernel, "x1 int, y1 int, x2 int, y2 int, contour_area double, corners int, white_ratio double")
+def fitting_contours(found: DataFrame, params: Params) -> DataFrame:
     return found.filter(((F.col("x2") - F.col("x1")) <= params.cell_max_w) & ((F.col("y2") - F.col("y1")) <= params.cell_max_h))
 
 
+def fitting_cells(found: DataFrame, params: Params) -> DataFrame:
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return found.filter(w.between(params.cell_min_w, params.cell_max_w) & h.between(params.cell_min_h, params.cell_max_h) & (F.col("white_ratio") >= params.white_share))
+
+
+def detected_segments(rasters: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """page_id, item_id (a number on the page), x1, y1, x2, y2 of the line segments on each page: edges of the ink, then a Hough search."""
+    return on_pages(rasters, lambda image: segments_of(image, params), SEGMENT, ("segments", params))
+
+
+def detected_contours(rasters: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """page_id, x1, y1, x2, y2, contour_area, corners, white_ratio of outer contours within the size limits of cells."""
+    return fitting_contours(on_pages(rasters, lambda image: contours_of(image, params), CONTOUR, ("contours", params)), params)
+
+
 def detected_cells(rasters: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """page_id, x1, y1, x2, y2, white_ratio of the cells that lines enclose, within the size limits and white inside."""
+    return fitting_cells(on_pages(rasters, lambda image: cells_of(image, params), CELL, ("cells", params)), params)
+
+
+def detected_by_all(rasters: DataFrame, params: Params = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``detected_cells``, ``detected_contours`` and ``detected_segments``: pages are made, handed over and looked at once for all three, and what is found is stored."""
+    kinds = {"cell": (CELL, cells_of), "contour": (CONTOUR, contours_of), "segment": (SEGMENT, segments_of)}
+    every = {c.split()[0]: c for schema, _ in kinds.values() for c in schema.split(", ")}
+    places = {kind: [c.split()[0] for c in schema.split(", ")] for kind, (schema, _) in kinds.items()}
 
     def kernel(image: np.ndarray) -> list[tuple]:
         out = []
-        for box in raster.cells_by_components(image, min_area=params.component_min_area, max_share=params.component_max_share, max_aspect=params.component_max_aspect):
-            white = raster.white_share(image, box, level=params.white_level)
-            if white is not None:
-                out.append((*box, white))
+        for kind, (_, look) in kinds.items():
+            for x in look(image, params):
+                row = dict(zip(places[kind], x, strict=True))
+                out.append((kind, *[row.get(c, 0) for c in every]))  # no nulls, which would make columns of doubles
         return out
 
-    found = on_pages(rasters, kernel, "x1 int, y1 int, x2 int, y2 int, white_ratio double")
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return found.filter(w.between(params.cell_min_w, params.cell_max_w) & h.between(params.cell_min_h, params.cell_max_h) & (F.col("white_ratio") >= params.white_share))
+    found = stored(on_pages(rasters, kernel, ", ".join(["kind string", *every.values()]), ("all", params)))
+    cells, contours, segments = (found.filter(F.col("kind") == kind).select("page_id", *names) for kind, names in places.items())
+    return fitting_cells(cells, params), fitting_contours(contours, params), segments
 
 
 def detected_lines(rasters: DataFrame, length: int = 80) -> DataFrame:

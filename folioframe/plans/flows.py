@@ -58,14 +58,10 @@ def cell_cascade(stages: dict[str, DataFrame], texts: DataFrame, params: Params
 def scanned_cells(rasters: DataFrame, texts: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """The cascade on images: enclosed regions (M), contours (A) and the grid of line segments (B) of each page.
 
-    What detectors find is stored: later steps read it several times, and images are looked at once.
+    What detectors find is stored: images are looked at once.
     """
-    stages = {
-        "M": stored(raster.detected_cells(rasters, params)),
-        "A": stored(items.contour_gate(raster.detected_contours(rasters, params), params)),
-        "B": stored(intersection_grid(stored(raster.detected_segments(rasters, params)), params)),
-    }
-    return cell_cascade(stages, texts, params)
+    cells, contours, segments = raster.detected_by_all(rasters, params)
+    return cell_cascade({"M": cells, "A": items.contour_gate(contours, params), "B": intersection_grid(segments, params)}, texts, params)
 
 
 def dispatched_cells(preferred: DataFrame | None, fallback: DataFrame, params: Params = DEFAULT) -> DataFrame:
