@@ -29,15 +29,17 @@ def confidence_bands(items: DataFrame, keys: list[str], high: float = 0.9, low:
     return items.groupBy(*keys).agg(F.count_if(c >= high).alias("high"), F.count_if((c >= low) & (c < high)).alias("middle"), F.count_if(c < low).alias("rest"))
 
 
-def blocks(items: DataFrame, keys: list[str], default_confidence: float | None = 1.0) -> DataFrame:
-    """Items of one group as one block: texts joined by line breaks in order of y, boxes, mean confidence and sources."""
+def blocks(items: DataFrame, keys: list[str], default_confidence: float | None = 1.0, more: dict[str, Column] | None = None) -> DataFrame:
+    """Items of one group as one block: texts joined by line breaks in order of y, boxes, mean confidence and sources; ``more`` names further aggregates."""
+    more = more or {}
     row = F.struct(F.col("y1").alias("k"), F.col("item_id").alias("i"), "text", "x1", "y1", "x2", "y2")
     confidence = F.col("confidence") if default_confidence is None else F.coalesce("confidence", F.lit(default_confidence))
     # Summed as whole millionths: the mean does not depend on the order in which rows arrive.
     mean = F.sum(F.round(confidence * 1_000_000).cast("bigint")).cast("double") / F.count(confidence) / F.lit(1_000_000.0)
     g = items.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(row)).alias("rows"), F.round(mean, 3).alias("confidence"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"), *union_box()
-    )
+        F.array_sort(F.collect_list(row)).alias("rows"), F.round(mean, 3).alias("confidence"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("source"), *union_box(),
+        *[c.alias(name) for name, c in more.items()],
+    )
     return g.select(
         *keys,
         F.array_join(F.transform("rows", lambda r: r["text"]), "\n").alias("text"),
@@ -45,6 +47,7 @@ def blocks(items: DataFrame, keys: list[str], default_confidence: float | None =
         F.size("rows").alias("n_lines"),
         F.transform("rows", lambda r: r["text"]).alias("sub_texts"),
         F.transform("rows", lambda r: F.struct(r["x1"].alias("x1"), r["y1"].alias("y1"), r["x2"].alias("x2"), r["y2"].alias("y2"))).alias("sub_bboxes"),
+        *more,
     )
 
 
